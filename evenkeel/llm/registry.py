@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import mixing, rules, simhash, sql
+from evenkeel.llm import language, mixing, quality, rules, simhash, sql, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": rules.op1,
+        "op3_quality_classifier": quality.op3,
+        "op5_language_id": language.op5,
+        "op6_token_counts": tokens.op6,
         "op7_mix_sources": mixing.op7,
         "op9_simhash": simhash.op9,
     }
