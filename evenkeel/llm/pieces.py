@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 from array import array
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -179,10 +179,10 @@ class Decoder:
 
 def encoded(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the texts' ids in a last column; model: the model file's path on the driver."""
-    name, held = f"pieces {uuid.uuid4()}", df.sparkSession.sparkContext.broadcast(Model.load(model))
+    name, held = f"pieces {uuid.uuid4()}", df.sparkSession.sparkContext.broadcast(astuple(Model.load(model)))
 
     def run(batches):
-        encoder = kit.kept_in_worker(name, lambda: Encoder(held.value))
+        encoder = kit.kept_in_worker(name, lambda: Encoder(Model(*held.value)))
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             got = []
@@ -203,10 +203,10 @@ def encoded(df: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
 
 def decoded(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text that each row's ids spell in a last column."""
-    name, held = f"spelled {uuid.uuid4()}", df.sparkSession.sparkContext.broadcast(Model.load(model))
+    name, held = f"spelled {uuid.uuid4()}", df.sparkSession.sparkContext.broadcast(astuple(Model.load(model)))
 
     def run(batches):
-        decode = kit.kept_in_worker(name, lambda: Decoder(held.value)).decode
+        decode = kit.kept_in_worker(name, lambda: Decoder(Model(*held.value))).decode
         for b in batches:
             for lo in range(0, len(b), 64):
                 part = b.slice(lo, 64)
