@@ -171,6 +171,19 @@ class Lattice:
         return out
 
 
+def _gathered(batches, least: int = 65_536):
+    """Tables of at least so many rows, for longer vectors of words of one length."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= least:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _texts(batch, column: int):
     for t in batch.column(column).to_pylist():
         yield (t or b"").lower().split()
@@ -216,7 +229,7 @@ def learned_pieces(words: DataFrame, names: list[bytes], start: np.ndarray, ends
         def run(batches, held=held):
             lattice = Lattice(*held.value)
             expected = np.zeros(len(lattice.names))
-            for b in batches:
+            for b in _gathered(batches):
                 lattice.marginals(b.column(0).to_pylist(), b.column(1).to_numpy().astype(float), expected)
             at = np.flatnonzero(expected)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(expected[at])], ["piece", "n"])
@@ -246,10 +259,10 @@ def scored(df: DataFrame, learn: Column, model: str, doc_id: str = "doc_id", tex
 
     def lattice(batches):
         own = Lattice(*held.value)
-        for b in batches:
+        for b in _gathered(batches):
             c = b.column(1).to_numpy()
             m = own.marginals(b.column(0).to_pylist()) / math.log(10)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base(c)), pa.array(m)], ["word", "c", "base", "m"])
+            yield from pa.table([b.column(0), b.column(1), pa.array(base(c)), pa.array(m)], names=["word", "c", "base", "m"]).to_batches(max_chunksize=10_000)
 
     shape = "word binary, c long, base double, m double"
     # the number of rows is fixed; no more than HEAD of them reach the driver
