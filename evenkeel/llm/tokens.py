@@ -25,6 +25,8 @@ from evenkeel.llm import kit
 
 #: Texts that the frequent pre-tokens are counted in, pre-tokens in the table, and in a worker's cache.
 TEXTS, TABLE, CACHE = 2000, 50_000, 400_000
+#: Characters of a text that the frequent pre-tokens are counted in, at most.
+MODERATE = 10_000
 #: Pre-tokens that are longer than this are encoded but not cached.
 LONG = 64
 
@@ -46,8 +48,6 @@ class Counter:
         self.table, self.cache = table, {}
 
     def lengths(self, missing: list[str]) -> None:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
         for lo in range(0, len(missing), 4096):
             part = missing[lo : lo + 4096]
             self.cache.update(zip(part, map(len, self.encode(part, add_special_tokens=False)), strict=True))
@@ -71,6 +71,8 @@ class Counter:
                     known = filter(None, known)
                 n += sum(known)
             out.append(n)
+        if len(self.cache) + len(missing) > CACHE:
+            self.cache.clear()
         self.lengths([x for x in missing if x not in self.cache])
         for i, rest in pending:
             out[i] += sum(self.cache[x] * k for x, k in rest.items())
@@ -80,20 +82,11 @@ class Counter:
 
 
 def frequent(df: DataFrame, text: str, description: str) -> dict[str, int]:
-    """Lengths of at most TABLE pre-tokens, the most frequent ones of at most TEXTS texts."""
-    split = regex.compile(SPLIT).findall
-
-    def count(batches):
-        seen = collections.Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(x for x in split(t or "") if len(x) <= LONG)
-        top = seen.most_common(TABLE)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["x", "n"])
-
-    some = df.select(F.col(text).alias("t")).limit(TEXTS).repartition(1).mapInArrow(count, "x string, n long").collect()
-    counter = Counter(description, {})
-    top = [r.x for r in some]
+    """Lengths of at most TABLE pre-tokens, the most frequent ones of the first TEXTS texts of moderate length."""
+    split, seen = regex.compile(SPLIT).findall, collections.Counter()
+    for r in df.select(F.col(text).alias("t")).where(F.length("t") <= MODERATE).limit(TEXTS).collect():
+        seen.update(x for x in split(r.t) if len(x) <= LONG)
+    counter, top = Counter(description, {}), [x for x, _ in seen.most_common(TABLE)]
     counter.lengths(top)
     return {x: counter.cache[x] for x in top}
 
