@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import language, lattice, mixing, quality, rules, simhash, sql, tokens
+from evenkeel.llm import language, lattice, mixing, neighbours, pieces, quality, rules, sharding, simhash, sql, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": rules.op1,
+        "op2_sentencepiece": pieces.op2,
         "op3_quality_classifier": quality.op3,
         "op4_lattice_lm": lattice.op4,
         "op5_language_id": language.op5,
         "op6_token_counts": tokens.op6,
         "op7_mix_sources": mixing.op7,
+        "op8_nearest_neighbours": neighbours.op8,
         "op9_simhash": simhash.op9,
+        "op10_shards": sharding.op10,
     }
 
 
