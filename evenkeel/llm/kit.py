@@ -37,11 +37,17 @@ def held_out(doc_id: Column, n: int, rest: int) -> Column:
     return F.coalesce(fold(doc_id, n) == rest, F.lit(True))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that the cluster shares, so that lost executors cost no recomputation."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's, or a new one where none is set."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evenkeel-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
