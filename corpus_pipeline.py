@@ -1,5 +1,68 @@
-"""The corpus pipeline: each stage works on all that its predecessor kept."""
-STAGES = []
+"""The corpus pipeline: rules, classifier, near copies, mixing and encoding, each over all that its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evenkeel.llm import kit, mixing, pieces, quality, rules, simhash
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass every rule."""
+    return rules.keep(docs)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among all of them, scores at 0.5 or more."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(quality.learnable(kit.documents(spark, sf_dir), labels))
+    kept = quality.scored(docs, model, score="__quality").where(F.col("__quality") >= 0.5)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies (five words, 0.8)."""
+    return simhash.distinct_texts(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source's documents, repeated to its target."""
+    return mixing.mix(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text."""
+    import public_tokenizers
+
+    out = pieces.encoded(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_ids"), "ids")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("quality classifier", quality_classifier),
+    ("near copies", near_copies),
+    ("mixing", mixed),
+    ("encoding", encoded),
+]
+
+#: Stages 2, 3 and 5 can't be expressed in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage keeps is written to the shared folder and read again."""
+    docs = kit.documents(spark, sf_dir)
+    for at, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            path = f"{kit.shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
