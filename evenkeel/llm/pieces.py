@@ -32,9 +32,9 @@ from evenkeel.llm import kit, text as texts_
 
 MARK = "▁"
 #: Encoded words in a worker's cache; words over LONG characters are not kept.
-CACHE, LONG = 600_000, 48
+CACHE, LONG = 500_000, 48
 #: Characters of text whose distinct words are sorted together.
-PIECE = 1 << 22
+PIECE = 1 << 21
 #: What a character without a piece costs a unigram model, below the lowest score.
 UNKNOWN = 10.0
 
@@ -103,7 +103,7 @@ class Encoder:
 
     def encode_words(self, words: list[str]) -> None:
         """Puts the ids of distinct words, as 32-bit numbers, into the cache."""
-        get, fits, follows, longest, scores = self.id.get, self.fits, self.follows, self.longest, self.model.scores
+        get, fits, follows, longest, scores, merges = self.id.get, self.fits, self.follows, self.longest, self.model.scores, self.model.merges
         last, begin, best = [-1], [0], [0.0]  # by prefix length: last piece, where it begins, the unigram score
         before = ""
         for word in sorted(words):
@@ -115,8 +115,8 @@ class Encoder:
             before = word
             for j in range(k + 1, n + 1):
                 low = j - longest if j > longest else 0
-                if self.model.merges:
-                    for i in range(low, j):
+                if merges:
+                    for i in range(j - 1, low - 1, -1):
                         b = get(word[i:j])
                         if b is not None:
                             a = last[i]
@@ -177,28 +177,32 @@ class Decoder:
         return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
-def encoded(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with the texts' ids in a last column; model: the model file's path on the driver."""
+def encoded(df: DataFrame, model: str, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
+    """df with the texts' ids in a column after its own; model: the model file's path on the driver.
+
+    check: the name of one more column, whether the ids decode to the text (for null: to nothing), from the same pass.
+    """
     name, held = f"pieces {uuid.uuid4()}", df.sparkSession.sparkContext.broadcast(astuple(Model.load(model)))
 
     def run(batches):
-        encoder = kit.kept_in_worker(name, lambda: Encoder(Model(*held.value)))
+        encoder, decoder = kit.kept_in_worker(name, lambda: (Encoder(Model(*held.value)), Decoder(Model(*held.value))))
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            got = []
-            for lo, hi in texts_.runs([len(t or "") for t in texts], PIECE):
-                got += encoder.encode(texts[lo:hi])
-                if lo or hi < len(texts):
-                    part = b.slice(lo, hi - lo)
-                else:
-                    part = b
+            for lo, hi in texts_.runs(pa.compute.binary_length(b.column(b.num_columns - 1)).fill_null(0).to_pylist(), PIECE):
+                part = b.slice(lo, hi - lo)
+                texts = part.column(part.num_columns - 1).to_pylist()
+                got = encoder.encode(texts)
                 ends = np.cumsum([0] + [len(x) // 4 for x in got], dtype=np.int32)
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), np.int32)))
-                got = []
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], column], [*part.schema.names[:-1], ids])
+                flat = np.frombuffer(b"".join(got), np.int32)
+                del got
+                more = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if check:
+                    more.append(pa.array([decoder.decode(flat[s:e].tolist()) == (t or "") for t, s, e in zip(texts, ends, ends[1:], strict=False)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *more], [*part.schema.names[:-1], ids, *[check] * bool(check)])
+
+    import pyarrow.compute  # noqa: F401
 
-    out = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return df.withColumn("__whole_text", F.col(f"`{text}`")).mapInArrow(run, out)
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(check, T.BooleanType())] * bool(check)
+    return df.withColumn("__whole_text", F.col(f"`{text}`")).mapInArrow(run, T.StructType([*df.schema.fields, *added]))
 
 
 def decoded(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -210,7 +214,9 @@ def decoded(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
         for b in batches:
             for lo in range(0, len(b), 64):
                 part = b.slice(lo, 64)
-                x = [None if v is None else decode(v) for v in part.column(part.num_columns - 1).to_pylist()]
+                v = part.column(part.num_columns - 1)
+                flat, ends, none = v.values.to_numpy(zero_copy_only=False), v.offsets.to_numpy(), v.is_null().to_pylist()
+                x = [None if no else decode(flat[s:e].tolist()) for no, s, e in zip(none, ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(x, pa.string())], [*part.schema.names[:-1], text])
 
     out = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())])
@@ -222,5 +228,5 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    out = decoded(encoded(kit.documents(spark, sf_dir).select("doc_id", "text"), model), model)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    out = encoded(kit.documents(spark, sf_dir).select("doc_id", "text"), model, check="round_trip")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
