@@ -201,7 +201,9 @@ def encoded(df: DataFrame, model: str, text: str = "text", ids: str = "ids", che
 
     import pyarrow.compute  # noqa: F401
 
-    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(check, T.BooleanType())] * bool(check)
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    if check:
+        added.append(T.StructField(check, T.BooleanType()))
     return df.withColumn("__whole_text", F.col(f"`{text}`")).mapInArrow(run, T.StructType([*df.schema.fields, *added]))
 
 
