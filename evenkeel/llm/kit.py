@@ -17,6 +17,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of df has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def whole(df: DataFrame) -> DataFrame:
+    """df's rows as one column, `__row`, so that no name that is added to them can clash with theirs."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
+
+
+def of_row(name: str) -> Column:
+    return F.col("__row")[name]
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; none for null, empty or white texts."""
     bare = F.trim(text, F.lit(WHITE))

@@ -74,8 +74,8 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
 def mix(df: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """df with each row repeated as its plan says; rows that share an id count as often as each of them."""
     p = plan(df, id_col, **how).groupBy("__id").agg(F.max("__copies").alias("__copies"))
-    out = df.join(p, F.col(id_col).eqNullSafe(F.col("__id")))
-    return out.where("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    out = kit.whole(df).join(p.where("__copies > 0"), kit.of_row(id_col).eqNullSafe(F.col("__id")))
+    return out.select("__row", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select("__row.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

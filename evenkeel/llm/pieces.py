@@ -204,7 +204,7 @@ def encoded(df: DataFrame, model: str, text: str = "text", ids: str = "ids", che
     added = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
     if check:
         added.append(T.StructField(check, T.BooleanType()))
-    return df.withColumn("__whole_text", F.col(f"`{text}`")).mapInArrow(run, T.StructType([*df.schema.fields, *added]))
+    return df.withColumn(kit.fresh(df, "__whole_text"), F.col(f"`{text}`")).mapInArrow(run, T.StructType([*df.schema.fields, *added]))
 
 
 def decoded(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -222,7 +222,7 @@ def decoded(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(x, pa.string())], [*part.schema.names[:-1], text])
 
     out = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())])
-    return df.withColumn("__ids", F.col(f"`{ids}`")).mapInArrow(run, out)
+    return df.withColumn(kit.fresh(df, "__ids"), F.col(f"`{ids}`")).mapInArrow(run, out)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def scored(df: DataFrame, model: dict, text: str = "text", score: str = "score")
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], [*b.schema.names[:-1], score])
 
     out = T.StructType([*df.schema.fields, T.StructField(score, T.DoubleType())])
-    return df.withColumn("__whole_text", F.col(f"`{text}`").cast("binary")).mapInArrow(run, out)
+    return df.withColumn(kit.fresh(df, "__whole_text"), F.col(f"`{text}`").cast("binary")).mapInArrow(run, out)
 
 
 def learnable(docs: DataFrame, labels: DataFrame, n: int = 3, rest: int = 1) -> DataFrame:

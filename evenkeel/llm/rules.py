@@ -73,9 +73,9 @@ def repeated_words(w: Column) -> Column:
     return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(repeats(h))).cast("long")
 
 
-def measured(df: DataFrame, text: str = "text") -> DataFrame:
+def measured(df: DataFrame, text: str | Column = "text") -> DataFrame:
     """df with `__words` and a struct `__m` of the counts."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     stop = sorted({x for s in STOP_WORDS.values() for x in s.split()})
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(x, F.lit(kit.WHITE))) > 0)
     df = df.withColumn("__words", kit.words(t)).withColumn("__lines", lines)
@@ -120,7 +120,7 @@ def failed(rules) -> Column:
     return out
 
 
-def judged(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+def judged(df: DataFrame, text: str | Column = "text", rules=RULES) -> DataFrame:
     """df with `__m`, `__base_failed` and `__kept`."""
     base = [r for r in rules if r.name in BASE]
     return measured(df, text).withColumn("__base_failed", failed(base)).withColumn("__kept", ~failed(rules)).drop("__words", "__lines")
@@ -128,7 +128,7 @@ def judged(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
 def keep(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of df that pass every rule, with df's own columns."""
-    return judged(df, text, rules).where("__kept").select(*[F.col(f"`{c}`") for c in df.columns])
+    return judged(kit.whole(df), kit.of_row(text), rules).where("__kept").select("__row.*")
 
 
 def op1(spark, sf_dir):

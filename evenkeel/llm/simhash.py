@@ -296,4 +296,4 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 def distinct_texts(df: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of df without those of which a near copy has a smaller id."""
     drop = near_copies(df, id_col, **how).where("__id > __component").select("__id").distinct()
-    return df.join(drop, F.col(id_col) == F.col("__id"), "left_anti")
+    return kit.whole(df).join(drop, kit.of_row(id_col) == F.col("__id"), "left_anti").select("__row.*")
