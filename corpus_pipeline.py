@@ -22,7 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the classifier, fitted on the labelled ones among all of them, scores at 0.5 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(quality.learnable(kit.documents(spark, sf_dir), labels))
-    kept = quality.scored(docs, model, score="__quality").where(F.col("__quality") >= 0.5)
+    score = kit.fresh(docs, "__quality")
+    kept = quality.scored(docs, model, score=score).where(F.col(score) >= 0.5)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
