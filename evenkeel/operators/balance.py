@@ -22,6 +22,7 @@ from evenkeel.errors import BalanceError
 from evenkeel.functions import vectors
 from evenkeel.operators import checks, knn, restore, roles, scaling, schema, synthesis, undersampling
 from evenkeel.operators.result import BalanceResult
+from evenkeel.sources import shared
 
 STRATEGIES = ("none", "weight", "adasyn", "nearmiss", "adanear", "adanear_weight")
 
@@ -96,8 +97,15 @@ class Prepared:
         z = vectors.packed(self.features) if self.o.already_scaled else vectors.standardized(self.features, self.scaling.centers, self.scaling.scales)
         return rows.select(F.col(f"`{self.id}`").alias("id"), z.alias("z"))
 
+    def _how(self, sizes) -> dict:
+        o = self.o
+        return {"metric": o.metric, "engine": o.engine, "decimals": o.decimals, "small": o.small, "sizes": sizes, "dim": len(self.features)}
+
     def knn(self, queries, refs, k, sizes, **more) -> DataFrame:
-        return knn.knn(queries, refs, k, metric=self.o.metric, engine=self.o.engine, algorithm=self.o.algorithm, decimals=self.o.decimals, allow_approx=self.o.allow_approx, small=self.o.small, sizes=sizes, **more)
+        return knn.knn(queries, refs, k, algorithm=self.o.algorithm, allow_approx=self.o.allow_approx, **self._how(sizes), **more)
+
+    def lists(self, queries, refs, k, sizes, **more) -> DataFrame:
+        return knn.neighbour_lists(queries, refs, k, **self._how(sizes), **more)
 
     def class_rows(self, label) -> DataFrame:
         return self.df.where(F.col(f"`{self.target}`") == F.lit(label))
@@ -132,11 +140,12 @@ def _generated(p: Prepared, ratio: float, k: int, seed: int) -> tuple[DataFrame,
     minor = p.vectors(p.roles.minority)
     n_min, n = p.roles.n_min, p.facts.rows
     if p.o.allocation == "adaptive":
-        near = p.knn(minor, p.vectors(), min(k, n - 1), (n_min, n), exclude_self=True)
-        counts = synthesis.apportioned(synthesis.difficulty(near, minor), g)
+        near = p.lists(minor, p.vectors(), min(k, n - 1), (n_min, n), exclude_self=True)
+        # read several times to share out g, so the search behind it is run once
+        counts = synthesis.apportioned(shared.checkpointed(synthesis.difficulty(near, minor)), g)
     else:
         counts = synthesis.even(minor, g, n_min)
-    own = p.knn(minor, minor, min(k, n_min - 1), (n_min, n_min), exclude_self=True)
+    own = p.lists(minor, minor, min(k, n_min - 1), (n_min, n_min), exclude_self=True)
     return synthesis.synthetic(minor, own, counts, seed), g
 
 
@@ -216,8 +225,8 @@ def _majority_kept(p: Prepared, ratio: float, k: int, made: DataFrame | None, g:
         # the distance is all that counts, so ids only have to differ; originals come first, as in the result
         tag = lambda n, c: F.concat(F.lit(n), c.cast("string"))
         refs = refs.select(tag("0", F.col("id")).alias("id"), "z").unionByName(made.select(F.concat_ws("|", F.lit("1"), F.col("base_id").cast("string"), F.col("copy").cast("string")).alias("id"), "z"))
-    near = p.knn(queries, refs, min(k, n_min), (n_maj, n_min))
-    return undersampling.kept(undersampling.scored(near, p.o.score), m, p.o.decimals).select("id")
+    near = p.lists(queries, refs, min(k, n_min), (n_maj, n_min))
+    return undersampling.kept(undersampling.scored(near, p.o.score, p.o.metric), m, p.o.decimals).select("id")
 
 
 def _with_majority(p: Prepared, ids: DataFrame | None) -> DataFrame:
@@ -253,6 +262,9 @@ def adanear(df: DataFrame, target: str, adasyn_ratio: float = 0.2, nearmiss_rati
         return _result(p, "adanear", _finished(p, p.df, None), rows_out=p.facts.rows, retained_ids=p.df.select(p.id))
     p = prepared(df, target, o)
     made, g = _generated(p, a, over_k, seed) if a else (None, 0)
+    if made is not None and n:
+        # both neighbours to the majority and rows of the result
+        made = shared.checkpointed(made)
     ids = _majority_kept(p, n, under_k, made, g) if n else None
     m = p.roles.n_maj if ids is None else roles.retention(p.roles.n_min + g, p.roles.n_maj, n, o.least)
     rows = _with_majority(p, ids)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.errors import BalanceError
@@ -117,25 +117,30 @@ def _side(table) -> tuple[list, np.ndarray]:
 
 
 def _matched(qids, q, rids, r, k, exclude, metric, decimals, kinds):
+    """How many neighbours each query has, and all of them as (query_id, neighbor_id, measure), in order."""
     own = None
     if exclude:
         at = {x: i for i, x in enumerate(rids)}
         own = np.array([at.get(x, -1) for x in qids], np.int64)
-    a, b, d = [], [], []
+    a, b, d, n = [], [], [], np.zeros(len(qids), np.int64)
     for qi, ri, key in nearest(q, r, own, k, metric, decimals):
         a += [qids[i] for i in qi.tolist()]
         b += [rids[i] for i in ri.tolist()]
         d.append(key)
-    return pa.table([pa.array(a, kinds[0]), pa.array(b, kinds[1]), pa.array(np.concatenate(d) if d else np.empty(0))], names=["query_id", "neighbor_id", "measure"])
+        n += np.bincount(qi, minlength=len(n))
+    return n, pa.table([pa.array(a, kinds[0]), pa.array(b, kinds[1]), pa.array(np.concatenate(d) if d else np.empty(0))], names=["query_id", "neighbor_id", "measure"])
 
 
-def measured(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude: bool, decimals: int | None, sizes: tuple[int, int], dim: int, small: int = SMALL) -> DataFrame:
-    """(query_id, neighbor_id, measure), at least each query's k nearest; the two frames have `id` and `z`."""
+def lists(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude: bool, decimals: int | None, sizes: tuple[int, int], dim: int, small: int = SMALL) -> DataFrame:
+    """(query_id, near): each query's k nearest as an array of (measure, neighbor_id), nearest first.
+
+    With small references this takes no shuffle at all: each query's list is made where the query is.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = queries.sparkSession
     qk, rk = dict(queries.dtypes)["id"], dict(refs.dtypes)["id"]
     shape = f"query_id {qk}, neighbor_id {rk}, measure double"
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kinds = (to_arrow_type(queries.schema["id"].dataType), to_arrow_type(refs.schema["id"].dataType))
     queries, refs = queries.select("id", "z"), refs.select("id", "z")
     if sizes[1] * dim <= small:
@@ -143,34 +148,42 @@ def measured(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude:
 
         def ask(batches):
             for b in batches:
-                yield from _matched(b.column(0).to_pylist(), _matrix(b.column(1), dim), *held.value, k, exclude, metric, decimals, kinds).to_batches()
+                qids = b.column(0).to_pylist()
+                n, t = _matched(qids, _matrix(b.column(1), dim), *held.value, k, exclude, metric, decimals, kinds)
+                near = pa.StructArray.from_arrays([t.column(i).combine_chunks() for i in (2, 1)], ["measure", "neighbor_id"])
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), near)], ["query_id", "near"])
 
-        return queries.mapInArrow(ask, shape)
+        return queries.mapInArrow(ask, f"query_id {qk}, near array<struct<measure: double, neighbor_id: {rk}>>")
     if sizes[0] * dim <= small:
         held = spark.sparkContext.broadcast(_side(queries.toArrow()))
 
         def offer(batches):
             best = None
             for b in batches:
-                t = _matched(*held.value, *_side(b), k, exclude, metric, decimals, kinds)
+                _, t = _matched(*held.value, *_side(b), k, exclude, metric, decimals, kinds)
                 best = t if best is None else pa.concat_tables([best, t])
                 if len(best) > 4 * k * len(held.value[0]):
                     best = _best(best, k)
             if best is not None:
                 yield from _best(best, k).to_batches()
 
-        return refs.mapInArrow(offer, shape)
-    nq, nr = -(-sizes[0] // BLOCK), -(-sizes[1] // BLOCK)
-    block = lambda n, name: F.pmod(F.xxhash64("id"), F.lit(n)).alias(name)
-    every = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
-    left = queries.select("id", "z", block(nq, "qb")).select("*", every(nr, "rb"))
-    right = refs.select("id", "z", block(nr, "rb")).select("*", every(nq, "qb"))
+        met = refs.mapInArrow(offer, shape)
+    else:
+        nq, nr = -(-sizes[0] // BLOCK), -(-sizes[1] // BLOCK)
+        block = lambda n, name: F.pmod(F.xxhash64("id"), F.lit(n)).alias(name)
+        every = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
+        left = queries.select("id", "z", block(nq, "qb")).select("*", every(nr, "rb"))
+        right = refs.select("id", "z", block(nr, "rb")).select("*", every(nq, "qb"))
 
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        pick = lambda t: t.select(["id", "z"])
-        return _matched(*_side(pick(a)), *_side(pick(b)), k, exclude, metric, decimals, kinds)
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            pick = lambda t: t.select(["id", "z"])
+            return _matched(*_side(pick(a)), *_side(pick(b)), k, exclude, metric, decimals, kinds)[1]
 
-    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, shape)
+        met = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, shape)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("measure", "neighbor_id"))
+    best = met.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("measure", "neighbor_id"))).alias("near"))
 
 
 def _best(t: pa.Table, k: int) -> pa.Table:
@@ -184,34 +197,41 @@ def _best(t: pa.Table, k: int) -> pa.Table:
     return t.take(pa.array(keep, pa.int64()))
 
 
-def knn(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, engine: str = "auto", algorithm: str = "auto", decimals: int | None = None, allow_approx: bool = False, small: int = SMALL, sizes: tuple[int, int] | None = None, returns: str = "both") -> DataFrame:
+def knn(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, engine: str = "auto", algorithm: str = "auto", decimals: int | None = None, allow_approx: bool = False, small: int = SMALL, sizes: tuple[int, int] | None = None, dim: int | None = None, returns: str = "both") -> DataFrame:
     """(query_id, rank, neighbor_id, dist): each query's k nearest references by (distance, id).
 
     queries and refs have a unique `id` and an array `z`. exclude_self leaves out the reference with the query's id;
     fewer than k references give fewer rows. metric "cosine" and "ip" are one less the inner product of the vectors
-    over their norms. `decimals` rounds squared distances (or the measure) before ranking. returns: both, index, dist.
+    over their norms. `decimals` rounds squared distances (or the measure) before ranking. `sizes` and `dim` save
+    the jobs that find them. returns: both, index, dist.
     """
     engine = resolved_engine(engine, metric, allow_approx)
     resolved_algorithm(algorithm, engine)
     if returns not in ("both", "index", "dist"):
         raise BalanceError("returns must be both, index or dist")
+    near = neighbour_lists(queries, refs, k, metric=metric, exclude_self=exclude_self, engine=engine, decimals=decimals, small=small, sizes=sizes, dim=dim)
+    out = near.select("query_id", F.posexplode("near").alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), "x.neighbor_id", distance(F.col("x.measure"), metric).alias("dist"))
+    return {"both": out, "index": out.drop("dist"), "dist": out.drop("neighbor_id")}[returns]
+
+
+def distance(measure: Column, metric: str) -> Column:
+    return F.sqrt(measure) if metric == "euclidean" else measure
+
+
+def neighbour_lists(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, engine: str = "native", decimals: int | None = None, small: int = SMALL, sizes: tuple[int, int] | None = None, dim: int | None = None) -> DataFrame:
+    """As `knn`, a row for each query: (query_id, near), near an array of (measure, neighbor_id), nearest first."""
     if metric != "euclidean":
         queries, refs = (d.withColumn("z", vectors.normalized(F.col("z"))) for d in (queries, refs))
     if engine == "RcppHNSW":
-        out = approximate(queries, refs, k, metric, exclude_self)
-    else:
+        return approximate(queries, refs, k, metric, exclude_self)
+    if dim is None:
         one = refs.select(F.size("z").alias("d")).limit(1).collect()
         dim = one[0].d if one else 1
-        sizes = sizes or (queries.count(), refs.count())
-        got = measured(queries, refs, k, metric, exclude_self, decimals, sizes, dim, small)
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("measure", "neighbor_id"))
-        dist = F.sqrt("measure") if metric == "euclidean" else F.col("measure")
-        out = got.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", dist.alias("dist"))
-    return {"both": out, "index": out.drop("dist"), "dist": out.drop("neighbor_id")}[returns]
+    return lists(queries, refs, k, metric, exclude_self, decimals, sizes or (queries.count(), refs.count()), dim, small)
 
 
 def approximate(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude: bool, bucket: float | None = None, tables: int = 8) -> DataFrame:
-    """As `knn`, among the references that share a bucket of random projections with the query."""
+    """As `neighbour_lists`, among the references that share a bucket of random projections with the query."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -227,8 +247,9 @@ def approximate(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclud
     if exclude:
         met = met.where("query_id <> neighbor_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "neighbor_id"))
-    dist = F.col("d") if metric == "euclidean" else F.col("d") * F.col("d") / 2
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", dist.alias("dist"))
+    measure = F.col("d") * F.col("d") if metric == "euclidean" else F.col("d") * F.col("d") / 2
+    best = met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "neighbor_id", measure.alias("measure"))
+    return best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("measure", "neighbor_id"))).alias("near"))
 
 
 def drop_self(neighbors: DataFrame, k: int) -> DataFrame:

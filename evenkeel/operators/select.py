@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Up to so many rows Spark's own top-k is used, which gathers m rows of each task in one.
-FEW = 100_000
+FEW = 10_000
 BINS = 1024
 
 

@@ -9,13 +9,13 @@ from evenkeel.functions import vectors
 from evenkeel.operators import select
 
 
-def difficulty(neighbors: DataFrame, minor: DataFrame) -> DataFrame:
+def difficulty(lists: DataFrame, minor: DataFrame) -> DataFrame:
     """(id, c, k): how many of each query's k neighbours are of the majority.
 
-    neighbors: (query_id, neighbor_id); minor: the `id` of every minority row, which the queries are among.
+    lists: (query_id, near), see `knn`; minor: the `id` of every minority row, which the queries are among.
     """
     m = minor.select(F.col("id").alias("neighbor_id"), F.lit(1).alias("is_minor"))
-    joined = neighbors.join(m, "neighbor_id", "left")
+    joined = lists.select("query_id", F.explode("near.neighbor_id").alias("neighbor_id")).join(m, "neighbor_id", "left")
     return joined.groupBy(F.col("query_id").alias("id")).agg(F.count_if(F.col("is_minor").isNull()).alias("c"), F.count(F.lit(1)).alias("k"))
 
 
@@ -50,17 +50,17 @@ def even(minor: DataFrame, g: int, n_min: int, few: int = select.FEW) -> DataFra
     return minor.select("id").join(extra, F.col("id") == F.col("x"), "left").select("id", (F.lit(base) + F.coalesce("one", F.lit(0))).cast("long").alias("n"))
 
 
-def synthetic(minor: DataFrame, neighbors: DataFrame, counts: DataFrame, seed: int) -> DataFrame:
+def synthetic(minor: DataFrame, lists: DataFrame, counts: DataFrame, seed: int) -> DataFrame:
     """(base_id, copy, neighbor_id, share, z) of every synthetic row, between a minority row and one of its neighbours.
 
-    minor: (id, z); neighbors: (query_id, rank, neighbor_id) among them; counts: (id, n). Which neighbour and how far
+    minor: (id, z); lists: (query_id, near) among them; counts: (id, n). Which neighbour and how far
     are numbers from the seed, the row's id and the copy's number.
     """
-    listed = neighbors.groupBy(F.col("query_id").alias("q")).agg(F.array_sort(F.collect_list(F.struct("rank", "neighbor_id"))).alias("near"))
+    listed = lists.select(F.col("query_id").alias("q"), F.col("near.neighbor_id").alias("near"))
     wanted = counts.where("n > 0").join(listed, F.col("id") == F.col("q")).join(minor.select(F.col("id").alias("b"), F.col("z").alias("from")), F.col("id") == F.col("b"))
     copies = wanted.select(F.col("id").alias("base_id"), "near", "from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
     k = F.size("near")
     at = F.least(F.floor(vectors.uniform(seed, F.col("base_id"), F.col("copy"), "pick") * k).cast("int"), k - 1)
-    drawn = copies.select("base_id", "copy", "from", F.get("near", at)["neighbor_id"].alias("neighbor_id"), vectors.uniform(seed, F.col("base_id"), F.col("copy"), "share").alias("share"))
+    drawn = copies.select("base_id", "copy", "from", F.get("near", at).alias("neighbor_id"), vectors.uniform(seed, F.col("base_id"), F.col("copy"), "share").alias("share"))
     other = minor.select(F.col("id").alias("o"), F.col("z").alias("to"))
     return drawn.join(other, F.col("neighbor_id") == F.col("o")).select("base_id", "copy", "neighbor_id", "share", vectors.interpolated(F.col("from"), F.col("to"), F.col("share")).alias("z"))

@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.operators import select
+from evenkeel.operators import knn, select
+from evenkeel.sources import shared
 
 
-def scored(neighbors: DataFrame, score: str = "mean") -> DataFrame:
-    """(id, score): the mean distance to a row's neighbours, or the mean squared distance ("mean_sq")."""
-    d = F.col("dist") if score == "mean" else F.col("dist") * F.col("dist")
-    return neighbors.groupBy(F.col("query_id").alias("id")).agg(F.avg(d).alias("score"))
+def scored(lists: DataFrame, score: str = "mean", metric: str = "euclidean") -> DataFrame:
+    """(id, score): the mean distance to the neighbours in a row's list, or the mean squared distance ("mean_sq")."""
+
+    def one(x):
+        d = knn.distance(x["measure"], metric)
+        return d if score == "mean" else x["measure"] if metric == "euclidean" else d * d
+
+    total = F.aggregate("near", F.lit(0.0), lambda s, x: s + one(x))
+    return lists.select(F.col("query_id").alias("id"), (total / F.size("near")).alias("score"))
 
 
 def kept(scores: DataFrame, m: int, decimals: int | None = None, few: int = select.FEW) -> DataFrame:
     """(id, score) of the m rows with the smallest (score, id)."""
     if decimals is not None:
         scores = scores.withColumn("score", F.round("score", decimals))
+    if m > few:
+        # scores are read more than once then, and cost a search
+        scores = shared.checkpointed(scores)
     return select.smallest(scores, m, "score", "id", few)

@@ -106,7 +106,7 @@ def knn_projections(spark, folder):
 
 def _difficulty(p: balance.Prepared) -> DataFrame:
     minor = p.vectors("rare")
-    return synthesis.difficulty(p.knn(minor, p.vectors(), 5, (p.roles.n_min, p.facts.rows), exclude_self=True), minor)
+    return synthesis.difficulty(p.lists(minor, p.vectors(), 5, (p.roles.n_min, p.facts.rows), exclude_self=True), minor)
 
 
 def adasyn_difficulty(spark, folder):
@@ -159,7 +159,7 @@ def nearmiss_ids(spark, folder):
 
 def nearmiss_scores(spark, folder):
     p = _prepared(spark, folder)
-    near = p.knn(p.vectors("common"), p.vectors("rare"), 5, (p.roles.n_maj, p.roles.n_min))
+    near = p.lists(p.vectors("common"), p.vectors("rare"), 5, (p.roles.n_maj, p.roles.n_min))
     return _rounded(undersampling.scored(near), score=6)
 
 
