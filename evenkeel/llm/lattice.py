@@ -213,6 +213,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return part.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
+def most_frequent(words: DataFrame) -> DataFrame:
+    """At most HEAD of the most frequent words: those from a count up that a histogram of counts gives.
+
+    No task gathers the candidates of all others, as it would for a top-k of this size.
+    """
+    n = F.col("n")
+    level = F.when(n < 4096, n).otherwise(4096 + F.floor(F.log2(n / 4096) * 64)).cast("int")
+    bins = {r.b: r.k for r in words.groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    least, total = max(bins, default=0) + 1, 0
+    for b in sorted(bins, reverse=True):
+        total += bins[b]
+        if total > HEAD:
+            break
+        least = b
+    return words.where(level >= least)
+
+
 def learned_pieces(words: DataFrame, names: list[bytes], start: np.ndarray, ends: int) -> np.ndarray:
     """Natural log probabilities of the pieces, and of the end last, after ROUNDS rounds over all words."""
     sc = words.sparkSession.sparkContext
@@ -265,8 +282,8 @@ def scored(df: DataFrame, learn: Column, model: str, doc_id: str = "doc_id", tex
             yield from pa.table([b.column(0), b.column(1), pa.array(base(c)), pa.array(m)], names=["word", "c", "base", "m"]).to_batches(max_chunksize=10_000)
 
     shape = "word binary, c long, base double, m double"
-    # the number of rows is fixed; no more than HEAD of them reach the driver
-    head = words.orderBy(F.desc("n"), "word").limit(HEAD).select("word", "c").mapInArrow(lattice, shape).toArrow()
+    # no more than HEAD rows reach the driver
+    head = most_frequent(words).select("word", "c").mapInArrow(lattice, shape).toArrow()
     index = {w: i for i, w in enumerate(head.column(0).to_pylist())}
     known = [np.append(head.column("c").to_numpy() > 0, False), np.append(head.column("base").to_numpy(), 0.0), np.append(head.column("m").to_numpy(), 0.0)]
     sent = sc.broadcast((index, known))
