@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised
 residuals, asymmetric distance tables, and exact reranking.
 
-Centroids and code books are fitted on at most `SAMPLE` vectors (those with the smallest id hashes; documented bound);
+Centroids and code books are fitted on at most `SAMPLE` vectors (by the ids' hashes; documented bound);
 every vector is indexed. Lists are found in a space with one more dimension, in which the nearest vector is the one
 with the largest inner product. The index is dealt into chunks of about `CHUNK` rows, queries into blocks of about
 `BLOCK`; each chunk meets each block once, so no task holds more than one of each, whatever a list's or a group of
@@ -112,7 +112,9 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
     dim = sizes[0].d
     rows = rows.where(F.size("__v") == dim)
     n, asked, square = rows.agg(F.count(F.lit(1)), F.count_if(is_query(F.col("__id"))), F.max(F.aggregate("__v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    sample = rows.orderBy(F.xxhash64("__id")).limit(SAMPLE).select("__v").toArrow()
+    # by a threshold first, so that no task gathers SAMPLE rows of each other one
+    likely = F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.2 * SAMPLE / n + 64 / n) * (1 << 30)))
+    sample = rows.where(likely).orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)), "__id").limit(SAMPLE).select("__v").toArrow()
     sample = sample.column(0).combine_chunks().flatten().to_numpy().reshape(-1, dim)
     fitted = Index(dim, float(square)).fit(sample)
     # plain arrays, of a size that the parameters fix
