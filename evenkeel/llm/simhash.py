@@ -273,23 +273,27 @@ def link_near(sets: DataFrame, similarity: float, radius: int = NEAR_RADIUS, sha
     """Edges (a, b) between the distinct shingle sets `__set` of at least the similarity, enough to connect them.
 
     A pair at similarity s shares one of the band keys with probability 1 - (1 - s^3)^10: 0.999 at 0.8. Shards over
-    `shard` sets are split once more, by each of the other bands' keys, which near copies share as well.
+    `shard` sets are split by each of the other bands' keys, which near copies share as well; what is still larger is
+    dealt into blocks, and each two blocks make a shard, so that every pair still meets and no task holds more.
     """
-    keys = sets.select("__set", F.explode("__bands").alias("k"))
-    counts = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keys.join(counts, "k").groupBy("__set").agg(F.collect_list(F.struct("k", "n")).alias("met"))
-    routed = sets.join(met, "__set").select("__set", "__fp", "__sketch", "__bands", F.explode("met").alias("x"))
-    finer = F.when(F.col("x.n") > shard, F.transform(F.array_remove(F.col("__bands"), F.col("x.k")), lambda y: F.xxhash64(y, F.col("x.k")))).otherwise(F.array("x.k"))
-    routed = routed.select(F.explode(finer).alias("k"), "__set", "__fp", "__sketch")
+    keys = sets.select("__set", "__bands", F.explode("__bands").alias("k"))
+    shared = lambda d: d.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    finer = F.when(F.col("n") > shard, F.transform(F.array_remove(F.col("__bands"), F.col("k")), lambda y: F.xxhash64(y, F.col("k")))).otherwise(F.array("k"))
+    keys = keys.join(shared(keys), "k").select("__set", F.explode(finer).alias("k"))
+    blocks = F.ceil(F.col("n") / F.lit(float(shard)))
+    own = F.pmod(F.xxhash64("__set"), blocks)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.xxhash64("k", F.least(own, j), F.greatest(own, j)))
+    met = keys.join(shared(keys), "k").select("__set", F.explode(pairs).alias("k")).groupBy("__set").agg(F.collect_set("k").alias("met"))
+    routed = sets.join(met, "__set").select("__set", "__fp", "__sketch", F.explode("met").alias("k")).select("k", "__set", "__fp", "__sketch")
     return routed.repartition("k").sortWithinPartitions("k", "__set").mapInArrow(_near(radius, similarity), "a long, b long")
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, shard: int = SHARD) -> DataFrame:
     """(__id, __component) of every row, over texts whose k-word shingles have at least the similarity."""
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text"))
     kind = dict(rows.dtypes)["__id"]
     profiles = kit.checkpointed(rows.mapInArrow(_profiles(k), f"__id {kind}, __set long, __fp long, __bands array<long>, __sketch binary"))
-    named = grouped(profiles, "__set", lambda d: link_near(d, similarity))
+    named = grouped(profiles, "__set", lambda d: link_near(d, similarity, shard=shard))
     return named.select("__id", "__component")
 
 
