@@ -74,7 +74,7 @@ class Encoder:
         self.id = {x: i for i, (x, ok) in enumerate(zip(model.pieces, model.usable, strict=True)) if ok}
         self.longest = max(map(len, self.id), default=1)
         self.least = min((model.scores[i] for i in self.id.values()), default=0.0) - UNKNOWN
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 
@@ -94,23 +94,23 @@ class Encoder:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether merging leaves pieces a and b apart and each whole; a or b may be -1 for none."""
-        if (got := self.fits.get((a, b))) is None:
+        if (got := self.fits.get(a << 20 | b)) is None:
             want = [self.model.pieces[i] for i in (a, b) if i >= 0]
             if len(self.fits) > 4_000_000:
                 self.fits.clear()
-            got = self.fits[a, b] = self.merged("".join(want)) == want
+            got = self.fits[a << 20 | b] = self.merged("".join(want)) == want
         return got
 
     def encode_words(self, words: list[str]) -> None:
-        """Puts the ids of distinct words, as 32-bit numbers, into the cache."""
+        """Puts the ids of distinct words, as 32-bit numbers, into the cache; a word without a mark stands for a marked one."""
         get, fits, follows, longest, scores, merges = self.id.get, self.fits, self.follows, self.longest, self.model.scores, self.model.merges
         last, begin, best = [-1], [0], [0.0]  # by prefix length: last piece, where it begins, the unigram score
         before = ""
-        for word in sorted(words):
-            n, k = len(word), 0
-            for k in range(min(n, len(before)) + 1):  # noqa: B007
-                if word[k : k + 1] != before[k : k + 1] or k == n:
-                    break
+        for key in sorted(words):
+            word = key if key[:1] == MARK else MARK + key
+            n, k, most = len(word), 0, min(len(word), len(before))
+            while k < most and word[k] == before[k]:
+                k += 1
             del last[k + 1 :], begin[k + 1 :], best[k + 1 :]
             before = word
             for j in range(k + 1, n + 1):
@@ -119,9 +119,8 @@ class Encoder:
                     for i in range(j - 1, low - 1, -1):
                         b = get(word[i:j])
                         if b is not None:
-                            a = last[i]
-                            ok = fits.get((a, b))
-                            if ok or (ok is None and follows(a, b)):
+                            ok = fits.get(last[i] << 20 | b)
+                            if ok or (ok is None and follows(last[i], b)):
                                 break
                     else:
                         b, i = -1, j - 1
@@ -143,21 +142,23 @@ class Encoder:
                     out += [self.model.bytes.get(x, self.model.unknown) for x in reversed(word[j - 1].encode())] if self.model.bytes else [self.model.unknown]
                 j = begin[j]
             out.reverse()
-            self.cache[word] = array("i", out).tobytes()
+            self.cache[key] = array("i", out).tobytes()
 
-    def marked(self, text: str) -> list[str]:
+    def split(self, text: str) -> list[str]:
+        """A text's words, marks included only if some word has more than the one in front."""
         if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
             return self.words(MARK + text.replace(" ", MARK))
-        return [MARK + x for x in text.split(" ")]
+        return text.split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as 32-bit numbers."""
-        split = [self.marked(t) if t else [] for t in texts]
-        words = set().union(*split)
-        new = words - self.cache.keys()
+        split = [self.split(t) if t else [] for t in texts]
+        new: set[str] = set()
+        for w in split:
+            new |= set(w).difference(self.cache)
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
-            new = words
+            new = set().union(*split)
         self.encode_words(list(new))
         get = self.cache.__getitem__
         out = [b"".join(map(get, w)) for w in split]
