@@ -68,11 +68,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def kept_in_worker(name: str, make):
-    """A worker process's own copy of what `make` returns; tasks that reuse the worker share it."""
+    """A worker process's own copy of what `make` returns; tasks that reuse the worker share it.
+
+    The last two names are kept, so that what earlier plans used doesn't fill the worker's memory.
+    """
     held = sys.__dict__.setdefault("_evenkeel_worker", {})
     if name not in held:
-        if len(held) > 8:
-            held.clear()
+        while len(held) > 1:
+            del held[next(iter(held))]
         held[name] = make()
     return held[name]
 

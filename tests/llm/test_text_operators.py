@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
-from conftest import ODD
+from odd_texts import ODD
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -213,7 +213,7 @@ def test_token_counts_are_the_librarys(spark, odd, monkeypatch, cache):
     monkeypatch.setattr(tokens, "CACHE", cache)
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(odd.select(F.col("doc_id") + 10_000_000, "text"))
+    df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text"))
     got = {r.doc_id: r for r in tokens.counted(df, path).collect()}
     for r in df.collect():
         assert got[r.doc_id].n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids) or r.doc_id is None
@@ -257,11 +257,12 @@ def test_shards_hold_groups_and_counts(spark):
     assert len(by) == 7 and max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
     texts = {r.doc_id: (r.text or "").encode() for r in docs.unionByName(more).collect()}
     assert all(r["__crc"] == zlib.crc32(texts[r["__id"]]) and r["__size"] == len(texts[r["__id"]]) + 16 for r in rows)
-    spread = collections.defaultdict(set)
+    spread = collections.defaultdict(collections.Counter)
     for r in rows:
-        spread[r["__key"]].add(r["__shard"])
-    largest = max(spread.values(), key=len)
-    assert len(largest) <= 6 and sum(len(v) > 1 for v in spread.values()) <= 2
+        spread[r["__key"]][r["__shard"]] += 1
+    largest = max(spread.values(), key=lambda v: sum(v.values()))
+    # five shards can hold the large group; the others lie in one shard each, but for a few that were evened out
+    assert sum(n for _, n in largest.most_common(5)) >= 0.85 * 300 and sum(len(v) > 1 for v in spread.values()) <= 3
 
 
 def test_ranks_without_gaps(spark):
