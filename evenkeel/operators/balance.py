@@ -158,8 +158,7 @@ def _typed(p: Prepared, made: DataFrame) -> DataFrame:
             out.append(F.lit(p.roles.minority).cast(kinds[c]).alias(c))
         elif c in p.features:
             i = p.features.index(c)
-            z = F.get("z", F.lit(i))
-            value = vectors.reverted(F.col("z"), i, p.scaling.centers[i], p.scaling.scales[i]) if p.o.original_scale else z
+            value = vectors.reverted("z", i, p.scaling.centers[i], p.scaling.scales[i]) if p.o.original_scale else F.get("z", F.lit(i))
             typed = p.o.restore_types and p.o.original_scale
             out.append((restore.restored(value, kinds[c], p.facts.low[i], p.facts.high[i]) if typed else value).alias(c))
         else:

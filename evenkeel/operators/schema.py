@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.errors import BalanceError
+from evenkeel.functions import vectors
 
 RESERVED = "TARGET"
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -66,32 +68,39 @@ class Facts:
 
 
 def facts(df: DataFrame, target: str, features: list[str], checked: bool = True) -> Facts:
-    """Counts by class and statistics over all rows, by one grouping with totals; raises on unusable rows."""
-    t = F.col(f"`{target}`")
-    x = {c: F.col(f"`{c}`").cast("double") for c in features}
-    bad: Column = F.lit(0)
-    for c in features:
-        bad = bad + F.coalesce((F.isnan(x[c]) | (F.abs(x[c]) == float("inf"))).cast("int"), F.lit(1))
-    by = []
-    for i, c in enumerate(features):
-        by += [F.avg(x[c]).alias(f"m{i}"), F.stddev_samp(x[c]).alias(f"s{i}"), F.stddev_pop(x[c]).alias(f"p{i}"), F.min(f"`{c}`").alias(f"l{i}"), F.max(f"`{c}`").alias(f"h{i}")]
-    rows = df.select(t.alias("__t"), *features).rollup("__t").agg(F.grouping("__t").alias("total"), F.count(F.lit(1)).alias("n"), F.sum(bad).alias("bad"), *by).limit(5).collect()
-    whole = next((r for r in rows if r.total), None)
-    if whole is None or not whole.n:
+    """Counts by class and statistics over all rows, by one grouping over packed features; raises on unusable rows.
+
+    The statistics are merged on the driver from those of the classes, of which there are two; so the plan's size
+    doesn't grow with the number of features.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    x = vectors.packed(features)
+    rows = df.select(F.col(f"`{target}`").alias("t"), x.alias("x"))
+    bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    filled = array_to_vector(F.transform("x", lambda v: F.coalesce(v, F.lit(0.0))))
+    summary = Summarizer.metrics("mean", "variance", "min", "max").summary(filled)
+    by = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"), summary.alias("s")).limit(4).collect()
+    counts = {r.t: r.n for r in by}
+    if not counts:
         raise BalanceError("the table has no rows")
-    counts = {r["__t"]: r.n for r in rows if not r.total}
     if checked:
         if None in counts:
             raise BalanceError("the target has nulls")
-        if whole.bad:
+        if any(r.bad for r in by):
             raise BalanceError("features must not have nulls, NaN or infinite values")
         if len(counts) != 2:
             raise BalanceError(f"the target must have exactly two classes, not {'over two' if len(counts) > 2 else len(counts)}")
         if min(counts.values()) < 2:
             raise BalanceError("each class, and so the minority, must have at least two rows")
-    n = range(len(features))
-    take = lambda k: [whole[f"{k}{i}"] for i in n]
-    return Facts(counts, whole.n, take("m"), take("s"), take("p"), take("l"), take("h"))
+    n = np.array([r.n for r in by], float)[:, None]
+    means, variances, low, high = (np.array([r.s[k].toArray() for r in by]) for k in ("mean", "variance", "min", "max"))
+    rows_, mean = int(n.sum()), (n * means).sum(0) / n.sum()
+    square = ((n - 1) * variances + n * (means - mean) ** 2).sum(0)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    ranged = lambda v: [int(e) if isinstance(kinds[c], WHOLE) else float(e) for c, e in zip(features, v, strict=True)]
+    return Facts(counts, rows_, mean.tolist(), np.sqrt(square / max(1, rows_ - 1)).tolist(), np.sqrt(square / rows_).tolist(), ranged(low.min(0)), ranged(high.max(0)))
 
 
 def check_ids(df: DataFrame, id_col: str) -> None:
