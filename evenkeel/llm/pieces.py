@@ -178,19 +178,21 @@ class Decoder:
         return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
-def encoded(df: DataFrame, model: str, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
-    """df with the texts' ids in a column after its own; model: the model file's path on the driver.
+def encoded(df: DataFrame, model: str, text: str = "text", ids: str = "ids", check: str | None = None, keep_text: bool = True) -> DataFrame:
+    """df, with its text column or without, and the texts' ids after; model: the model file's path on the driver.
 
     check: the name of one more column, whether the ids decode to the text (for null: to nothing), from the same pass.
     """
     name, held = f"pieces {uuid.uuid4()}", df.sparkSession.sparkContext.broadcast(astuple(Model.load(model)))
+    at = df.columns.index(text)
+    kept = [i for i in range(len(df.columns)) if keep_text or i != at]
 
     def run(batches):
         encoder, decoder = kit.kept_in_worker(name, lambda: (Encoder(Model(*held.value)), Decoder(Model(*held.value))))
         for b in batches:
-            for lo, hi in texts_.runs(pa.compute.binary_length(b.column(b.num_columns - 1)).fill_null(0).to_pylist(), PIECE):
+            for lo, hi in texts_.runs(pa.compute.binary_length(b.column(at)).fill_null(0).to_pylist(), PIECE):
                 part = b.slice(lo, hi - lo)
-                texts = part.column(part.num_columns - 1).to_pylist()
+                texts = part.column(at).to_pylist()
                 got = encoder.encode(texts)
                 ends = np.cumsum([0] + [len(x) // 4 for x in got], dtype=np.int32)
                 flat = np.frombuffer(b"".join(got), np.int32)
@@ -198,14 +200,14 @@ def encoded(df: DataFrame, model: str, text: str = "text", ids: str = "ids", che
                 more = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 if check:
                     more.append(pa.array([decoder.decode(flat[s:e].tolist()) == (t or "") for t, s, e in zip(texts, ends, ends[1:], strict=False)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *more], [*part.schema.names[:-1], ids, *[check] * bool(check)])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], *more], [*[part.schema.names[i] for i in kept], ids, *[check] * bool(check)])
 
     import pyarrow.compute  # noqa: F401
 
     added = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
     if check:
         added.append(T.StructField(check, T.BooleanType()))
-    return df.withColumn(kit.fresh(df, "__whole_text"), F.col(f"`{text}`")).mapInArrow(run, T.StructType([*df.schema.fields, *added]))
+    return df.mapInArrow(run, T.StructType([*[df.schema.fields[i] for i in kept], *added]))
 
 
 def decoded(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -231,5 +233,5 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    out = encoded(kit.documents(spark, sf_dir).select("doc_id", "text"), model, check="round_trip")
+    out = encoded(kit.documents(spark, sf_dir).select("doc_id", "text"), model, check="round_trip", keep_text=False)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")

@@ -79,15 +79,15 @@ def scores(model: dict, texts: list[bytes | None]) -> np.ndarray:
 
 def scored(df: DataFrame, model: dict, text: str = "text", score: str = "score") -> DataFrame:
     """df with a column of scores from 0 to 1 added last."""
-    held = df.sparkSession.sparkContext.broadcast(model)
+    held, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
 
     def run(batches):
         for b in batches:
-            s = scores(held.value, b.column(b.num_columns - 1).cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], [*b.schema.names[:-1], score])
+            s = scores(held.value, b.column(at).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, score])
 
     out = T.StructType([*df.schema.fields, T.StructField(score, T.DoubleType())])
-    return df.withColumn(kit.fresh(df, "__whole_text"), F.col(f"`{text}`").cast("binary")).mapInArrow(run, out)
+    return df.mapInArrow(run, out)
 
 
 def learnable(docs: DataFrame, labels: DataFrame, n: int = 3, rest: int = 1) -> DataFrame:
