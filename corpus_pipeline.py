@@ -41,7 +41,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text."""
     import public_tokenizers
 
-    out = pieces.encoded(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    out = pieces.encoded(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), keep_text=False)
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_ids"), "ids")
 
 
