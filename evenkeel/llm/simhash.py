@@ -191,7 +191,7 @@ SLACK = 0.025
 
 
 def _profiles(k: int):
-    """id, set of shingles (hash of it), SimHash, band keys and the SKETCH smallest shingle hashes of each text."""
+    """id, set of shingles (hash of it), SimHash, band keys and SKETCH smallest hashes of each text's distinct shingles."""
     rng = np.random.default_rng(5)
     odd = rng.integers(1, 1 << 63, BANDS * PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -206,6 +206,8 @@ def _profiles(k: int):
                 part = b.slice(lo, hi - lo)
                 n = len(part)
                 h, o = text.shingles(part.column(1).to_pylist(), k, 42)
+                own = [np.unique(h[o[i] : o[i + 1]]) for i in range(n)]
+                h, o = np.concatenate([h[:0], *own]), np.cumsum([0, *map(len, own)])
                 fp = text.fingerprints(h, o)
                 sets, keys, sketch = np.zeros(n, np.uint64), np.zeros((n, BANDS), np.uint64), []
                 with np.errstate(over="ignore"):
@@ -213,8 +215,7 @@ def _profiles(k: int):
                     if len(some):
                         minima = np.stack([np.minimum.reduceat(mixed(h * a), o[some]) for a in odd])
                         keys[some] = mixed(mixed(minima[0::PER_BAND]) + minima[1::PER_BAND] * np.uint64(3) + minima[2::PER_BAND] * np.uint64(5)).T
-                    for i in range(n):
-                        u = np.unique(h[o[i] : o[i + 1]])
+                    for i, u in enumerate(own):
                         sets[i] = mixed(u).sum(dtype=np.uint64) + np.uint64(len(u))
                         m = (mixed(u) >> np.uint64(32)).astype(np.uint32)
                         sketch.append(np.sort(m[np.argpartition(m, SKETCH - 1)[:SKETCH]] if len(m) > SKETCH else m).tobytes())

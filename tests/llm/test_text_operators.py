@@ -110,6 +110,17 @@ def test_near_copies_of_many_texts(spark, shard):
     assert {r["__id"]: r["__component"] for r in got.collect()} == {i: 0 if i < 30 and i != 1 else 1 if i in (1, 30) else i for i, _ in rows}
 
 
+def test_near_copies_that_differ_in_repeats(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(0, 40, 2):
+        w, line = [[f"w{rng.randrange(10**9)}" for _ in range(n)] for n in (300, 12)]
+        other = [*w[:150], "edited", *w[151:]]
+        rows += [(i, w + line), (i + 1, other + 20 * line)]
+    got = simhash.near_copies(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"))
+    assert {r["__id"]: r["__component"] for r in got.collect()} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_rule_table(spark):
     df = spark.createDataFrame([(1, "the of and to a in is that " * 4 + " ".join(f"w{i} the" for i in range(30))), (2, " ".join(f"w{i}%%%" for i in range(80))), (3, "short")], "id long, text string")
     assert [r.id for r in rules.keep(df).collect()] == [1]
