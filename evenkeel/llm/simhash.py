@@ -186,8 +186,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 BANDS, PER_BAND, SKETCH = 10, 3, 256
 #: At a similarity of 0.8 five-word shingles' fingerprints differ in 9.7 bits on average, at a deviation of 2.9.
 NEAR_RADIUS = 18
-#: For sets larger than the sketch the estimate has a deviation of 0.025 at 0.8; pairs by so much below are let through.
-SLACK = 0.025
+#: For sets larger than the sketch the estimate has a deviation of 0.025 at 0.8; pairs four of them below are let through
+#: to the comparison of whole sets.
+SLACK = 0.1
+#: Shingles of whole sets that are compared in one block; a larger group is dealt into blocks.
+CUT = 1 << 20
+
+
+def _mixed(x):
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def _named(u: np.ndarray) -> int:
+    """The name of a set of distinct shingle hashes."""
+    with np.errstate(over="ignore"):
+        return _mixed(u).sum(dtype=np.uint64) + np.uint64(len(u))
 
 
 def _profiles(k: int):
@@ -195,11 +210,6 @@ def _profiles(k: int):
     rng = np.random.default_rng(5)
     odd = rng.integers(1, 1 << 63, BANDS * PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def mixed(x):
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-        return x ^ (x >> np.uint64(33))
-
     def run(batches):
         for b in batches:
             for lo, hi in text.runs([len(t or b"") for t in b.column(1).to_pylist()], PIECE):
@@ -213,20 +223,102 @@ def _profiles(k: int):
                 with np.errstate(over="ignore"):
                     some = np.flatnonzero(np.diff(o))
                     if len(some):
-                        minima = np.stack([np.minimum.reduceat(mixed(h * a), o[some]) for a in odd])
-                        keys[some] = mixed(mixed(minima[0::PER_BAND]) + minima[1::PER_BAND] * np.uint64(3) + minima[2::PER_BAND] * np.uint64(5)).T
+                        minima = np.stack([np.minimum.reduceat(_mixed(h * a), o[some]) for a in odd])
+                        keys[some] = _mixed(_mixed(minima[0::PER_BAND]) + minima[1::PER_BAND] * np.uint64(3) + minima[2::PER_BAND] * np.uint64(5)).T
                     for i, u in enumerate(own):
-                        sets[i] = mixed(u).sum(dtype=np.uint64) + np.uint64(len(u))
-                        m = (mixed(u) >> np.uint64(32)).astype(np.uint32)
+                        sets[i] = _named(u)
+                        m = (_mixed(u) >> np.uint64(32)).astype(np.uint32)
                         sketch.append(np.sort(m[np.argpartition(m, SKETCH - 1)[:SKETCH]] if len(m) > SKETCH else m).tobytes())
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets.view(np.int64)), pa.array(fp.view(np.int64)), bands, pa.array(sketch, pa.binary())], ["__id", "__set", "__fp", "__bands", "__sketch"])
+                size = pa.array(np.diff(o).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets.view(np.int64)), pa.array(fp.view(np.int64)), bands, pa.array(sketch, pa.binary()), size], ["__id", "__set", "__fp", "__bands", "__sketch", "__size"])
 
     return run
 
 
+def _whole(k: int):
+    """id, set (as in _profiles) and the sorted distinct shingle hashes of each text."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi in text.runs([len(t or b"") for t in b.column(1).to_pylist()], PIECE):
+                part = b.slice(lo, hi - lo)
+                h, o = text.shingles(part.column(1).to_pylist(), k, 42)
+                own = [np.unique(h[s:e]) for s, e in itertools.pairwise(o)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_named(u) for u in own], pa.uint64()).view(pa.int64()), pa.array([u.tobytes() for u in own], pa.binary())], ["__id", "__set", "__shingles"])
+
+    return run
+
+
+def _same(sets: list[int], shingles: list[np.ndarray], similarity: float):
+    """Edges that connect the sets just as all pairs of at least the similarity would, from the whole sets."""
+    n = np.array([len(x) for x in shingles])
+    begin = np.concatenate([[0], np.cumsum(n)])
+    names, flat = np.unique(np.concatenate(shingles), return_inverse=True)
+    group, marked = np.arange(len(sets)), np.zeros(len(names), bool)
+    for i in range(len(sets) - 1):
+        at = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
+        at = at[np.minimum(n[at], n[i]) >= similarity * np.maximum(n[at], n[i])]
+        if not len(at):
+            continue
+        own = flat[begin[i] : begin[i + 1]]
+        marked[own] = True
+        first = np.cumsum(n[at]) - n[at]
+        met = np.add.reduceat(marked[flat[np.repeat(begin[at] - first, n[at]) + np.arange(n[at].sum())]], first, dtype=np.int64)
+        marked[own] = False
+        for j in at[met >= similarity * (n[i] + n[at] - met)].tolist():
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                yield sets[i], sets[j]
+
+
+def _confirmed(similarity: float):
+    """From (key, set, shingles) rows in order of key: edges that span each group's pairs."""
+
+    def run(batches):
+        key, members = None, {}
+
+        def links():
+            return _same(list(members), [np.frombuffer(x, np.uint64) for x in members.values()], similarity)
+
+        for b in batches:
+            out = []
+            for k, s, x in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                if k != key:
+                    if len(members) > 1:
+                        out += links()
+                    key, members = k, {}
+                members[s] = x
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        if len(members) > 1:
+            out = list(links())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def confirm(sets: DataFrame, loose: DataFrame, rows: DataFrame, k: int, similarity: float, cut: int = CUT) -> DataFrame:
+    """Edges (a, b) that connect, within the groups that the loose edges make, all pairs of at least the similarity.
+
+    Whole sets are made again from the texts of one row of each grouped set, and each goes to its group's task once; a
+    group over `cut` shingles is dealt into blocks, and each two blocks make a shard.
+    """
+    root = kit.checkpointed(graph.components(loose))
+    some = root.count()
+    root = root.union(root.select("root", "root").distinct())
+    member = sets.select("__set", "__low", "__size").join(root, F.col("__set") == F.col("node")).select("__set", "__low", "__size", "root")
+    blocks = member.groupBy("root").agg(F.ceil(F.greatest(F.sum("__size"), F.lit(1)) / F.lit(float(cut))).alias("blocks"))
+    own = F.pmod(F.xxhash64("__set"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("root", F.least(own, j), F.greatest(own, j)))
+    member = kit.checkpointed(member.join(blocks, "root").select(F.col("__set").alias("__s"), "__low", F.array_distinct(pairs).alias("met")))
+    texts = rows.mapInArrow(_whole(k), f"__id {dict(rows.dtypes)['__id']}, __set long, __shingles binary")
+    hint = F.broadcast(member) if some <= 100_000 else member
+    met = texts.join(hint, (F.col("__set") == F.col("__s")) & F.col("__id").eqNullSafe(F.col("__low"))).select(F.explode("met").alias("k"), "__set", "__shingles")
+    return met.repartition("k").sortWithinPartitions("k", "__set").mapInArrow(_confirmed(similarity), "a long, b long")
+
+
 def resembles(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sets' Jaccard similarity is high enough, from their smallest hashes, or whole sets if small."""
+    """Whether two sets' Jaccard similarity may be high enough, from their smallest hashes, or whole sets if small."""
     if not len(a) or not len(b):
         return len(a) == len(b)
     both = np.concatenate([a, b])
@@ -271,7 +363,7 @@ def _near(radius: int, similarity: float):
 
 
 def link_near(sets: DataFrame, similarity: float, radius: int = NEAR_RADIUS, shard: int = SHARD) -> DataFrame:
-    """Edges (a, b) between the distinct shingle sets `__set` of at least the similarity, enough to connect them.
+    """Edges (a, b) between the distinct shingle sets `__set` that may have the similarity, enough to connect them.
 
     A pair at similarity s shares one of the band keys with probability 1 - (1 - s^3)^10: 0.999 at 0.8. Shards over
     `shard` sets are split by each of the other bands' keys, which near copies share as well; what is still larger is
@@ -294,12 +386,12 @@ def link_near(sets: DataFrame, similarity: float, radius: int = NEAR_RADIUS, sha
     return routed.repartition("k").sortWithinPartitions("k", "__set").mapInArrow(_near(radius, similarity), "a long, b long")
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, shard: int = SHARD) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, shard: int = SHARD, cut: int = CUT) -> DataFrame:
     """(__id, __component) of every row, over texts whose k-word shingles have at least the similarity."""
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text"))
     kind = dict(rows.dtypes)["__id"]
-    profiles = kit.checkpointed(rows.mapInArrow(_profiles(k), f"__id {kind}, __set long, __fp long, __bands array<long>, __sketch binary"))
-    named = grouped(profiles, "__set", lambda d: link_near(d, similarity, shard=shard))
+    profiles = kit.checkpointed(rows.mapInArrow(_profiles(k), f"__id {kind}, __set long, __fp long, __bands array<long>, __sketch binary, __size long"))
+    named = grouped(profiles, "__set", lambda d: confirm(d, link_near(d, similarity, shard=shard), rows, k, similarity, cut))
     return named.select("__id", "__component")
 
 

@@ -121,6 +121,22 @@ def test_near_copies_that_differ_in_repeats(spark):
     assert {r["__id"]: r["__component"] for r in got.collect()} == {i: i - i % 2 for i, _ in rows}
 
 
+@pytest.mark.parametrize("cut", [simhash.CUT, 2000])
+def test_near_copies_are_of_exactly_the_similarity(spark, cut):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rng, at = random.Random(9), max(texts) + 1
+    for _ in range(40):  # pairs from 0.775 to 0.83, on both sides of the similarity
+        w = [f"w{rng.randrange(10**9)}" for _ in range(500)]
+        more = rng.randint(102, 145)
+        texts[at], texts[at + 1] = " ".join(w), " ".join(w + [f"w{rng.randrange(10**9)}" for _ in range(more)])
+        at += 2
+    sets = {i: frozenset(grams(t, 5)) for i, t in texts.items()}
+    alike = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    got = simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), cut=cut)
+    assert {r["__id"]: r["__component"] for r in got.collect()} == classes(sorted(sets), alike)
+
+
 def test_rule_table(spark):
     df = spark.createDataFrame([(1, "the of and to a in is that " * 4 + " ".join(f"w{i} the" for i in range(30))), (2, " ".join(f"w{i}%%%" for i in range(80))), (3, "short")], "id long, text string")
     assert [r.id for r in rules.keep(df).collect()] == [1]
