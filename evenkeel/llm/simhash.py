@@ -365,22 +365,20 @@ def _near(radius: int, similarity: float):
 def link_near(sets: DataFrame, similarity: float, radius: int = NEAR_RADIUS, shard: int = SHARD) -> DataFrame:
     """Edges (a, b) between the distinct shingle sets `__set` that may have the similarity, enough to connect them.
 
-    A pair at similarity s shares one of the band keys with probability 1 - (1 - s^3)^10: 0.999 at 0.8. Shards over
-    `shard` sets are split by each of the other bands' keys, which near copies share as well; what is still larger is
-    dealt into blocks, and each two blocks make a shard, so that every pair still meets and no task holds more.
+    A pair at similarity s shares one of the band keys with probability 1 - (1 - s^3)^10: 0.999 at 0.8. The members of
+    a key that more than `shard` sets hold are dealt into blocks, and each two blocks make a shard, so that every pair
+    still meets and no task holds more than two blocks.
     """
     keys = sets.select("__set", F.explode("__bands").alias("k"))
     shared = lambda d: d.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = kit.checkpointed(shared(keys))
     met = keys.join(counts.where(F.col("n") <= shard), "k").select("__set", "k")
-    large = counts.where(F.col("n") > shard).select("k")
+    large = counts.where(F.col("n") > shard)
     if not large.isEmpty():
-        wide = sets.select("__set", "__bands", F.explode("__bands").alias("k")).join(large, "k")
-        finer = wide.select("__set", F.explode(F.transform(F.array_remove(F.col("__bands"), F.col("k")), lambda y: F.xxhash64(y, F.col("k")))).alias("k"))
         blocks = F.ceil(F.col("n") / F.lit(float(shard)))
         own = F.pmod(F.xxhash64("__set"), blocks)
         pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.xxhash64("k", F.least(own, j), F.greatest(own, j)))
-        met = met.union(finer.join(shared(finer), "k").select("__set", F.explode(pairs).alias("k")))
+        met = met.union(keys.join(large, "k").select("__set", F.explode(pairs).alias("k")))
     met = met.groupBy("__set").agg(F.collect_set("k").alias("met"))
     routed = sets.join(met, "__set").select("__set", "__fp", "__sketch", F.explode("met").alias("k")).select("k", "__set", "__fp", "__sketch")
     return routed.repartition("k").sortWithinPartitions("k", "__set").mapInArrow(_near(radius, similarity), "a long, b long")

@@ -137,6 +137,15 @@ def test_near_copies_are_of_exactly_the_similarity(spark, cut):
     assert {r["__id"]: r["__component"] for r in got.collect()} == classes(sorted(sets), alike)
 
 
+@pytest.mark.parametrize("shard", [simhash.SHARD, 3])
+def test_sets_meet_by_a_common_key_alone(spark, shard):
+    sketch = lambda i: np.arange(100 * i, 100 * i + 50, dtype=np.uint32).tobytes()
+    rows = [(i, 0, [7, *range(1000 * i, 1000 * i + 9)], bytearray(sketch(i % 10))) for i in range(1, 21)]
+    sets = spark.createDataFrame(rows, "__set long, __fp long, __bands array<long>, __sketch binary")
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.link_near(sets, 0.8, shard=shard).collect()}
+    assert got == {(i, i + 10) for i in range(1, 11)}
+
+
 def test_rule_table(spark):
     df = spark.createDataFrame([(1, "the of and to a in is that " * 4 + " ".join(f"w{i} the" for i in range(30))), (2, " ".join(f"w{i}%%%" for i in range(80))), (3, "short")], "id long, text string")
     assert [r.id for r in rules.keep(df).collect()] == [1]
