@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.llm import kit, mixing, pieces, quality, rules, simhash
@@ -37,11 +37,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text."""
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str, seen: Observation | str = "encoding") -> DataFrame:
+    """Ids of every text, decoded again in the same pass; `seen` observes the numbers of texts and of those come back."""
     import public_tokenizers
 
-    out = pieces.encoded(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), keep_text=False)
+    out = pieces.encoded(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), check="round_trip", keep_text=False)
+    out = out.observe(seen, F.count(F.lit(1)).alias("texts"), F.count_if("round_trip").alias("round_trips"))
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_ids"), "ids")
 
 
@@ -57,13 +58,12 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, seen: Observation | str = "encoding") -> DataFrame:
     """All stages over documents; what a stage keeps is written to the shared folder and read again."""
     docs = kit.documents(spark, sf_dir)
-    for at, (_, stage) in enumerate(STAGES):
+    for _, stage in STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            path = f"{kit.shared_folder(spark)}/pipeline-{uuid.uuid4()}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+        path = f"{kit.shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir, seen)

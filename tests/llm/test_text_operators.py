@@ -10,6 +10,7 @@ import pytest
 import sentencepiece
 import xxhash
 from odd_texts import ODD
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -95,6 +96,13 @@ def test_pipeline_stages_against_plain_rules(spark):
     assert out and all(r.doc_id in kept and r.ids == model.encode(texts[r.doc_id]) for r in out)
 
 
+def test_pipeline_decodes_what_it_encodes(spark):
+    docs = spark.createDataFrame([(1, "one text\n", "s"), (2, "a mark ▁ of its own", "s"), (3, None, None)], "doc_id long, text string, source string")
+    seen = Observation()
+    assert len(corpus_pipeline.encoded(spark, docs, DATA, seen).collect()) == 3
+    assert seen.get == {"texts": 3, "round_trips": 2}
+
+
 @pytest.mark.parametrize("shard", [simhash.SHARD, 2])
 def test_near_copies_of_many_texts(spark, shard):
     rng = random.Random(5)
