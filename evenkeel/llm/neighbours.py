@@ -9,7 +9,8 @@ copies' size. Of equal vectors in a chunk only the TOP + 1 smallest ids can be i
 before anything is scored.
 
 `PROBE` is the share of lists that a query reads. Vectors without structure have neighbours in most lists, so it is
-high: recall against brute force on them is over 0.95; for clustered vectors a few hundredths do.
+high: recall against brute force on them is over 0.95; for clustered vectors a few hundredths do. Where the probed
+lists hold too few candidates, further ones are read, so that no query gets fewer than `TOP` while there are more.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those
 with a null id or another length than most sampled vectors have. Rows that share an id are not neighbours of each
@@ -19,6 +20,8 @@ columns are read.
 
 from __future__ import annotations
 
+import collections
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -68,12 +71,23 @@ class Index:
         codes = [nearest(rest[:, i * WIDTH : (i + 1) * WIDTH], b) for i, b in enumerate(self.books)]
         return lists.astype(np.int32), np.column_stack(codes).astype(np.uint8)
 
-    def search(self, lists: np.ndarray, codes: np.ndarray, q: np.ndarray, depth: int):
-        """For each query the places of the `depth` rows with the largest estimates in the lists that it probes."""
+    def search(self, lists: np.ndarray, codes: np.ndarray, q: np.ndarray, depth: int, least: int = 0):
+        """For each query the places of the `depth` rows with the largest estimates in the lists that it probes.
+
+        Further lists are probed until they hold `least` rows or none is left.
+        """
         near = q @ self.centroids[:, : self.dim].T
         probes = max(1, int(np.ceil(PROBE * len(self.centroids))))
         probed = np.zeros(near.shape, bool)
         np.put_along_axis(probed, np.argpartition(-near, probes - 1, axis=1)[:, :probes], True, axis=1)
+        size = np.bincount(lists, minlength=len(self.centroids))
+        short = np.flatnonzero((probed * size).sum(axis=1) < least)
+        if len(short):
+            by = np.argsort(-near[short], axis=1, kind="stable")
+            before = np.cumsum(size[by], axis=1) - size[by]
+            more = np.zeros((len(short), len(size)), bool)
+            np.put_along_axis(more, by, before < least, axis=1)
+            probed[short] |= more
         tables = [q[:, i * WIDTH : (i + 1) * WIDTH] @ b.T for i, b in enumerate(self.books)]
         order = np.argsort(lists, kind="stable")
         present, starts = np.unique(lists[order], return_index=True)
@@ -146,7 +160,8 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
         lists = left.column("__list").to_numpy()[first]
         q = np.frombuffer(b"".join(right.column("__vector").to_pylist()), np.float64).reshape(-1, dim)
         asks, groups, out = right.column("__id").to_pylist(), list(copies.values()), []
-        for i, found in Index(*held.value).search(lists, codes, q, RERANK):
+        least = top + max(collections.Counter(ids).values())  # a query's own rows are no candidates
+        for i, found in Index(*held.value).search(lists, codes, q, RERANK, least):
             exact = (x[found] * q[i]).sum(axis=1)
             took = []
             for k in np.argsort(-exact, kind="stable"):

@@ -138,3 +138,11 @@ def test_neighbours_of_odd_vectors(spark, folder):
     assert neighbours.op8(spark, folder(embeddings=df.limit(0))).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (5, [2.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r["rank"], r.score) for r in neighbours.op8(spark, folder(embeddings=few)).collect()] == [(5, 1, 2.0)]
+
+
+def test_neighbours_of_small_tables(spark):
+    rng = np.random.default_rng(4)
+    for n in (3, 8, 15, 21, 22, 30):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 16)))], "vec_id long, embedding array<double>")
+        got = neighbours.search(df, lambda i: i >= 0).groupBy("query_id").count().collect()
+        assert len(got) == n and {r["count"] for r in got} == {min(20, n - 1)}
