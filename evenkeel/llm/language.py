@@ -2,8 +2,9 @@
 
 Families are groups of languages with like n-gram profiles, found from the learned languages themselves. Families, and
 the languages of one family, are told apart by one-versus-one linear support vector machines over square roots of
-byte n-gram shares. Fitted on about `SAMPLE` rows of each language (by the ids' hashes; documented bound); every whole
-text is scored in one pass without a shuffle.
+byte n-gram shares. Fitted on about `SAMPLE` rows of each language (by the ids' hashes; documented bound), however many
+languages there are: the driver holds 32 KB a row, some 16 MB a language. Every whole text is scored in one pass without
+a shuffle.
 
 Defined results: texts that are null or have no letter are `und` with score 0, and so is every text if there is
 nothing to learn from. A null id is not learned from. Repeated rows are scored alike, an empty table gives an empty
@@ -41,14 +42,18 @@ def _profiles(batches):
 def families(centres: dict[str, np.ndarray], n: int) -> list[list[str]]:
     """The languages in n groups; the two groups with the most alike mean profiles are joined until n are left."""
     groups = [[k] for k in sorted(centres)]
-
-    def alike(pair):
-        a, b = (np.mean([centres[k] for k in g], axis=0) for g in pair)
-        return a @ b / (np.linalg.norm(a) * np.linalg.norm(b))
-
+    means = np.array([centres[k] for k in sorted(centres)], np.float64)
+    units = means / np.linalg.norm(means, axis=1, keepdims=True)
+    alike = np.tril(np.full((len(groups), len(groups)), -np.inf)) + units @ units.T
     while len(groups) > n:
-        a, b = max(itertools.combinations(groups, 2), key=alike)
-        groups = sorted([g for g in groups if g not in (a, b)] + [sorted(a + b)])
+        i, j = divmod(int(alike.argmax()), len(groups))
+        groups[i] = sorted(groups[i] + groups.pop(j))
+        mean = np.mean([centres[k] for k in groups[i]], axis=0, dtype=np.float64)
+        units = np.delete(units, j, axis=0)
+        units[i] = mean / np.linalg.norm(mean)
+        alike = np.delete(np.delete(alike, j, axis=0), j, axis=1)
+        near = units @ units[i]
+        alike[i, i + 1 :], alike[:i, i] = near[i + 1 :], near[:i]
     return groups
 
 
@@ -66,7 +71,7 @@ def _versus(x: np.ndarray, y: np.ndarray, classes: list) -> list[tuple]:
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
     """The model, from rows all of which may be learned from."""
     rows = df.where(F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    got = svm.sampled(rows, lang, F.col(doc_id), SAMPLE).select(F.col(text).alias("t"), F.col(lang).alias("lang")).mapInArrow(_profiles, "x binary, lang string").collect()
+    got = svm.sampled(rows, lang, F.col(doc_id), SAMPLE, most=None).select(F.col(text).alias("t"), F.col(lang).alias("lang")).mapInArrow(_profiles, "x binary, lang string").collect()
     if not got:
         return {"families": []}
     x, y = np.stack([np.frombuffer(r.x, np.float32) for r in got]), np.array([r.lang for r in got])

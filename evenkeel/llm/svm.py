@@ -67,9 +67,10 @@ def calibrated(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def sampled(df: DataFrame, label: str, doc_id: Column, cap: int, most: int = 256) -> DataFrame:
-    """About `cap` rows of each of the `most` most frequent non-null labels, by the ids' hashes; all, if fewer."""
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most).collect()
+def sampled(df: DataFrame, label: str, doc_id: Column, cap: int, most: int | None = 256) -> DataFrame:
+    """About `cap` rows of each of the `most` most frequent non-null labels (of all for None), by the ids' hashes; all, if fewer."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label)
+    counts = (counts if most is None else counts.limit(most)).collect()
     if not counts:
         return df.limit(0)
     share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, cap / r[1]))])

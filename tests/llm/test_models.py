@@ -146,3 +146,8 @@ def test_neighbours_of_small_tables(spark):
         df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 16)))], "vec_id long, embedding array<double>")
         got = neighbours.search(df, lambda i: i >= 0).groupBy("query_id").count().collect()
         assert len(got) == n and {r["count"] for r in got} == {min(20, n - 1)}
+
+
+def test_more_languages_than_a_bound(spark):
+    df = spark.createDataFrame([(i, f"l{i:03}") for i in range(300)], "doc_id long, lang string")
+    assert svm.sampled(df, "lang", F.col("doc_id"), 500, most=None).select("lang").distinct().count() == 300
