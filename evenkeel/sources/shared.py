@@ -6,12 +6,17 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evenkeel.errors import BalanceError
+
 
 def folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder (spark.checkpoint.dir), or a new one where none is set, as in tests."""
+    """The session's checkpoint folder (spark.checkpoint.dir); where none is set, a new one, in local mode only."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evenkeel-checkpoint-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if path is None and not sc._jsc.sc().isLocal():
+            raise BalanceError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="evenkeel-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
