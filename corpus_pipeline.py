@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.llm import kit, mixing, pieces, quality, rules, simhash
+from evenkeel.sources import shared
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +64,7 @@ def run(spark: SparkSession, sf_dir: str, seen: Observation | str = "encoding")
     docs = kit.documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
-        path = f"{kit.shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+        path = f"{shared.folder(spark)}/pipeline-{uuid.uuid4()}"
         docs.write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir, seen)
