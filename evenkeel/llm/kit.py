@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import sys
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evenkeel.sources.shared import checkpointed, folder  # noqa: F401
+
 #: ASCII white space 0x20 and 0x09-0x0D, which parts words; `bytes.split()` parts at exactly these.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RUN = r"[\x20\x09-\x0D]+"
@@ -53,33 +56,47 @@ def held_out(doc_id: Column, n: int, rest: int) -> Column:
     return F.coalesce(fold(doc_id, n) == rest, F.lit(True))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's, or a new one where none is set."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evenkeel-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that lost executors cost no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def kept_in_worker(name: str, make):
-    """A worker process's own copy of what `make` returns; tasks that reuse the worker share it.
+    """A worker process's own copy of what `make` returns; tasks of plans that name it alike share it.
 
-    The last two names are kept, so that what earlier plans used doesn't fill the worker's memory.
+    Only the last name is kept, so that what earlier plans used doesn't fill the worker's memory.
     """
     held = sys.__dict__.setdefault("_evenkeel_worker", {})
     if name not in held:
-        while len(held) > 1:
-            del held[next(iter(held))]
+        held.clear()
         held[name] = make()
     return held[name]
 
 
+def lean(run, name: str | None = None):
+    """run, for mapInArrow, in a worker that forgets what other names keep before, and gives memory back after."""
+
+    def task(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        held = sys.__dict__.setdefault("_evenkeel_worker", {})
+        for other in [k for k in held if k != name]:
+            del held[other]
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task
+
+
+def digest(*parts) -> str:
+    """A name for what the parts hold, alike in every run."""
+    return hashlib.md5(pickle.dumps(parts)).hexdigest()
+
+
 def gapless(df: DataFrame, within: list[str], order: list[Column], name: str, spread: Column, slices: int = 256) -> DataFrame:
     """A number from 0 for each row of each combination of `within`, without gaps, in `name`.
 

@@ -71,7 +71,7 @@ def _versus(x: np.ndarray, y: np.ndarray, classes: list) -> list[tuple]:
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
     """The model, from rows all of which may be learned from."""
     rows = df.where(F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    got = svm.sampled(rows, lang, F.col(doc_id), SAMPLE, most=None).select(F.col(text).alias("t"), F.col(lang).alias("lang")).mapInArrow(_profiles, "x binary, lang string").collect()
+    got = svm.sampled(rows, lang, F.col(doc_id), SAMPLE, most=None).select(F.col(text).alias("t"), F.col(lang).alias("lang")).mapInArrow(kit.lean(_profiles), "x binary, lang string").collect()
     if not got:
         return {"families": []}
     x, y = np.stack([np.frombuffer(r.x, np.float32) for r in got]), np.array([r.lang for r in got])
@@ -122,7 +122,7 @@ def predicted(df: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double")
+    return rows.mapInArrow(kit.lean(run), f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,7 +209,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    part = docs.select("__text", "__learn").mapInArrow(run, "word binary, c long, n long")
+    part = docs.select("__text", "__learn").mapInArrow(kit.lean(run), "word binary, c long, n long")
     return part.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
@@ -251,7 +251,7 @@ def learned_pieces(words: DataFrame, names: list[bytes], start: np.ndarray, ends
             at = np.flatnonzero(expected)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(expected[at])], ["piece", "n"])
 
-        got = words.where("c > 0").select("word", "c").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        got = words.where("c > 0").select("word", "c").mapInArrow(kit.lean(run), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         if not got:
             break
         expected = np.zeros(len(names))
@@ -283,7 +283,7 @@ def scored(df: DataFrame, learn: Column, model: str, doc_id: str = "doc_id", tex
 
     shape = "word binary, c long, base double, m double"
     # no more than HEAD rows reach the driver
-    head = most_frequent(words).select("word", "c").mapInArrow(lattice, shape).toArrow()
+    head = most_frequent(words).select("word", "c").mapInArrow(kit.lean(lattice), shape).toArrow()
     index = {w: i for i, w in enumerate(head.column(0).to_pylist())}
     known = [np.append(head.column("c").to_numpy() > 0, False), np.append(head.column("base").to_numpy(), 0.0), np.append(head.column("m").to_numpy(), 0.0)]
     sent = sc.broadcast((index, known))
@@ -304,7 +304,7 @@ def scored(df: DataFrame, learn: Column, model: str, doc_id: str = "doc_id", tex
             row += len(out)
 
     kind = dict(docs.dtypes)["__id"]
-    rows = kit.checkpointed(docs.select("__id", "__text").mapInArrow(first, f"__row long, __id {kind}, n_tokens long, n_known long, base_score double, score double, __missing binary"))
+    rows = kit.checkpointed(docs.select("__id", "__text").mapInArrow(kit.lean(first), f"__row long, __id {kind}, n_tokens long, n_known long, base_score double, score double, __missing binary"))
 
     def split(batches):
         for b in batches:
@@ -318,8 +318,8 @@ def scored(df: DataFrame, learn: Column, model: str, doc_id: str = "doc_id", tex
                 where = np.repeat(np.array([r for r, _ in at], np.int64), [k for _, k in at])
                 yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(names, pa.binary()), pa.array(n, pa.int32())], ["__r", "word", "times"])
 
-    rare = rows.where(F.length("__missing") > 0).select("__row", "__missing").mapInArrow(split, "__r long, word binary, times int")
-    scores = words.select("word", "c").mapInArrow(lattice, shape)
+    rare = rows.where(F.length("__missing") > 0).select("__row", "__missing").mapInArrow(kit.lean(split), "__r long, word binary, times int")
+    scores = words.select("word", "c").mapInArrow(kit.lean(lattice), shape)
     extra = rare.join(scores, "word").groupBy("__r").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.col("base")).alias("b"), F.sum(F.col("times") * F.col("m")).alias("s"))
     more = lambda c, x: (F.col(c) + F.coalesce(x, F.lit(0))).alias(c)
     return rows.drop("__missing").join(extra, F.col("__row") == F.col("__r"), "left").select("__id", "n_tokens", more("n_known", F.col("k")), F.lit(total).cast("long").alias("train_tokens"), more("base_score", F.col("b")), more("score", F.col("s")))

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evenkeel.llm import kit
+
 SAMPLE, LISTS, CODES, WIDTH = 16_384, 256, 256, 4
 CHUNK, BLOCK = 8192, 2048
 PROBE, RERANK, TOP = 0.75, 400, 20
@@ -172,7 +174,7 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
             out += [(asks[i], v, s) for s, v in took[:top]]
         return pa.table([pa.array([r[c] for r in out], none.schema.field(c).type) for c in range(3)], names=names)
 
-    index = rows.mapInArrow(encode, f"__id {kind}, __list int, __code binary, __vector binary")
+    index = rows.mapInArrow(kit.lean(encode), f"__id {kind}, __list int, __code binary, __vector binary")
     dealt = lambda name, n, seed: F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(n)).cast("int").alias(name)
     every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     left = index.select("*", dealt("chunk", chunks, 1)).select("*", every("block", blocks))

@@ -18,7 +18,6 @@ Repeated rows are encoded alike, an empty table gives an empty table, and only t
 from __future__ import annotations
 
 import re
-import uuid
 from array import array
 from dataclasses import astuple, dataclass
 
@@ -31,8 +30,9 @@ from pyspark.sql import types as T
 from evenkeel.llm import kit, text as texts_
 
 MARK = "▁"
-#: Encoded words in a worker's cache; words over LONG characters are not kept.
-CACHE, LONG = 500_000, 48
+#: Encoded words and answers for pairs of pieces that a worker keeps, some 200 and 120 bytes each; words over LONG
+#: characters are not kept.
+CACHE, PAIRS, LONG = 120_000, 200_000, 48
 #: Characters of text whose distinct words are sorted together.
 PIECE = 1 << 21
 #: What a character without a piece costs a unigram model, below the lowest score.
@@ -96,7 +96,7 @@ class Encoder:
         """Whether merging leaves pieces a and b apart and each whole; a or b may be -1 for none."""
         if (got := self.fits.get(a << 20 | b)) is None:
             want = [self.model.pieces[i] for i in (a, b) if i >= 0]
-            if len(self.fits) > 4_000_000:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
             got = self.fits[a << 20 | b] = self.merged("".join(want)) == want
         return got
@@ -183,7 +183,8 @@ def encoded(df: DataFrame, model: str, text: str = "text", ids: str = "ids", che
 
     check: the name of one more column, whether the ids decode to the text (for null: to nothing), from the same pass.
     """
-    name, held = f"pieces {uuid.uuid4()}", df.sparkSession.sparkContext.broadcast(astuple(Model.load(model)))
+    loaded = astuple(Model.load(model))
+    name, held = f"pieces {kit.digest(loaded)}", df.sparkSession.sparkContext.broadcast(loaded)
     at = df.columns.index(text)
     kept = [i for i in range(len(df.columns)) if keep_text or i != at]
 
@@ -207,12 +208,13 @@ def encoded(df: DataFrame, model: str, text: str = "text", ids: str = "ids", che
     added = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
     if check:
         added.append(T.StructField(check, T.BooleanType()))
-    return df.mapInArrow(run, T.StructType([*[df.schema.fields[i] for i in kept], *added]))
+    return df.mapInArrow(kit.lean(run, name), T.StructType([*[df.schema.fields[i] for i in kept], *added]))
 
 
 def decoded(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text that each row's ids spell in a last column."""
-    name, held = f"spelled {uuid.uuid4()}", df.sparkSession.sparkContext.broadcast(astuple(Model.load(model)))
+    loaded = astuple(Model.load(model))
+    name, held = f"spelled {kit.digest(loaded)}", df.sparkSession.sparkContext.broadcast(loaded)
 
     def run(batches):
         decode = kit.kept_in_worker(name, lambda: Decoder(Model(*held.value))).decode
@@ -225,7 +227,7 @@ def decoded(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(x, pa.string())], [*part.schema.names[:-1], text])
 
     out = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())])
-    return df.withColumn(kit.fresh(df, "__ids"), F.col(f"`{ids}`")).mapInArrow(run, out)
+    return df.withColumn(kit.fresh(df, "__ids"), F.col(f"`{ids}`")).mapInArrow(kit.lean(run, name), out)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ def _indicators(batches):
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label") -> dict:
     """The model, from rows with an id, a text and a label of 0 or 1 (all of which may be learned from)."""
     some = svm.sampled(labelled.where(F.col(doc_id).isNotNull()), label, F.col(doc_id), SAMPLE)
-    got = some.select(F.col(text).cast("binary").alias("t"), F.col(label).cast("int").alias("label")).mapInArrow(_indicators, "ids binary, label int").collect()
+    got = some.select(F.col(text).cast("binary").alias("t"), F.col(label).cast("int").alias("label")).mapInArrow(kit.lean(_indicators), "ids binary, label int").collect()
     y = np.array([1 if r.label else -1 for r in got])
     ids = [np.frombuffer(r.ids, np.int32) for r in got]
     if len(set(y.tolist())) < 2:
@@ -87,7 +87,7 @@ def scored(df: DataFrame, model: dict, text: str = "text", score: str = "score")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, score])
 
     out = T.StructType([*df.schema.fields, T.StructField(score, T.DoubleType())])
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(kit.lean(run), out)
 
 
 def learnable(docs: DataFrame, labels: DataFrame, n: int = 3, rest: int = 1) -> DataFrame:

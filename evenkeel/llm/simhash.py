@@ -96,7 +96,7 @@ def fingerprinted(df: DataFrame, id_col: str, text_col: str, k: int, seed: int =
     import pyarrow.compute  # noqa: F401
 
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text"))
-    return rows.mapInArrow(run, f"__id {dict(rows.dtypes)['__id']}, __fp long")
+    return rows.mapInArrow(kit.lean(run), f"__id {dict(rows.dtypes)['__id']}, __fp long")
 
 
 def block_pairs(radius: int) -> list[int]:
@@ -152,7 +152,7 @@ def link_bits(fps: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFrame:
         hint = F.broadcast(large) if some <= 100_000 else large
         rest = routed.join(hint, ["r", "k"], "left_semi").select("__fp").distinct()
         routed = routed.join(hint, ["r", "k"], "left_anti")
-    edges = routed.repartition(F.col("r"), F.col("k")).sortWithinPartitions("r", "k").mapInArrow(_trees(radius), "a long, b long")
+    edges = routed.repartition(F.col("r"), F.col("k")).sortWithinPartitions("r", "k").mapInArrow(kit.lean(_trees(radius)), "a long, b long")
     if some:
         near = F.array(F.col("__fp"), *[F.col("__fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
         balls = rest.select("__fp", F.explode(near).alias("ball"))
@@ -311,10 +311,10 @@ def confirm(sets: DataFrame, loose: DataFrame, rows: DataFrame, k: int, similari
     own = F.pmod(F.xxhash64("__set"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("root", F.least(own, j), F.greatest(own, j)))
     member = kit.checkpointed(member.join(blocks, "root").select(F.col("__set").alias("__s"), "__low", F.array_distinct(pairs).alias("met")))
-    texts = rows.mapInArrow(_whole(k), f"__id {dict(rows.dtypes)['__id']}, __set long, __shingles binary")
+    texts = rows.mapInArrow(kit.lean(_whole(k)), f"__id {dict(rows.dtypes)['__id']}, __set long, __shingles binary")
     hint = F.broadcast(member) if some <= 100_000 else member
     met = texts.join(hint, (F.col("__set") == F.col("__s")) & F.col("__id").eqNullSafe(F.col("__low"))).select(F.explode("met").alias("k"), "__set", "__shingles")
-    return met.repartition("k").sortWithinPartitions("k", "__set").mapInArrow(_confirmed(similarity), "a long, b long")
+    return met.repartition("k").sortWithinPartitions("k", "__set").mapInArrow(kit.lean(_confirmed(similarity)), "a long, b long")
 
 
 def resembles(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -381,14 +381,14 @@ def link_near(sets: DataFrame, similarity: float, radius: int = NEAR_RADIUS, sha
         met = met.union(keys.join(large, "k").select("__set", F.explode(pairs).alias("k")))
     met = met.groupBy("__set").agg(F.collect_set("k").alias("met"))
     routed = sets.join(met, "__set").select("__set", "__fp", "__sketch", F.explode("met").alias("k")).select("k", "__set", "__fp", "__sketch")
-    return routed.repartition("k").sortWithinPartitions("k", "__set").mapInArrow(_near(radius, similarity), "a long, b long")
+    return routed.repartition("k").sortWithinPartitions("k", "__set").mapInArrow(kit.lean(_near(radius, similarity)), "a long, b long")
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, shard: int = SHARD, cut: int = CUT) -> DataFrame:
     """(__id, __component) of every row, over texts whose k-word shingles have at least the similarity."""
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text"))
     kind = dict(rows.dtypes)["__id"]
-    profiles = kit.checkpointed(rows.mapInArrow(_profiles(k), f"__id {kind}, __set long, __fp long, __bands array<long>, __sketch binary, __size long"))
+    profiles = kit.checkpointed(rows.mapInArrow(kit.lean(_profiles(k)), f"__id {kind}, __set long, __fp long, __bands array<long>, __sketch binary, __size long"))
     named = grouped(profiles, "__set", lambda d: confirm(d, link_near(d, similarity, shard=shard), rows, k, similarity, cut))
     return named.select("__id", "__component")
 

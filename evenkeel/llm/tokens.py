@@ -14,7 +14,6 @@ from __future__ import annotations
 import collections
 import json
 import os
-import uuid
 
 import pyarrow as pa
 import regex
@@ -95,8 +94,8 @@ def counted(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
     """doc_id, n_bytes and n_tokens of every row; tokenizer: the path, on the driver, of its JSON description."""
     with open(tokenizer, encoding="utf-8") as f:
         description = f.read()
-    held = df.sparkSession.sparkContext.broadcast((description, frequent(df, text, description)))
-    name = f"tokens {uuid.uuid4()}"
+    table = frequent(df, text, description)
+    name, held = f"tokens {kit.digest(description, sorted(table.items()))}", df.sparkSession.sparkContext.broadcast((description, table))
 
     def run(batches):
         counter = kit.kept_in_worker(name, lambda: Counter(*held.value))
@@ -111,7 +110,7 @@ def counted(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
     import pyarrow.compute  # noqa: F401
 
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_tokens long")
+    return rows.mapInArrow(kit.lean(run, name), f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_tokens long")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

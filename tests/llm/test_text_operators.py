@@ -290,6 +290,57 @@ def test_mixing_meets_targets(spark):
         assert abs(taken - target[s]) <= 0.1 * target[s] + 50 and all(r["__copies"] <= 2 for r in g)
 
 
+def test_mixing_of_nothing_and_of_odd_sources(spark):
+    """Only empty texts; then an empty source, a null one, null ids, and an id in two sources with other rates."""
+    shape = "doc_id long, text string, source string"
+    empty = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, " \n", None), (None, "", "a")], shape)
+    assert [(r["__target"], r["__copies"]) for r in mixing.plan(empty).collect()] == [(0.0, 0)] * 4 and mixing.mix(empty).count() == 0
+    long = "w " * 30_000
+    rows = [(i, "one two three", "a") for i in range(200)] + [(i, long, "b") for i in range(40)] + [(7, "", "c"), (None, "x y", None), (None, None, None)]
+    df = spark.createDataFrame(rows, shape)
+    plan = mixing.plan(df).collect()
+    assert collections.Counter(r["__source"] for r in plan) == {"a": 200, "b": 40, "c": 1, None: 2}
+    got = collections.Counter((r.doc_id, r.source) for r in mixing.mix(df).select("doc_id", "source").collect())
+    want = collections.Counter()
+    for r in plan:
+        want[r["__id"], r["__source"]] += r["__copies"]
+    assert got == +want and {r["__copies"] for r in plan if r["__source"] == "a"} == {2}
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(6)
+    sizes = [(f"s{i:03}", rng.choice((0, 1, 5, 1000, rng.randrange(10**6)))) for i in range(300)]
+    left, capped = 1.5 * sum(n for _, n in sizes), set()
+    weight = {s: (3, 1, 2)[i % 3] for i, (s, _) in enumerate(sizes)}
+    while over := {s for s, n in sizes if s not in capped and left * weight[s] / sum(w for x, w in weight.items() if x not in capped) > 2 * n}:
+        capped |= over
+        left = 1.5 * sum(n for _, n in sizes) - sum(2 * n for s, n in sizes if s in capped)
+    level = left / sum(w for x, w in weight.items() if x not in capped)
+    got = {r["__source"]: r["__target"] for r in mixing.with_targets(spark.createDataFrame(sizes, "__source string, __source_size long"), (3, 1, 2), 1.5, 2.0).collect()}
+    assert len(got) == 300 and all(abs(got[s] - (2 * n if s in capped else level * weight[s])) < 1e-6 * (1 + n) for s, n in sizes)
+
+
+def test_mixing_shuffles_no_text(spark):
+    out = mixing.mix(spark.read.parquet(f"{DATA}/documents.parquet"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_workers_keep_one_table(monkeypatch):
+    """The last plan's, under one name for one model; a task of another plan drops it."""
+    import sys
+
+    monkeypatch.setitem(sys.__dict__, "_evenkeel_worker", {})
+    held, made = sys._evenkeel_worker, []
+    for name in ("a", "a", "b", "a"):
+        kit.kept_in_worker(name, lambda name=name: made.append(name))
+        assert list(held) == [name]
+    assert made == ["a", "b", "a"]
+    assert list(kit.lean(lambda batches: (len(held) for _ in batches), "a")([1])) == [1]
+    assert list(kit.lean(lambda batches: (len(held) for _ in batches))([1])) == [0]
+    assert kit.digest("x", [1]) == kit.digest("x", [1]) != kit.digest("x", [2])
+
+
 def test_shards_hold_groups_and_counts(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     more = spark.range(10_000, 10_300).select(F.col("id").alias("doc_id"), F.lit("one text in many copies").alias("text"))
