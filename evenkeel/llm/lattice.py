@@ -1,22 +1,28 @@
 """Language-model scores: the marginal probability of a text over all of its segmentations into subwords.
 
-The pieces are those of an existing vocabulary file. Their probabilities start from the file's scores and are learned
-as expected counts over the words of the training documents, by forward-backward in log space. No piece holds white
-space inside, so the forward recursion over a document is the sum of those over its words, each of which is run once
-for the corpus. Single bytes are pieces too, so every text has a probability; the end is one more piece.
+The pieces are those of an existing vocabulary file. Scores of a unigram model weight the segmentations from the start; a
+vocabulary of merges has ranks only, for which 1 / (rank + 10) stands in. Either are then learned as expected counts over
+the words of the training documents, by forward-backward in log space, in ROUNDS rounds. No piece holds white space
+inside, so the forward recursion over a document is the sum of those over its words, each of which is run once for the
+corpus. Single bytes are pieces too, so every text has a probability; the end is one more piece. Pieces are told apart by
+64-bit polynomial hashes, which differ for the pieces of the vocabulary (checked) and are taken to tell them from other
+substrings.
 
 What is gathered are counts of all distinct words, by a shuffle that grows with the corpus. The `HEAD` most frequent
 words are broadcast; words outside it are joined by shuffle.
 
 Defined results: a null text is an empty one, whose only token is its end. A null id is held out. Repeated rows are
 counted and scored each. With nothing to learn from, all counts are 0, base_score is n_tokens * log10(1 / 1) = 0 and
-pieces keep the vocabulary's scores. An empty table gives an empty table. Only the id and text columns are read.
+pieces keep the vocabulary's scores. Very long texts, and words of any length, are scored whole: words over `LONG` bytes
+one by one, arcs in windows of `WINDOW` starts, so that memory is 16 bytes for each of a word's. An empty table gives an
+empty table. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -34,26 +40,37 @@ FLUSH = 300_000
 ROUNDS = 3
 #: Words of more bytes than this are run one by one.
 LONG = 48
+#: Starts in such a word whose arcs are held at a time.
+WINDOW = 1 << 14
 SMOOTH = 0.1
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+_MULT, _SHIFT = np.uint64(0x9E3779B97F4A7C15), 44
 _BASE = 0x100000001B3
 
 
 def pieces(model: str) -> tuple[list[bytes], np.ndarray]:
     """The vocabulary's pieces, a leading space for the word mark, with each byte last; and their log scores.
 
-    Scores of a vocabulary of merges are ranks; the r-th piece starts at 1 / (r + 10), as word frequencies fall.
+    Those of a unigram model are its own, and bytes without one have the least; else the r-th piece has 1 / (r + 10).
     """
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
 
-    p = sentencepiece.SentencePieceProcessor(model_file=model)
-    own = [i for i in range(p.vocab_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))]
-    own.sort(key=lambda i: -p.get_score(i))
-    names = list(dict.fromkeys(p.id_to_piece(i).replace("▁", " ").encode() for i in own))
-    known = set(names)
-    names += [bytes([b]) for b in range(256) if bytes([b]) not in known]
-    raw = -np.log(np.arange(len(names)) + 10.0)
-    return names, raw
+    with open(model, "rb") as f:
+        raw = f.read()
+    p = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    unigram = sentencepiece_model_pb2.ModelProto.FromString(raw).trainer_spec.model_type == 1
+    return listed([(p.id_to_piece(i), p.get_score(i)) for i in range(p.vocab_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))], unigram)
+
+
+def listed(own: list[tuple[str, float]], unigram: bool) -> tuple[list[bytes], np.ndarray]:
+    best: dict[bytes, float] = {}
+    for name, score in sorted(own, key=lambda x: -x[1]):
+        best.setdefault(name.replace("▁", " ").encode(), score)
+    rest = [bytes([b]) for b in range(256) if bytes([b]) not in best]
+    names = [*best, *rest]
+    if unigram:
+        return names, np.array([*best.values(), *[min(best.values(), default=0.0)] * len(rest)])
+    return names, -np.log(np.arange(len(names)) + 10.0)
 
 
 class Lattice:
@@ -62,26 +79,25 @@ class Lattice:
     def __init__(self, names: list[bytes], logp: np.ndarray):
         self.names, self.logp = names, logp
         self.longest = max(map(len, names))
-        self.id = {x: i for i, x in enumerate(names)}
         powers = [1]
         for _ in range(LONG + 2):
             powers.append(powers[-1] * _BASE % (1 << 64))
         self.powers = np.array(powers, np.uint64)
         h = np.array([self._hash(x) for x in names], np.uint64)
+        if len(np.unique(h)) < len(h):
+            raise ValueError("two pieces have one hash")
         self.lengths = sorted({len(x) for x in names})
-        self.tables = []
-        left = np.arange(len(names))
-        for shift, mult in ((44, _MULT), (44, np.uint64(0xD6E8FEB86659FD93)), (44, np.uint64(0xA0761D6478BD642F))):
+        # a perfect hash in a few tables: what collides in one goes on to the next
+        self.tables, left, mult = [], np.arange(len(names)), int(_MULT)
+        while len(left):
             with np.errstate(over="ignore"):
-                slot = (h[left] * mult) >> np.uint64(shift)
-            table = np.full(1 << (64 - shift), -1, np.int32)
+                slot = (h[left] * np.uint64(mult)) >> np.uint64(_SHIFT)
+            table = np.full(1 << (64 - _SHIFT), -1, np.int32)
             table[slot[::-1]] = left[::-1]
-            self.tables.append((np.uint64(shift), mult, table))
+            self.tables.append((np.uint64(mult), table))
             left = left[table[slot] != left]
-            if not len(left):
-                break
+            mult = (mult * 0xD6E8FEB86659FD93 + 2) % (1 << 64) | 1
         self.hashes = np.append(h, np.uint64(0))
-        self.missing = len(left)
 
     @staticmethod
     def _hash(x: bytes) -> int:
@@ -92,15 +108,17 @@ class Lattice:
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Ids of the pieces with the hashes, or -1."""
-        out = np.full(len(h), -1, np.int32)
-        for n, (shift, mult, table) in enumerate(self.tables):
-            if n == 0:
-                i = table[(h * mult) >> shift]
-                out = np.where(self.hashes[i] == h, i, np.int32(-1))
-                rest = np.flatnonzero((out < 0) & (i >= 0))
-            elif len(rest):
-                i = table[(h[rest] * mult) >> shift]
-                out[rest] = np.where(self.hashes[i] == h[rest], i, np.int32(-1))
+        out, rest = np.full(len(h), -1, np.int32), None
+        for mult, table in self.tables:
+            own = h if rest is None else h[rest]
+            i = table[(own * mult) >> np.uint64(_SHIFT)]
+            hit = (self.hashes[i] == own) & (i >= 0)
+            if rest is None:
+                out[hit], rest = i[hit], np.flatnonzero(~hit & (i >= 0))
+            else:
+                out[rest[hit]], rest = i[hit], rest[~hit & (i >= 0)]
+            if not len(rest):
+                break
         return out
 
     def _same_length(self, words: list[bytes], counts: np.ndarray | None, expected: np.ndarray | None) -> np.ndarray:
@@ -133,26 +151,49 @@ class Lattice:
                     expected += np.bincount(arc, share, minlength=len(expected))
         return forward[size]
 
+    def _arcs(self, word: np.ndarray, lo: int, hi: int):
+        """(start, end, piece) of the arcs that start from lo to hi, in order of their starts."""
+        part = word[lo : min(len(word), hi + self.longest - 1)].astype(np.uint64) + np.uint64(1)
+        h, found = np.zeros(hi - lo, np.uint64), []
+        with np.errstate(over="ignore"):
+            for n in range(1, min(self.longest, len(part)) + 1):
+                h = h[: len(part) - n + 1]
+                h = h * np.uint64(_BASE) + part[n - 1 : n - 1 + len(h)]
+                if n in self.lengths:
+                    ids = self._find(h)
+                    at = np.flatnonzero(ids >= 0)
+                    found.append(np.stack([at + lo, at + lo + n, ids[at]]))
+        arcs = np.concatenate(found, axis=1)
+        return arcs[:, np.argsort(arcs[0], kind="stable")]
+
     def _one(self, word: bytes, count: float, expected: np.ndarray | None) -> float:
-        size = len(word)
-        forward, arcs = [0.0] + [-math.inf] * size, []
-        for j in range(1, size + 1):
-            terms = []
-            for i in range(max(0, j - self.longest), j):
-                if (p := self.id.get(word[i:j])) is not None:
-                    terms.append(forward[i] + self.logp[p])
-                    arcs.append((i, j, p))
-            top = max(terms)
-            forward[j] = top + math.log(sum(math.exp(t - top) for t in terms))
+        """The forward recursion over one long word, and the backward one over windows of arcs that are found again."""
+        raw, size = np.frombuffer(word, np.uint8), len(word)
+        forward, back = array("d", [-math.inf]) * (size + 1), array("d", [-math.inf]) * (size + 1)
+        forward[0] = back[size] = 0.0
+        exp, log1p = math.exp, math.log1p
+        windows = range(0, size, WINDOW)
+
+        def into(table, at, t):
+            other = table[at]
+            if other == -math.inf:
+                table[at] = t
+            else:
+                table[at] = t + log1p(exp(other - t)) if t > other else other + log1p(exp(t - other))
+
+        for lo in windows:
+            arcs = self._arcs(raw, lo, min(lo + WINDOW, size))
+            for i, j, p in zip(*arcs[:2].tolist(), self.logp[arcs[2]].tolist(), strict=True):
+                into(forward, j, forward[i] + p)
+        total = forward[size]
         if expected is not None:
-            back = [-math.inf] * size + [0.0]
-            for i, j, p in reversed(arcs):
-                t = back[j] + self.logp[p]
-                hi, lo = max(back[i], t), min(back[i], t)
-                back[i] = hi + math.log1p(math.exp(lo - hi))
-            for i, j, p in arcs:
-                expected[p] += math.exp(forward[i] + self.logp[p] + back[j] - forward[size]) * count
-        return forward[size]
+            for lo in reversed(windows):
+                arcs = self._arcs(raw, lo, min(lo + WINDOW, size))[:, ::-1]
+                for i, j, p in zip(*arcs[:2].tolist(), self.logp[arcs[2]].tolist(), strict=True):
+                    into(back, i, back[j] + p)
+                f, b = np.frombuffer(forward), np.frombuffer(back)
+                expected += np.bincount(arcs[2], np.exp(f[arcs[0]] + self.logp[arcs[2]] + b[arcs[1]] - total) * count, minlength=len(expected))
+        return total
 
     def marginals(self, words: list[bytes], counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
         """Natural log probability of each word; adds its expected pieces, times its count, to `expected`."""
@@ -161,7 +202,7 @@ class Lattice:
         for i, w in enumerate(words):
             by.setdefault(len(w), []).append(i)
         for size, at in by.items():
-            if size + 1 > LONG or self.missing:
+            if size + 1 > LONG:
                 for i in at:
                     out[i] = self._one(b" " + words[i], 0 if counts is None else counts[i], expected)
                 continue
