@@ -169,7 +169,7 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
 def grouped(rows: DataFrame, node: str, link) -> DataFrame:
     """rows with `__component`, the smallest `__id` over the nodes that link(distinct nodes) connects."""
-    distinct = kit.checkpointed(rows.groupBy(node).agg(F.min("__id").alias("__low"), *[F.first(c).alias(c) for c in rows.columns if c not in ("__id", node)]))
+    distinct = kit.checkpointed(rows.groupBy(node).agg(F.min("__id").alias("__low"), *[F.min(c).alias(c) for c in rows.columns if c not in ("__id", node)]))
     root = graph.components(link(distinct))
     rooted = distinct.select(node, "__low").join(root, F.col(node) == F.col("node"), "left").select(F.col(node).alias("__n"), "__low", F.coalesce("root", node).alias("__root"))
     least = rooted.groupBy("__root").agg(F.min("__low").alias("__component"))
