@@ -2,22 +2,23 @@
 
 Families are groups of languages with like n-gram profiles, found from the learned languages themselves. Families, and
 the languages of one family, are told apart by one-versus-one linear support vector machines over square roots of
-byte n-gram shares. Fitted on about `SAMPLE` rows of each language (by the ids' hashes; documented bound), however many
+byte n-gram shares. Fitted on at most `SAMPLE` rows of each language (by hashes of ids and texts; documented bound), however many
 languages there are: the driver holds 32 KB a row, some 16 MB a language. Every whole text is scored in one pass without
 a shuffle.
 
 Defined results: texts that are null or have no letter are `und` with score 0, and so is every text if there is
-nothing to learn from. A null id is not learned from. Repeated rows are scored alike, an empty table gives an empty
+nothing to learn from. A letter is a character of the Unicode categories L. A null id is not learned from. Very long
+texts are scored whole. Repeated rows are scored alike, an empty table gives an empty
 table, and only the id and text columns (and lang, to learn from) are read.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from evenkeel.llm import kit, svm
 
 SAMPLE = 500
 ORDERS, BITS = (1, 2, 3), 13
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def profile(text: bytes) -> np.ndarray:
@@ -71,7 +72,7 @@ def _versus(x: np.ndarray, y: np.ndarray, classes: list) -> list[tuple]:
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
     """The model, from rows all of which may be learned from."""
     rows = df.where(F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    got = svm.sampled(rows, lang, F.col(doc_id), SAMPLE, most=None).select(F.col(text).alias("t"), F.col(lang).alias("lang")).mapInArrow(kit.lean(_profiles), "x binary, lang string").collect()
+    got = svm.sampled(rows, lang, F.col(doc_id), SAMPLE, F.col(text)).select(F.col(text).alias("t"), F.col(lang).alias("lang")).mapInArrow(kit.lean(_profiles), "x binary, lang string").collect()
     if not got:
         return {"families": []}
     x, y = np.stack([np.frombuffer(r.x, np.float32) for r in got]), np.array([r.lang for r in got])

@@ -1,12 +1,12 @@
 """Quality classifier: n-gram indicators scaled by the classes' log-count ratios, under a linear hinge-loss model.
 
-Fitted on about `SAMPLE` labelled rows of each label (by the ids' hashes; documented bound), so what the driver holds
-doesn't grow with the corpus; every whole text is scored in one pass without a shuffle.
+Fitted on at most `SAMPLE` labelled rows of each label (by hashes of ids and texts; documented bound), so what the driver
+holds doesn't grow with the corpus; every whole text is scored in one pass without a shuffle.
 
 Defined results: null and empty texts have no n-gram and get the score of the bias alone; a null id is held out.
-Labels that are null are not learned from, an id labelled twice counts as its higher label. Without both labels the
-score is the share of label 1 among those learned from, or 0.5 if there are none. Repeated rows are scored alike, an
-empty table gives an empty table, and only the id and text columns are read.
+Labels other than 0 and 1 are not learned from, an id labelled twice counts as its higher label. Without both labels the
+score is the share of label 1 among those learned from, or 0.5 if there are none. Very long texts are scored whole, with
+memory in proportion to the longest. Repeated rows are scored alike, an empty table gives an empty table, and only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def _indicators(batches):
 
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label") -> dict:
     """The model, from rows with an id, a text and a label of 0 or 1 (all of which may be learned from)."""
-    some = svm.sampled(labelled.where(F.col(doc_id).isNotNull()), label, F.col(doc_id), SAMPLE)
+    some = svm.sampled(labelled.where(F.col(doc_id).isNotNull()), label, F.col(doc_id), SAMPLE, F.col(text))
     got = some.select(F.col(text).cast("binary").alias("t"), F.col(label).cast("int").alias("label")).mapInArrow(kit.lean(_indicators), "ids binary, label int").collect()
     y = np.array([1 if r.label else -1 for r in got])
     ids = [np.frombuffer(r.ids, np.int32) for r in got]
@@ -92,7 +92,7 @@ def scored(df: DataFrame, model: dict, text: str = "text", score: str = "score")
 
 def learnable(docs: DataFrame, labels: DataFrame, n: int = 3, rest: int = 1) -> DataFrame:
     """Rows of docs with their labels' quality in `label`, of ids outside the held-out fold."""
-    known = labels.where(F.col("quality").isNotNull() & ~kit.held_out(F.col("doc_id"), n, rest)).groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").cast("int").alias("label"))
+    known = labels.where(F.col("quality").isin(0, 1) & ~kit.held_out(F.col("doc_id"), n, rest)).groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").cast("int").alias("label"))
     # the labels are sampled before they meet the texts, so that few rows are joined
     known = svm.sampled(known, "label", F.col("__id"), SAMPLE)
     return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")

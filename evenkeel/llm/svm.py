@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evenkeel.llm import kit
+
 
 def grams(text: bytes, orders, bits: int) -> np.ndarray:
     """Hashed ids below 2 ** bits of a whole text's byte n-grams, A-Z lower-cased, repeats included."""
@@ -67,12 +69,20 @@ def calibrated(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def sampled(df: DataFrame, label: str, doc_id: Column, cap: int, most: int | None = 256) -> DataFrame:
-    """About `cap` rows of each of the `most` most frequent non-null labels (of all for None), by the ids' hashes; all, if fewer."""
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label)
-    counts = (counts if most is None else counts.limit(most)).collect()
+def sampled(df: DataFrame, label: str, doc_id: Column, cap: int, contents: Column | None = None) -> DataFrame:
+    """At most `cap` rows of each non-null label, however many labels there are; about that many, or all, if fewer.
+
+    Rows are drawn by a hash of their id and contents, and equal rows once, so an id with very many rows neither fills a
+    sample nor drops out of it; a label of which most rows are copies gives fewer than `cap`. Labels are counted first;
+    only about `cap` rows of each are ranked in its task.
+    """
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).count().collect()
     if not counts:
         return df.limit(0)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, cap / r[1]))])
-    u = (F.pmod(F.xxhash64(doc_id, F.lit(11)), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
-    return df.where(u < F.element_at(share, F.col(label)))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, (cap + 4 * cap**0.5) / r[1]))])
+    key = F.xxhash64(doc_id, *([] if contents is None else [contents]), F.lit(11))
+    u = (F.pmod(key, F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
+    names, drawn, place = df.columns, [kit.fresh(df, "__drawn"), kit.fresh(df, "__label")], kit.fresh(df, "__place")
+    some = df.withColumns({drawn[0]: key, drawn[1]: F.col(label)}).where(u < F.element_at(share, F.col(label))).dropDuplicates(drawn)
+    rank = F.row_number().over(Window.partitionBy(drawn[1]).orderBy(drawn[0]))
+    return some.withColumn(place, rank).where(F.col(place) <= cap).select(*names)

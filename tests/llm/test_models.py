@@ -99,11 +99,77 @@ def test_marginal_is_the_sum_over_all_segmentations():
 def test_long_words_and_vocabulary():
     names, start = lattice.pieces(public_tokenizers.path("piece_bpe_32k.model"))
     own = lattice.Lattice(names, start - np.log(np.exp(start).sum()))
-    assert len(set(names)) == len(names) and all(bytes([b]) in own.id for b in range(256))
+    assert len(set(names)) == len(names) and all(bytes([b]) in set(names) for b in range(256))
     got = own.marginals([b"ab" * 3000, b"tion"])
     assert np.isfinite(got).all() and got[0] < got[1] < 0
 
 
+def test_every_piece_of_a_large_vocabulary_is_found():
+    rng = np.random.default_rng(7)
+    names = sorted({bytes(x) for x in rng.integers(97, 123, (240_000, 5), dtype=np.uint8)} | {bytes([b]) for b in range(256)})
+    own = lattice.Lattice(names, np.zeros(len(names)))
+    assert len(own.tables) >= 3 and (own._find(own.hashes[:-1]) == np.arange(len(names))).all()
+    assert (own._find(own.hashes[:1000] + np.uint64(12345)) == -1).sum() >= 999
+
+
+def test_windows_of_a_long_word(monkeypatch):
+    """A word over LONG, in one window and in many, has the sum over all segmentations that the short one's code gives."""
+    names = [b" ", b" a", b"a", b"b", b"ab", b"ba", b"bab", b"abb"] + [bytes([x]) for x in range(256) if x not in b" ab"]
+    rng = np.random.default_rng(4)
+    logp = np.log(rng.dirichlet(np.ones(len(names))))
+    own, word = lattice.Lattice(names, logp), bytes(rng.choice([97, 98, 120], 300).tolist())
+    want = np.zeros(len(names))
+    monkeypatch.setattr(lattice, "LONG", 400)
+    own = lattice.Lattice(names, logp)
+    total = own.marginals([word], np.array([3.0]), want)[0]
+    for window in (1 << 14, 7, 1):
+        monkeypatch.setattr(lattice, "WINDOW", window)
+        got = np.zeros(len(names))
+        assert abs(own._one(b" " + word, 3.0, got) - total) < 1e-9 * abs(total) and np.allclose(got, want)
+
+
+def test_memory_of_a_very_long_word():
+    import tracemalloc
+
+    names, start = lattice.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    own, word = lattice.Lattice(names, start - np.log(np.exp(start).sum())), bytes(np.random.default_rng(1).integers(97, 123, 200_000, dtype=np.uint8))
+    tracemalloc.start()
+    assert math.isfinite(own._one(b" " + word, 1.0, np.zeros(len(names))))
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
+def test_scores_of_unigram_models_are_used():
+    names, score = lattice.listed([("▁a", -1.5), ("b", -0.5), ("▁a", -9.0)], True)
+    assert names[:2] == [b"b", b" a"] and score[:2].tolist() == [-0.5, -1.5] and set(score[2:]) == {-1.5} and len(names) == 257
+    assert lattice.listed([("a", -3.0)], False)[1][0] == -math.log(10)
+
+
+@pytest.mark.parametrize("head", [lattice.HEAD, 4])
+def test_scores_of_documents_are_sums_over_all_segmentations(spark, monkeypatch, head):
+    """Query-level: each document's score, by enumeration with the probabilities that were learned."""
+    monkeypatch.setattr(lattice, "HEAD", head)
+    texts = ["the cat", "a cat the", None, " ", "Cat dog", "the the the a", "x¿"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path, learned = public_tokenizers.path("piece_bpe_32k.model"), {}
+    own = lattice.learned_pieces
+
+    def kept(words, names, start, ends):
+        learned["names"], learned["logp"] = names, own(words, names, start, ends)
+        return learned["logp"]
+
+    monkeypatch.setattr(lattice, "learned_pieces", kept)
+    got = {r["__id"]: r["score"] for r in lattice.scored(df, F.lit(True), path).collect()}
+    p = dict(zip(learned["names"], np.exp(learned["logp"][:-1]), strict=True))
+
+    def total(w):
+        return 1.0 if not w else sum(p[w[:n]] * total(w[n:]) for n in range(1, len(w) + 1) if w[:n] in p)
+
+    for i, t in enumerate(texts):
+        want = sum(math.log10(total(b" " + w)) for w in (t or "").encode().lower().split()) + learned["logp"][-1] / math.log(10)
+        assert abs(got[i] - want) < 1e-9 * abs(want)
+
+
 @pytest.mark.parametrize("chunk, block", [(neighbours.CHUNK, neighbours.BLOCK), (90, 7)])
 def test_neighbours_recall(spark, monkeypatch, chunk, block):
     monkeypatch.setattr(neighbours, "CHUNK", chunk)
@@ -148,6 +214,14 @@ def test_neighbours_of_small_tables(spark):
         assert len(got) == n and {r["count"] for r in got} == {min(20, n - 1)}
 
 
-def test_more_languages_than_a_bound(spark):
+def test_samples_have_a_hard_bound(spark):
+    """300 languages; one id with very many rows, of one text and of many."""
     df = spark.createDataFrame([(i, f"l{i:03}") for i in range(300)], "doc_id long, lang string")
-    assert svm.sampled(df, "lang", F.col("doc_id"), 500, most=None).select("lang").distinct().count() == 300
+    assert svm.sampled(df, "lang", F.col("doc_id"), 500).select("lang").distinct().count() == 300
+    one = spark.range(100_000).select(F.lit(1).alias("doc_id"), F.lit("x").alias("lang"), F.concat(F.lit("t"), F.col("id")).alias("t"))
+    assert svm.sampled(one, "lang", F.col("doc_id"), 500, F.col("t")).count() == 500
+    assert svm.sampled(one.withColumn("t", F.lit("t")), "lang", F.col("doc_id"), 500, F.col("t")).count() <= 1
+
+
+def test_numbers_are_no_letters():
+    assert [bool(language.LETTER.search(t)) for t in ("½", "²", "①", "Ⅷ", "12_", "é", "ß", "中")] == [False] * 5 + [True] * 3
