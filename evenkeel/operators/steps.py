@@ -1,14 +1,19 @@
 """Balancing as steps of a pyspark.ml pipeline.
 
-A step is fitted on training rows, which it balances. New rows pass through a fitted step unchanged (`skip`), since
-they are to be scored, not balanced; with skip=False it balances them too.
+A step is fitted on training rows, which it balances: the stages after it in a Pipeline are fitted on the balanced rows.
+New rows pass through a fitted step unchanged (`skip`), since they are to be scored, not balanced, and so do the training
+rows when they are scored later; with skip=False it balances whatever it is given. Steps and their models have params, so
+that they can be copied with others, tuned, saved and loaded; a loaded model has no training rows.
 """
 
 from __future__ import annotations
 
+import sys
 import uuid
 
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 
 from evenkeel.errors import BalanceError
@@ -26,32 +31,81 @@ METHODS = {
 }
 
 
-class BalanceStep(Estimator):
-    """outcome: the target's name, or a list that must name just one column of the training rows."""
+class _Shared(Params):
+    """method, outcome, skip, audit, step_id; ratios, neighbours and seed; `options`, all else that the call takes."""
+
+    method = Param(Params._dummy(), "method", "one of METHODS", TypeConverters.toString)
+    outcome = Param(Params._dummy(), "outcome", "the target's name, or a list that must name just one column")
+    skip = Param(Params._dummy(), "skip", "whether new rows pass unchanged", TypeConverters.toBoolean)
+    audit = Param(Params._dummy(), "audit", "whether the training result has diagnostics", TypeConverters.toBoolean)
+    step_id = Param(Params._dummy(), "step_id", "the step's name in tidy tables", TypeConverters.toString)
+    ratio = Param(Params._dummy(), "ratio", "as of the call")
+    adasyn_ratio = Param(Params._dummy(), "adasyn_ratio", "as of the call")
+    nearmiss_ratio = Param(Params._dummy(), "nearmiss_ratio", "as of the call")
+    k = Param(Params._dummy(), "k", "as of the call")
+    over_k = Param(Params._dummy(), "over_k", "as of the call")
+    under_k = Param(Params._dummy(), "under_k", "as of the call")
+    seed = Param(Params._dummy(), "seed", "as of the call")
+    options = Param(Params._dummy(), "options", "further named parameters of the call, as a dict")
+
+    OWN = ("ratio", "adasyn_ratio", "nearmiss_ratio", "k", "over_k", "under_k", "seed")
+
+    def value(self, name: str):
+        return self.getOrDefault(name) if self.isDefined(name) else None
+
+    def parameters(self) -> dict:
+        """What the call is given."""
+        return {n: self.getOrDefault(n) for n in self.OWN if self.isSet(n)} | (self.value("options") or {})
+
+    def check(self) -> None:
+        """Raises if a param's value can't be meant."""
+        if self.value("method") not in METHODS:
+            raise BalanceError(f"method must be one of {tuple(METHODS)}, not {self.value('method')!r}")
+        _, ratios, ks = METHODS[self.value("method")]
+        p = self.parameters()
+        for name in self.OWN:
+            if name in p and name not in (*ratios, *ks, "seed"):
+                raise BalanceError(f"{self.value('method')} has no {name}")
+        for name in set(ratios) & set(p):
+            checks.ratio(p[name], name, zero=len(ratios) > 1)
+        for name in set(ks) & set(p):
+            checks.positive_integer(p[name], name)
+        if "seed" in p:
+            checks.seed(p["seed"])
+
+    def balanced(self, df: DataFrame, outcome: str) -> BalanceResult:
+        self.check()
+        if outcome not in df.columns:
+            raise BalanceError(f"the outcome {outcome!r} isn't a column")
+        if len(df.columns) < 2:
+            raise BalanceError("there must be at least one feature besides the outcome")
+        return METHODS[self.value("method")][0](df, outcome, audit=self.value("audit"), **self.parameters())
 
-    def __init__(self, method: str, outcome: str | list[str], skip: bool = True, audit: bool = False, id: str | None = None, **parameters):
+
+class BalanceStep(_Shared, Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    def __init__(self, method: str | None = None, outcome: str | list[str] | None = None, skip: bool = True, audit: bool = False, id: str | None = None, **parameters):
         super().__init__()
-        if method not in METHODS:
-            raise BalanceError(f"method must be one of {tuple(METHODS)}, not {method!r}")
-        self.method, self.outcome, self.skip, self.audit = method, outcome, checks.flag(skip, "skip"), checks.flag(audit, "audit")
-        _, ratios, ks = METHODS[method]
-        for name in ratios:
-            if name in parameters:
-                checks.ratio(parameters[name], name, zero=len(ratios) > 1)
-        for name in ks:
-            if name in parameters:
-                checks.positive_integer(parameters[name], name)
-        if "seed" in parameters:
-            checks.seed(parameters["seed"])
-        self.parameters, self.step_id = parameters, id or f"{method}_{uuid.uuid4().hex[:5]}"
+        self._setDefault(skip=True, audit=False)
+        if method is None:  # as when a saved step is read
+            return
+        own = {n: parameters.pop(n) for n in self.OWN if n in parameters}
+        for n in [n for n in own if n not in (*METHODS.get(method, (0, (), ()))[1], *METHODS.get(method, (0, (), ()))[2], "seed")]:
+            parameters[n] = own.pop(n)  # the call will say that it has none
+        self._set(method=method, outcome=outcome, skip=checks.flag(skip, "skip"), audit=checks.flag(audit, "audit"), step_id=id or f"{method}_{uuid.uuid4().hex[:5]}", options=parameters or None, **own)
+        self.check()
 
     def _fit(self, df: DataFrame) -> BalanceStepModel:
-        names = [self.outcome] if isinstance(self.outcome, str) else list(self.outcome)
+        self.check()
+        outcome = self.value("outcome")
+        names = [outcome] if isinstance(outcome, str) else list(outcome or [])
         if len(names) != 1:
             raise BalanceError("the selection must pick exactly one outcome")
         if names[0] not in df.columns:
             raise BalanceError(f"the outcome {names[0]!r} isn't a column")
-        return BalanceStepModel(self, names[0], df)
+        model = self._copyValues(BalanceStepModel())
+        model._set(outcome=names[0])
+        model._train = df
+        return model
 
     def fit_resample(self, df: DataFrame) -> DataFrame:
         """The training rows, balanced."""
@@ -59,42 +113,53 @@ class BalanceStep(Estimator):
 
     def tidy(self, spark: SparkSession) -> DataFrame:
         """One row of the step's parameters; terms is null before fitting if the outcome isn't one name."""
-        return _tidy(spark, self, self.outcome if isinstance(self.outcome, str) else None, False)
+        outcome = self.value("outcome")
+        return _tidy(spark, self, outcome if isinstance(outcome, str) else None, False)
 
     def __repr__(self):
-        return f"BalanceStep({self.method} of {self.outcome})"
+        return f"BalanceStep({self.value('method')} of {self.value('outcome')})"
 
 
-class BalanceStepModel(Model):
-    def __init__(self, step: BalanceStep, outcome: str, train: DataFrame):
+class BalanceStepModel(_Shared, Model, DefaultParamsReadable, DefaultParamsWritable):
+    def __init__(self):
         super().__init__()
-        self.step, self.outcome, self._train = step, outcome, train
+        self._setDefault(skip=True, audit=False)
+        self._train = None
 
     def training(self) -> BalanceResult:
         """The balanced training rows, with diagnostics if the step audits."""
-        return self._balanced(self._train)
-
-    def _balanced(self, df: DataFrame) -> BalanceResult:
-        if self.outcome not in df.columns:
-            raise BalanceError(f"the outcome {self.outcome!r} isn't a column")
-        if len(df.columns) < 2:
-            raise BalanceError("there must be at least one feature besides the outcome")
-        return METHODS[self.step.method][0](df, self.outcome, audit=self.step.audit, **self.step.parameters)
+        if self._train is None:
+            raise BalanceError("a step that was loaded has no training rows")
+        return self.balanced(self._train, self.value("outcome"))
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return df if self.step.skip else self._balanced(df).data
+        if not self.value("skip") or (df is self._train and _in_fit()):
+            return self.balanced(df, self.value("outcome")).data
+        return df
 
     def tidy(self, spark: SparkSession) -> DataFrame:
-        return _tidy(spark, self.step, self.outcome, True)
+        return _tidy(spark, self, self.value("outcome"), True)
 
     def __repr__(self):
-        return f"BalanceStep({self.step.method} of {self.outcome}) [trained]"
+        return f"BalanceStep({self.value('method')} of {self.value('outcome')}) [trained]"
+
+
+def _in_fit() -> bool:
+    """Whether a Pipeline that is being fitted asks for the rows that its later stages are fitted on."""
+    frame, fit = sys._getframe(1), Pipeline._fit.__code__
+    for _ in range(6):
+        if frame is None:
+            return False
+        if frame.f_code is fit:
+            return True
+        frame = frame.f_back
+    return False
 
 
-def _tidy(spark: SparkSession, step: BalanceStep, terms: str | None, trained: bool) -> DataFrame:
-    p = step.parameters
+def _tidy(spark: SparkSession, step: _Shared, terms: str | None, trained: bool) -> DataFrame:
+    p = step.parameters()
     value = lambda k: None if p.get(k) is None else float(p[k])
-    row = (terms, step.method, value("ratio") if "ratio" in p else value("adasyn_ratio"), value("nearmiss_ratio"), step.skip, trained, step.step_id)
+    row = (terms, step.value("method"), value("ratio") if "ratio" in p else value("adasyn_ratio"), value("nearmiss_ratio"), step.value("skip"), trained, step.value("step_id"))
     return spark.createDataFrame([row], "terms string, method string, ratio double, nearmiss_ratio double, skip boolean, trained boolean, id string")
 
 
