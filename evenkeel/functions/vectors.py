@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def chosen(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.selectExpr(*map(quoted, columns))
+
+
 def packed(features: list[str]) -> Column:
     """Features as one array of doubles."""
     return F.expr(f"array({', '.join(f'cast({quoted(c)} AS double)' for c in features)})")
@@ -21,8 +25,9 @@ def standardized(features: list[str], centers: list[float], scales: list[float])
     return F.expr(f"array({', '.join(one)})")
 
 
-def reverted(z: str, i: int, center: float, scale: float) -> Column:
-    return F.expr(f"get({z}, {i}) * {float(scale)!r}D + {float(center)!r}D")
+def reverted(z: str, i: int, center: float, scale: float) -> str:
+    """As text, see `standardized`."""
+    return f"get({z}, {i}) * {float(scale)!r}D + {float(center)!r}D"
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -15,12 +15,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.errors import BalanceError
 from evenkeel.functions import vectors
-from evenkeel.operators import checks, knn, restore, roles, scaling, schema, synthesis, undersampling
+from evenkeel.operators import bounded, checks, knn, restore, roles, scaling, schema, synthesis, undersampling
 from evenkeel.operators.result import BalanceResult
 from evenkeel.sources import shared
 
@@ -90,12 +90,15 @@ class Prepared:
     scaling: scaling.Scaling
     o: Options
     columns: list[str] = field(default_factory=list)
+    _held: bounded.Held | None = None
+
+    def _z(self) -> Column:
+        return vectors.packed(self.features) if self.o.already_scaled else vectors.standardized(self.features, self.scaling.centers, self.scaling.scales)
 
     def vectors(self, label=None) -> DataFrame:
         """(id, z) of all rows or of one class."""
         rows = self.df if label is None else self.df.where(F.col(f"`{self.target}`") == F.lit(label))
-        z = vectors.packed(self.features) if self.o.already_scaled else vectors.standardized(self.features, self.scaling.centers, self.scaling.scales)
-        return rows.select(F.col(f"`{self.id}`").alias("id"), z.alias("z"))
+        return rows.select(F.col(f"`{self.id}`").alias("id"), self._z().alias("z"))
 
     def _how(self, sizes) -> dict:
         o = self.o
@@ -107,6 +110,16 @@ class Prepared:
     def lists(self, queries, refs, k, sizes, **more) -> DataFrame:
         return knn.neighbour_lists(queries, refs, k, **self._how(sizes), **more)
 
+    def held(self, k: int, more: int = 0) -> bounded.Held | None:
+        """All rows' ids and vectors in one place, if they, k neighbours of each minority row and `more` are few enough."""
+        dim = len(self.features)
+        if self.o.engine == "RcppHNSW" or dim * max(self.facts.rows + more, k * self.roles.n_min) > self.o.small:
+            return None
+        if self._held is None:
+            rows = self.df.select(F.col(f"`{self.id}`").alias("id"), (F.col(f"`{self.target}`") == F.lit(self.roles.minority)).alias("minor"), self._z().alias("z"))
+            self._held = bounded.Held(self.df.sparkSession, rows, self.o.metric, self.o.decimals)
+        return self._held
+
     def class_rows(self, label) -> DataFrame:
         return self.df.where(F.col(f"`{self.target}`") == F.lit(label))
 
@@ -114,7 +127,7 @@ class Prepared:
 def prepared(df: DataFrame, target: str, o: Options, ties: str | None = None) -> Prepared:
     features = schema.resolved(df, target, o.features, o.id_col)
     columns = [c for c in df.columns if c in features or c == target or c == o.id_col]
-    rows = df.select(*[F.col(f"`{c}`") for c in columns])
+    rows = vectors.chosen(df, columns)
     if o.id_col is None:
         rows = schema.identified(rows, "__id")
     elif o.check_ids:
@@ -137,8 +150,11 @@ def _generated(p: Prepared, ratio: float, k: int, seed: int) -> tuple[DataFrame,
     g = roles.expansion(p.roles.n_min, ratio)
     checks.output_rows(p.facts.rows + g, p.o.max_output_rows)
     checks.dense_budget(p.facts.rows + g, len(p.features), 2, p.o.max_dense_gb, "the result")
-    minor = p.vectors(p.roles.minority)
     n_min, n = p.roles.n_min, p.facts.rows
+    if held := p.held(min(k, n - 1)):
+        counts = bounded.shared_out(held.majority_near(min(k, n - 1)), g) if p.o.allocation == "adaptive" else bounded.dealt(n_min, g)
+        return synthesis.between(held.wanted(counts, min(k, n_min - 1)), seed), g
+    minor = p.vectors(p.roles.minority)
     if p.o.allocation == "adaptive":
         near = p.lists(minor, p.vectors(), min(k, n - 1), (n_min, n), exclude_self=True)
         # read several times to share out g, so the search behind it is run once
@@ -149,38 +165,37 @@ def _generated(p: Prepared, ratio: float, k: int, seed: int) -> tuple[DataFrame,
     return synthesis.synthetic(minor, own, counts, seed), g
 
 
-def _typed(p: Prepared, made: DataFrame) -> DataFrame:
+def _typed(p: Prepared, made: DataFrame, kinds: dict) -> DataFrame:
     """Synthetic rows in the original columns; their ids are null."""
-    kinds = {f.name: f.dataType for f in p.df.schema.fields}
-    out = []
+    out, place = [], {c: i for i, c in enumerate(p.features)}
     for c in p.columns:
         if c == p.target:
-            out.append(F.lit(p.roles.minority).cast(kinds[c]).alias(c))
-        elif c in p.features:
-            i = p.features.index(c)
-            value = vectors.reverted("z", i, p.scaling.centers[i], p.scaling.scales[i]) if p.o.original_scale else F.get("z", F.lit(i))
-            typed = p.o.restore_types and p.o.original_scale
-            out.append((restore.restored(value, kinds[c], p.facts.low[i], p.facts.high[i]) if typed else value).alias(c))
+            value = f"CAST(__label AS {kinds[c].simpleString()})"
+        elif c in place:
+            i = place[c]
+            value = vectors.reverted("z", i, p.scaling.centers[i], p.scaling.scales[i]) if p.o.original_scale else f"get(z, {i})"
+            if p.o.restore_types and p.o.original_scale:
+                value = restore.restored(value, kinds[c], p.facts.low[i], p.facts.high[i])
         else:
-            out.append(F.lit(None).cast(kinds[c]).alias(c))
-    return made.select(*out, F.col("base_id").alias("__base_id"), F.col("copy").alias("__copy"))
+            value = f"CAST(NULL AS {kinds[c].simpleString()})"
+        out.append(f"{value} AS {vectors.quoted(c)}")
+    return made.withColumn("__label", F.lit(p.roles.minority)).selectExpr(*out, "base_id AS __base_id", "copy AS __copy")
 
 
 def _finished(p: Prepared, originals: DataFrame, made: DataFrame | None) -> DataFrame:
     """Original rows, scaled only if asked for, then synthetic ones; their columns and the target's name as asked for."""
     o = p.o
-    rows = originals.select(*[F.col(f"`{c}`") for c in p.columns])
+    rows = originals if originals.columns == p.columns else vectors.chosen(originals, p.columns)
     if not o.original_scale and not o.already_scaled:
         rows = scaling.apply(rows, p.features, p.scaling)
     if made is not None:
-        typed = _typed(p, made)
-        base = typed.schema["__base_id"].dataType
-        rows = rows.withColumns({"__base_id": F.lit(None).cast(base), "__copy": F.lit(None).cast("long")})
-        if not (o.restore_types and o.original_scale):
-            rows = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) if c in p.features else F.col(f"`{c}`") for c in rows.columns])
-        rows = rows.unionByName(typed)
-        if not o.provenance:
-            rows = rows.drop("__base_id", "__copy")
+        kinds, own = {f.name: f.dataType for f in p.df.schema.fields}, set(p.features)
+        base = kinds[p.id].simpleString()
+        kept_types = o.restore_types and o.original_scale
+        names = [vectors.quoted(c) if kept_types or c not in own else f"CAST({vectors.quoted(c)} AS double) AS {vectors.quoted(c)}" for c in p.columns]
+        extra = [f"CAST(NULL AS {base}) AS __base_id", "CAST(NULL AS bigint) AS __copy"] if o.provenance else []
+        typed = _typed(p, made, kinds)
+        rows = rows.selectExpr(*names, *extra).union(typed if o.provenance else typed.drop("__base_id", "__copy"))
     if o.target_out and o.target_out != p.target:
         if o.target_out in rows.columns:
             raise BalanceError(f"there is a column {o.target_out!r} already")
@@ -218,6 +233,9 @@ def _majority_kept(p: Prepared, ratio: float, k: int, made: DataFrame | None, g:
     m = roles.retention(n_min, n_maj, ratio, p.o.least)
     if m >= n_maj:
         return None
+    if held := p.held(min(k, n_min), g):
+        more = None if made is None else bounded.matrix(made.select("z"), len(p.features))
+        return held.kept(m, k, p.o.score, more)
     refs = p.vectors(p.roles.minority)
     queries = p.vectors(p.roles.majority)
     if made is not None:
@@ -231,6 +249,11 @@ def _majority_kept(p: Prepared, ratio: float, k: int, made: DataFrame | None, g:
 def _with_majority(p: Prepared, ids: DataFrame | None) -> DataFrame:
     if ids is None:
         return p.df
+    if p._held is not None:
+        # ids in one place: they are sent to the rows, which are read once
+        few = F.broadcast(ids.select(F.col("id").alias("__kept")))
+        minor = F.col(f"`{p.target}`") == F.lit(p.roles.minority)
+        return p.df.join(few, F.col(f"`{p.id}`") == F.col("__kept"), "left").where(minor | F.col("__kept").isNotNull()).drop("__kept")
     kept = p.class_rows(p.roles.majority).join(ids.withColumnRenamed("id", "__kept"), F.col(f"`{p.id}`") == F.col("__kept"), "left_semi")
     return p.class_rows(p.roles.minority).unionByName(kept)
 
@@ -261,7 +284,7 @@ def adanear(df: DataFrame, target: str, adasyn_ratio: float = 0.2, nearmiss_rati
         return _result(p, "adanear", _finished(p, p.df, None), rows_out=p.facts.rows, retained_ids=p.df.select(p.id))
     p = prepared(df, target, o)
     made, g = _generated(p, a, over_k, seed) if a else (None, 0)
-    if made is not None and n:
+    if made is not None and n and p._held is None:
         # both neighbours to the majority and rows of the result
         made = shared.checkpointed(made)
     ids = _majority_kept(p, n, under_k, made, g) if n else None
@@ -284,9 +307,17 @@ def adanear_uniform(df: DataFrame, target: str, adasyn_ratio: float = 0.2, nearm
     return adanear(df, target, adasyn_ratio, nearmiss_ratio, over_k, under_k, seed, **(UNIFORM | options))
 
 
+def _roles(df: DataFrame, target: str) -> roles.Roles:
+    """Roles by count; of a target with other than two classes only three are fetched to say so."""
+    counts = {r.label: r.n for r in roles.class_counts(df.where(F.col(f"`{target}`").isNotNull()), target).limit(3).collect()}
+    if len(counts) != 2:
+        raise BalanceError(f"the target must have exactly two classes, not {'over two' if len(counts) > 2 else len(counts)}")
+    return roles.assigned(counts, ties="first")
+
+
 def weighted(df: DataFrame, target: str, weight: str = "weight") -> DataFrame:
     """df with a weight for each row: the class ratio for minority rows, 1 for others."""
-    who = roles.assigned({r.label: r.n for r in roles.class_counts(df, target).collect()}, ties="first")
+    who = _roles(df, target)
     return df.withColumn(weight, F.when(F.col(f"`{target}`") == F.lit(who.minority), F.lit(who.ratio)).otherwise(F.lit(1.0)))
 
 
@@ -298,7 +329,7 @@ def balance(df: DataFrame, target: str, strategy: str = "none", *, adasyn_ratio:
     if strategy in ("none", "weight"):
         if validate:
             schema.facts(df, target, schema.resolved(df, target, options.get("features"), options.get("id_col")))
-        who = roles.assigned({r.label: r.n for r in roles.class_counts(df, target).collect()}, ties="first")
+        who = _roles(df, target)
         return BalanceResult(df, target, who, diagnostics={"method": strategy, "data_changed": False, "rows_in": who.n_min + who.n_maj, "rows_out": who.n_min + who.n_maj, "scale_pos_weight": who.ratio})
     if strategy == "adasyn":
         return adasyn(df, target, adasyn_ratio, over_k, seed, **options)

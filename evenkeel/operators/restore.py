@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from evenkeel.operators.schema import WHOLE, Facts
@@ -15,7 +14,13 @@ def inferred(df: DataFrame, features: list[str], facts: Facts) -> list[tuple]:
     return [(c, "integer", lo, hi) if isinstance(kinds[c], WHOLE) else (c, "double", None, None) for c, lo, hi in zip(features, facts.low, facts.high, strict=True)]
 
 
-def restored(value: Column, kind: T.DataType, low, high) -> Column:
-    if isinstance(kind, WHOLE):
-        value = F.least(F.greatest(F.bround(value), F.lit(float(low))), F.lit(float(high)))
-    return value.cast(kind)
+def restored(value: str, kind: T.DataType, low, high) -> str:
+    """The expression of a double as one of the kind, both as SQL text, of which hundreds are planned quickly.
+
+    A whole value is clamped as a double and, since long bounds may not be doubles, once more as what it is then.
+    """
+    name = kind.simpleString()
+    if not isinstance(kind, WHOLE):
+        return f"CAST({value} AS {name})"
+    inner = f"CAST(least(greatest(bround({value}), {float(low)!r}D), {float(high)!r}D) AS {name})"
+    return f"least(greatest({inner}, CAST('{low}' AS {name})), CAST('{high}' AS {name}))" if isinstance(kind, T.LongType) else inner

@@ -35,15 +35,20 @@ def parameter_table(df: DataFrame, features: list[str], ddof: int = 1) -> DataFr
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
+def _each(df: DataFrame, features: list[str], s: Scaling, form: str) -> DataFrame:
+    """df with `form` of each feature, as text: {x}, {m} and {s} stand for the value, its center and its scale."""
+    p = dict(zip(features, zip(s.centers, s.scales, strict=True), strict=True))
+    one = lambda c, x: form.format(x=x, m=f"{float(p[c][0])!r}D", s=f"{float(p[c][1])!r}D") + f" AS {x}"
+    return df.selectExpr(*[one(c, vectors.quoted(c)) if c in p else vectors.quoted(c) for c in df.columns])
+
+
 def apply(df: DataFrame, features: list[str], s: Scaling) -> DataFrame:
     """df with its features standardized in place."""
-    p = dict(zip(features, zip(s.centers, s.scales, strict=True), strict=True))
-    return df.select(*[((F.col(f"`{c}`").cast("double") - F.lit(p[c][0])) / F.lit(p[c][1])).alias(c) if c in p else F.col(f"`{c}`") for c in df.columns])
+    return _each(df, features, s, "(CAST({x} AS double) - {m}) / {s}")
 
 
 def revert(df: DataFrame, features: list[str], s: Scaling) -> DataFrame:
-    p = dict(zip(features, zip(s.centers, s.scales, strict=True), strict=True))
-    return df.select(*[(F.col(f"`{c}`") * F.lit(p[c][1]) + F.lit(p[c][0])).alias(c) if c in p else F.col(f"`{c}`") for c in df.columns])
+    return _each(df, features, s, "{x} * {s} + {m}")
 
 
 def l2_normalize(df: DataFrame, features: list[str]) -> DataFrame:

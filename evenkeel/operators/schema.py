@@ -77,11 +77,16 @@ def facts(df: DataFrame, target: str, features: list[str], checked: bool = True)
     from pyspark.ml.stat import Summarizer
 
     x = vectors.packed(features)
-    rows = df.select(F.col(f"`{target}`").alias("t"), x.alias("x"))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    # bounds of long columns are not taken from doubles, which don't have them all
+    longs = [i for i, c in enumerate(features) if isinstance(kinds[c], T.LongType)]
+    exact = F.expr(f"array({', '.join(vectors.quoted(features[i]) for i in longs)})") if longs else F.array().cast("array<bigint>")
+    rows = df.select(F.col(vectors.quoted(target)).alias("t"), x.alias("x"), exact.alias("l"))
     bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     filled = array_to_vector(F.transform("x", lambda v: F.coalesce(v, F.lit(0.0))))
     summary = Summarizer.metrics("mean", "variance", "min", "max").summary(filled)
-    by = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"), summary.alias("s")).limit(4).collect()
+    ends = [f(F.get("l", F.lit(j))).alias(f"{name}{j}") for j in range(len(longs)) for name, f in (("low", F.min), ("high", F.max))]
+    by = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"), summary.alias("s"), *ends).limit(4).collect()
     counts = {r.t: r.n for r in by}
     if not counts:
         raise BalanceError("the table has no rows")
@@ -98,9 +103,11 @@ def facts(df: DataFrame, target: str, features: list[str], checked: bool = True)
     means, variances, low, high = (np.array([r.s[k].toArray() for r in by]) for k in ("mean", "variance", "min", "max"))
     rows_, mean = int(n.sum()), (n * means).sum(0) / n.sum()
     square = ((n - 1) * variances + n * (means - mean) ** 2).sum(0)
-    kinds = {f.name: f.dataType for f in df.schema.fields}
     ranged = lambda v: [int(e) if isinstance(kinds[c], WHOLE) else float(e) for c, e in zip(features, v, strict=True)]
-    return Facts(counts, rows_, mean.tolist(), np.sqrt(square / max(1, rows_ - 1)).tolist(), np.sqrt(square / rows_).tolist(), ranged(low.min(0)), ranged(high.max(0)))
+    least, most = ranged(low.min(0)), ranged(high.max(0))
+    for j, i in enumerate(longs):
+        least[i], most[i] = (f(r[f"{name}{j}"] for r in by if r[f"{name}{j}"] is not None) for name, f in (("low", min), ("high", max))) if checked else (least[i], most[i])
+    return Facts(counts, rows_, mean.tolist(), np.sqrt(square / max(1, rows_ - 1)).tolist(), np.sqrt(square / rows_).tolist(), least, most)
 
 
 def check_ids(df: DataFrame, id_col: str) -> None:

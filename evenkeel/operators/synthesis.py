@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions import vectors
@@ -54,13 +54,31 @@ def synthetic(minor: DataFrame, lists: DataFrame, counts: DataFrame, seed: int)
     """(base_id, copy, neighbor_id, share, z) of every synthetic row, between a minority row and one of its neighbours.
 
     minor: (id, z); lists: (query_id, near) among them; counts: (id, n). Which neighbour and how far
-    are numbers from the seed, the row's id and the copy's number.
+    are numbers from the seed, the row's id and the copy's number. A row that has copies but no list fails the job.
     """
     listed = lists.select(F.col("query_id").alias("q"), F.col("near.neighbor_id").alias("near"))
-    wanted = counts.where("n > 0").join(listed, F.col("id") == F.col("q")).join(minor.select(F.col("id").alias("b"), F.col("z").alias("from")), F.col("id") == F.col("b"))
-    copies = wanted.select(F.col("id").alias("base_id"), "near", "from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
-    k = F.size("near")
-    at = F.least(F.floor(vectors.uniform(seed, F.col("base_id"), F.col("copy"), "pick") * k).cast("int"), k - 1)
-    drawn = copies.select("base_id", "copy", "from", F.get("near", at).alias("neighbor_id"), vectors.uniform(seed, F.col("base_id"), F.col("copy"), "share").alias("share"))
+    wanted = counts.where("n > 0").join(listed, F.col("id") == F.col("q"), "left").join(minor.select(F.col("id").alias("b"), F.col("z").alias("from")), F.col("id") == F.col("b"))
+    near = F.when(F.size("near") > 0, F.col("near")).otherwise(F.raise_error(F.lit("a row that starts new rows has no neighbour")))
+    copies = _copies(wanted.select(F.col("id").alias("base_id"), near.alias("near"), "from", "n"))
+    drawn = copies.select("base_id", "copy", "from", F.get("near", _pick(seed)).alias("neighbor_id"), _share(seed).alias("share"))
     other = minor.select(F.col("id").alias("o"), F.col("z").alias("to"))
     return drawn.join(other, F.col("neighbor_id") == F.col("o")).select("base_id", "copy", "neighbor_id", "share", vectors.interpolated(F.col("from"), F.col("to"), F.col("share")).alias("z"))
+
+
+def between(wanted: DataFrame, seed: int) -> DataFrame:
+    """As `synthetic`, from (base_id, n, near, from, tos) with the neighbours' vectors at hand."""
+    drawn = _copies(wanted).select("base_id", "copy", "from", F.get("near", _pick(seed)).alias("neighbor_id"), F.get("tos", _pick(seed)).alias("to"), _share(seed).alias("share"))
+    return drawn.select("base_id", "copy", "neighbor_id", "share", vectors.interpolated(F.col("from"), F.col("to"), F.col("share")).alias("z"))
+
+
+def _copies(wanted: DataFrame) -> DataFrame:
+    return wanted.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+
+
+def _pick(seed: int) -> Column:
+    k = F.size("near")
+    return F.least(F.floor(vectors.uniform(seed, F.col("base_id"), F.col("copy"), "pick") * k).cast("int"), k - 1)
+
+
+def _share(seed: int) -> Column:
+    return vectors.uniform(seed, F.col("base_id"), F.col("copy"), "share")

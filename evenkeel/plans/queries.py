@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.errors import BalanceError
 from evenkeel.functions import vectors
 from evenkeel.operators import balance, knn, restore, roles, scaling, schema, steps, synthesis, undersampling
 from evenkeel.plans import sql
@@ -133,8 +134,9 @@ def restore_types(spark, folder):
     """Quotients of lineitem's prices as whole numbers within 10 and 40."""
     from pyspark.sql import types as T
 
-    rows = tables.read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice").cast("double") / 1000).alias("x"), (F.col("l_quantity").cast("double") / 2).alias("half"))
-    return rows.select("l_orderkey", "l_linenumber", restore.restored(F.col("x"), T.IntegerType(), 10, 40).alias("x"), restore.restored(F.col("half"), T.LongType(), 0, 1000).alias("half"))
+    x = restore.restored("CAST(l_extendedprice AS double) / 1000", T.IntegerType(), 10, 40)
+    half = restore.restored("CAST(l_quantity AS double) / 2", T.LongType(), 0, 1000)
+    return tables.read(spark, folder, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{x} AS x", f"{half} AS half")
 
 
 def _part_rows(df: DataFrame) -> DataFrame:
@@ -216,7 +218,170 @@ def contents_ids(spark, folder):
 
 
 def generated_table(spark, folder):
-    return generated.rare_class_table(spark, 2000, 12, 0.05)
+    out = generated.rare_class_table(spark, 2000, 12, 0.05)
+    return _rounded(out, **{c: 6 for c, kind in out.dtypes if kind == "double"})
+
+
+def balance_adasyn(spark, folder):
+    return _part_rows(balance.balance(tables.parts(spark, folder), "cls", "adasyn", adasyn_ratio=0.5, over_k=5, seed=7, **PART).data)
+
+
+def balance_nearmiss(spark, folder):
+    return balance.balance(tables.parts(spark, folder), "cls", "nearmiss", nearmiss_ratio=1.0, under_k=5, **PART).data
+
+
+def balance_adanear_weight(spark, folder):
+    """The class ratio that is left, for use as a weight, with the rows by class."""
+    out = balance.balance(tables.parts(spark, folder), "cls", "adanear_weight", adasyn_ratio=0.3, nearmiss_ratio=2.0, seed=7, **PART)
+    return out.data.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).withColumn("scale_pos_weight", F.round(F.lit(out.diagnostics["scale_pos_weight"]), 9))
+
+
+def step_adanear(spark, folder):
+    return _part_rows(steps.step_adanear("cls", adasyn_ratio=0.3, nearmiss_ratio=0.5, over_k=5, under_k=5, seed=7, **PART).fit_resample(tables.parts(spark, folder)))
+
+
+def step_adasyn_uniform(spark, folder):
+    return _part_rows(steps.step_adasyn_uniform("cls", ratio=0.5, seed=7, **PART).fit_resample(tables.parts(spark, folder)))
+
+
+def step_nearmiss_uniform(spark, folder):
+    return steps.step_nearmiss_uniform("cls", ratio=1.5, **PART).fit_resample(tables.parts(spark, folder))
+
+
+def step_adanear_uniform(spark, folder):
+    return _part_rows(steps.step_adanear_uniform("cls", adasyn_ratio=0.3, nearmiss_ratio=0.5, seed=7, **PART).fit_resample(tables.parts(spark, folder)))
+
+
+def step_in_pipeline(spark, folder):
+    """How many rows of each class a stage after a step is fitted on, and how many new rows pass."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StringIndexer
+
+    df = tables.parts(spark, folder)
+    model = Pipeline(stages=[steps.step_adasyn("cls", ratio=40.0, seed=7, **PART), StringIndexer(inputCol="cls", outputCol="place")]).fit(df)
+    passed = model.transform(tables.parts(spark, folder)).groupBy("cls").agg(F.count(F.lit(1)).alias("passed"))
+    # the most frequent class is the first one
+    return passed.withColumn("place", F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(model.stages[1].labels) for x in (c, i)]), F.col("cls")))
+
+
+def step_tidy(spark, folder):
+    """Tables of parameters, before and after fitting, of a step of each kind."""
+    df, out = tables.parts(spark, folder), []
+    for make, p in ((steps.step_adasyn, {"ratio": 0.5}), (steps.step_nearmiss, {"ratio": 1.5, "skip": False}), (steps.step_adanear, {"adasyn_ratio": 0.3, "nearmiss_ratio": 0.5})):
+        step = make("cls", id=make.__name__, **p)
+        out += [step.tidy(spark), step.fit(df).tidy(spark)]
+    for d in out[1:]:
+        out[0] = out[0].union(d)
+    return out[0]
+
+
+def runtime(spark, folder):
+    r = steps.runtime_report(spark)
+    return spark.createDataFrame([(r["runtime"], r["cores"] > 0, bool(r["version"]))], "runtime string, has_cores boolean, has_version boolean")
+
+
+def tied_classes(spark, folder):
+    """Of classes of one size the first is the minority, in the uniform variant, and a fixed pair decides in the other."""
+    df = tables.read(spark, folder, "nation").where("n_nationkey < 24").select("n_nationkey", F.col("n_regionkey").cast("double").alias("x"), F.when(F.col("n_nationkey") % 2 == 0, "even").otherwise("odd").alias("cls"))
+    how = {"id_col": "n_nationkey", "features": ["x"]}
+    count = lambda r, name: r.data.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).withColumn("variant", F.lit(name))
+    out = count(balance.adasyn_uniform(df, "cls", 0.5, **how), "uniform")
+    out = out.union(count(balance.adasyn(df, "cls", 0.5, minority="odd", majority="even", **how), "fixed"))
+    return out.union(count(balance.nearmiss(df, "cls", 0.25, **how), "nearmiss"))
+
+
+def audit(spark, folder):
+    """Diagnostics as numbers: rows in, made, removed and out, and class ratios before and after."""
+    out = balance.adanear(tables.parts(spark, folder), "cls", 0.3, 0.5, 5, 5, 7, audit_level="light", **PART)
+    d = out.diagnostics | {"class_ratio_out": out.class_ratio_out()}
+    names = ("rows_in", "rows_generated", "rows_removed", "rows_out", "class_ratio_in", "class_ratio_out")
+    return spark.createDataFrame([(n, round(float(d[n]), 9)) for n in names], "name string, value double")
+
+
+def column_types(spark, folder):
+    """Kinds and ranges of columns, as they decide how new values are rounded and clamped."""
+    df = tables.read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_extendedprice").cast("double").alias("l_extendedprice"), (F.col("l_linenumber") == 1).alias("first"))
+    names = ["l_orderkey", "l_linenumber", "l_extendedprice"]
+    rows = restore.inferred(df, names, schema.facts(df, "first", names))
+    return spark.createDataFrame([(n, k, lo, hi) for n, k, lo, hi in rows], "feature string, kind string, low long, high long")
+
+
+#: Numbers that parameters are tried with.
+TRIED = (-1.0, 0.0, 0.25, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 1000.0, 2147483647.0, 2147483648.0, float("inf"))
+
+
+def _accepted(check, *x) -> bool:
+    try:
+        check(*x)
+    except BalanceError:
+        return False
+    return True
+
+
+def parameter_checks(spark, folder):
+    """Which numbers each parameter takes."""
+    from evenkeel.operators import checks
+
+    known = {
+        "positive_integer": lambda x: checks.positive_integer(x, "k"),
+        "workers": lambda x: balance.Options(workers=x),
+        "chunk_size": checks.chunk_size,
+        "seed": checks.seed,
+        "ratio": lambda x: checks.ratio(x, "ratio"),
+        "hybrid_ratio": lambda x: checks.ratio(x, "ratio", zero=True),
+        "graph_m": lambda x: checks.graph_parameters(x, 200),
+        "graph_ef": lambda x: checks.graph_parameters(16, x),
+        "scale": lambda x: checks.scaling(scaling.Scaling((0.0,), (x,)), ["a"]),
+        "center": lambda x: checks.scaling(scaling.Scaling((x,), (1.0,)), ["a"]),
+        "output_rows": lambda x: checks.output_rows(1000, x),
+        "dense_budget": lambda x: checks.dense_budget(10_000_000, 100, 2, x, "it"),
+        "retention": lambda x: roles.retention(3, 9, checks.ratio(x, "ratio")),
+    }
+    return spark.createDataFrame([(name, x, _accepted(f, x)) for name, f in known.items() for x in TRIED], "name string, value double, accepted boolean")
+
+
+def choice_checks(spark, folder):
+    """Which names of levels, backends, flags and columns are taken, and what an audit flag does to a level."""
+    from evenkeel.operators import checks
+
+    rows = [("level", str(a), v, checks.audit_level(a, v) if _accepted(checks.audit_level, a, v) else None) for a in (True, False) for v in ("none", "light", "full", "other")]
+    rows += [("backend", v, "", checks.backend(v) if _accepted(checks.backend, v) else None) for v in ("parallel", "RcppParallel", "other")]
+    df = tables.parts(spark, folder)
+    for target, features in (("cls", "p_size"), ("cls", "nothing"), ("nothing", "p_size"), ("cls", "cls"), ("cls", "p_size,p_size"), ("cls", "p_size,p_retailprice")):
+        names = features.split(",")
+        rows.append(("columns", target, features, ",".join(schema.resolved(df, target, names, "p_partkey")) if _accepted(schema.resolved, df, target, names, "p_partkey") else None))
+    return spark.createDataFrame(rows, "name string, a string, b string, result string")
+
+
+def row_checks(spark, folder):
+    """Which tables are taken: nulls, infinite values, one class, three classes, classes of one row, no row."""
+    df = tables.parts(spark, folder).select("p_partkey", F.col("p_size").cast("double").alias("x"), "cls")
+    first = F.col("p_partkey") == 1
+    cases = {
+        "plain": df,
+        "null feature": df.withColumn("x", F.when(~first, F.col("x"))),
+        "infinite feature": df.withColumn("x", F.when(first, float("inf")).otherwise(F.col("x"))),
+        "no number": df.withColumn("x", F.when(first, float("nan")).otherwise(F.col("x"))),
+        "null target": df.withColumn("cls", F.when(~first, F.col("cls"))),
+        "one class": df.where("cls = 'common'"),
+        "three classes": df.withColumn("cls", F.when(first, "third").otherwise(F.col("cls"))),
+        "one row in a class": df.withColumn("cls", F.when(first, "rare").otherwise("common")),
+        "no row": df.limit(0),
+        "text": df.withColumn("x", F.col("x").cast("string")),
+    }
+    said = [(name, _accepted(lambda d: schema.facts(d, "cls", schema.resolved(d, "cls", ["x"], "p_partkey")), d)) for name, d in cases.items()]
+    return spark.createDataFrame(said, "name string, accepted boolean")
+
+
+def engine_choice(spark, folder):
+    """The engine and algorithm that each request resolves to, or null."""
+    rows = []
+    for engine in ("auto", "exact", *knn.ENGINES, "other"):
+        for metric in knn.METRICS:
+            for approx in (False, True):
+                got = knn.resolved_engine(engine, metric, approx) if _accepted(knn.resolved_engine, engine, metric, approx) else None
+                rows.append((engine, metric, approx, got, got and knn.resolved_algorithm("auto", got)))
+    return spark.createDataFrame(rows, "engine string, metric string, approximate boolean, resolved string, algorithm string")
 
 
 def _sql_rows(body: str, kept: str, with_syn: bool, target: str = "cls") -> str:
@@ -279,7 +444,29 @@ SELECT query_id, rank, neighbor_id, round(d, 6) AS dist FROM k WHERE rank <= {k}
         "step_nearmiss": (step_nearmiss, _sql_rows(f"{part}, {sql.retained(1, 5, False)}", "rare OR id IN (SELECT id FROM r)", False)),
         "step_skipped": (step_skipped, f"SELECT p_partkey, p_size, p_retailprice, {cls} AS cls FROM part"),
         "contents_ids": (contents_ids, "SELECT l_orderkey, l_linenumber, count(*) AS ids FROM lineitem GROUP BY 1, 2"),
-        "generated_table": (generated_table, None),
+        "generated_table": (generated_table, sql.generated(2000, 12, 0.05, 1)),
+        "balance_adasyn": (balance_adasyn, _sql_rows(f"{part}, {syn}", "true", True)),
+        "balance_nearmiss": (balance_nearmiss, _sql_rows(f"{part}, {sql.retained(1, 5, False)}", "rare OR id IN (SELECT id FROM r)", False)),
+        "balance_adanear_weight": (balance_adanear_weight, f"{part}, m AS (SELECT n_min + greatest(1, floor(n_min * 0.3::DOUBLE))::BIGINT AS a, n_maj FROM n), k AS (SELECT a, least(n_maj, floor(a * 2.0::DOUBLE))::BIGINT AS b FROM m) SELECT 'rare' AS cls, a AS n, round(greatest(a, b)::DOUBLE / least(a, b), 9) AS scale_pos_weight FROM k UNION ALL SELECT 'common', b, round(greatest(a, b)::DOUBLE / least(a, b), 9) FROM k"),
+        "step_adanear": (step_adanear, _sql_rows(hybrid, "rare OR id IN (SELECT id FROM r)", True)),
+        "step_adasyn_uniform": (step_adasyn_uniform, _sql_rows(f"{pop}, {sql.synthetic(0.5, 3, 7, False)}", "true", True)),
+        "step_nearmiss_uniform": (step_nearmiss_uniform, _sql_rows(f"{pop}, {sql.retained(1.5, 7, False, True, True)}", "rare OR id IN (SELECT id FROM r)", False)),
+        "step_adanear_uniform": (step_adanear_uniform, _sql_rows(f"{pop}, {sql.synthetic(0.3, 3, 7, False)}, {sql.retained(0.5, 7, True, True, True)}", "rare OR id IN (SELECT id FROM r)", True)),
+        "step_in_pipeline": (step_in_pipeline, f"{part}, k AS (SELECT 'rare' AS cls, n_min AS passed, n_min + floor(n_min * 40) AS fitted FROM n UNION ALL SELECT 'common', n_maj, n_maj FROM n) SELECT cls, passed, (row_number() OVER (ORDER BY fitted DESC, cls) - 1)::INTEGER AS place FROM k"),
+        "step_tidy": (step_tidy, "SELECT CASE WHEN true THEN 'cls' END AS terms, m AS method, r AS ratio, nr AS nearmiss_ratio, sk AS skip, t AS trained, 'step_' || m AS id FROM (VALUES ('adasyn', 0.5::DOUBLE, NULL::DOUBLE, true), ('nearmiss', 1.5, NULL, false), ('adanear', 0.3, 0.5, true)) v(m, r, nr, sk), (VALUES (false), (true)) w(t)"),
+        "runtime": (runtime, "SELECT 'spark' AS runtime, true AS has_cores, true AS has_version"),
+        "tied_classes": (tied_classes, "WITH c AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS cls, count(*) AS n FROM nation WHERE n_nationkey < 24 GROUP BY 1) SELECT cls, (n + CASE WHEN (v = 'uniform' AND cls = (SELECT min(cls) FROM c)) OR (v = 'fixed' AND cls = 'odd') THEN greatest(1, floor(n * 0.5)) ELSE 0 END)::BIGINT AS n, v AS variant FROM c, (VALUES ('uniform'), ('fixed'), ('nearmiss')) w(v)"),
+        "audit": (audit, f"{part}, k AS (SELECT n_min + n_maj AS rows_in, greatest(1, floor(n_min * 0.3::DOUBLE)) AS g, n_min, n_maj FROM n), m AS (SELECT *, least(n_maj, floor((n_min + g) * 0.5::DOUBLE)) AS kept FROM k) SELECT name, round(value::DOUBLE, 9) AS value FROM (SELECT unnest(['rows_in', 'rows_generated', 'rows_removed', 'rows_out', 'class_ratio_in', 'class_ratio_out']) AS name, unnest([rows_in::DOUBLE, g::DOUBLE, n_maj - kept, n_min + g + kept, n_maj::DOUBLE / n_min, greatest(kept, n_min + g)::DOUBLE / least(kept, n_min + g)]) AS value FROM m)"),
+        "column_types": (column_types, "SELECT 'l_orderkey' AS feature, 'integer' AS kind, min(l_orderkey)::BIGINT AS low, max(l_orderkey)::BIGINT AS high FROM lineitem UNION ALL SELECT 'l_linenumber', 'integer', min(l_linenumber), max(l_linenumber) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'double', NULL, NULL"),
+        "parameter_checks": (parameter_checks, f"""WITH v AS (SELECT unnest([{', '.join("'inf'::DOUBLE" if x == float('inf') else f'{x!r}::DOUBLE' for x in TRIED)}]) AS value),
+w AS (SELECT value, value < 'inf'::DOUBLE AS fin, value = floor(value) AND value < 2147483648 AS whole FROM v)
+SELECT name, value, CASE WHEN name IN ('positive_integer', 'workers', 'chunk_size', 'graph_ef') THEN whole AND value >= 1 WHEN name = 'seed' THEN whole AND value >= 0 WHEN name IN ('ratio', 'scale') THEN fin AND value > 0
+  WHEN name = 'hybrid_ratio' THEN fin AND value >= 0 WHEN name = 'graph_m' THEN whole AND value >= 2 WHEN name = 'center' THEN fin WHEN name = 'output_rows' THEN 1000 <= value
+  WHEN name = 'dense_budget' THEN 10000000::DOUBLE * 100 * 8 * 2 / 1e9 <= value ELSE fin AND 3 * value >= 1 END AS accepted
+FROM w, (SELECT unnest(['positive_integer', 'workers', 'chunk_size', 'seed', 'ratio', 'hybrid_ratio', 'graph_m', 'graph_ef', 'scale', 'center', 'output_rows', 'dense_budget', 'retention']) AS name)"""),
+        "choice_checks": (choice_checks, "SELECT 'level' AS name, a, b, CASE WHEN b = 'other' THEN NULL WHEN a = 'True' THEN 'full' ELSE b END AS result FROM (SELECT unnest(['True', 'False']) AS a), (SELECT unnest(['none', 'light', 'full', 'other']) AS b) UNION ALL SELECT 'backend', a, '', CASE WHEN a <> 'other' THEN a END FROM (SELECT unnest(['parallel', 'RcppParallel', 'other']) AS a) UNION ALL SELECT 'columns', a, b, CASE WHEN ok THEN b END FROM (VALUES ('cls', 'p_size', true), ('cls', 'nothing', false), ('nothing', 'p_size', false), ('cls', 'cls', false), ('cls', 'p_size,p_size', false), ('cls', 'p_size,p_retailprice', true)) v(a, b, ok)"),
+        "row_checks": (row_checks, f"WITH c AS (SELECT {cls} AS cls, count(*) AS n FROM part GROUP BY 1) SELECT name, name = 'plain' AND (SELECT count(*) = 2 AND min(n) >= 2 FROM c) AS accepted FROM (SELECT unnest(['plain', 'null feature', 'infinite feature', 'no number', 'null target', 'one class', 'three classes', 'one row in a class', 'no row', 'text']) AS name)"),
+        "engine_choice": (engine_choice, "WITH r AS (SELECT engine, metric, approximate, CASE WHEN engine = 'auto' THEN CASE WHEN metric = 'euclidean' THEN 'native' WHEN approximate THEN 'RcppHNSW' END WHEN engine IN ('exact', 'RcppHNSW') OR (metric = 'euclidean' AND engine <> 'other') THEN engine END AS resolved FROM (SELECT unnest(['auto', 'exact', 'native', 'FNN', 'RcppHNSW', 'KernelKnn', 'bigKNN', 'other']) AS engine), (SELECT unnest(['euclidean', 'cosine', 'ip']) AS metric), (SELECT unnest([true, false]) AS approximate)) SELECT *, CASE WHEN resolved = 'FNN' THEN 'kd_tree' WHEN resolved = 'RcppHNSW' THEN 'auto' WHEN resolved IS NOT NULL THEN 'brute' END AS algorithm FROM r"),
     }
 
 

@@ -70,3 +70,19 @@ def rows(kept: str, with_syn: bool, whole: str = "12") -> str:
         back = [f"least(greatest(round_even(z{i} * s{i} + m{i}, 0), lo{i}), hi{i})" if str(i) in whole else f"z{i} * s{i} + m{i}" for i in (1, 2)]
         out += f" UNION ALL SELECT NULL, {back[0]}, {back[1]}, true FROM syn, s"
     return out
+
+
+def generated(rows: int, features: int, prevalence: float, seed: int) -> str:
+    """The generated table with a rare class, from md5 digests of seed, row and column."""
+    u = lambda tag: f"(('0x' || substr(md5('{seed}|' || id || '|{tag}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    z = lambda tag: f"(sqrt(-2 * ln(1 - {u(tag + 'u')})) * cos({u(tag + 'v')} * 6.283185307179586::DOUBLE))"
+    names = [f"f{i:03d}" for i in range(features)]
+    form = (lambda c: f"round(exp({z(c)} + 5), 2)", lambda c: f"least(greatest(0.5::DOUBLE + {z(c)} / 6, 0), 1)", lambda c: f"floor(-ln(1 - {u(c)}) * 10)::INTEGER", lambda c: f"({u(c)} < 0.3)::INTEGER")
+    columns = ", ".join(f"CASE WHEN {u(c + 'zero')} >= 0.2 THEN {form[i % 4](c)} ELSE 0 END AS {c}" for i, c in enumerate(names))
+    own = [f"(({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1))" for c in names[:20]]
+    signal = " + ".join(f"{a} * {b}" for a, b in zip(own[::2], own[1::2], strict=False))
+    out = ", ".join(f"round({c}, 6) AS {c}" if i % 4 < 2 else c for i, c in enumerate(names))
+    at = -(-rows * (1 - prevalence) // 1)
+    return f"""WITH t AS (SELECT id, {columns} FROM (SELECT unnest(range({rows})) AS id)),
+s AS (SELECT *, {signal} + {z("noise")} AS signal FROM t)
+SELECT id AS ID, CASE WHEN signal > (SELECT signal FROM s ORDER BY signal LIMIT 1 OFFSET {int(at) - 1}) THEN 'Yes' ELSE 'No' END AS TARGET_CLASS, {out} FROM s"""

@@ -263,7 +263,7 @@ def test_steps(spark):
     with pytest.raises(BalanceError):
         steps.step_adasyn("y", ratio=-1)
     with pytest.raises(BalanceError):
-        model.step.fit(df).step and steps.BalanceStep("adasyn", "y", skip=False).fit(df).transform(df.drop("y"))
+        steps.BalanceStep("adasyn", "y", skip=False).fit(df).transform(df.drop("y"))
     assert steps.runtime_report(spark)["runtime"] == "spark"
 
 
@@ -274,6 +274,68 @@ def test_pipeline_of_steps(spark):
     assert Pipeline(stages=[steps.step_nearmiss("y", ratio=1, skip=False)]).fit(df).transform(df).count() == 20
 
 
+def test_later_stages_are_fitted_on_balanced_rows(spark, tmp_path):
+    """And new rows, or the training rows when scored, pass unchanged; params are copied, steps saved and loaded."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    df = table(spark, 10, 30).drop("id")
+    step = steps.step_adasyn("y", ratio=2.0, seed=1, k=3, decimals=9)
+    later = [StringIndexer(inputCol="y", outputCol="label"), VectorAssembler(inputCols=["x1", "x2"], outputCol="v"), LogisticRegression(featuresCol="v")]
+    model = Pipeline(stages=[step, *later]).fit(df)
+    assert model.stages[1].labelsArray == [("maj", "min")] or model.stages[-1].summary.predictions.count() == 60
+    assert model.stages[-1].summary.predictions.count() == 60 and model.transform(df).count() == 40
+    other = step.copy({step.ratio: 1.0})
+    assert other.fit_resample(df).count() == 50 and step.fit_resample(df).count() == 60 and other.value("options") == {"decimals": 9}
+    step.save(str(tmp_path / "step"))
+    assert steps.BalanceStep.load(str(tmp_path / "step")).fit_resample(df).exceptAll(step.fit_resample(df)).isEmpty()
+    model.save(str(tmp_path / "model"))
+    back = PipelineModel.load(str(tmp_path / "model"))
+    assert back.transform(df).count() == 40 and back.stages[0].value("outcome") == "y"
+    with pytest.raises(BalanceError, match="loaded"):
+        back.stages[0].training()
+    with pytest.raises(BalanceError):
+        step.copy({step.ratio: -1.0}).fit(df)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_bounded_way_gives_the_general_ways_rows(spark, metric):
+    df = table(spark, 20, 70).withColumn("y", F.when(F.col("id") % 9 < 2, "min").otherwise("maj")).withColumn("s", F.col("id").cast("string"))
+    for call, more in ((balance.adasyn, {"ratio": 0.7}), (balance.nearmiss, {"ratio": 1.3}), (balance.adanear, {}), (balance.adanear_uniform, {"adasyn_ratio": 0.7})):
+        for key in ("id", "s"):
+            out = [call(df, "y", seed=3, id_col=key, features=["x1", "x2"], decimals=9, metric=metric, engine="exact", small=small, provenance=True, **more).data for small in (knn.SMALL, 0)]
+            a, b = (sorted(map(str, d.select(key, "y", *[F.round(c, 9) for c in ("x1", "x2")]).collect())) for d in out)
+            assert a == b and len(a) > 20
+
+
+def test_searches_dealt_to_tasks(spark, monkeypatch):
+    from evenkeel.operators import bounded
+
+    df = table(spark, 20, 70)
+    rows = lambda: sorted(map(str, balance.adanear(df, "y", 0.5, 0.5, id_col="id", decimals=9).data.collect()))
+    alone = rows()
+    monkeypatch.setattr(bounded, "ALONE", 1)
+    assert rows() == alone
+
+
+def test_bounds_of_long_columns(spark):
+    big = 2**62
+    df = spark.createDataFrame([(i, big + 1 + (0 if i < 3 else i << 55), float(i), "a" if i < 3 else "b") for i in range(12)], "id long, x long, w double, y string")
+    facts = schema.facts(df, "y", ["x", "w"])
+    assert facts.low[0] == big + 1 and facts.high[0] == big + 1 + (11 << 55)
+    made = balance.adasyn(df, "y", 2, id_col="id").data.where("id IS NULL")
+    assert {r.x for r in made.collect()} == {big + 1} and made.count() == 6
+
+
+def test_other_than_two_classes(spark):
+    df = spark.createDataFrame([(float(i), c) for i, c in enumerate("abcabcd")], "x double, y string")
+    for call in (lambda d: balance.weighted(d, "y"), lambda d: balance.balance(d, "y", "none"), lambda d: balance.balance(d, "y", "weight")):
+        for d in (df, df.where("y = 'a'")):
+            with pytest.raises(BalanceError, match="exactly two"):
+                call(d)
+
+
 def test_generated(spark):
     m = generated.matrix_frame(spark, [[1.0, 2.0], [3.0, 4.0]], ["a", "b"])
     assert m.columns == ["id", "V1", "V2", "y"]
@@ -291,3 +353,10 @@ def test_stream_batches(spark, tmp_path):
     q = batches.balanced_batches(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "y", lambda b, n: seen.append(b.count()), "nearmiss", id_col="id").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert seen == [10]
+    with pytest.raises(BalanceError):
+        batches.balanced_batches(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "y", None, "nearmis")
+    why, one = [], df.where("y = 'maj'")
+    one.coalesce(1).write.parquet(str(tmp_path / "one"))
+    q = batches.balanced_batches(spark.readStream.schema(df.schema).parquet(str(tmp_path / "one")), "y", lambda b, n: seen.append(b.count()), "nearmiss", id_col="id", passed=lambda n, w: why.append(w)).option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert seen == [10, 15] and why == ["fewer than two classes"]
