@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised
 residuals, asymmetric distance tables, and exact reranking.
 
-Centroids and code books are fitted on at most `SAMPLE` vectors (by the ids' hashes; documented bound);
-every vector is indexed. Lists are found in a space with one more dimension, in which the nearest vector is the one
-with the largest inner product. The index is dealt into chunks of about `CHUNK` rows, queries into blocks of about
-`BLOCK`; each chunk meets each block once, so no task holds more than one of each, whatever a list's or a group of
-copies' size. Of equal vectors in a chunk only the TOP + 1 smallest ids can be in an answer; the others are left out
+Centroids and code books are fitted on at most `SAMPLE` vectors (by the ids' hashes; documented bound); every vector is
+indexed. Lists are found in a space with one more dimension, in which the nearest vector is the one with the largest
+inner product. Lists that lie near each other share a cell of about `CHUNK` rows; a larger list, as of a vector with very
+many copies, is dealt over cells of its own. A query goes to the cells that hold a list that it probes, and to no other;
+there the estimates of these lists' rows are made, and the best are ranked again by their vectors. So what is shuffled
+are the index, once for each `BLOCK` queries, and each query once for each cell that it probes; no task holds more than a
+cell and a block. Of equal vectors in a cell only the TOP + 1 smallest ids can be in an answer; the others are left out
 before anything is scored.
 
 `PROBE` is the share of lists that a query reads. Vectors without structure have neighbours in most lists, so it is
@@ -14,14 +16,12 @@ lists hold too few candidates, further ones are read, so that no query gets fewe
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those
 with a null id or another length than most sampled vectors have. Rows that share an id are not neighbours of each
-other; equal rows count once. An empty table gives an empty table. Ties go to smaller ids. Only the id and vector
+other; equal rows count once, and a query whose id has several vectors asks with the smallest. An empty table gives an empty table. Ties go to smaller ids. Only the id and vector
 columns are read.
 """
 
 from __future__ import annotations
 
-import collections
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from evenkeel.llm import kit
 
 SAMPLE, LISTS, CODES, WIDTH = 16_384, 256, 256, 4
-CHUNK, BLOCK = 8192, 2048
+CHUNK, BLOCK = 8192, 16_384
 PROBE, RERANK, TOP = 0.75, 400, 20
 
 
@@ -73,23 +73,27 @@ class Index:
         codes = [nearest(rest[:, i * WIDTH : (i + 1) * WIDTH], b) for i, b in enumerate(self.books)]
         return lists.astype(np.int32), np.column_stack(codes).astype(np.uint8)
 
-    def search(self, lists: np.ndarray, codes: np.ndarray, q: np.ndarray, depth: int, least: int = 0):
-        """For each query the places of the `depth` rows with the largest estimates in the lists that it probes.
+    def probed(self, q: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
+        """For each query and list whether it is probed; `size` has the lists' rows.
 
         Further lists are probed until they hold `least` rows or none is left.
         """
         near = q @ self.centroids[:, : self.dim].T
         probes = max(1, int(np.ceil(PROBE * len(self.centroids))))
-        probed = np.zeros(near.shape, bool)
-        np.put_along_axis(probed, np.argpartition(-near, probes - 1, axis=1)[:, :probes], True, axis=1)
-        size = np.bincount(lists, minlength=len(self.centroids))
-        short = np.flatnonzero((probed * size).sum(axis=1) < least)
+        out = np.zeros(near.shape, bool)
+        np.put_along_axis(out, np.argpartition(-near, probes - 1, axis=1)[:, :probes], True, axis=1)
+        short = np.flatnonzero((out * size).sum(axis=1) < least)
         if len(short):
             by = np.argsort(-near[short], axis=1, kind="stable")
             before = np.cumsum(size[by], axis=1) - size[by]
             more = np.zeros((len(short), len(size)), bool)
             np.put_along_axis(more, by, before < least, axis=1)
-            probed[short] |= more
+            out[short] |= more
+        return out
+
+    def search(self, lists: np.ndarray, codes: np.ndarray, q: np.ndarray, probed: np.ndarray, depth: int):
+        """For each query the places of the `depth` rows with the largest estimates in the lists that it probes."""
+        near = q @ self.centroids[:, : self.dim].T
         tables = [q[:, i * WIDTH : (i + 1) * WIDTH] @ b.T for i, b in enumerate(self.books)]
         order = np.argsort(lists, kind="stable")
         present, starts = np.unique(lists[order], return_index=True)
@@ -110,6 +114,29 @@ class Index:
                 yield lo + i, best[i][estimate[i, best[i]] > -np.inf]
 
 
+def cells(centroids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each list its first cell and how many cells it has: its own ones if it is large, else one that near lists share.
+
+    Each next list is the nearest of those left, so a cell's lists tend to be probed together.
+    """
+    begin, parts = np.zeros(len(size), np.int64), np.maximum(1, -(-size // CHUNK))
+    left, at, cell, held = np.ones(len(size), bool), 0, 0, 0
+    while left.any():
+        left[at] = False
+        if parts[at] > 1:
+            begin[at] = cell + (held > 0)
+            cell, held = begin[at] + parts[at], 0
+        else:
+            if held + size[at] > CHUNK:
+                cell, held = cell + 1, 0
+            begin[at] = cell
+            held += size[at]
+        if left.any():
+            rest = np.flatnonzero(left)
+            at = rest[np.argmin(((centroids[rest] - centroids[at]) ** 2).sum(axis=1))]
+    return begin, parts
+
+
 def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     v = F.col("__v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -135,7 +162,6 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
     fitted = Index(dim, float(square)).fit(sample)
     # plain arrays, of a size that the parameters fix
     held = spark.sparkContext.broadcast((dim, fitted.square, fitted.centroids, fitted.books))
-    chunks, blocks = -(-n // CHUNK), max(1, -(-asked // BLOCK))
 
     def encode(batches):
         index = Index(*held.value)
@@ -144,6 +170,8 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
             lists, codes = index.encode(x) if len(x) else (np.empty(0, np.int32), np.empty((0, 1), np.uint8))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], ["__id", "__list", "__code", "__vector"])
 
+    lists_ = len(fitted.centroids)
+
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
         none = pa.table([pa.array([], right.schema.field("__id").type), pa.array([], left.schema.field("__id").type), pa.array([], pa.float64())], names=names)
@@ -161,9 +189,9 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
         codes = np.frombuffer(b"".join(left.column("__code").take(pa.array(first)).to_pylist()), np.uint8).reshape(len(first), -1)
         lists = left.column("__list").to_numpy()[first]
         q = np.frombuffer(b"".join(right.column("__vector").to_pylist()), np.float64).reshape(-1, dim)
+        probed = np.unpackbits(np.frombuffer(b"".join(right.column("__probed").to_pylist()), np.uint8).reshape(len(q), -1), axis=1, count=lists_).astype(bool)
         asks, groups, out = right.column("__id").to_pylist(), list(copies.values()), []
-        least = top + max(collections.Counter(ids).values())  # a query's own rows are no candidates
-        for i, found in Index(*held.value).search(lists, codes, q, RERANK, least):
+        for i, found in Index(*held.value).search(lists, codes, q, probed, RERANK):
             exact = (x[found] * q[i]).sum(axis=1)
             took = []
             for k in np.argsort(-exact, kind="stable"):
@@ -174,12 +202,31 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
             out += [(asks[i], v, s) for s, v in took[:top]]
         return pa.table([pa.array([r[c] for r in out], none.schema.field(c).type) for c in range(3)], names=names)
 
-    index = rows.mapInArrow(kit.lean(encode), f"__id {kind}, __list int, __code binary, __vector binary")
-    dealt = lambda name, n, seed: F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(n)).cast("int").alias(name)
-    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = index.select("*", dealt("chunk", chunks, 1)).select("*", every("block", blocks))
-    right = index.where(is_query(F.col("__id"))).dropDuplicates(["__id"]).select("__id", "__vector", dealt("block", blocks, 2)).select("*", every("chunk", chunks))
-    met = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(meet, f"query_id {kind}, vec_id {kind}, score double").distinct()
+    index = kit.checkpointed(rows.mapInArrow(kit.lean(encode), f"__id {kind}, __list int, __code binary, __vector binary"))
+    # no more rows than there are lists
+    size = np.zeros(len(fitted.centroids), np.int64)
+    for r in index.groupBy("__list").agg(F.count(F.lit(1)).alias("n")).collect():
+        size[r["__list"]] = r.n
+    begin, parts = cells(fitted.centroids, size)
+    cell = F.get(F.array(*[F.lit(int(x)) for x in begin]), F.col("__list")) + F.pmod(F.xxhash64("__id", F.lit(1)), F.get(F.array(*[F.lit(int(x)) for x in parts]), F.col("__list"))).cast("int")
+    # a query's own rows are no candidates
+    own = rows.where(is_query(F.col("__id"))).groupBy("__id").agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("__v"))
+    least = top + (own.agg(F.max("n")).first()[0] or 0)
+    goals = [np.arange(b, b + k, dtype=np.int32) for b, k in zip(begin.tolist(), parts.tolist(), strict=True)]
+
+    def route(batches):
+        index = Index(*held.value)
+        for b in batches:
+            x = b.column(1).flatten().to_numpy().reshape(-1, dim)
+            probed = index.probed(x, size, least) if len(x) else np.zeros((0, len(size)), bool)
+            to = [np.unique(np.concatenate([goals[c] for c in np.flatnonzero(p & (size > 0))])).tolist() for p in probed]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([np.packbits(p).tobytes() for p in probed], pa.binary()), pa.array(to, pa.list_(pa.int32()))], ["__id", "__vector", "__probed", "__to"])
+
+    blocks = max(1, -(-asked // BLOCK))
+    left = index.withColumn("cell", cell).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = own.select("__id", "__v").mapInArrow(kit.lean(route), f"__id {kind}, __vector binary, __probed binary, __to array<int>")
+    right = right.select("__id", "__vector", "__probed", F.pmod(F.xxhash64("__id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.explode("__to").alias("cell"))
+    met = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInArrow(meet, f"query_id {kind}, vec_id {kind}, score double").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

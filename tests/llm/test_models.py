@@ -206,6 +206,39 @@ def test_neighbours_of_odd_vectors(spark, folder):
     assert [(r.vec_id, r["rank"], r.score) for r in neighbours.op8(spark, folder(embeddings=few)).collect()] == [(5, 1, 2.0)]
 
 
+def test_cells_hold_lists_of_a_size(monkeypatch):
+    monkeypatch.setattr(neighbours, "CHUNK", 10)
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        size = rng.choice([0, 1, 4, 9, 10, 35], 30)
+        begin, parts = neighbours.cells(rng.normal(size=(30, 3)), size)
+        load = collections.Counter()
+        for b, k, n in zip(begin.tolist(), parts.tolist(), size.tolist(), strict=True):
+            assert k == max(1, -(-n // 10))
+            load.update({b: n} if k == 1 else dict.fromkeys(range(b, b + k), 10))
+        assert max(load.values()) <= 10
+
+
+def test_queries_go_to_cells_that_they_probe_only(spark, monkeypatch):
+    """Clustered vectors and few probes: of 12 cells each query reaches few, and finds its cluster."""
+    monkeypatch.setattr(neighbours, "CHUNK", 100)
+    monkeypatch.setattr(neighbours, "PROBE", 0.05)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16)) * 10
+    x = np.concatenate([c + rng.normal(size=(100, 16)) for c in centres])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = neighbours.search(df, lambda i: i % 20 == 0)
+    hit = collections.Counter()
+    got = collections.defaultdict(set)
+    for r in out.collect():
+        got[r.query_id].add(r.vec_id)
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit.update(n=len(found & set(np.argsort(-s)[:20].tolist())))
+    assert len(got) == 60 and hit["n"] >= 0.9 * 20 * 60
+
+
 def test_neighbours_of_small_tables(spark):
     rng = np.random.default_rng(4)
     for n in (3, 8, 15, 21, 22, 30):
