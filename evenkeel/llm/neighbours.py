@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from evenkeel.llm import kit
 
 SAMPLE, LISTS, CODES, WIDTH = 16_384, 256, 256, 4
-CHUNK, BLOCK = 8192, 16_384
-PROBE, RERANK, TOP = 0.75, 400, 20
+CHUNK, LEAST, BLOCK = 8192, 512, 16_384
+PROBE, RERANK, TOP = 0.75, 800, 20
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -114,12 +114,12 @@ class Index:
                 yield lo + i, best[i][estimate[i, best[i]] > -np.inf]
 
 
-def cells(centroids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cells(centroids: np.ndarray, size: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
     """For each list its first cell and how many cells it has: its own ones if it is large, else one that near lists share.
 
     Each next list is the nearest of those left, so a cell's lists tend to be probed together.
     """
-    begin, parts = np.zeros(len(size), np.int64), np.maximum(1, -(-size // CHUNK))
+    begin, parts = np.zeros(len(size), np.int64), np.maximum(1, -(-size // chunk))
     left, at, cell, held = np.ones(len(size), bool), 0, 0, 0
     while left.any():
         left[at] = False
@@ -127,7 +127,7 @@ def cells(centroids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
             begin[at] = cell + (held > 0)
             cell, held = begin[at] + parts[at], 0
         else:
-            if held + size[at] > CHUNK:
+            if held + size[at] > chunk:
                 cell, held = cell + 1, 0
             begin[at] = cell
             held += size[at]
@@ -160,6 +160,9 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
     sample = rows.where(likely).orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)), "__id").limit(SAMPLE).select("__v").toArrow()
     sample = sample.column(0).combine_chunks().flatten().to_numpy().reshape(-1, dim)
     fitted = Index(dim, float(square)).fit(sample)
+    # a small table is dealt to some 32 tasks, which look as deep into it together
+    chunk = min(CHUNK, max(LEAST, n // 32))
+    depth = max(RERANK // 2, RERANK * chunk // CHUNK)
     # plain arrays, of a size that the parameters fix
     held = spark.sparkContext.broadcast((dim, fitted.square, fitted.centroids, fitted.books))
 
@@ -191,7 +194,7 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
         q = np.frombuffer(b"".join(right.column("__vector").to_pylist()), np.float64).reshape(-1, dim)
         probed = np.unpackbits(np.frombuffer(b"".join(right.column("__probed").to_pylist()), np.uint8).reshape(len(q), -1), axis=1, count=lists_).astype(bool)
         asks, groups, out = right.column("__id").to_pylist(), list(copies.values()), []
-        for i, found in Index(*held.value).search(lists, codes, q, probed, RERANK):
+        for i, found in Index(*held.value).search(lists, codes, q, probed, depth):
             exact = (x[found] * q[i]).sum(axis=1)
             took = []
             for k in np.argsort(-exact, kind="stable"):
@@ -207,7 +210,7 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
     size = np.zeros(len(fitted.centroids), np.int64)
     for r in index.groupBy("__list").agg(F.count(F.lit(1)).alias("n")).collect():
         size[r["__list"]] = r.n
-    begin, parts = cells(fitted.centroids, size)
+    begin, parts = cells(fitted.centroids, size, chunk)
     cell = F.get(F.array(*[F.lit(int(x)) for x in begin]), F.col("__list")) + F.pmod(F.xxhash64("__id", F.lit(1)), F.get(F.array(*[F.lit(int(x)) for x in parts]), F.col("__list"))).cast("int")
     # a query's own rows are no candidates
     own = rows.where(is_query(F.col("__id"))).groupBy("__id").agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("__v"))

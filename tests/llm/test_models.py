@@ -206,12 +206,11 @@ def test_neighbours_of_odd_vectors(spark, folder):
     assert [(r.vec_id, r["rank"], r.score) for r in neighbours.op8(spark, folder(embeddings=few)).collect()] == [(5, 1, 2.0)]
 
 
-def test_cells_hold_lists_of_a_size(monkeypatch):
-    monkeypatch.setattr(neighbours, "CHUNK", 10)
+def test_cells_hold_lists_of_a_size():
     rng = np.random.default_rng(3)
     for _ in range(20):
         size = rng.choice([0, 1, 4, 9, 10, 35], 30)
-        begin, parts = neighbours.cells(rng.normal(size=(30, 3)), size)
+        begin, parts = neighbours.cells(rng.normal(size=(30, 3)), size, 10)
         load = collections.Counter()
         for b, k, n in zip(begin.tolist(), parts.tolist(), size.tolist(), strict=True):
             assert k == max(1, -(-n // 10))
@@ -221,7 +220,7 @@ def test_cells_hold_lists_of_a_size(monkeypatch):
 
 def test_queries_go_to_cells_that_they_probe_only(spark, monkeypatch):
     """Clustered vectors and few probes: of 12 cells each query reaches few, and finds its cluster."""
-    monkeypatch.setattr(neighbours, "CHUNK", 100)
+    monkeypatch.setattr(neighbours, "LEAST", 100)
     monkeypatch.setattr(neighbours, "PROBE", 0.05)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 16)) * 10
