@@ -8,7 +8,10 @@ from rows' contents), `metric`, `engine`, `algorithm` (see `knn`), `decimals` (r
 before ranking, so that results don't depend on the order of floating-point sums), `scaling` and `already_scaled`,
 `ddof` and `constant` (see `scaling.parameters`), `target_out` (another name for the target), `provenance` (adds
 `__base_id` and `__copy`, null in original rows), `audit` or `audit_level`, `max_output_rows`, `max_dense_gb`.
-`workers`, `chunk_size`, `backend`, `graph_m` and `graph_ef` are checked, and have no effect on results.
+`workers`, `chunk_size` and `backend` are checked, and have no effect on results; `graph_m` and `graph_ef` set how much the
+approximate engine searches. `segments` adds `__segment` (0: retained majority, 1: minority, 2: synthetic) and `__ord` (the
+score of a majority row; null in others, and where all are kept unscored): ordered by both and the id, rows stand as an
+assembled table has them.
 """
 
 from __future__ import annotations
@@ -51,6 +54,7 @@ class Options:
     original_scale: bool = True
     target_out: str | None = None
     provenance: bool = False
+    segments: bool = False
     check_ids: bool = True
     audit: bool = False
     audit_level: str = "none"
@@ -68,7 +72,7 @@ class Options:
         checks.chunk_size(self.chunk_size)
         checks.backend(self.backend)
         checks.graph_parameters(self.graph_m, self.graph_ef)
-        for name in ("already_scaled", "restore_types", "return_scaled", "original_scale", "provenance", "check_ids", "audit"):
+        for name in ("already_scaled", "restore_types", "return_scaled", "original_scale", "provenance", "segments", "check_ids", "audit"):
             checks.flag(getattr(self, name), name)
         self.level = checks.audit_level(self.audit, self.audit_level)
         self.engine = knn.resolved_engine(self.engine, self.metric, self.allow_approx)
@@ -102,7 +106,7 @@ class Prepared:
 
     def _how(self, sizes) -> dict:
         o = self.o
-        return {"metric": o.metric, "engine": o.engine, "decimals": o.decimals, "small": o.small, "sizes": sizes, "dim": len(self.features)}
+        return {"metric": o.metric, "engine": o.engine, "decimals": o.decimals, "small": o.small, "sizes": sizes, "dim": len(self.features), "graph_m": o.graph_m, "graph_ef": o.graph_ef}
 
     def knn(self, queries, refs, k, sizes, **more) -> DataFrame:
         return knn.knn(queries, refs, k, algorithm=self.o.algorithm, allow_approx=self.o.allow_approx, **self._how(sizes), **more)
@@ -185,7 +189,14 @@ def _typed(p: Prepared, made: DataFrame, kinds: dict) -> DataFrame:
 def _finished(p: Prepared, originals: DataFrame, made: DataFrame | None) -> DataFrame:
     """Original rows, scaled only if asked for, then synthetic ones; their columns and the target's name as asked for."""
     o = p.o
-    rows = originals if originals.columns == p.columns else vectors.chosen(originals, p.columns)
+    marks = []
+    if o.segments:
+        if taken := {"__segment", "__ord"} & set(p.columns):
+            raise BalanceError(f"there is a column {min(taken)!r} already")
+        segment = (F.col(vectors.quoted(p.target)) == F.lit(p.roles.minority)).cast("int")
+        score = F.when(segment == 0, F.col("__score")) if "__score" in originals.columns else F.lit(None).cast("double")
+        originals, marks = originals.withColumns({"__segment": segment, "__ord": score}), ["__segment", "__ord"]
+    rows = originals if originals.columns == p.columns else vectors.chosen(originals, p.columns + marks)
     if not o.original_scale and not o.already_scaled:
         rows = scaling.apply(rows, p.features, p.scaling)
     if made is not None:
@@ -195,7 +206,9 @@ def _finished(p: Prepared, originals: DataFrame, made: DataFrame | None) -> Data
         names = [vectors.quoted(c) if kept_types or c not in own else f"CAST({vectors.quoted(c)} AS double) AS {vectors.quoted(c)}" for c in p.columns]
         extra = [f"CAST(NULL AS {base}) AS __base_id", "CAST(NULL AS bigint) AS __copy"] if o.provenance else []
         typed = _typed(p, made, kinds)
-        rows = rows.selectExpr(*names, *extra).union(typed if o.provenance else typed.drop("__base_id", "__copy"))
+        new = ["2 AS __segment", "CAST(NULL AS double) AS __ord"] if marks else []
+        own_ids = ["__base_id", "__copy"] if o.provenance else []
+        rows = rows.selectExpr(*names, *marks, *extra).union(typed.selectExpr(*map(vectors.quoted, p.columns), *new, *own_ids))
     if o.target_out and o.target_out != p.target:
         if o.target_out in rows.columns:
             raise BalanceError(f"there is a column {o.target_out!r} already")
@@ -226,7 +239,7 @@ def adasyn(df: DataFrame, target: str, ratio: float = 0.2, k: int = 5, seed: int
 
 
 def _majority_kept(p: Prepared, ratio: float, k: int, made: DataFrame | None, g: int) -> DataFrame | None:
-    """(id) of majority rows to keep, or None for all."""
+    """(id, score) of majority rows to keep, or None for all."""
     n_min, n_maj = p.roles.n_min + g, p.roles.n_maj
     if n_min == n_maj and p.o.least is None:
         return None
@@ -243,19 +256,21 @@ def _majority_kept(p: Prepared, ratio: float, k: int, made: DataFrame | None, g:
         tag = lambda n, c: F.concat(F.lit(n), c.cast("string"))
         refs = refs.select(tag("0", F.col("id")).alias("id"), "z").unionByName(made.select(F.concat_ws("|", F.lit("1"), F.col("base_id").cast("string"), F.col("copy").cast("string")).alias("id"), "z"))
     near = p.lists(queries, refs, min(k, n_min), (n_maj, n_min))
-    return undersampling.kept(undersampling.scored(near, p.o.score, p.o.metric), m, p.o.decimals).select("id")
+    return undersampling.kept(undersampling.scored(near, p.o.score, p.o.metric), m, p.o.decimals)
 
 
 def _with_majority(p: Prepared, ids: DataFrame | None) -> DataFrame:
+    """The minority and the majority rows of ids (id, score); with `__score` if segments are asked for."""
     if ids is None:
         return p.df
+    score = [F.col("score").alias("__score")] if p.o.segments else []
     if p._held is not None:
         # ids in one place: they are sent to the rows, which are read once
-        few = F.broadcast(ids.select(F.col("id").alias("__kept")))
+        few = F.broadcast(ids.select(F.col("id").alias("__kept"), *score))
         minor = F.col(f"`{p.target}`") == F.lit(p.roles.minority)
         return p.df.join(few, F.col(f"`{p.id}`") == F.col("__kept"), "left").where(minor | F.col("__kept").isNotNull()).drop("__kept")
-    kept = p.class_rows(p.roles.majority).join(ids.withColumnRenamed("id", "__kept"), F.col(f"`{p.id}`") == F.col("__kept"), "left_semi")
-    return p.class_rows(p.roles.minority).unionByName(kept)
+    kept = p.class_rows(p.roles.majority).join(ids.select(F.col("id").alias("__kept"), *score), F.col(f"`{p.id}`") == F.col("__kept"), "inner" if score else "left_semi")
+    return p.class_rows(p.roles.minority).unionByName(kept.drop("__kept"), allowMissingColumns=True)
 
 
 def nearmiss(df: DataFrame, target: str, ratio: float = 1.0, k: int = 5, seed: int = 0, **options) -> BalanceResult:

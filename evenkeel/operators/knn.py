@@ -1,4 +1,4 @@
-"""k nearest neighbours: exact, in blocks, or approximate by random projections.
+"""k nearest neighbours: exact, in blocks, or approximate by coarse lists.
 
 Exact search never makes a row for each pair. If one side is small (its size is checked), it is sent to every task;
 else both sides are dealt into blocks, and each two blocks meet once. A task keeps the k best of what it sees; only
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from evenkeel.errors import BalanceError
 from evenkeel.functions import vectors
+from evenkeel.operators import checks
+from evenkeel.sources import shared
 
 #: Names of public nearest-neighbour libraries, with the metrics and algorithms that each may be asked for.
 ENGINES = {
@@ -33,6 +35,8 @@ SMALL = 4_000_000
 BLOCK = 50_000
 #: Cells of a distance matrix at a time.
 CELLS = 1 << 20
+#: Coarse lists of the approximate engine at most.
+LISTS = 16_384
 
 
 def resolved_engine(engine: str = "auto", metric: str = "euclidean", allow_approx: bool = False) -> str:
@@ -181,9 +185,7 @@ def lists(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude: boo
             return _matched(*_side(pick(a)), *_side(pick(b)), k, exclude, metric, decimals, kinds)[1]
 
         met = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, shape)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("measure", "neighbor_id"))
-    best = met.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("measure", "neighbor_id"))).alias("near"))
+    return _merged(met, k)
 
 
 def _best(t: pa.Table, k: int) -> pa.Table:
@@ -197,19 +199,19 @@ def _best(t: pa.Table, k: int) -> pa.Table:
     return t.take(pa.array(keep, pa.int64()))
 
 
-def knn(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, engine: str = "auto", algorithm: str = "auto", decimals: int | None = None, allow_approx: bool = False, small: int = SMALL, sizes: tuple[int, int] | None = None, dim: int | None = None, returns: str = "both") -> DataFrame:
+def knn(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, engine: str = "auto", algorithm: str = "auto", decimals: int | None = None, allow_approx: bool = False, small: int = SMALL, sizes: tuple[int, int] | None = None, dim: int | None = None, returns: str = "both", graph_m: int = 16, graph_ef: int = 200) -> DataFrame:
     """(query_id, rank, neighbor_id, dist): each query's k nearest references by (distance, id).
 
     queries and refs have a unique `id` and an array `z`. exclude_self leaves out the reference with the query's id;
     fewer than k references give fewer rows. metric "cosine" and "ip" are one less the inner product of the vectors
     over their norms. `decimals` rounds squared distances (or the measure) before ranking. `sizes` and `dim` save
-    the jobs that find them. returns: both, index, dist.
+    the jobs that find them. returns: both, index, dist. graph_m and graph_ef: see `approximate`.
     """
     engine = resolved_engine(engine, metric, allow_approx)
     resolved_algorithm(algorithm, engine)
     if returns not in ("both", "index", "dist"):
         raise BalanceError("returns must be both, index or dist")
-    near = neighbour_lists(queries, refs, k, metric=metric, exclude_self=exclude_self, engine=engine, decimals=decimals, small=small, sizes=sizes, dim=dim)
+    near = neighbour_lists(queries, refs, k, metric=metric, exclude_self=exclude_self, engine=engine, decimals=decimals, small=small, sizes=sizes, dim=dim, graph_m=graph_m, graph_ef=graph_ef)
     out = near.select("query_id", F.posexplode("near").alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), "x.neighbor_id", distance(F.col("x.measure"), metric).alias("dist"))
     return {"both": out, "index": out.drop("dist"), "dist": out.drop("neighbor_id")}[returns]
 
@@ -218,37 +220,107 @@ def distance(measure: Column, metric: str) -> Column:
     return F.sqrt(measure) if metric == "euclidean" else measure
 
 
-def neighbour_lists(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, engine: str = "native", decimals: int | None = None, small: int = SMALL, sizes: tuple[int, int] | None = None, dim: int | None = None) -> DataFrame:
+def neighbour_lists(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, engine: str = "native", decimals: int | None = None, small: int = SMALL, sizes: tuple[int, int] | None = None, dim: int | None = None, graph_m: int = 16, graph_ef: int = 200) -> DataFrame:
     """As `knn`, a row for each query: (query_id, near), near an array of (measure, neighbor_id), nearest first."""
     if metric != "euclidean":
         queries, refs = (d.withColumn("z", vectors.normalized(F.col("z"))) for d in (queries, refs))
     if engine == "RcppHNSW":
-        return approximate(queries, refs, k, metric, exclude_self)
+        checks.graph_parameters(graph_m, graph_ef)
+        return approximate(queries, refs, k, metric, exclude_self, decimals, graph_m, graph_ef)
     if dim is None:
         one = refs.select(F.size("z").alias("d")).limit(1).collect()
         dim = one[0].d if one else 1
     return lists(queries, refs, k, metric, exclude_self, decimals, sizes or (queries.count(), refs.count()), dim, small)
 
 
-def approximate(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude: bool, bucket: float | None = None, tables: int = 8) -> DataFrame:
-    """As `neighbour_lists`, among the references that share a bucket of random projections with the query."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def _centroids(x: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:
+    """n centres of x by rounds of k-means from evenly chosen rows."""
+    c = x[np.linspace(0, len(x) - 1, n).astype(np.int64)].copy()
+    for _ in range(rounds):
+        at = _order(x, c, 1)[:, 0]
+        size = np.bincount(at, minlength=n)
+        total = np.zeros_like(c)
+        np.add.at(total, at, x)
+        c[size > 0] = total[size > 0] / size[size > 0, None]
+    return c
 
-    queries, refs = (d.select("id", array_to_vector("z").alias("v")) for d in (queries, refs))
-    if bucket is None:
-        # the projections' spread is that of the vectors' entries times their number's root
-        from pyspark.ml.functions import vector_to_array
 
-        spread = refs.select(F.explode(vector_to_array("v")).alias("x")).agg(F.stddev_pop("x")).first()[0]
-        bucket = max(2.0 * (spread or 1.0), 1e-9)
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=17).fit(refs)
-    met = model.approxSimilarityJoin(queries, refs, float("inf"), "d").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("neighbor_id"), "d")
-    if exclude:
-        met = met.where("query_id <> neighbor_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "neighbor_id"))
-    measure = F.col("d") * F.col("d") if metric == "euclidean" else F.col("d") * F.col("d") / 2
-    best = met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "neighbor_id", measure.alias("measure"))
+def _order(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """The places of each row's n nearest centroids, nearest first."""
+    out, cc, step = [], (c * c).sum(1), max(1, CELLS // len(c))
+    for lo in range(0, len(x), step):
+        d = cc[None, :] - 2 * (x[lo : lo + step] @ c.T)
+        some = np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(c) else np.broadcast_to(np.arange(len(c)), d.shape)
+        out.append(np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable"), 1))
+    return np.concatenate(out) if out else np.empty((0, n), np.int64)
+
+
+def approximate(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude: bool, decimals: int | None = None, m: int = 16, ef: int = 200) -> DataFrame:
+    """As `neighbour_lists`, among the references of the coarse lists that are nearest to the query.
+
+    References lie in the list of their nearest centroid, 16 m to a list on average (more beyond LISTS lists). A query
+    meets the nearest lists that hold 8 ef references between them, or 8 k, so k are found where there are as many. A
+    list that many rows lie in or ask for is dealt into blocks, each two of which meet in one task.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = queries.sparkSession
+    queries, refs = queries.select("id", "z"), refs.select("id", "z")
+    n, dim = refs.agg(F.count(F.lit(1)), F.max(F.size("z"))).first()
+    qk, rk = dict(queries.dtypes)["id"], dict(refs.dtypes)["id"]
+    if not n:
+        return queries.limit(0).select(F.col("id").alias("query_id"), F.lit(None).cast(f"array<struct<measure: double, neighbor_id: {rk}>>").alias("near"))
+    wanted = max(1, min(n // (16 * m), LISTS, SMALL // (4 * dim)))
+    share = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30))
+    sample = refs.where(share < min(1 << 30, -(-(8 * wanted << 30) // n))).select("id", "z").limit(16 * wanted).toArrow()
+    x = _side(sample)[1] if len(sample) else np.zeros((1, dim))
+    held = spark.sparkContext.broadcast(_centroids(x, wanted))
+
+    def place(batches):
+        for b in batches:
+            at = _order(_matrix(b.column(1), dim), held.value, 1)[:, 0] if b.num_rows else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at.astype(np.int32))], ["id", "z", "list"])
+
+    right = shared.checkpointed(refs.mapInArrow(place, f"id {rk}, z array<double>, list int"))
+    sizes = np.zeros(wanted, np.int64)
+    for r in right.groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    counts, need = spark.sparkContext.broadcast(sizes), min(n, 8 * max(ef, k + 1))
+
+    def ask(batches):
+        for b in batches:
+            z = _matrix(b.column(1), dim) if b.num_rows else np.empty((0, dim))
+            some = min(wanted, 64)
+            order = _order(z, held.value, some)
+            if some < wanted and len(z) and counts.value[order].sum(1).min() < need:
+                order = _order(z, held.value, wanted)
+            before = np.cumsum(counts.value[order], axis=1) - counts.value[order]
+            lists_ = [o[(s < need) & (counts.value[o] > 0)].astype(np.int32) for o, s in zip(order, before, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists_, pa.list_(pa.int32()))], ["id", "z", "lists"])
+
+    left = shared.checkpointed(queries.mapInArrow(ask, f"id {qk}, z array<double>, lists array<int>"))
+    left = left.select("id", "z", F.explode("lists").alias("list"))
+    blocks = [(r["list"], -(-r["count"] // BLOCK), int(-(-sizes[r["list"]] // BLOCK))) for r in left.groupBy("list").count().collect()]
+    shape = F.broadcast(spark.createDataFrame(blocks, "l int, nq long, nr long"))
+    block = lambda c: F.pmod(F.xxhash64("id", F.lit(23)), F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    in_list = F.col("list") == F.col("l")
+    left = left.join(shape, in_list).select("id", "z", "list", block("nq").alias("qb"), every("nr").alias("rb"))
+    right = right.join(shape, in_list).select("id", "z", "list", block("nr").alias("rb"), every("nq").alias("qb"))
+    kinds = (to_arrow_type(queries.schema["id"].dataType), to_arrow_type(refs.schema["id"].dataType))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        pick = lambda t: t.select(["id", "z"])
+        return _matched(*_side(pick(a)), *_side(pick(b)), k, exclude, metric, decimals, kinds)[1]
+
+    key = ["list", "qb", "rb"]
+    return _merged(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, f"query_id {qk}, neighbor_id {rk}, measure double"), k)
+
+
+def _merged(met: DataFrame, k: int) -> DataFrame:
+    """(query_id, near) from the best of each block."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("measure", "neighbor_id"))
+    best = met.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("measure", "neighbor_id"))).alias("near"))
 
 

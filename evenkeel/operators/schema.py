@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from evenkeel.errors import BalanceError
 from evenkeel.functions import vectors
+from evenkeel.sources import shared
 
 RESERVED = "TARGET"
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -46,12 +47,17 @@ def resolved(df: DataFrame, target: str, features: list[str] | None = None, id_c
 
 
 def identified(df: DataFrame, name: str) -> DataFrame:
-    """df with an id of its own: the row's hash and its number among equal rows, without a global order."""
-    from pyspark.sql import Window
+    """df with an id of its own: the row's hash and its number among equal rows, without a global order.
 
-    digest = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).cast("binary"))
-    numbered = df.withColumn("__digest", digest).withColumn("__copy", F.row_number().over(Window.partitionBy("__digest").orderBy(F.lit(0))))
-    return numbered.withColumn(name, F.concat_ws("-", "__digest", F.col("__copy").cast("string"))).drop("__digest", "__copy")
+    Equal rows are counted, before the shuffle first, and made anew from one of them, so a very common row is no burden
+    to the task that it lands in until it is written out. The result is kept in the shared folder, as it is read often.
+    """
+    row = F.struct(*[F.col(quoted) for quoted in map(vectors.quoted, df.columns)])
+    how = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    digest = F.md5(F.to_json(row, how).cast("binary"))
+    once = df.select(digest.alias("d"), row.alias("r")).groupBy("d").agg(F.first("r").alias("r"), F.count(F.lit(1)).alias("n"))
+    each = once.select("r", "d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    return shared.checkpointed(each.select("r.*", F.concat_ws("-", "d", F.col("copy").cast("string")).alias(name)))
 
 
 @dataclass

@@ -105,6 +105,16 @@ def knn_projections(spark, folder):
     return knn.knn(x.where("label = 0"), x, 5, metric="cosine", allow_approx=True, exclude_self=True)
 
 
+def knn_lists_recall(spark, folder):
+    """What share of the true neighbours the approximate engine finds, and whether all lists are full."""
+    x = tables.points(spark, folder)
+    how = {"metric": "cosine", "exclude_self": True}
+    near, true = (knn.knn(x.where("label = 0"), x, 5, engine=e, **how).select("query_id", "neighbor_id") for e in ("RcppHNSW", "exact"))
+    found = near.join(true, ["query_id", "neighbor_id"], "left_semi")
+    n = [t.agg(F.count(F.lit(1)).alias(c)) for t, c in ((near, "n_near"), (true, "n_true"), (found, "n_found"))]
+    return n[0].crossJoin(n[1]).crossJoin(n[2]).select((F.col("n_near") == F.col("n_true")).alias("whole"), (F.col("n_found") >= 0.9 * F.col("n_true")).alias("near"))
+
+
 def _difficulty(p: balance.Prepared) -> DataFrame:
     minor = p.vectors("rare")
     return synthesis.difficulty(p.lists(minor, p.vectors(), 5, (p.roles.n_min, p.facts.rows), exclude_self=True), minor)
@@ -156,7 +166,7 @@ def adasyn_events(spark, folder):
 
 def nearmiss_ids(spark, folder):
     p = _prepared(spark, folder)
-    return balance._majority_kept(p, 1.0, 5, None, 0)
+    return balance._majority_kept(p, 1.0, 5, None, 0).select("id")
 
 
 def nearmiss_scores(spark, folder):
@@ -423,6 +433,7 @@ SELECT query_id, rank, neighbor_id, round(d, 6) AS dist FROM k WHERE rank <= {k}
         "knn_cosine_exact": (knn_cosine, angular("label = 0", "", 5, True)),
         "knn_ip_exact": (knn_ip, angular("label = 1", "label = 0", 3, False)),
         "knn_projections": (knn_projections, None),
+        "knn_lists_recall": (knn_lists_recall, "SELECT true AS whole, true AS near"),
         "adasyn_difficulty": (adasyn_difficulty, f"{part}, {sql.allocation(0.5, 5, True)} SELECT id, c, k FROM c"),
         "adasyn_weights": (adasyn_weights, f"{part}, {sql.allocation(0.5, 5, True)} SELECT id, c, round(CASE WHEN t > 0 THEN c / t::DOUBLE ELSE 1 / rows::DOUBLE END, 9) AS weight FROM c, t"),
         "adasyn_allocation": (adasyn_allocation, f"{part}, {sql.allocation(0.5, 5, True)} SELECT id, c, n FROM a"),

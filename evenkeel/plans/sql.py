@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from evenkeel.sources import generated as made
+
 PARTS = ("SELECT p_partkey AS id, p_brand = 'Brand#11' AS rare, p_size::DOUBLE AS f1, p_retailprice::DOUBLE AS f2 FROM part", "part")
 EVENTS = ("SELECT event_id AS id, event_type = 'purchase' AS rare, value::DOUBLE AS f1, hour(ts)::DOUBLE AS f2 FROM events", "events")
 TOXIC = ("SELECT l.doc_id AS id, l.toxic = 1 AS rare, d.n_chars::DOUBLE AS f1, l.quality::DOUBLE AS f2 FROM labels l JOIN documents d ON l.doc_id = d.doc_id", "labels")
@@ -72,17 +74,45 @@ def rows(kept: str, with_syn: bool, whole: str = "12") -> str:
     return out
 
 
-def generated(rows: int, features: int, prevalence: float, seed: int) -> str:
+def generated(rows: int, features: int, prevalence: float, seed: int, signals: int = 20) -> str:
     """The generated table with a rare class, from md5 digests of seed, row and column."""
     u = lambda tag: f"(('0x' || substr(md5('{seed}|' || id || '|{tag}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
     z = lambda tag: f"(sqrt(-2 * ln(1 - {u(tag + 'u')})) * cos({u(tag + 'v')} * 6.283185307179586::DOUBLE))"
+    wait = lambda tag: f"(-ln(1 - {u(tag)}))"
+    count = lambda at, tag: "(" + " + ".join(f"({x!r}::DOUBLE <= {u(tag)})::INTEGER" for x in at) + ")"
     names = [f"f{i:03d}" for i in range(features)]
-    form = (lambda c: f"round(exp({z(c)} + 5), 2)", lambda c: f"least(greatest(0.5::DOUBLE + {z(c)} / 6, 0), 1)", lambda c: f"floor(-ln(1 - {u(c)}) * 10)::INTEGER", lambda c: f"({u(c)} < 0.3)::INTEGER")
-    columns = ", ".join(f"CASE WHEN {u(c + 'zero')} >= 0.2 THEN {form[i % 4](c)} ELSE 0 END AS {c}" for i, c in enumerate(names))
-    own = [f"(({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1))" for c in names[:20]]
+
+    def form(i: int, c: str) -> str:
+        kind = made.KINDS[i % 4]
+        if kind == "binary":
+            return f"({u(c)} < {0.05 if i < signals else made.chance(c, seed)!r}::DOUBLE)::INTEGER"
+        shape = made.FAMILIES[kind][0] if i < signals else made.family(kind, c, seed)
+        value = {
+            ("monetary", "uniform"): f"1000 + 39000 * {u(c)}",
+            ("monetary", "normal"): f"abs(20000 + 15000 * {z(c)})",
+            ("monetary", "lognormal"): f"exp(9.5::DOUBLE + {z(c)})",
+            ("monetary", "gamma"): f"10000 * ({wait(c)} + {wait(c + 'w')})",
+            ("monetary", "weibull"): f"20000 * pow({wait(c)}, 1 / 1.5::DOUBLE)",
+            ("monetary", "exponential"): f"20000 * {wait(c)}",
+            ("monetary", "chisq"): f"5000 * (pow({z(c)}, 2) + 2 * {wait(c)})",
+            ("ratio", "uniform"): u(c),
+            ("ratio", "beta"): f"list_sort([{', '.join(u(f'{c}b{j}') for j in range(6))}])[2]",
+            ("ratio", "exponential"): f"{wait(c)} / 5",
+            ("ratio", "folded_normal"): f"abs(0.2::DOUBLE + 0.3::DOUBLE * {z(c)})",
+            ("integer", "poisson"): count(made.poisson_steps(2.0), c),
+            ("integer", "geometric"): f"floor({wait(c)} / -ln(0.7::DOUBLE))",
+            ("integer", "negative_binomial"): f"floor({wait(c)} / -ln(0.8::DOUBLE))",
+            ("integer", "binomial"): count(made.binomial_steps(10, 0.1), c),
+        }[kind, shape]
+        value = {"monetary": f"least(greatest({value}, 1000), 40000)", "ratio": f"least({value}, 1)", "integer": f"({value})::INTEGER"}[kind]
+        return f"CASE WHEN {u(c + 'zero')} < {made.FILLED[kind]}::DOUBLE THEN {value} ELSE 0 END"
+
+    columns = ", ".join(f"{form(i, c)} AS {c}" for i, c in enumerate(names))
+    own = [f"(({c} - avg({c}) OVER ()) / (coalesce(stddev_samp({c}) OVER (), 0) + 1e-6::DOUBLE))" for c in names[:signals]]
     signal = " + ".join(f"{a} * {b}" for a, b in zip(own[::2], own[1::2], strict=False))
     out = ", ".join(f"round({c}, 6) AS {c}" if i % 4 < 2 else c for i, c in enumerate(names))
     at = -(-rows * (1 - prevalence) // 1)
     return f"""WITH t AS (SELECT id, {columns} FROM (SELECT unnest(range({rows})) AS id)),
-s AS (SELECT *, {signal} + {z("noise")} AS signal FROM t)
+p AS (SELECT *, {signal} AS pure FROM t),
+s AS (SELECT *, pure + 0.4::DOUBLE * stddev_samp(pure) OVER () * {z("noise")} AS signal FROM p)
 SELECT id AS ID, CASE WHEN signal > (SELECT signal FROM s ORDER BY signal LIMIT 1 OFFSET {int(at) - 1}) THEN 'Yes' ELSE 'No' END AS TARGET_CLASS, {out} FROM s"""

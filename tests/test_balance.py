@@ -227,6 +227,60 @@ def test_ranking_of_scores(spark):
         assert sorted((r.score, r.id) for r in select.smallest(many, m, "score", "id", few=10).collect()) == want[:m]
 
 
+def test_ranking_of_tied_strings(spark):
+    names = [f"row-{i * 7919 % 3000:05d}" for i in range(3000)] + ["row-", "row-\0", "row-" + "\0" * 9, "é", "row-" + "0" * 30] + ["row-" + "0" * 20 + f"{i:03d}" for i in range(200)]
+    many = spark.createDataFrame([(x, 0.5) for x in names], "id string, score double").repartition(7)
+    want = sorted(names, key=str.encode)
+    for m in (1, 99, 150, 1001, 3204):
+        assert sorted((r.id for r in select.smallest(many, m, "score", "id", few=10).collect()), key=str.encode) == want[:m]
+
+
+def test_segments(spark):
+    df = table(spark, 5, 40)
+    for small in (knn.SMALL, 0):
+        out = balance.adanear(df, "y", 0.5, 2, id_col="id", segments=True, small=small).data.collect()
+        assert sorted(r["__segment"] for r in out) == [0] * 14 + [1] * 5 + [2] * 2
+        assert all((r["__ord"] is not None) == (r["__segment"] == 0) for r in out)
+        assert all((r["id"] is None) == (r["__segment"] == 2) for r in out)
+        plain = balance.adanear(df, "y", 0.5, 2, id_col="id", segments=False, small=small).data
+        assert sorted(r["id"] for r in plain.where("id IS NOT NULL").collect()) == sorted(r["id"] for r in out if r["id"] is not None)
+        if small:
+            first = sorted((r["__ord"], r["id"]) for r in out if r["__segment"] == 0)
+        else:
+            assert [i for _, i in first] == [i for _, i in sorted((r["__ord"], r["id"]) for r in out if r["__segment"] == 0)]
+
+
+def test_coarse_lists(spark, monkeypatch):
+    x = RNG.normal(size=(1500, 6))
+    x[:400] = x[0]
+    refs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, z array<double>").repartition(5)
+    monkeypatch.setattr(knn, "BLOCK", 150)
+    true = {(r.query_id, r.rank): r.dist for r in knn.knn(refs, refs, 5, engine="exact", exclude_self=True).collect()}
+    got = {(r.query_id, r.rank): r.dist for r in knn.knn(refs, refs, 5, engine="RcppHNSW", exclude_self=True, graph_m=2, graph_ef=40).collect()}
+    assert got.keys() == true.keys() and sum(abs(got[q] - d) < 1e-9 for q, d in true.items()) >= 0.9 * len(true)
+    few = refs.where("id < 4")
+    assert knn.knn(few, few, 9, engine="RcppHNSW", exclude_self=True).count() == 12
+    assert knn.knn(refs, refs.limit(0), 5, engine="RcppHNSW").count() == 0 == knn.knn(refs.limit(0), refs, 5, engine="RcppHNSW").count()
+
+
+def test_generated_families(spark):
+    rows = spark.range(4000)
+    mean = {("monetary", "uniform"): 20500, ("integer", "poisson"): 2, ("integer", "geometric"): 7 / 3, ("integer", "negative_binomial"): 4, ("integer", "binomial"): 1, ("ratio", "beta"): 2 / 7, ("ratio", "uniform"): 0.5}
+    for kind, shapes in generated.FAMILIES.items():
+        for shape in shapes:
+            v = [r[0] for r in rows.select(generated.column(kind, F.col("id"), "a", 3, shape)).collect()]
+            some = [x for x in v if x]
+            assert all(x >= 0 for x in v)
+            if kind == "monetary":
+                assert min(some) >= 1000 and max(v) <= 40000 and abs(len(some) / 4000 - 0.2) < 0.03
+            if kind == "binary":
+                assert set(v) == {0, 1} and 0 < len(some) / 4000 < 0.2
+            if (kind, shape) in mean:
+                assert abs(sum(v) / 4000 / generated.FILLED[kind] / mean[kind, shape] - 1) < 0.15
+    with pytest.raises(BalanceError):
+        generated.column("ratio", F.col("id"), "a", 1, "poisson")
+
+
 def test_apportionment(spark):
     for _ in range(4):
         c = RNG.integers(0, 6, 30) * int(RNG.integers(0, 2))
