@@ -7,12 +7,14 @@ move together as a cell, so rounds work on counts and a group of any size is at
 shards are evened to counts at most one apart: rows beyond a shard's quota, unlinked ones first, fill the others.
 
 Defined results: a null text has no bytes and is linked to other null and empty texts; a null id is hashed like any
-other; rows that share an id are rows of their own; an empty table gives an empty table. Only the id and text columns
-are read.
+other; rows that share an id are rows of their own; an empty table gives an empty table. A very long text counts by all its
+bytes, as one row; it is hashed where it is read and not shuffled. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,11 +59,13 @@ def propagated(cells: DataFrame, shards: int, cap: int, rounds: int = ROUNDS) ->
         flows = moving.where("want IS NOT NULL").groupBy(F.col("label").alias("i"), F.col("want").alias("j")).agg(F.sum("n").alias("n")).collect()
         if not flows:
             break
-        chance = F.create_map(*[F.lit(x) for (i, j), p in _chances(flows, load, cap).items() for x in (i * shards + j, p)])
+        may = _chances(flows, load, cap)
+        # one constant array, so that a row finds its number by place
+        chance = F.from_json(F.lit(json.dumps([may.get((i, j), 0.0) for i in range(shards) for j in range(shards)])), "array<double>")
         # small groups move whole, large ones cell by cell
         drawn = F.when(F.col("total") * 8 > cap, F.xxhash64("key", "bucket", F.lit(turn))).otherwise(F.xxhash64("key", F.lit(turn)))
         u = (F.pmod(drawn, F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
-        moves = F.col("want").isNotNull() & (u < F.element_at(chance, F.col("label") * shards + F.col("want")))
+        moves = F.col("want").isNotNull() & (u < F.get(chance, F.col("label") * shards + F.col("want")))
         cells = moving.select("key", "bucket", "n", "total", F.when(moves, F.col("want")).otherwise(F.col("label")).alias("label"))
     return cells
 
