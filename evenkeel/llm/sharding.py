@@ -1,10 +1,11 @@
 """Shards of even size that keep linked documents together, by balanced label propagation; built-in functions only.
 
-Documents with equal texts are linked. They start in shards by hash. In each round every group finds the shards where
-most of it lies among those with room left (as many as it needs to fit), and its other members ask to move there;
-quotas between each two shards let through as many as fit. Members of one group with one hash bucket of `BUCKETS`
-move together as a cell, so rounds work on counts and a group of any size is at most `BUCKETS` cells. At last the
-shards are evened to counts at most one apart: rows beyond a shard's quota, unlinked ones first, fill the others.
+Documents with equal texts are linked. They start in shards by hash. In each round every group finds the shard where
+most of it lies (a large group: as many as it needs to fit, among those with room left), and its other members ask to
+move there; quotas between each two shards let through as many as fit. Members of one group with one hash bucket of
+`BUCKETS` move together as a cell, so rounds work on counts and a group of any size is at most `BUCKETS` cells. At last
+the shards are evened to counts at most one apart: rows beyond a shard's quota, unlinked ones first, fill the others,
+the rows of a small group side by side.
 
 Defined results: a null text has no bytes and is linked to other null and empty texts; a null id is hashed like any
 other; rows that share an id are rows of their own; an empty table gives an empty table. A very long text counts by all its
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm import kit
@@ -41,6 +42,11 @@ def _chances(flows: list, load: dict[int, int], cap: int) -> dict[tuple[int, int
     return {(i, j): (swap[i, j] + (n - swap[i, j]) * room[j]) / n for (i, j), n in asked.items()}
 
 
+def large(total: Column, cap: int) -> Column:
+    """Whether a group of so many rows is moved in parts."""
+    return total * 8 > cap
+
+
 def propagated(cells: DataFrame, shards: int, cap: int, rounds: int = ROUNDS) -> DataFrame:
     """(key, bucket, n, total, label) cells of linked documents with the labels of the last round."""
     for turn in range(rounds):
@@ -50,7 +56,7 @@ def propagated(cells: DataFrame, shards: int, cap: int, rounds: int = ROUNDS) ->
         by = cells.groupBy("key", "label").agg(F.sum("n").alias("c"), F.max("total").alias("total"))
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("c"), F.xxhash64("key", "label"), "label"))
         need = F.ceil(F.col("total") / F.lit(float(cap)))
-        goals = by.where(has_room).withColumn("place", place).where(F.col("place") <= need).groupBy(F.col("key").alias("k")).agg(F.array_sort(F.collect_list(F.struct("place", "label", "c"))).alias("goals"))
+        goals = by.where(has_room | ~large(F.col("total"), cap)).withColumn("place", place).where(F.col("place") <= need).groupBy(F.col("key").alias("k")).agg(F.array_sort(F.collect_list(F.struct("place", "label", "c"))).alias("goals"))
         held = by.select(F.col("key").alias("k"), F.col("label").alias("l"), F.col("c").alias("own"))
         moving = cells.join(goals, F.col("key") == F.col("k"), "left").drop("k").join(held, (F.col("key") == F.col("k")) & (F.col("label") == F.col("l"))).drop("k", "l")
         goal = F.get("goals", F.pmod(F.xxhash64("key", "bucket"), F.size("goals")).cast("int"))
@@ -63,7 +69,7 @@ def propagated(cells: DataFrame, shards: int, cap: int, rounds: int = ROUNDS) ->
         # one constant array, so that a row finds its number by place
         chance = F.from_json(F.lit(json.dumps([may.get((i, j), 0.0) for i in range(shards) for j in range(shards)])), "array<double>")
         # small groups move whole, large ones cell by cell
-        drawn = F.when(F.col("total") * 8 > cap, F.xxhash64("key", "bucket", F.lit(turn))).otherwise(F.xxhash64("key", F.lit(turn)))
+        drawn = F.when(large(F.col("total"), cap), F.xxhash64("key", "bucket", F.lit(turn))).otherwise(F.xxhash64("key", F.lit(turn)))
         u = (F.pmod(drawn, F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
         moves = F.col("want").isNotNull() & (u < F.get(chance, F.col("label") * shards + F.col("want")))
         cells = moving.select("key", "bucket", "n", "total", F.when(moves, F.col("want")).otherwise(F.col("label")).alias("label"))
@@ -79,20 +85,21 @@ def sharded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     cells = cells.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).where("total > 1")
     cells = kit.checkpointed(cells.withColumn("label", F.col("bucket") % shards))
     cells = propagated(cells, shards, max(1, total // shards))
-    labels = cells.select("key", "bucket", "label")
+    labels = cells.select("key", "bucket", "label", large(F.col("total"), max(1, total // shards)).alias("large"))
     joined = rows.join(labels, (F.col("__key") == F.col("key")) & (F.col("__bucket") == F.col("bucket")), "left")
     linked = F.col("label").isNotNull()
-    # linked rows stand in the lower half of the slices and so come first
-    spread = F.pmod(F.xxhash64("__id", F.lit(31)), F.lit(128)) + F.when(linked, 0).otherwise(128)
-    placed = kit.checkpointed(joined.select("__id", "__size", "__crc", "__key", F.coalesce("label", F.col("__bucket") % shards).alias("__shard"), spread.alias("__spread")))
-    placed = kit.gapless(placed, ["__shard"], [F.col("__id")], "__slot", F.col("__spread"))
+    # linked rows stand in the lower half of the slices and so come first; small groups stand, and are evened out, together
+    by = F.when(linked & ~F.col("large"), F.xxhash64("__key", F.lit(31))).otherwise(F.xxhash64("__id", F.lit(31)))
+    placed = kit.checkpointed(joined.select("__id", "__size", "__crc", "__key", F.coalesce("label", F.col("__bucket") % shards).alias("__shard"), by.alias("__by"), linked.alias("__linked")))
+    spread = F.pmod(F.col("__by"), F.lit(128)) + F.when(F.col("__linked"), 0).otherwise(128)
+    placed = kit.gapless(placed, ["__shard"], [F.col("__by"), F.col("__id")], "__slot", spread)
     count = {r["__shard"]: r["n"] for r in placed.groupBy("__shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     upto = [0]
     for j in range(shards):
         upto.append(upto[-1] + max(0, quota[j] - count.get(j, 0)))
     stays = F.col("__slot") < F.get(F.array(*[F.lit(q) for q in quota]), F.col("__shard"))
     surplus = kit.checkpointed(placed.where(~stays))
-    moved = kit.gapless(surplus.drop("__slot"), [], [F.col("__id")], "__turn", F.xxhash64("__id", F.lit(37)))
+    moved = kit.gapless(surplus.drop("__slot"), [], [F.col("__by"), F.col("__id")], "__turn", F.xxhash64("__by", F.lit(37)))
     to = F.size(F.filter(F.array(*[F.lit(x) for x in upto[1:]]), lambda x: x <= F.col("__turn")))
     starts = F.array(*[F.lit(count.get(j, 0) - upto[j]) for j in range(shards)])
     moved = moved.withColumn("__shard", to.cast("int")).withColumn("__slot", (F.get(starts, F.col("__shard")) + F.col("__turn")).cast("long"))
