@@ -1,6 +1,12 @@
 """The corpus pipeline: rules, classifier, near copies, mixing and encoding, each over all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Defined results: null and empty texts fail the rules, so the first stage drops them; given to a later stage by themselves,
+they get the classifier's bias alone, are near copies of nobody (each stays), have size 0 in mixing and no ids. Null ids
+and sources stay what they are; rows that share an id are rows of their own, but for near copies, where equal ones among them
+are copies. Ties go to the smaller id. Empty tables give empty tables of the same columns. Further columns of docs, whatever
+their names, pass through all stages but the last. Very long texts are handled whole, each in the task that reads it.
 """
 
 from __future__ import annotations

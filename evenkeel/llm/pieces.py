@@ -12,7 +12,8 @@ one. The forward state depends on the model's kind:
 Characters without a piece are spelled as bytes. A worker keeps the words that it has encoded, up to `CACHE`.
 
 Defined results: null and empty texts have no ids, and no ids decode to an empty text. Null ids decode to null.
-Repeated rows are encoded alike, an empty table gives an empty table, and only the id and text columns are read.
+Repeated rows are encoded alike, an empty table gives an empty table, and only the id and text columns are read. Very
+long texts and words are encoded whole, with memory in proportion to the longest.
 """
 
 from __future__ import annotations

@@ -5,8 +5,10 @@ broadcast; a pre-token that it lacks is encoded by the library once for each wor
 share. The table only saves time: every count is the library's own.
 
 Defined results: a null text counts as empty, with 0 bytes and tokens. Special strings in a text are split off first,
-as the library does by default, and count as one token each. Repeated rows are counted alike, an empty table gives an
-empty table, and only the id and text columns are read.
+as the library does by default, and count as one token each. Very long texts are split and counted whole, with memory in
+proportion to the longest. A description that doesn't split texts in the way that SPLIT does has the library encode
+whole texts. Repeated rows are counted alike, an empty table gives an empty table, and only the id and text columns are
+read.
 """
 
 from __future__ import annotations
@@ -33,6 +35,15 @@ LONG = 64
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def splits(description: str) -> bool:
+    """Whether a description's texts are split by SPLIT, and by special strings as they stand, and nothing else is done to them."""
+    d = json.loads(description)
+    pre, model = d.get("pre_tokenizer") or {}, d["model"]
+    plain = d.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout")
+    bytewise = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
+    return plain and bytewise and not any(x.get(k) for x in d["added_tokens"] for k in ("single_word", "lstrip", "rstrip"))
+
+
 class Counter:
     """Counts tokens of texts as the tokenizer of a JSON description does."""
 
@@ -40,7 +51,10 @@ class Counter:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_str(description).encode_batch_fast
+        library = Tokenizer.from_str(description)
+        library.no_truncation()
+        library.no_padding()
+        self.encode, self.splits = library.encode_batch_fast, splits(description)
         specials = [x["content"] for x in json.loads(description)["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.split = regex.compile(SPLIT).findall
@@ -52,6 +66,8 @@ class Counter:
             self.cache.update(zip(part, map(len, self.encode(part, add_special_tokens=False)), strict=True))
 
     def counts(self, texts: list[str | None]) -> list[int]:
+        if not self.splits:
+            return [len(x) for x in self.encode([t or "" for t in texts], add_special_tokens=False)]
         out, pending, missing = [], [], set()
         get = self.table.get
         for i, t in enumerate(texts):
@@ -94,7 +110,7 @@ def counted(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
     """doc_id, n_bytes and n_tokens of every row; tokenizer: the path, on the driver, of its JSON description."""
     with open(tokenizer, encoding="utf-8") as f:
         description = f.read()
-    table = frequent(df, text, description)
+    table = frequent(df, text, description) if splits(description) else {}
     name, held = f"tokens {kit.digest(description, sorted(table.items()))}", df.sparkSession.sparkContext.broadcast((description, table))
 
     def run(batches):
