@@ -66,11 +66,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str, seen: Observation | str = "encoding") -> DataFrame:
-    """All stages over documents; what a stage keeps is written to the shared folder and read again."""
-    docs = kit.documents(spark, sf_dir)
+    """All stages over documents; what a stage keeps is written to the shared folder and read again.
+
+    A stage's rows are deleted once the next one's are written; those that the result reads stay.
+    """
+    docs, before = kit.documents(spark, sf_dir), None
     for _, stage in STAGES[:-1]:
-        docs = stage(spark, docs, sf_dir)
         path = f"{shared.folder(spark)}/pipeline-{uuid.uuid4()}"
-        docs.write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            shared.removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir, seen)
