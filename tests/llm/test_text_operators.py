@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from evenkeel.llm import graph, kit, mixing, pieces, registry, rules, sharding, simhash, text, tokens
+from evenkeel.sources import shared
 
 DATA = "/root/testdata/sf0.001"
 
@@ -86,7 +87,7 @@ def test_pipeline_stages_against_plain_rules(spark):
     alike = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     want = {i for i, r in classes(sorted(sets), alike).items() if i == r}
     got = {r.doc_id for r in own.collect()}
-    assert got <= want and len(want - got) <= 2  # estimates let some pairs just below 0.8 through
+    assert got == want
     mixed = collections.Counter(r.doc_id for r in corpus_pipeline.mixed(spark, docs, DATA).collect())
     plan = {r["__id"]: r["__copies"] for r in mixing.plan(docs).collect()}
     assert mixed == +collections.Counter(plan)
@@ -96,6 +97,17 @@ def test_pipeline_stages_against_plain_rules(spark):
     assert out and all(r.doc_id in kept and r.ids == model.encode(texts[r.doc_id]) for r in out)
 
 
+def test_pipeline_leaves_one_table(spark, folder, odd):
+    def kept():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared.folder(spark)}/pipeline-*")
+        return len(path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path))
+
+    before = kept()
+    d = folder(documents=odd, labels=spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int"))
+    out = corpus_pipeline.run(spark, d)
+    assert kept() == before + 1 and out.collect() is not None
+
+
 def test_pipeline_decodes_what_it_encodes(spark):
     docs = spark.createDataFrame([(1, "one text\n", "s"), (2, "a mark ▁ of its own", "s"), (3, None, None)], "doc_id long, text string, source string")
     seen = Observation()
