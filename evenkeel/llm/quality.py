@@ -1,7 +1,8 @@
 """Quality classifier: n-gram indicators scaled by the classes' log-count ratios, under a linear hinge-loss model.
 
 Fitted on at most `SAMPLE` labelled rows of each label (by hashes of ids and texts; documented bound), so what the driver
-holds doesn't grow with the corpus; every whole text is scored in one pass without a shuffle.
+holds doesn't grow with the corpus, nor with the texts: a row's set of n-grams takes 16 KB at the most, all of them 66 MB.
+Every whole text is scored in one pass without a shuffle.
 
 Defined results: null and empty texts have no n-gram and get the score of the bias alone; a null id is held out.
 Labels other than 0 and 1 are not learned from, an id labelled twice counts as its higher label. Without both labels the
@@ -26,6 +27,8 @@ ORDERS, BITS = (1, 2, 3, 4), 17
 #: Besides hashed byte n-grams, indicators of the word n-grams that repeat one word, of 2 words and up.
 SAME = 6
 SIZE = (1 << BITS) + SAME
+#: Bytes of a set of ids with a bit for each.
+BYTES = (SIZE + 7) // 8
 
 
 def ngrams(text: bytes) -> np.ndarray:
@@ -36,25 +39,67 @@ def ngrams(text: bytes) -> np.ndarray:
     return np.concatenate([svm.grams(text, ORDERS, BITS), np.arange(n, dtype=np.uint32) + np.uint32(1 << BITS)])
 
 
-def _indicators(batches):
-    for b in batches:
-        ids = [np.unique(ngrams(t or b"")).astype(np.int32).tobytes() for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), b.column(1)], ["ids", "label"])
+def packed(ids: np.ndarray) -> bytes:
+    """A set of ids below SIZE in BYTES at the most: the ids, or a bit for each that there could be, if that is shorter."""
+    if 4 * len(ids) < BYTES:
+        return ids.astype(np.int32).tobytes()
+    held = np.zeros(SIZE, bool)
+    held[ids] = True
+    return np.packbits(held).tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    """The ids in order."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), count=SIZE).view(bool)) if len(x) == BYTES else np.frombuffer(x, np.int32)
+
+
+class _Rows:
+    """(ids, values) of each packed set; large sets' are made when they are asked for, as together they could take gigabytes."""
+
+    def __init__(self, sets: list[bytes], ratios: np.ndarray):
+        self.sets, self.ratios = sets, ratios
+        self.norms = [max(np.linalg.norm(ratios[unpacked(s)]), 1e-12) for s in sets]
+        self.small = {i: self._made(i) for i, s in enumerate(sets) if len(s) < BYTES}
+
+    def _made(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        x = unpacked(self.sets[i])
+        return x, self.ratios[x] / self.norms[i]
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.small.get(i) or self._made(i)
+
+    def __iter__(self):
+        return (self[i] for i in range(len(self.sets)))
+
+
+def _indicated(df: DataFrame, text: str) -> DataFrame:
+    """df with each text's packed set of n-grams in its place."""
+    at = df.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            sets = [packed(np.unique(ngrams(t or b""))) for t in b.column(at).cast(pa.binary()).to_pylist()]
+            yield b.set_column(at, text, pa.array(sets, pa.binary()))
+
+    fields = list(df.schema.fields)
+    fields[at] = T.StructField(text, T.BinaryType())
+    return df.mapInArrow(kit.lean(run), T.StructType(fields))
 
 
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label") -> dict:
     """The model, from rows with an id, a text and a label of 0 or 1 (all of which may be learned from)."""
-    some = svm.sampled(labelled.where(F.col(doc_id).isNotNull()), label, F.col(doc_id), SAMPLE, F.col(text))
-    got = some.select(F.col(text).cast("binary").alias("t"), F.col(label).cast("int").alias("label")).mapInArrow(kit.lean(_indicators), "ids binary, label int").collect()
+    rows = labelled.where(F.col(doc_id).isNotNull()).select(doc_id, text, label)
+    some = svm.sampled(rows, label, F.col(doc_id), SAMPLE, F.col(text), lambda d: _indicated(d, text))
+    got = some.select(F.col(text).alias("ids"), F.col(label).cast("int").alias("label")).collect()
     y = np.array([1 if r.label else -1 for r in got])
-    ids = [np.frombuffer(r.ids, np.int32) for r in got]
+    sets = [r.ids for r in got]
     if len(set(y.tolist())) < 2:
         return {"constant": float((y > 0).mean()) if len(y) else 0.5}
     up, down = np.ones(SIZE), np.ones(SIZE)
-    for x, s in zip(ids, y, strict=True):
-        (up if s > 0 else down)[x] += 1
+    for x, s in zip(sets, y, strict=True):
+        (up if s > 0 else down)[unpacked(x)] += 1
     r = np.log((up / up.sum()) / (down / down.sum()))
-    rows = [(x, r[x] / max(np.linalg.norm(r[x]), 1e-12)) for x in ids]
+    rows = _Rows(sets, r)
     w = svm.descend(rows, y, SIZE)
     margins = np.array([w[x] @ v + w[-1] for x, v in rows])
     a, b = svm.calibrated(margins, y)

@@ -69,12 +69,13 @@ def calibrated(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def sampled(df: DataFrame, label: str, doc_id: Column, cap: int, contents: Column | None = None) -> DataFrame:
+def sampled(df: DataFrame, label: str, doc_id: Column, cap: int, contents: Column | None = None, made=None) -> DataFrame:
     """At most `cap` rows of each non-null label, however many labels there are; about that many, or all, if fewer.
 
     Rows are drawn by a hash of their id and contents, and equal rows once, so an id with very many rows neither fills a
     sample nor drops out of it; a label of which most rows are copies gives fewer than `cap`. Labels are counted first;
-    only about `cap` rows of each are ranked in its task.
+    only about `cap` rows of each are ranked in its task. What made(rows) makes of those that are drawn, beside the columns
+    that it doesn't know, is ranked and returned in their place, so that whole texts don't meet in a label's task.
     """
     counts = df.where(F.col(label).isNotNull()).groupBy(label).count().collect()
     if not counts:
@@ -84,5 +85,6 @@ def sampled(df: DataFrame, label: str, doc_id: Column, cap: int, contents: Colum
     u = (F.pmod(key, F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
     names, drawn, place = df.columns, [kit.fresh(df, "__drawn"), kit.fresh(df, "__label")], kit.fresh(df, "__place")
     some = df.withColumns({drawn[0]: key, drawn[1]: F.col(label)}).where(u < F.element_at(share, F.col(label))).dropDuplicates(drawn)
+    some = made(some) if made else some
     rank = F.row_number().over(Window.partitionBy(drawn[1]).orderBy(drawn[0]))
     return some.withColumn(place, rank).where(F.col(place) <= cap).select(*names)

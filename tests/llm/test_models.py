@@ -28,6 +28,34 @@ def test_quality_without_both_labels(spark):
     assert quality.scores(quality.fit(df.limit(0)), [None]).tolist() == [0.5]
 
 
+def test_quality_of_long_texts(spark):
+    """80 texts in which most n-grams occur: the driver gets some 16 KB of each, where their ids take 380 KB."""
+    rng = np.random.default_rng(1)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789      ", np.uint8)
+    texts = [rng.choice(letters, 150_000).tobytes().decode() + (" bad" * 4000 if i % 2 else "") for i in range(80)]
+    assert sum(4 * len(np.unique(quality.ngrams(t.encode()))) for t in texts) > 20_000_000
+    df = spark.createDataFrame([(i, t, 1 - i % 2) for i, t in enumerate(texts)], "doc_id long, text string, label int").repartition(8)
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "4m")
+    try:
+        model = quality.fit(df)
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+    assert ((quality.scores(model, [t.encode() for t in texts]) >= 0.5) == (np.arange(80) % 2 == 0)).all()
+
+
+def test_packed_sets_are_whole():
+    rng = np.random.default_rng(2)
+    ratios = rng.normal(size=quality.SIZE)
+    plain = [np.sort(rng.choice(quality.SIZE, n, replace=False)) for n in (0, 1, quality.BYTES // 4, quality.BYTES // 4 + 1, 60_000, quality.SIZE)]
+    sets = [quality.packed(x) for x in plain]
+    assert max(map(len, sets)) <= quality.BYTES
+    for x, s, (ids, values) in zip(plain, sets, quality._Rows(sets, ratios), strict=True):
+        assert quality.unpacked(s).tolist() == ids.tolist() == x.tolist()
+        assert np.array_equal(values, ratios[x] / max(np.linalg.norm(ratios[x]), 1e-12))
+
+
 def test_hinge_model_separates():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 5))
