@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import language, lattice, mixing, neighbours, pieces, quality, rules, sharding, simhash, sql, tokens
+from evenkeel.llm import centroids, columnar, conversations, language, lattice, mixing, neighbours, pieces, quality, rules, sharding, simhash, sql, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest_neighbours": neighbours.op8,
         "op9_simhash": simhash.op9,
         "op10_shards": sharding.op10,
+        "op11_conversation_repair": conversations.op11,
+        "op12_exact_top_k": columnar.op12,
+        "op13_centroids": centroids.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.quality_rules(), "op7_mix_sources": sql.mix_sources()}
+    return {"op1_quality_rules": sql.quality_rules(), "op7_mix_sources": sql.mix_sources(), "op11_conversation_repair": sql.conversation_repair(), "op12_exact_top_k": sql.exact_top_k(), "op13_centroids": sql.centroids()}
