@@ -8,8 +8,9 @@ from rows' contents), `metric`, `engine`, `algorithm` (see `knn`), `decimals` (r
 before ranking, so that results don't depend on the order of floating-point sums), `scaling` and `already_scaled`,
 `ddof` and `constant` (see `scaling.parameters`), `target_out` (another name for the target), `provenance` (adds
 `__base_id` and `__copy`, null in original rows), `audit` or `audit_level`, `max_output_rows`, `max_dense_gb`.
-`workers`, `chunk_size` and `backend` are checked, and have no effect on results; `graph_m` and `graph_ef` set how much the
-approximate engine searches. `segments` adds `__segment` (0: retained majority, 1: minority, 2: synthetic) and `__ord` (the
+`workers` (tasks of the searches, if over 1) and `chunk_size` (queries of a product at a time, rows of a block) have no effect on
+results, nor has `backend`, which is checked; `graph_m` and `graph_ef` set how much the approximate engine searches.
+The target may be a formula, "y ~ a + b" or "y ~ . - c" (see `schema.formula`), in place of a name and features. `segments` adds `__segment` (0: retained majority, 1: minority, 2: synthetic) and `__ord` (the
 score of a majority row; null in others, and where all are kept unscored): ordered by both and the id, rows stand as an
 assembled table has them.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.errors import BalanceError
 from evenkeel.functions import vectors
-from evenkeel.operators import bounded, checks, knn, restore, roles, scaling, schema, synthesis, undersampling
+from evenkeel.operators import checks, knn, restore, roles, scaling, schema, select, surroundings, synthesis, tree, undersampling
 from evenkeel.operators.result import BalanceResult
 from evenkeel.sources import shared
 
@@ -76,8 +77,12 @@ class Options:
             checks.flag(getattr(self, name), name)
         self.level = checks.audit_level(self.audit, self.audit_level)
         self.engine = knn.resolved_engine(self.engine, self.metric, self.allow_approx)
+        self.asked = self.algorithm
         self.algorithm = knn.resolved_algorithm(self.algorithm, self.engine)
 
+    def by_brute_force(self) -> bool:
+        return self.engine != "RcppHNSW" and self.asked not in tree.KINDS
+
 
 #: What the uniform family does otherwise: shares rows evenly, population deviations, squared distances, no aborts.
 UNIFORM = {"allocation": "uniform", "ddof": 0, "constant": "one", "score": "mean_sq", "least": 1, "ties": "first"}
@@ -94,7 +99,6 @@ class Prepared:
     scaling: scaling.Scaling
     o: Options
     columns: list[str] = field(default_factory=list)
-    _held: bounded.Held | None = None
 
     def _z(self) -> Column:
         return vectors.packed(self.features) if self.o.already_scaled else vectors.standardized(self.features, self.scaling.centers, self.scaling.scales)
@@ -106,29 +110,24 @@ class Prepared:
 
     def _how(self, sizes) -> dict:
         o = self.o
-        return {"metric": o.metric, "engine": o.engine, "decimals": o.decimals, "small": o.small, "sizes": sizes, "dim": len(self.features), "graph_m": o.graph_m, "graph_ef": o.graph_ef}
+        return {"metric": o.metric, "engine": o.engine, "decimals": o.decimals, "small": o.small, "sizes": sizes, "dim": len(self.features), "graph_m": o.graph_m, "graph_ef": o.graph_ef, "algorithm": o.asked, "chunk_size": o.chunk_size, "workers": o.workers}
 
     def knn(self, queries, refs, k, sizes, **more) -> DataFrame:
-        return knn.knn(queries, refs, k, algorithm=self.o.algorithm, allow_approx=self.o.allow_approx, **self._how(sizes), **more)
+        return knn.knn(queries, refs, k, allow_approx=self.o.allow_approx, **self._how(sizes), **more)
 
     def lists(self, queries, refs, k, sizes, **more) -> DataFrame:
         return knn.neighbour_lists(queries, refs, k, **self._how(sizes), **more)
 
-    def held(self, k: int, more: int = 0) -> bounded.Held | None:
-        """All rows' ids and vectors in one place, if they, k neighbours of each minority row and `more` are few enough."""
-        dim = len(self.features)
-        if self.o.engine == "RcppHNSW" or dim * max(self.facts.rows + more, k * self.roles.n_min) > self.o.small:
-            return None
-        if self._held is None:
-            rows = self.df.select(F.col(f"`{self.id}`").alias("id"), (F.col(f"`{self.target}`") == F.lit(self.roles.minority)).alias("minor"), self._z().alias("z"))
-            self._held = bounded.Held(self.df.sparkSession, rows, self.o.metric, self.o.decimals)
-        return self._held
+    def marked(self) -> DataFrame:
+        """(id, z, minor) of all rows."""
+        return self.df.select(F.col(f"`{self.id}`").alias("id"), self._z().alias("z"), (F.col(f"`{self.target}`") == F.lit(self.roles.minority)).alias("minor"))
 
     def class_rows(self, label) -> DataFrame:
         return self.df.where(F.col(f"`{self.target}`") == F.lit(label))
 
 
 def prepared(df: DataFrame, target: str, o: Options, ties: str | None = None) -> Prepared:
+    target, o.features = schema.chosen(df, target, o.features, o.id_col)
     features = schema.resolved(df, target, o.features, o.id_col)
     columns = [c for c in df.columns if c in features or c == target or c == o.id_col]
     rows = vectors.chosen(df, columns)
@@ -155,18 +154,19 @@ def _generated(p: Prepared, ratio: float, k: int, seed: int) -> tuple[DataFrame,
     checks.output_rows(p.facts.rows + g, p.o.max_output_rows)
     checks.dense_budget(p.facts.rows + g, len(p.features), 2, p.o.max_dense_gb, "the result")
     n_min, n = p.roles.n_min, p.facts.rows
-    if held := p.held(min(k, n - 1)):
-        counts = bounded.shared_out(held.majority_near(min(k, n - 1)), g) if p.o.allocation == "adaptive" else bounded.dealt(n_min, g)
-        return synthesis.between(held.wanted(counts, min(k, n_min - 1)), seed), g
-    minor = p.vectors(p.roles.minority)
-    if p.o.allocation == "adaptive":
-        near = p.lists(minor, p.vectors(), min(k, n - 1), (n_min, n), exclude_self=True)
-        # read several times to share out g, so the search behind it is run once
-        counts = synthesis.apportioned(shared.checkpointed(synthesis.difficulty(near, minor)), g)
+    minor, k_all, k_own = p.vectors(p.roles.minority), min(k, n - 1), min(k, n_min - 1)
+    adaptive = p.o.allocation == "adaptive"
+    if p.o.by_brute_force():
+        how = {"dim": len(p.features), "metric": p.o.metric, "decimals": p.o.decimals, "small": p.o.small, "chunk": p.o.chunk_size, "workers": p.o.workers}
+        around = surroundings.found(minor, p.marked() if adaptive else minor.withColumn("minor", F.lit(True)), k_all if adaptive else 0, k_own, (n_min, n if adaptive else n_min), **how)
     else:
-        counts = synthesis.even(minor, g, n_min)
-    own = p.lists(minor, minor, min(k, n_min - 1), (n_min, n_min), exclude_self=True)
-    return synthesis.synthetic(minor, own, counts, seed), g
+        own = p.lists(minor, minor, k_own, (n_min, n_min), exclude_self=True)
+        around = surroundings.with_lists(minor, own, synthesis.difficulty(p.lists(minor, p.vectors(), k_all, (n_min, n), exclude_self=True), minor) if adaptive else None)
+    # read to share out g, and to make the rows, so the search behind it is run once
+    around = shared.checkpointed(around)
+    counts, most = synthesis.shared_out(around.select("id", "c"), g) if adaptive else (synthesis.even(around, g, n_min), -(-g // n_min))
+    wanted = around.join(counts.select(F.col("id").alias("w"), "n"), F.col("id") == F.col("w"))
+    return synthesis.between(wanted.select(F.col("id").alias("base_id"), "n", "near", "from", "tos"), seed, most), g
 
 
 def _typed(p: Prepared, made: DataFrame, kinds: dict) -> DataFrame:
@@ -246,9 +246,6 @@ def _majority_kept(p: Prepared, ratio: float, k: int, made: DataFrame | None, g:
     m = roles.retention(n_min, n_maj, ratio, p.o.least)
     if m >= n_maj:
         return None
-    if held := p.held(min(k, n_min), g):
-        more = None if made is None else bounded.matrix(made.select("z"), len(p.features))
-        return held.kept(m, k, p.o.score, more)
     refs = p.vectors(p.roles.minority)
     queries = p.vectors(p.roles.majority)
     if made is not None:
@@ -259,13 +256,13 @@ def _majority_kept(p: Prepared, ratio: float, k: int, made: DataFrame | None, g:
     return undersampling.kept(undersampling.scored(near, p.o.score, p.o.metric), m, p.o.decimals)
 
 
-def _with_majority(p: Prepared, ids: DataFrame | None) -> DataFrame:
-    """The minority and the majority rows of ids (id, score); with `__score` if segments are asked for."""
+def _with_majority(p: Prepared, ids: DataFrame | None, m: int) -> DataFrame:
+    """The minority and the m majority rows of ids (id, score); with `__score` if segments are asked for."""
     if ids is None:
         return p.df
     score = [F.col("score").alias("__score")] if p.o.segments else []
-    if p._held is not None:
-        # ids in one place: they are sent to the rows, which are read once
+    if m <= select.FEW:
+        # so few ids are sent to the rows, which are read once
         few = F.broadcast(ids.select(F.col("id").alias("__kept"), *score))
         minor = F.col(f"`{p.target}`") == F.lit(p.roles.minority)
         return p.df.join(few, F.col(f"`{p.id}`") == F.col("__kept"), "left").where(minor | F.col("__kept").isNotNull()).drop("__kept")
@@ -282,8 +279,8 @@ def nearmiss(df: DataFrame, target: str, ratio: float = 1.0, k: int = 5, seed: i
     checks.seed(seed)
     p = prepared(df, target, Options(**options), ties="first")
     ids = _majority_kept(p, ratio, k, None, 0)
-    rows = _with_majority(p, ids)
     m = p.roles.n_maj if ids is None else roles.retention(p.roles.n_min, p.roles.n_maj, ratio, p.o.least)
+    rows = _with_majority(p, ids, m)
     return _result(p, "nearmiss", _finished(p, rows, None), retained_ids=rows.select(p.id), rows_removed=p.roles.n_maj - m, rows_out=p.roles.n_min + m)
 
 
@@ -294,17 +291,15 @@ def adanear(df: DataFrame, target: str, adasyn_ratio: float = 0.2, nearmiss_rati
     o = Options(**options)
     if not a and not n:
         # nothing is scaled, so constant columns do no harm
+        target, o.features = schema.chosen(df, target, o.features, o.id_col)
         o.scaling = o.scaling or scaling.Scaling(*[(x,) * len(schema.resolved(df, target, o.features, o.id_col)) for x in (0.0, 1.0)])
         p = prepared(df, target, o)
         return _result(p, "adanear", _finished(p, p.df, None), rows_out=p.facts.rows, retained_ids=p.df.select(p.id))
     p = prepared(df, target, o)
     made, g = _generated(p, a, over_k, seed) if a else (None, 0)
-    if made is not None and n and p._held is None:
-        # both neighbours to the majority and rows of the result
-        made = shared.checkpointed(made)
     ids = _majority_kept(p, n, under_k, made, g) if n else None
     m = p.roles.n_maj if ids is None else roles.retention(p.roles.n_min + g, p.roles.n_maj, n, o.least)
-    rows = _with_majority(p, ids)
+    rows = _with_majority(p, ids, m)
     return _result(p, "adanear", _finished(p, rows, made), made=made, retained_ids=rows.select(p.id), rows_generated=g, rows_removed=p.roles.n_maj - m, rows_out=p.roles.n_min + g + m)
 
 
@@ -332,6 +327,7 @@ def _roles(df: DataFrame, target: str) -> roles.Roles:
 
 def weighted(df: DataFrame, target: str, weight: str = "weight") -> DataFrame:
     """df with a weight for each row: the class ratio for minority rows, 1 for others."""
+    target, _ = schema.chosen(df, target)
     who = _roles(df, target)
     return df.withColumn(weight, F.when(F.col(f"`{target}`") == F.lit(who.minority), F.lit(who.ratio)).otherwise(F.lit(1.0)))
 
@@ -342,8 +338,9 @@ def balance(df: DataFrame, target: str, strategy: str = "none", *, adasyn_ratio:
     if strategy not in STRATEGIES:
         raise BalanceError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
     if strategy in ("none", "weight"):
+        target, features = schema.chosen(df, target, options.get("features"), options.get("id_col"))
         if validate:
-            schema.facts(df, target, schema.resolved(df, target, options.get("features"), options.get("id_col")))
+            schema.facts(df, target, schema.resolved(df, target, features, options.get("id_col")))
         who = _roles(df, target)
         return BalanceResult(df, target, who, diagnostics={"method": strategy, "data_changed": False, "rows_in": who.n_min + who.n_maj, "rows_out": who.n_min + who.n_maj, "scale_pos_weight": who.ratio})
     if strategy == "adasyn":

@@ -65,11 +65,10 @@ def resolved_algorithm(algorithm: str = "auto", engine: str = "native") -> str:
     return algorithm
 
 
-def nearest(q: np.ndarray, r: np.ndarray, own: np.ndarray | None, k: int, metric: str, decimals: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query places, reference places, measures) of each query's k nearest, in order of (measure, place).
+def tiles(q: np.ndarray, r: np.ndarray, own: np.ndarray | None, metric: str, decimals: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first query, queries, measures to all references, bound of their error by query), so many queries at a time.
 
-    own: the place among the references that a query may not match, or -1. The measure is the squared distance, or one
-    less the inner product of what are unit vectors then; `decimals` rounds it before ranking.
+    own: the place among the references that a query may not match, or -1.
     """
     if not len(r) or not len(q):
         return
@@ -88,22 +87,52 @@ def nearest(q: np.ndarray, r: np.ndarray, own: np.ndarray | None, k: int, metric
         if own is not None:
             mine = own[lo : lo + step]
             d[np.flatnonzero(mine >= 0), mine[mine >= 0]] = np.inf
-        n = min(k, d.shape[1])
-        bar = np.partition(d, n - 1, axis=1)[:, n - 1]
-        if decimals is not None:
-            slack = slack + 2 * 10.0**-decimals
-        qi, ri = np.nonzero((d <= (bar + slack)[:, None]) & (d < np.inf))
-        if metric == "euclidean":
-            diff = part[qi] - r[ri]
-            exact = (diff * diff).sum(1)
-        else:
-            exact = 1 - (part[qi] * r[ri]).sum(1)
-        key = exact if decimals is None else np.round(exact, decimals)
-        order = np.lexsort((ri, key, qi))
-        qi, ri, key = qi[order], ri[order], key[order]
-        first = np.searchsorted(qi, np.arange(len(part)))
-        keep = np.arange(len(qi)) - first[qi] < k
-        yield qi[keep] + lo, ri[keep], key[keep]
+        yield lo, part, d, slack if decimals is None else slack + 2 * 10.0**-decimals
+
+
+def ranked(q: np.ndarray, r: np.ndarray, d: np.ndarray, slack: np.ndarray, k: int, metric: str, decimals: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query places, reference places, measures) of each row's k smallest of d, which holds within slack."""
+    n = min(k, d.shape[1])
+    bar = np.partition(d, n - 1, axis=1)[:, n - 1]
+    qi, ri = np.nonzero((d <= (bar + slack)[:, None]) & (d < np.inf))
+    if metric == "euclidean":
+        diff = q[qi] - r[ri]
+        exact = (diff * diff).sum(1)
+    else:
+        exact = 1 - (q[qi] * r[ri]).sum(1)
+    return first_k(qi, ri, exact if decimals is None else np.round(exact, decimals), k)
+
+
+def first_k(qi: np.ndarray, ri: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows with the k smallest (key, reference) of each query, in order."""
+    order = np.lexsort((ri, key, qi))
+    qi, ri, key = qi[order], ri[order], key[order]
+    keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+    return qi[keep], ri[keep], key[keep]
+
+
+def nearest(q: np.ndarray, r: np.ndarray, own: np.ndarray | None, k: int, metric: str, decimals: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query places, reference places, measures) of each query's k nearest, in order of (measure, place).
+
+    The measure is the squared distance, or one less the inner product of what are unit vectors then; `decimals` rounds
+    it before ranking. own: see `tiles`.
+    """
+    for lo, part, d, slack in tiles(q, r, own, metric, decimals):
+        qi, ri, key = ranked(part, r, d, slack, k, metric, decimals)
+        yield qi + lo, ri, key
+
+
+def mutual(a: np.ndarray, b: np.ndarray, k: int, metric: str, decimals: int | None) -> tuple[tuple, tuple]:
+    """As `nearest` of a among b, and of b among a, from one product."""
+    none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    there, back = [none], [none]
+    for lo, part, d, slack in tiles(a, b, None, metric, decimals):
+        qi, ri, key = ranked(part, b, d, slack, k, metric, decimals)
+        there.append((qi + lo, ri, key))
+        qi, ri, key = ranked(b, part, d.T, np.full(len(b), slack.max()), k, metric, decimals)
+        back.append((qi, ri + lo, key))
+    joined = lambda parts: [np.concatenate([p[i] for p in parts]) for i in range(3)]
+    return tuple(joined(there)), first_k(*joined(back), k)
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -120,25 +149,31 @@ def _side(table) -> tuple[list, np.ndarray]:
     return [ids[i] for i in order], _matrix(table.column(1), dim)[order]
 
 
+def places(qids: list, rids: list) -> np.ndarray:
+    """Where each query's id is among the references, or -1."""
+    at = {x: i for i, x in enumerate(rids)}
+    return np.array([at.get(x, -1) for x in qids], np.int64)
+
+
+def table(qids: list, rids: list, qi: np.ndarray, ri: np.ndarray, key: np.ndarray, kinds) -> pa.Table:
+    """(query_id, neighbor_id, measure) of places."""
+    return pa.table([pa.array([qids[i] for i in qi.tolist()], kinds[0]), pa.array([rids[i] for i in ri.tolist()], kinds[1]), pa.array(key)], names=["query_id", "neighbor_id", "measure"])
+
+
 def _matched(qids, q, rids, r, k, exclude, metric, decimals, kinds):
     """How many neighbours each query has, and all of them as (query_id, neighbor_id, measure), in order."""
-    own = None
-    if exclude:
-        at = {x: i for i, x in enumerate(rids)}
-        own = np.array([at.get(x, -1) for x in qids], np.int64)
-    a, b, d, n = [], [], [], np.zeros(len(qids), np.int64)
-    for qi, ri, key in nearest(q, r, own, k, metric, decimals):
-        a += [qids[i] for i in qi.tolist()]
-        b += [rids[i] for i in ri.tolist()]
-        d.append(key)
-        n += np.bincount(qi, minlength=len(n))
-    return n, pa.table([pa.array(a, kinds[0]), pa.array(b, kinds[1]), pa.array(np.concatenate(d) if d else np.empty(0))], names=["query_id", "neighbor_id", "measure"])
-
-
-def lists(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude: bool, decimals: int | None, sizes: tuple[int, int], dim: int, small: int = SMALL) -> DataFrame:
+    own = places(qids, rids) if exclude else None
+    parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), *nearest(q, r, own, k, metric, decimals)]
+    qi, ri, key = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    return np.bincount(qi, minlength=len(qids)), table(qids, rids, qi, ri, key, kinds)
+
+
+def lists(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude: bool, decimals: int | None, sizes: tuple[int, int], dim: int, small: int = SMALL, same: bool = False, chunk: int | None = None, workers: int = 1) -> DataFrame:
     """(query_id, near): each query's k nearest as an array of (measure, neighbor_id), nearest first.
 
-    With small references this takes no shuffle at all: each query's list is made where the query is.
+    With small references this takes no shuffle at all: each query's list is made where the query is. same: both sides
+    are one table, so where it is large each two blocks meet once, for both. chunk: queries of a product at a time, and rows of
+    a block; workers: tasks of the search, where it is over 1.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -149,9 +184,10 @@ def lists(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude: boo
     queries, refs = queries.select("id", "z"), refs.select("id", "z")
     if sizes[1] * dim <= small:
         held = spark.sparkContext.broadcast(_side(refs.toArrow()))
+        queries = queries.repartition(workers) if workers > 1 else queries
 
         def ask(batches):
-            for b in batches:
+            for b in (part for b in batches for part in parts(b, chunk)):
                 qids = b.column(0).to_pylist()
                 n, t = _matched(qids, _matrix(b.column(1), dim), *held.value, k, exclude, metric, decimals, kinds)
                 near = pa.StructArray.from_arrays([t.column(i).combine_chunks() for i in (2, 1)], ["measure", "neighbor_id"])
@@ -161,10 +197,11 @@ def lists(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude: boo
         return queries.mapInArrow(ask, f"query_id {qk}, near array<struct<measure: double, neighbor_id: {rk}>>")
     if sizes[0] * dim <= small:
         held = spark.sparkContext.broadcast(_side(queries.toArrow()))
+        refs = refs.repartition(workers) if workers > 1 else refs
 
         def offer(batches):
             best = None
-            for b in batches:
+            for b in (part for b in batches for part in parts(b, chunk)):
                 _, t = _matched(*held.value, *_side(b), k, exclude, metric, decimals, kinds)
                 best = t if best is None else pa.concat_tables([best, t])
                 if len(best) > 4 * k * len(held.value[0]):
@@ -173,21 +210,58 @@ def lists(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude: boo
                 yield from _best(best, k).to_batches()
 
         met = refs.mapInArrow(offer, shape)
+    elif same:
+        met = _met_once(queries, k, metric, exclude, decimals, -(-sizes[0] // (chunk or BLOCK)), shape, kinds, workers)
     else:
-        nq, nr = -(-sizes[0] // BLOCK), -(-sizes[1] // BLOCK)
+        nq, nr = (-(-n // (chunk or BLOCK)) for n in sizes)
         block = lambda n, name: F.pmod(F.xxhash64("id"), F.lit(n)).alias(name)
         every = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
         left = queries.select("id", "z", block(nq, "qb")).select("*", every(nr, "rb"))
         right = refs.select("id", "z", block(nr, "rb")).select("*", every(nq, "qb"))
 
         def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not len(a) or not len(b):
+                # an empty side has no columns
+                return table([], [], *(np.empty(0, np.int64),) * 2, np.empty(0), kinds)
             pick = lambda t: t.select(["id", "z"])
             return _matched(*_side(pick(a)), *_side(pick(b)), k, exclude, metric, decimals, kinds)[1]
 
+        left, right = (d.repartition(workers, "qb", "rb") if workers > 1 else d for d in (left, right))
         met = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, shape)
     return _merged(met, k)
 
 
+def parts(batch: pa.RecordBatch, chunk: int | None) -> Iterator[pa.RecordBatch]:
+    """The batch, at most `chunk` rows at a time."""
+    step = chunk or max(1, batch.num_rows)
+    for lo in range(0, max(1, batch.num_rows), step):
+        yield batch.slice(lo, step)
+
+
+def _met_once(rows: DataFrame, k: int, metric: str, exclude: bool, decimals: int | None, n: int, shape: str, kinds, workers: int) -> DataFrame:
+    """Each two of n blocks of a table in one task, which finds the neighbours of either's rows in the other.
+
+    A row is shuffled n times; were the sides dealt apart, it would be 2 n times.
+    """
+    own = F.pmod(F.xxhash64("id"), F.lit(n)).alias("b")
+    pairs = rows.select("id", "z", own).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("o"))
+    pairs = pairs.select("id", "z", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        block = np.asarray(t.column("b").combine_chunks().to_numpy())
+        sides = [_side(t.filter(pa.array(block == b)).select(["id", "z"])) for b in np.unique(block)]
+        if len(sides) == 1:
+            # a block with itself, or with one that has no row
+            alone = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
+            return _matched(*sides[0], *sides[0], k, exclude, metric, decimals, kinds)[1] if alone else table([], [], *(np.empty(0, np.int64),) * 2, np.empty(0), kinds)
+        (a, x), (b, y) = sides
+        there, back = mutual(x, y, k, metric, decimals)
+        return pa.concat_tables([table(a, b, *there, kinds), table(b, a, *back, kinds)])
+
+    pairs = pairs.repartition(workers, "lo", "hi") if workers > 1 else pairs
+    return pairs.groupBy("lo", "hi").applyInArrow(meet, shape)
+
+
 def _best(t: pa.Table, k: int) -> pa.Table:
     t = t.sort_by([("query_id", "ascending"), ("measure", "ascending"), ("neighbor_id", "ascending")])
     ids = t.column(0).to_pylist()
@@ -199,19 +273,20 @@ def _best(t: pa.Table, k: int) -> pa.Table:
     return t.take(pa.array(keep, pa.int64()))
 
 
-def knn(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, engine: str = "auto", algorithm: str = "auto", decimals: int | None = None, allow_approx: bool = False, small: int = SMALL, sizes: tuple[int, int] | None = None, dim: int | None = None, returns: str = "both", graph_m: int = 16, graph_ef: int = 200) -> DataFrame:
+def knn(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, engine: str = "auto", algorithm: str = "auto", decimals: int | None = None, allow_approx: bool = False, small: int = SMALL, sizes: tuple[int, int] | None = None, dim: int | None = None, returns: str = "both", graph_m: int = 16, graph_ef: int = 200, query_is_data: bool = False, chunk_size: int | None = None, workers: int = 1) -> DataFrame:
     """(query_id, rank, neighbor_id, dist): each query's k nearest references by (distance, id).
 
     queries and refs have a unique `id` and an array `z`. exclude_self leaves out the reference with the query's id;
     fewer than k references give fewer rows. metric "cosine" and "ip" are one less the inner product of the vectors
     over their norms. `decimals` rounds squared distances (or the measure) before ranking. `sizes` and `dim` save
-    the jobs that find them. returns: both, index, dist. graph_m and graph_ef: see `approximate`.
+    the jobs that find them. returns: both, index, dist. graph_m and graph_ef: see `approximate`. query_is_data: both
+    sides are one table, see `lists`. algorithm "kd_tree" and "cover_tree" search by a tree (see `tree`), and so does
+    engine "FNN" by itself where the references are too many to be sent. chunk_size and workers: see `lists`.
     """
     engine = resolved_engine(engine, metric, allow_approx)
-    resolved_algorithm(algorithm, engine)
     if returns not in ("both", "index", "dist"):
         raise BalanceError("returns must be both, index or dist")
-    near = neighbour_lists(queries, refs, k, metric=metric, exclude_self=exclude_self, engine=engine, decimals=decimals, small=small, sizes=sizes, dim=dim, graph_m=graph_m, graph_ef=graph_ef)
+    near = neighbour_lists(queries, refs, k, metric=metric, exclude_self=exclude_self, engine=engine, decimals=decimals, small=small, sizes=sizes, dim=dim, graph_m=graph_m, graph_ef=graph_ef, algorithm=algorithm, query_is_data=query_is_data, chunk_size=chunk_size, workers=workers)
     out = near.select("query_id", F.posexplode("near").alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), "x.neighbor_id", distance(F.col("x.measure"), metric).alias("dist"))
     return {"both": out, "index": out.drop("dist"), "dist": out.drop("neighbor_id")}[returns]
 
@@ -220,9 +295,17 @@ def distance(measure: Column, metric: str) -> Column:
     return F.sqrt(measure) if metric == "euclidean" else measure
 
 
-def neighbour_lists(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, engine: str = "native", decimals: int | None = None, small: int = SMALL, sizes: tuple[int, int] | None = None, dim: int | None = None, graph_m: int = 16, graph_ef: int = 200) -> DataFrame:
+def neighbour_lists(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, engine: str = "native", decimals: int | None = None, small: int = SMALL, sizes: tuple[int, int] | None = None, dim: int | None = None, graph_m: int = 16, graph_ef: int = 200, algorithm: str = "auto", query_is_data: bool = False, chunk_size: int | None = None, workers: int = 1) -> DataFrame:
     """As `knn`, a row for each query: (query_id, near), near an array of (measure, neighbor_id), nearest first."""
+    from evenkeel.operators import tree
+
+    resolved = resolved_algorithm(algorithm, engine)
+    if chunk_size is not None:
+        checks.chunk_size(chunk_size)
+    checks.positive_integer(workers, "workers")
     if metric != "euclidean":
+        if algorithm in tree.KINDS:
+            raise BalanceError(f"a {algorithm} knows euclidean distances only, not {metric!r}")
         queries, refs = (d.withColumn("z", vectors.normalized(F.col("z"))) for d in (queries, refs))
     if engine == "RcppHNSW":
         checks.graph_parameters(graph_m, graph_ef)
@@ -230,7 +313,10 @@ def neighbour_lists(queries: DataFrame, refs: DataFrame, k: int, *, metric: str
     if dim is None:
         one = refs.select(F.size("z").alias("d")).limit(1).collect()
         dim = one[0].d if one else 1
-    return lists(queries, refs, k, metric, exclude_self, decimals, sizes or (queries.count(), refs.count()), dim, small)
+    sizes = sizes or (queries.count(), refs.count())
+    if algorithm in tree.KINDS or (resolved in tree.KINDS and metric == "euclidean" and sizes[1] * dim > small):
+        return tree.searched(queries, refs, k, exclude_self, decimals, sizes, dim, resolved)[0]
+    return lists(queries, refs, k, metric, exclude_self, decimals, sizes, dim, small, query_is_data, chunk_size, workers)
 
 
 def _centroids(x: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:
@@ -262,8 +348,6 @@ def approximate(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclud
     meets the nearest lists that hold 8 ef references between them, or 8 k, so k are found where there are as many. A
     list that many rows lie in or ask for is dealt into blocks, each two of which meet in one task.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
     spark = queries.sparkSession
     queries, refs = queries.select("id", "z"), refs.select("id", "z")
     n, dim = refs.agg(F.count(F.lit(1)), F.max(F.size("z"))).first()
@@ -300,6 +384,18 @@ def approximate(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclud
 
     left = shared.checkpointed(queries.mapInArrow(ask, f"id {qk}, z array<double>, lists array<int>"))
     left = left.select("id", "z", F.explode("lists").alias("list"))
+    return _merged(met_in_lists(left, right, sizes, k, metric, exclude, decimals), k)
+
+
+def met_in_lists(left: DataFrame, right: DataFrame, sizes: np.ndarray, k: int, metric: str, exclude: bool, decimals: int | None) -> DataFrame:
+    """(query_id, neighbor_id, measure): the k nearest of each query in each list, from (id, z, list) of both sides.
+
+    sizes: the references of each list. Lists that many rows lie in or ask for are dealt into blocks.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark, qk, rk = left.sparkSession, dict(left.dtypes)["id"], dict(right.dtypes)["id"]
+    # no more rows than there are lists
     blocks = [(r["list"], -(-r["count"] // BLOCK), int(-(-sizes[r["list"]] // BLOCK))) for r in left.groupBy("list").count().collect()]
     shape = F.broadcast(spark.createDataFrame(blocks, "l int, nq long, nr long"))
     block = lambda c: F.pmod(F.xxhash64("id", F.lit(23)), F.col(c))
@@ -307,14 +403,17 @@ def approximate(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclud
     in_list = F.col("list") == F.col("l")
     left = left.join(shape, in_list).select("id", "z", "list", block("nq").alias("qb"), every("nr").alias("rb"))
     right = right.join(shape, in_list).select("id", "z", "list", block("nr").alias("rb"), every("nq").alias("qb"))
-    kinds = (to_arrow_type(queries.schema["id"].dataType), to_arrow_type(refs.schema["id"].dataType))
+    kinds = (to_arrow_type(left.schema["id"].dataType), to_arrow_type(right.schema["id"].dataType))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            # an empty side has no columns
+            return table([], [], *(np.empty(0, np.int64),) * 2, np.empty(0), kinds)
         pick = lambda t: t.select(["id", "z"])
         return _matched(*_side(pick(a)), *_side(pick(b)), k, exclude, metric, decimals, kinds)[1]
 
     key = ["list", "qb", "rb"]
-    return _merged(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, f"query_id {qk}, neighbor_id {rk}, measure double"), k)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, f"query_id {qk}, neighbor_id {rk}, measure double")
 
 
 def _merged(met: DataFrame, k: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -46,6 +47,61 @@ def resolved(df: DataFrame, target: str, features: list[str] | None = None, id_c
     return own
 
 
+#: A formula's pieces: names in backquotes, names, numbers, signs.
+PIECES = re.compile(r"`([^`]+)`|([A-Za-z.][\w.]*)|(\d+)|([~+\-])|(\S)")
+
+
+def formula(text: str, columns: list[str], id_col: str | None = None) -> tuple[str, list[str]]:
+    """The target and the features that "target ~ a + b" names.
+
+    A dot stands for all other columns (without the id), a minus takes a column out again, backquotes hold names with other
+    signs; +0, -1 and the like, which set an intercept elsewhere, choose nothing. A formula only chooses columns:
+    transformations, interactions and offsets must be columns first.
+    """
+    found = [m.groups() for m in PIECES.finditer(text)]
+    if any(other for *_, other in found):
+        raise BalanceError(f"a formula only names columns; compute {text!r}'s terms first")
+    at = [i for i, f in enumerate(found) if f[3] == "~"]
+    if len(at) != 1:
+        raise BalanceError(f"a formula has the form target ~ features, not {text!r}")
+    left, right = found[: at[0]], found[at[0] + 1 :]
+    name = lambda f: f[0] or f[1]
+    if len(left) != 1 or not name(left[0]) or left[0][1] == ".":
+        raise BalanceError("a formula has exactly one target")
+    target, chosen_, take, wait = name(left[0]), {}, True, True
+    if target not in columns:
+        raise BalanceError(f"the target {target!r} isn't a column")
+    for f in right:
+        if f[3]:
+            take, wait = f[3] == "+", True
+            continue
+        if not wait:
+            raise BalanceError(f"there must be + or - between the terms of {text!r}")
+        wait = False
+        if f[2]:
+            continue
+        dot = f[1] == "."
+        if not dot and name(f) not in columns:
+            raise BalanceError(f"the feature {name(f)!r} isn't a column; compute it first")
+        for c in [c for c in columns if c != id_col] if dot else [name(f)]:
+            chosen_.pop(c, None) if not take else chosen_.setdefault(c)
+    if wait:
+        raise BalanceError(f"{text!r} ends within a term")
+    features = [c for c in chosen_ if c != target]
+    if not features:
+        raise BalanceError("there must be at least one feature")
+    return target, features
+
+
+def chosen(df: DataFrame, target: str, features: list[str] | None = None, id_col: str | None = None) -> tuple[str, list[str] | None]:
+    """target and features as they are, or those of a formula in the target's place."""
+    if target in df.columns or "~" not in target:
+        return target, features
+    if features is not None:
+        raise BalanceError("a formula names the features already")
+    return formula(target, df.columns, id_col)
+
+
 def identified(df: DataFrame, name: str) -> DataFrame:
     """df with an id of its own: the row's hash and its number among equal rows, without a global order.
 

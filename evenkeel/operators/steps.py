@@ -1,17 +1,21 @@
 """Balancing as steps of a pyspark.ml pipeline.
 
-A step is fitted on training rows, which it balances: the stages after it in a Pipeline are fitted on the balanced rows.
-New rows pass through a fitted step unchanged (`skip`), since they are to be scored, not balanced, and so do the training
-rows when they are scored later; with skip=False it balances whatever it is given. Steps and their models have params, so
-that they can be copied with others, tuned, saved and loaded; a loaded model has no training rows.
+A step is fitted on training rows, which it balances: the stages after it in a `BalancedPipeline` are fitted on the balanced
+rows. New rows pass through a fitted step unchanged (`skip`), since they are to be scored, not balanced, and so do the training
+rows when they are scored after such a pipeline is fitted; with skip=False it balances whatever it is given. Any other loop
+that fits stages would hand the training rows to the step, to go on with what it returns; a step can't tell that from scoring
+them, so the very DataFrame that it was fitted on is refused then, rather than passed on unbalanced: `training` has the
+balanced rows, and a copy of the DataFrame, as df.select("*"), is scored.
+
+Steps and their models have params, so that they can be copied with others, tuned, saved and loaded; a loaded model has
+no training rows.
 """
 
 from __future__ import annotations
 
-import sys
 import uuid
 
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
@@ -124,7 +128,7 @@ class BalanceStepModel(_Shared, Model, DefaultParamsReadable, DefaultParamsWrita
     def __init__(self):
         super().__init__()
         self._setDefault(skip=True, audit=False)
-        self._train = None
+        self._train, self._settled = None, False
 
     def training(self) -> BalanceResult:
         """The balanced training rows, with diagnostics if the step audits."""
@@ -133,8 +137,10 @@ class BalanceStepModel(_Shared, Model, DefaultParamsReadable, DefaultParamsWrita
         return self.balanced(self._train, self.value("outcome"))
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        if not self.value("skip") or (df is self._train and _in_fit()):
+        if not self.value("skip"):
             return self.balanced(df, self.value("outcome")).data
+        if df is self._train and not self._settled:
+            raise BalanceError("these are the rows that the step was fitted on: fit later stages by a BalancedPipeline or on training().data, and score a copy of them")
         return df
 
     def tidy(self, spark: SparkSession) -> DataFrame:
@@ -144,16 +150,20 @@ class BalanceStepModel(_Shared, Model, DefaultParamsReadable, DefaultParamsWrita
         return f"BalanceStep({self.value('method')} of {self.value('outcome')}) [trained]"
 
 
-def _in_fit() -> bool:
-    """Whether a Pipeline that is being fitted asks for the rows that its later stages are fitted on."""
-    frame, fit = sys._getframe(1), Pipeline._fit.__code__
-    for _ in range(6):
-        if frame is None:
-            return False
-        if frame.f_code is fit:
-            return True
-        frame = frame.f_back
-    return False
+class BalancedPipeline(Pipeline):
+    """A pipeline whose stages after a balancing step are fitted on the balanced rows; what it fits is a plain PipelineModel."""
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        stages, fitted = self.getStages(), []
+        last = max((i for i, s in enumerate(stages) if isinstance(s, Estimator)), default=-1)
+        for i, stage in enumerate(stages):
+            fitted.append(stage.fit(dataset) if isinstance(stage, Estimator) else stage)
+            if i < last:
+                dataset = fitted[-1].training().data if isinstance(fitted[-1], BalanceStepModel) else fitted[-1].transform(dataset)
+        for model in fitted:
+            if isinstance(model, BalanceStepModel):
+                model._settled = True
+        return PipelineModel(fitted)
 
 
 def _tidy(spark: SparkSession, step: _Shared, terms: str | None, trained: bool) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.errors import BalanceError
 from evenkeel.functions import vectors
-from evenkeel.operators import balance, knn, restore, roles, scaling, schema, steps, synthesis, undersampling
+from evenkeel.operators import balance, knn, restore, roles, scaling, schema, steps, synthesis, tree, undersampling
 from evenkeel.plans import sql
 from evenkeel.sources import generated, tables
 
@@ -89,6 +89,32 @@ def knn_blocks(spark, folder):
     return _rounded(p.knn(p.vectors("common"), p.vectors("rare"), 3, (p.roles.n_maj, p.roles.n_min)), dist=6)
 
 
+def _ranked(near: DataFrame) -> DataFrame:
+    out = near.select("query_id", F.posexplode("near").alias("pos", "x"))
+    return out.select("query_id", (F.col("pos") + 1).alias("rank"), "x.neighbor_id", F.round(F.sqrt("x.measure"), 6).alias("dist"))
+
+
+def knn_tree(spark, folder):
+    """All rows among all others by a tree of medians, in cells of some 64."""
+    p = _prepared(spark, folder)
+    near, _ = tree.searched(p.vectors(), p.vectors(), 5, True, 9, (p.facts.rows, p.facts.rows), len(FEATURES), "kd_tree", 64)
+    return _ranked(near)
+
+
+def knn_cover_tree(spark, folder):
+    """Common rows among all others by centres that lie far apart."""
+    p = _prepared(spark, folder)
+    near, _ = tree.searched(p.vectors("common"), p.vectors(), 3, True, 9, (p.roles.n_maj, p.facts.rows), len(FEATURES), "cover_tree", 64)
+    return _ranked(near)
+
+
+def knn_self_blocks(spark, folder):
+    """All rows among all others, in blocks of which each two meet once."""
+    p = _prepared(spark, folder, small=0, chunk_size=500)
+    rows = p.vectors()
+    return _rounded(p.knn(rows, rows, 5, (p.facts.rows, p.facts.rows), exclude_self=True, query_is_data=True), dist=6)
+
+
 def knn_cosine(spark, folder):
     x = tables.points(spark, folder)
     return _rounded(knn.knn(x.where("label = 0"), x, 5, metric="cosine", engine="exact", exclude_self=True, decimals=9), dist=6)
@@ -164,6 +190,55 @@ def adasyn_events(spark, folder):
     return made.groupBy("base_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Neither side is sent whole: all searches are in blocks of at most some 500 rows, which three tasks deal out.
+DEALT = {"small": 0, "chunk_size": 500, "workers": 3}
+
+
+def adasyn_blocks(spark, folder):
+    return _part_rows(balance.adasyn(tables.parts(spark, folder), "cls", 0.5, 5, 7, **PART, **DEALT).data)
+
+
+def nearmiss_blocks(spark, folder):
+    return balance.nearmiss(tables.parts(spark, folder), "cls", 1.0, 5, **PART, **DEALT).data
+
+
+def adanear_blocks(spark, folder):
+    return _part_rows(balance.adanear(tables.parts(spark, folder), "cls", 0.3, 0.5, 5, 5, 7, **PART, **DEALT).data)
+
+
+def oversample_uniform_blocks(spark, folder):
+    return _part_rows(balance.adasyn_uniform(tables.parts(spark, folder), "cls", 0.5, 3, 7, **PART, **DEALT).data)
+
+
+def adanear_uniform_blocks(spark, folder):
+    return _part_rows(balance.adanear_uniform(tables.parts(spark, folder), "cls", 0.3, 0.5, seed=7, **PART, **DEALT).data)
+
+
+def copies_in_ranges(spark, folder):
+    """A row for each unit of each line of lineitem, dealt out in ranges of 16."""
+    lines = tables.read(spark, folder, "lineitem").select(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("base_id"), F.col("l_quantity").cast("long").alias("n"))
+    return synthesis.copies(lines, width=16).groupBy("base_id").agg(F.count(F.lit(1)).alias("copies"), F.sum("copy").alias("total"))
+
+
+def nearmiss_formula(spark, folder):
+    """The columns named by a formula."""
+    how = {k: v for k, v in PART.items() if k != "features"}
+    return balance.nearmiss(tables.parts(spark, folder), "cls ~ . - p_partkey", 1.0, 5, **how).data
+
+
+#: Formulas over part's columns.
+FORMULAS = ("cls ~ .", "cls ~ . - p_size", "cls~p_size+p_retailprice", "cls ~ `p_size`", "cls ~ p_retailprice + . - p_size - 1", "cls ~ p_size + p_size", "cls ~ cls", "cls ~ . - .", "cls ~ log(p_size)", "cls ~ p_size:p_retailprice", "cls ~ p_size * 2", "cls ~ nothing", "nothing ~ .", "cls + p_size ~ .", "~ p_size", "cls ~", "cls ~ p_size p_retailprice", "cls ~ p_size ~ .", "cls")
+
+
+def formulas(spark, folder):
+    """What each formula chooses of the table's columns and their least values, or null."""
+    df = tables.parts(spark, folder)
+    chosen = {f: schema.formula(f, df.columns, "p_partkey")[1] if _accepted(schema.formula, f, df.columns, "p_partkey") else None for f in FORMULAS}
+    least = df.agg(*[F.min(c).cast("double").alias(c) for c in FEATURES])
+    rows = [F.struct(F.lit(f).alias("formula"), F.lit(c and ",".join(c)).cast("string").alias("features"), F.round(sum((F.col(x) for x in c or []), F.lit(0.0)), 6).alias("least")) for f, c in chosen.items()]
+    return least.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def nearmiss_ids(spark, folder):
     p = _prepared(spark, folder)
     return balance._majority_kept(p, 1.0, 5, None, 0).select("id")
@@ -264,11 +339,10 @@ def step_adanear_uniform(spark, folder):
 
 def step_in_pipeline(spark, folder):
     """How many rows of each class a stage after a step is fitted on, and how many new rows pass."""
-    from pyspark.ml import Pipeline
     from pyspark.ml.feature import StringIndexer
 
     df = tables.parts(spark, folder)
-    model = Pipeline(stages=[steps.step_adasyn("cls", ratio=40.0, seed=7, **PART), StringIndexer(inputCol="cls", outputCol="place")]).fit(df)
+    model = steps.BalancedPipeline(stages=[steps.step_adasyn("cls", ratio=40.0, seed=7, **PART), StringIndexer(inputCol="cls", outputCol="place")]).fit(df)
     passed = model.transform(tables.parts(spark, folder)).groupBy("cls").agg(F.count(F.lit(1)).alias("passed"))
     # the most frequent class is the first one
     return passed.withColumn("place", F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(model.stages[1].labels) for x in (c, i)]), F.col("cls")))
@@ -430,6 +504,9 @@ SELECT query_id, rank, neighbor_id, round(d, 6) AS dist FROM k WHERE rank <= {k}
         "knn_exact_self": (knn_self, f"{part}, {sql.nearest('k', sql.MINOR, sql.MINOR, 5)} {listed} k"),
         "knn_dropped_self": (knn_dropped_self, f"{part}, {sql.nearest('k', sql.MINOR, sql.MINOR, 5)} SELECT query_id, rank, neighbor_id FROM k"),
         "knn_exact_blocks": (knn_blocks, f"{part}, {sql.nearest('k', sql.MAJOR, sql.MINOR, 3, False)} {listed} k"),
+        "knn_tree": (knn_tree, f"{part}, {sql.nearest('k', sql.ALL, sql.ALL, 5)} {listed} k"),
+        "knn_cover_tree": (knn_cover_tree, f"{part}, {sql.nearest('k', sql.MAJOR, sql.ALL, 3)} {listed} k"),
+        "knn_self_blocks": (knn_self_blocks, f"{part}, {sql.nearest('k', sql.ALL, sql.ALL, 5)} {listed} k"),
         "knn_cosine_exact": (knn_cosine, angular("label = 0", "", 5, True)),
         "knn_ip_exact": (knn_ip, angular("label = 1", "label = 0", 3, False)),
         "knn_projections": (knn_projections, None),
@@ -441,6 +518,14 @@ SELECT query_id, rank, neighbor_id, round(d, 6) AS dist FROM k WHERE rank <= {k}
         "restore_types": (restore_types, "SELECT l_orderkey, l_linenumber, least(greatest(round_even(l_extendedprice::DOUBLE / 1000, 0), 10), 40)::INTEGER AS x, round_even(l_quantity::DOUBLE / 2, 0)::BIGINT AS half FROM lineitem"),
         "adasyn_full": (adasyn_full, _sql_rows(f"{part}, {syn}", "true", True)),
         "adasyn_events": (adasyn_events, f"{sql.scaled(sql.EVENTS[0])}, {sql.allocation(0.1, 5, True)} SELECT id AS base_id, n FROM a WHERE n > 0"),
+        "adasyn_blocks": (adasyn_blocks, _sql_rows(f"{part}, {syn}", "true", True)),
+        "nearmiss_blocks": (nearmiss_blocks, _sql_rows(f"{part}, {sql.retained(1, 5, False)}", "rare OR id IN (SELECT id FROM r)", False)),
+        "adanear_blocks": (adanear_blocks, _sql_rows(hybrid, "rare OR id IN (SELECT id FROM r)", True)),
+        "oversample_uniform_blocks": (oversample_uniform_blocks, _sql_rows(f"{pop}, {sql.synthetic(0.5, 3, 7, False)}", "true", True)),
+        "adanear_uniform_blocks": (adanear_uniform_blocks, _sql_rows(f"{pop}, {sql.synthetic(0.3, 3, 7, False)}, {sql.retained(0.5, 7, True, True, True)}", "rare OR id IN (SELECT id FROM r)", True)),
+        "copies_in_ranges": (copies_in_ranges, "SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS base_id, sum(n)::BIGINT AS copies, sum(n * (n + 1) // 2)::BIGINT AS total FROM (SELECT *, l_quantity::BIGINT AS n FROM lineitem) GROUP BY 1"),
+        "nearmiss_formula": (nearmiss_formula, _sql_rows(f"{part}, {sql.retained(1, 5, False)}", "rare OR id IN (SELECT id FROM r)", False)),
+        "formulas": (formulas, f"WITH f AS (SELECT unnest([{', '.join(repr(f) for f in FORMULAS)}]) AS formula), m AS (SELECT min(p_size)::DOUBLE AS s, min(p_retailprice)::DOUBLE AS r FROM part), c AS (SELECT formula, CASE WHEN formula IN ('cls ~ .', 'cls~p_size+p_retailprice') THEN 'p_size,p_retailprice' WHEN formula IN ('cls ~ `p_size`', 'cls ~ p_size + p_size') THEN 'p_size' WHEN formula IN ('cls ~ . - p_size', 'cls ~ p_retailprice + . - p_size - 1') THEN 'p_retailprice' END AS features FROM f) SELECT formula, features, round(CASE WHEN features LIKE '%p_size%' THEN s ELSE 0 END + CASE WHEN features LIKE '%price%' THEN r ELSE 0 END, 6) AS least FROM c, m"),
         "nearmiss_ids": (nearmiss_ids, f"{part}, {sql.retained(1, 5, False)} SELECT id FROM r"),
         "nearmiss_scores": (nearmiss_scores, f"{part}, {near} SELECT query_id AS id, round(avg(sqrt(d2)), 6) AS score FROM kn GROUP BY 1"),
         "nearmiss_rows": (nearmiss_rows, _sql_rows(f"{part}, {sql.retained(1, 5, False)}", "rare OR id IN (SELECT id FROM r)", False)),

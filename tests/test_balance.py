@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel import BalanceError
-from evenkeel.operators import balance, checks, knn, roles, scaling, schema, select, steps, synthesis, undersampling
+from evenkeel.operators import balance, checks, knn, roles, scaling, schema, select, steps, synthesis, tree, undersampling
 from evenkeel.sources import generated
 from evenkeel.streaming import batches
 
@@ -306,7 +306,8 @@ def test_steps(spark):
     df = table(spark, 10, 30).drop("id")
     step = steps.step_adasyn("y", ratio=0.5, seed=1)
     model = step.fit(df)
-    assert model.transform(df) is df and model.training().data.count() == 45 and step.fit_resample(df).count() == 45
+    new = df.select("*")
+    assert model.transform(new) is new and model.training().data.count() == 45 and step.fit_resample(df).count() == 45
     assert steps.step_nearmiss("y", ratio=1, skip=False).fit(df).transform(df).count() == 20
     assert step.tidy(spark).first().trained is False and model.tidy(spark).first().terms == "y"
     for make in (steps.step_adanear, steps.step_adasyn_uniform, steps.step_nearmiss_uniform, steps.step_adanear_uniform):
@@ -337,7 +338,11 @@ def test_later_stages_are_fitted_on_balanced_rows(spark, tmp_path):
     df = table(spark, 10, 30).drop("id")
     step = steps.step_adasyn("y", ratio=2.0, seed=1, k=3, decimals=9)
     later = [StringIndexer(inputCol="y", outputCol="label"), VectorAssembler(inputCols=["x1", "x2"], outputCol="v"), LogisticRegression(featuresCol="v")]
-    model = Pipeline(stages=[step, *later]).fit(df)
+    model = steps.BalancedPipeline(stages=[step, *later]).fit(df)
+    # any other loop would go on with unbalanced rows
+    for way in (lambda: Pipeline(stages=[step, *later]).fit(df), lambda: step.fit(df).transform(df)):
+        with pytest.raises(BalanceError, match="BalancedPipeline"):
+            way()
     assert model.stages[1].labelsArray == [("maj", "min")] or model.stages[-1].summary.predictions.count() == 60
     assert model.stages[-1].summary.predictions.count() == 60 and model.transform(df).count() == 40
     other = step.copy({step.ratio: 1.0})
@@ -354,23 +359,86 @@ def test_later_stages_are_fitted_on_balanced_rows(spark, tmp_path):
 
 
 @pytest.mark.parametrize("metric", ["euclidean", "cosine"])
-def test_bounded_way_gives_the_general_ways_rows(spark, metric):
+def test_all_routes_give_the_same_rows(spark, monkeypatch, metric):
+    """All rows sent, the minority sent, both sides in blocks; ranges of copies."""
+    monkeypatch.setattr(knn, "BLOCK", 11)
     df = table(spark, 20, 70).withColumn("y", F.when(F.col("id") % 9 < 2, "min").otherwise("maj")).withColumn("s", F.col("id").cast("string"))
     for call, more in ((balance.adasyn, {"ratio": 0.7}), (balance.nearmiss, {"ratio": 1.3}), (balance.adanear, {}), (balance.adanear_uniform, {"adasyn_ratio": 0.7})):
-        for key in ("id", "s"):
-            out = [call(df, "y", seed=3, id_col=key, features=["x1", "x2"], decimals=9, metric=metric, engine="exact", small=small, provenance=True, **more).data for small in (knn.SMALL, 0)]
-            a, b = (sorted(map(str, d.select(key, "y", *[F.round(c, 9) for c in ("x1", "x2")]).collect())) for d in out)
-            assert a == b and len(a) > 20
+        for key in ("id", "s") if call is balance.adasyn else ("id",):
+            out = [call(df, "y", seed=3, id_col=key, features=["x1", "x2"], decimals=9, metric=metric, engine="exact", small=small, provenance=True, **more).data for small in (knn.SMALL, 60, 0)]
+            a, b, c = (sorted(map(str, d.select(key, "y", *[F.round(c, 9) for c in ("x1", "x2")], *[c for c in d.columns if c.startswith("__")]).collect())) for d in out)
+            assert a == b == c and len(a) > 20
 
 
-def test_searches_dealt_to_tasks(spark, monkeypatch):
-    from evenkeel.operators import bounded
-
+def test_trees_in_balancing(spark):
     df = table(spark, 20, 70)
-    rows = lambda: sorted(map(str, balance.adanear(df, "y", 0.5, 0.5, id_col="id", decimals=9).data.collect()))
-    alone = rows()
-    monkeypatch.setattr(bounded, "ALONE", 1)
-    assert rows() == alone
+    rows = lambda **how: sorted(map(str, balance.adanear(df, "y", 0.5, 0.5, id_col="id", decimals=9, engine="FNN", **how).data.collect()))
+    assert rows(algorithm="kd_tree") == rows(algorithm="cover_tree") == rows(algorithm="brute")
+
+
+def clusters(n, dim=4, seed=3):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(12, dim))[rng.integers(0, 12, n)] * 10 + 0.2 * rng.normal(size=(n, dim))
+
+
+@pytest.mark.parametrize("kind", tree.KINDS)
+@pytest.mark.parametrize("decimals", [None, 1])
+def test_trees_equal_brute_force(spark, monkeypatch, kind, decimals):
+    """Clusters, a vector with many copies, ties by rounding, more neighbours than a cell holds; few cells are met."""
+    monkeypatch.setattr(knn, "BLOCK", 50)
+    x = np.concatenate([clusters(500), np.repeat(clusters(1), 120, axis=0)])
+    df = points(spark, x)
+    for k, exclude in ((3, True), (60, False)):
+        near, visits = tree.searched(df, df, k, exclude, decimals, kind=kind, leaf=20)
+        d = ((x[:, None] - x[None]) ** 2).sum(-1)
+        d = d if decimals is None else np.round(d, decimals)
+        if exclude:
+            np.fill_diagonal(d, np.inf)
+        want = np.argsort(d, axis=1, kind="stable")[:, :k] + 1
+        assert {r.query_id: [n.neighbor_id for n in r.near] for r in near.collect()} == {i + 1: w.tolist() for i, w in enumerate(want)}
+        met, of = visits.agg(F.sum("cells"), F.sum("of")).first()
+        assert visits.count() == 620 and met < of * (0.25 if k == 3 else 0.6)
+
+
+def test_trees_of_small_tables(spark):
+    one = points(spark, np.ones((1, 2)))
+    for kind in tree.KINDS:
+        near = lambda q, r, **how: {r.query_id: [n.neighbor_id for n in r.near] for r in tree.searched(q, r, 3, kind=kind, **how)[0].collect()}
+        assert near(one, one) == {1: [1]} and near(one, one.limit(0)) == {} and near(one.limit(0), one) == {}
+        assert near(points(spark, np.ones((6, 2))), points(spark, np.ones((6, 2))), exclude=True, leaf=2)[2] == [1, 3, 4]
+    with pytest.raises(BalanceError):
+        tree.searched(one, one, 1, kind="ball_tree")
+    with pytest.raises(BalanceError):
+        knn.knn(one, one, 1, metric="cosine", engine="exact", algorithm="kd_tree")
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_blocks_of_one_table_meet_once(spark, monkeypatch, metric):
+    monkeypatch.setattr(knn, "BLOCK", 13)
+    monkeypatch.setattr(knn, "CELLS", 40)
+    x = points(spark, np.round(RNG.normal(size=(60, 3)), 1))
+    how = {"metric": metric, "engine": "exact", "decimals": 6}
+    for exclude in (True, False):
+        once, apart, sent = (sorted(map(tuple, knn.knn(x, x, 4, exclude_self=exclude, small=small, query_is_data=same, **how).collect())) for small, same in ((0, True), (0, False), (knn.SMALL, False)))
+        assert once == apart == sent and len(once) == 240
+    plans = [knn.knn(x, x, 4, small=0, query_is_data=same, engine="exact").select("query_id") for same in (True, False)]
+    once, apart = (p._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") for p in plans)
+    assert once == apart - 1
+
+
+def test_copies_of_one_row_are_dealt_out(spark):
+    """A row that starts very many new rows: no task makes more than its ranges' share."""
+    df = spark.createDataFrame([(1, 1_000_000), (2, 3), (3, 0)], "base_id long, n long").where("n > 0")
+    rows = synthesis.copies(df, width=1000).persist()
+    assert rows.groupBy("base_id").agg(F.count(F.lit(1)).alias("n"), F.min("copy").alias("lo"), F.max("copy").alias("hi"), F.count_distinct("copy").alias("d")).orderBy("base_id").collect() == [(1, 1_000_000, 1, 1_000_000, 1_000_000), (2, 3, 1, 3, 3)]
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        dealt = synthesis.copies(df, most=1_000_000, width=1000).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert max(r["count"] for r in dealt) <= 1_000_003 / 2
+    few = synthesis.copies(df.where("n < 10"), most=3)
+    assert few.count() == 3 and "Exchange" not in few._jdf.queryExecution().toString()
 
 
 def test_bounds_of_long_columns(spark):
@@ -414,3 +482,40 @@ def test_stream_batches(spark, tmp_path):
     q = batches.balanced_batches(spark.readStream.schema(df.schema).parquet(str(tmp_path / "one")), "y", lambda b, n: seen.append(b.count()), "nearmiss", id_col="id", passed=lambda n, w: why.append(w)).option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert seen == [10, 15] and why == ["fewer than two classes"]
+
+
+def test_chunks_and_workers(spark):
+    """Batches of at most so many queries, and so many tasks, with the same rows."""
+    x = points(spark, RNG.normal(size=(90, 3)))
+    plain = sorted(map(tuple, knn.knn(x, x, 3, exclude_self=True).collect()))
+    for small in (knn.SMALL, 0):
+        out = knn.knn(x, x, 3, exclude_self=True, small=small, chunk_size=20, workers=7)
+        assert sorted(map(tuple, out.collect())) == plain
+    near = knn.neighbour_lists(x, x, 3, exclude_self=True, chunk_size=20, workers=7)
+    assert near.rdd.getNumPartitions() == 7
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"a": list(range(90))})
+    assert [b.num_rows for b in knn.parts(batch, 20)] == [20] * 4 + [10] and [b.num_rows for b in knn.parts(batch, None)] == [90]
+    df = table(spark, 20, 70)
+    for how in ({"workers": 3, "chunk_size": 8}, {"workers": 3, "chunk_size": 8, "small": 0}):
+        rows = [sorted(map(str, balance.adanear(df, "y", 0.5, 0.5, id_col="id", decimals=9, **h).data.collect())) for h in ({}, how)]
+        assert rows[0] == rows[1]
+    with pytest.raises(BalanceError):
+        knn.knn(x, x, 3, workers=0)
+
+
+def test_formulas(spark):
+    names = ["y", "a", "b.c", "d e", "id"]
+    assert schema.formula("y ~ . - `d e`", names, "id") == ("y", ["a", "b.c"])
+    assert schema.formula("`d e` ~ b.c + a - 1", names) == ("d e", ["b.c", "a"])
+    assert schema.formula("y~.", names) == ("y", ["a", "b.c", "d e", "id"])
+    for bad in ("y", "~ a", "y ~ ", "y ~ a + ", "y ~ a b", "y ~ a:b", "y ~ I(a)", "y ~ a^2", "y + a ~ .", ". ~ a", "y ~ x", "x ~ a", "y ~ y", "y ~ a - a", "y ~ a ~ b", "y ~ 1"):
+        with pytest.raises(BalanceError):
+            schema.formula(bad, names)
+    df = table(spark, 10, 30)
+    whole = lambda target, **how: sorted(map(str, balance.adanear(df, target, 0.5, 0.5, id_col="id", **how).data.collect()))
+    assert whole("y ~ x1 + x2") == whole("y ~ .") == whole("y", features=["x1", "x2"])
+    assert balance.nearmiss(df, "y ~ x2", id_col="id").data.columns == ["id", "x2", "y"]
+    assert balance.balance(df, "y ~ .", "weight", validate=True, id_col="id").diagnostics["scale_pos_weight"] == 3
+    assert balance.weighted(df, "y ~ x1").count() == 40
+    with pytest.raises(BalanceError, match="already"):
+        balance.adasyn(df, "y ~ x1", features=["x2"])
