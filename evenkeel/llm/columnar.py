@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evenkeel.llm import kit
 
@@ -208,6 +209,7 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
     else:
         met = asks.withColumn("meets", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = met.select("id", "v", "d", "bar", "part", F.col("meets").alias("block"))
+    arrow = to_arrow_type(rows.schema["id"].dataType)
     left = laid.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -226,7 +228,7 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
                 out[0].extend([asks[j]] * len(at))
                 out[1].extend(ids[i] for i in at)
                 out[2].extend(score.tolist())
-        kinds = (right.schema.field("id").type, right.schema.field("id").type, pa.int64())
+        kinds = (arrow, arrow, pa.int64())
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["query_id", "vec_id", "score"])
 
     key = ["d", "block", "part"]
