@@ -1,7 +1,8 @@
 """Quality classifier: n-gram indicators scaled by the classes' log-count ratios, under a linear hinge-loss model.
 
 Fitted on at most `SAMPLE` labelled rows of each label (by hashes of ids and texts; documented bound), so what the driver
-holds doesn't grow with the corpus, nor with the texts: a row's set of n-grams takes 16 KB at the most, all of them 66 MB.
+holds doesn't grow with the corpus, nor with the texts: a row's set of n-grams takes 16 KB at the most, all of them 66 MB, as
+do the values that are kept beside the sets of up to 4,096 ids. Only labels of documents at hand are drawn, however many others there are.
 Every whole text is scored in one pass without a shuffle.
 
 Defined results: null and empty texts have no n-gram and get the score of the bias alone; a null id is held out.
@@ -63,7 +64,7 @@ class _Rows:
 
     def _made(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         x = unpacked(self.sets[i])
-        return x, self.ratios[x] / self.norms[i]
+        return x, (self.ratios[x] / self.norms[i]).astype(np.float32)
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         return self.small.get(i) or self._made(i)
@@ -93,6 +94,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
     got = some.select(F.col(text).alias("ids"), F.col(label).cast("int").alias("label")).collect()
     y = np.array([1 if r.label else -1 for r in got])
     sets = [r.ids for r in got]
+    del got
     if len(set(y.tolist())) < 2:
         return {"constant": float((y > 0).mean()) if len(y) else 0.5}
     up, down = np.ones(SIZE), np.ones(SIZE)
@@ -138,7 +140,8 @@ def scored(df: DataFrame, model: dict, text: str = "text", score: str = "score")
 def learnable(docs: DataFrame, labels: DataFrame, n: int = 3, rest: int = 1) -> DataFrame:
     """Rows of docs with their labels' quality in `label`, of ids outside the held-out fold."""
     known = labels.where(F.col("quality").isin(0, 1) & ~kit.held_out(F.col("doc_id"), n, rest)).groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").cast("int").alias("label"))
-    # the labels are sampled before they meet the texts, so that few rows are joined
+    # the labels of these documents alone are sampled, before they meet the texts: ids are shuffled, then few rows joined
+    known = known.join(docs.select(F.col("doc_id").alias("__own")), F.col("__id") == F.col("__own"), "left_semi")
     known = svm.sampled(known, "label", F.col("__id"), SAMPLE)
     return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
 

@@ -53,7 +53,17 @@ def test_packed_sets_are_whole():
     assert max(map(len, sets)) <= quality.BYTES
     for x, s, (ids, values) in zip(plain, sets, quality._Rows(sets, ratios), strict=True):
         assert quality.unpacked(s).tolist() == ids.tolist() == x.tolist()
-        assert np.array_equal(values, ratios[x] / max(np.linalg.norm(ratios[x]), 1e-12))
+        assert np.array_equal(values, (ratios[x] / max(np.linalg.norm(ratios[x]), 1e-12)).astype(np.float32))
+
+
+def test_labels_of_other_documents_take_no_part(spark):
+    """As many labels again for 99 tables' documents: the same rows are learned from."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    label = lambda n: spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    own, all_ = (sorted(map(tuple, quality.learnable(docs, label(n)).collect())) for n in (600, 60_000))
+    assert own == all_ and len(own) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(600))
+    few = quality.learnable(docs, label(60_000).withColumn("doc_id", F.col("doc_id") * 100))
+    assert few.count() == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(0, 600, 100))
 
 
 def test_hinge_model_separates():
