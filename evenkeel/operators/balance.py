@@ -81,7 +81,7 @@ class Options:
         self.algorithm = knn.resolved_algorithm(self.algorithm, self.engine)
 
     def by_brute_force(self) -> bool:
-        return self.engine != "RcppHNSW" and self.asked not in tree.KINDS
+        return self.engine not in ("RcppHNSW", "lists") and self.asked not in tree.KINDS
 
 
 #: What the uniform family does otherwise: shares rows evenly, population deviations, squared distances, no aborts.

@@ -1,4 +1,4 @@
-"""k nearest neighbours: exact, in blocks, or approximate by coarse lists.
+"""k nearest neighbours: exact, in blocks or by trees, or approximate by layered graphs or coarse lists.
 
 Exact search never makes a row for each pair. If one side is small (its size is checked), it is sent to every task;
 else both sides are dealt into blocks, and each two blocks meet once. A task keeps the k best of what it sees; only
@@ -28,6 +28,8 @@ ENGINES = {
     "KernelKnn": (("euclidean",), ("auto", "brute")),
     "bigKNN": (("euclidean",), ("auto", "brute")),
 }
+#: Engines of other names, for all metrics: brute force or trees, and approximate search by coarse lists.
+OWN = {"exact": ("auto", "kd_tree", "cover_tree", "brute"), "lists": ("auto",)}
 METRICS = ("euclidean", "cosine", "ip")
 #: Numbers (rows times dimensions) of a side that may be sent to every task: 32 MB.
 SMALL = 4_000_000
@@ -49,15 +51,15 @@ def resolved_engine(engine: str = "auto", metric: str = "euclidean", allow_appro
         if allow_approx:
             return "RcppHNSW"
         raise BalanceError(f"exact search by itself is for euclidean distances only, not {metric!r}; allow approximation or name an engine")
-    if engine not in (*ENGINES, "exact"):
-        raise BalanceError(f"engine must be one of {('auto', 'exact', *ENGINES)}, not {engine!r}")
-    if engine != "exact" and metric not in ENGINES[engine][0]:
+    if engine not in (*ENGINES, *OWN):
+        raise BalanceError(f"engine must be one of {('auto', *OWN, *ENGINES)}, not {engine!r}")
+    if engine in ENGINES and metric not in ENGINES[engine][0]:
         raise BalanceError(f"engine {engine} doesn't know metric {metric!r}")
     return engine
 
 
 def resolved_algorithm(algorithm: str = "auto", engine: str = "native") -> str:
-    legal = ("auto", "kd_tree", "cover_tree", "brute") if engine == "exact" else ENGINES[engine][1]
+    legal = OWN[engine] if engine in OWN else ENGINES[engine][1]
     if algorithm not in legal:
         raise BalanceError(f"engine {engine} doesn't know algorithm {algorithm!r}; it knows {legal}")
     if algorithm == "auto":
@@ -279,7 +281,7 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean
     queries and refs have a unique `id` and an array `z`. exclude_self leaves out the reference with the query's id;
     fewer than k references give fewer rows. metric "cosine" and "ip" are one less the inner product of the vectors
     over their norms. `decimals` rounds squared distances (or the measure) before ranking. `sizes` and `dim` save
-    the jobs that find them. returns: both, index, dist. graph_m and graph_ef: see `approximate`. query_is_data: both
+    the jobs that find them. returns: both, index, dist. graph_m and graph_ef: see `graph` and `approximate`. query_is_data: both
     sides are one table, see `lists`. algorithm "kd_tree" and "cover_tree" search by a tree (see `tree`), and so does
     engine "FNN" by itself where the references are too many to be sent. chunk_size and workers: see `lists`.
     """
@@ -297,7 +299,7 @@ def distance(measure: Column, metric: str) -> Column:
 
 def neighbour_lists(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, engine: str = "native", decimals: int | None = None, small: int = SMALL, sizes: tuple[int, int] | None = None, dim: int | None = None, graph_m: int = 16, graph_ef: int = 200, algorithm: str = "auto", query_is_data: bool = False, chunk_size: int | None = None, workers: int = 1) -> DataFrame:
     """As `knn`, a row for each query: (query_id, near), near an array of (measure, neighbor_id), nearest first."""
-    from evenkeel.operators import tree
+    from evenkeel.operators import graph, tree
 
     resolved = resolved_algorithm(algorithm, engine)
     if chunk_size is not None:
@@ -308,6 +310,8 @@ def neighbour_lists(queries: DataFrame, refs: DataFrame, k: int, *, metric: str
             raise BalanceError(f"a {algorithm} knows euclidean distances only, not {metric!r}")
         queries, refs = (d.withColumn("z", vectors.normalized(F.col("z"))) for d in (queries, refs))
     if engine == "RcppHNSW":
+        return graph.searched(queries, refs, k, metric, exclude_self, decimals, graph_m, graph_ef)
+    if engine == "lists":
         checks.graph_parameters(graph_m, graph_ef)
         return approximate(queries, refs, k, metric, exclude_self, decimals, graph_m, graph_ef)
     if dim is None:

@@ -135,12 +135,22 @@ def knn_lists_recall(spark, folder):
     """What share of the true neighbours the approximate engine finds, and whether all lists are full."""
     x = tables.points(spark, folder)
     how = {"metric": "cosine", "exclude_self": True}
-    near, true = (knn.knn(x.where("label = 0"), x, 5, engine=e, **how).select("query_id", "neighbor_id") for e in ("RcppHNSW", "exact"))
+    near, true = (knn.knn(x.where("label = 0"), x, 5, engine=e, **how).select("query_id", "neighbor_id") for e in ("lists", "exact"))
     found = near.join(true, ["query_id", "neighbor_id"], "left_semi")
     n = [t.agg(F.count(F.lit(1)).alias(c)) for t, c in ((near, "n_near"), (true, "n_true"), (found, "n_found"))]
     return n[0].crossJoin(n[1]).crossJoin(n[2]).select((F.col("n_near") == F.col("n_true")).alias("whole"), (F.col("n_found") >= 0.9 * F.col("n_true")).alias("near"))
 
 
+def knn_graph_recall(spark, folder):
+    """By label of the query: neighbours found by graphs, and whether at least 0.95 of the true ones are among them."""
+    x = tables.points(spark, folder)
+    how = {"metric": "cosine", "exclude_self": True, "decimals": 9}
+    near, true = (knn.knn(x, x, 10, engine=e, **how).select("query_id", "neighbor_id") for e in ("RcppHNSW", "exact"))
+    both = near.withColumn("found", F.lit(1)).join(true.withColumn("true", F.lit(1)), ["query_id", "neighbor_id"], "full")
+    by = both.join(x.select(F.col("id").alias("query_id"), "label"), "query_id").groupBy("label")
+    return by.agg(F.count("found").alias("n"), (F.count_if(F.col("found").isNotNull() & F.col("true").isNotNull()) >= 0.95 * F.count("true")).alias("near"))
+
+
 def _difficulty(p: balance.Prepared) -> DataFrame:
     minor = p.vectors("rare")
     return synthesis.difficulty(p.lists(minor, p.vectors(), 5, (p.roles.n_min, p.facts.rows), exclude_self=True), minor)
@@ -511,6 +521,7 @@ SELECT query_id, rank, neighbor_id, round(d, 6) AS dist FROM k WHERE rank <= {k}
         "knn_ip_exact": (knn_ip, angular("label = 1", "label = 0", 3, False)),
         "knn_projections": (knn_projections, None),
         "knn_lists_recall": (knn_lists_recall, "SELECT true AS whole, true AS near"),
+        "knn_graph_recall": (knn_graph_recall, "WITH n AS (SELECT count(*) AS all_rows FROM embeddings) SELECT label, sum(least(10, all_rows - 1))::BIGINT AS n, true AS near FROM embeddings, n GROUP BY label"),
         "adasyn_difficulty": (adasyn_difficulty, f"{part}, {sql.allocation(0.5, 5, True)} SELECT id, c, k FROM c"),
         "adasyn_weights": (adasyn_weights, f"{part}, {sql.allocation(0.5, 5, True)} SELECT id, c, round(CASE WHEN t > 0 THEN c / t::DOUBLE ELSE 1 / rows::DOUBLE END, 9) AS weight FROM c, t"),
         "adasyn_allocation": (adasyn_allocation, f"{part}, {sql.allocation(0.5, 5, True)} SELECT id, c, n FROM a"),

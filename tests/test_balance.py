@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel import BalanceError
-from evenkeel.operators import balance, checks, knn, roles, scaling, schema, select, steps, synthesis, tree, undersampling
+from evenkeel.operators import balance, checks, graph, knn, roles, scaling, schema, select, steps, synthesis, tree, undersampling
 from evenkeel.sources import generated
 from evenkeel.streaming import batches
 
@@ -250,17 +250,45 @@ def test_segments(spark):
             assert [i for _, i in first] == [i for _, i in sorted((r["__ord"], r["id"]) for r in out if r["__segment"] == 0)]
 
 
-def test_coarse_lists(spark, monkeypatch):
+@pytest.mark.parametrize("engine, m", [("lists", 2), ("RcppHNSW", 4)])
+def test_approximate_engines(spark, monkeypatch, engine, m):
+    """A vector with many copies, parts and shards, tables smaller than k, empty ones."""
+    monkeypatch.setattr(graph, "SHARD", 300)
+    monkeypatch.setattr(graph, "ASKS", 700)
     x = RNG.normal(size=(1500, 6))
     x[:400] = x[0]
     refs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, z array<double>").repartition(5)
     monkeypatch.setattr(knn, "BLOCK", 150)
     true = {(r.query_id, r.rank): r.dist for r in knn.knn(refs, refs, 5, engine="exact", exclude_self=True).collect()}
-    got = {(r.query_id, r.rank): r.dist for r in knn.knn(refs, refs, 5, engine="RcppHNSW", exclude_self=True, graph_m=2, graph_ef=40).collect()}
+    got = {(r.query_id, r.rank): r.dist for r in knn.knn(refs, refs, 5, engine=engine, exclude_self=True, graph_m=m, graph_ef=40).collect()}
     assert got.keys() == true.keys() and sum(abs(got[q] - d) < 1e-9 for q, d in true.items()) >= 0.9 * len(true)
     few = refs.where("id < 4")
-    assert knn.knn(few, few, 9, engine="RcppHNSW", exclude_self=True).count() == 12
-    assert knn.knn(refs, refs.limit(0), 5, engine="RcppHNSW").count() == 0 == knn.knn(refs.limit(0), refs, 5, engine="RcppHNSW").count()
+    assert knn.knn(few, few, 9, engine=engine, exclude_self=True).count() == 12
+    assert knn.knn(refs, refs.limit(0), 5, engine=engine).count() == 0 == knn.knn(refs.limit(0), refs, 5, engine=engine).count()
+
+
+def test_graphs_find_neighbours_by_few_distances():
+    """Groups that no link joins, and points without groups, of which coarse lists with as many rows hold fewer neighbours."""
+    rng = np.random.default_rng(7)
+    for x, least in ((rng.normal(size=(40, 24))[rng.integers(0, 40, 3000)] * 4 + rng.normal(size=(3000, 24)), 0.97), (rng.random((3000, 16)), 0.99)):
+        q = x[:100] + 0.01 * rng.normal(size=(100, x.shape[1]))
+        want = np.argsort(((q[:, None] - x[None]) ** 2).sum(-1), axis=1)[:, :10]
+        g, spent = graph.Layers.built(x, 16), []
+        assert len(g.layers) > 1 and all(len(n) > len(m) for (n, _), (m, _) in zip(g.layers, g.layers[1:], strict=False))
+        for ef in (20, 200):
+            g.distances = 0
+            at, d = g.search(q, ef)
+            assert (np.diff(np.where(np.isfinite(d), d, 1e300), axis=1) >= 0).all()
+            assert sum(len(set(a[:10]) & set(w)) for a, w in zip(at.tolist(), want.tolist(), strict=True)) >= least * 1000
+            spent.append(g.distances / 100)
+        assert spent[0] < spent[1] and spent[0] < 700
+        if least == 0.99:
+            centres = knn._centroids(x, 3000 // 256)
+            size, own, order = np.bincount(knn._order(x, centres, 1)[:, 0], minlength=len(centres)), knn._order(x, centres, 1)[:, 0], knn._order(q, centres, len(centres))
+            met = (np.cumsum(size[order], axis=1) - size[order]) < spent[0]
+            assert sum(len(set(w) & set(np.flatnonzero(np.isin(own, o[f])))) for w, o, f in zip(want.tolist(), order, met, strict=True)) < 0.9 * 1000
+        again = graph.Layers.unpacked(x, g.packed()).search(q, 20)
+        assert all(np.array_equal(a, b) for a, b in zip(again, g.search(q, 20), strict=True))
 
 
 def test_generated_families(spark):
