@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.errors import BalanceError
 from evenkeel.functions import vectors
-from evenkeel.operators import balance, knn, restore, roles, scaling, schema, steps, synthesis, tree, undersampling
+from evenkeel.operators import balance, knn, repeated, restore, roles, scaling, schema, steps, synthesis, tree, undersampling
 from evenkeel.plans import sql
 from evenkeel.sources import generated, tables
 
@@ -115,6 +115,42 @@ def knn_self_blocks(spark, folder):
     return _rounded(p.knn(rows, rows, 5, (p.facts.rows, p.facts.rows), exclude_self=True, query_is_data=True), dist=6)
 
 
+def knn_repeated(spark, folder):
+    """All events among all others by hour and tens of their value, of which many are alike."""
+    x = tables.purchases(spark, folder).select(F.col("event_id").alias("id"), F.array(F.col("hour").cast("double"), F.floor(F.col("value") / 10).cast("double")).alias("z"))
+    return _ranked(repeated.lists(x, x, 5, True, engine="exact"))
+
+
+def vector_columns(spark, folder):
+    """Embeddings as numbered columns of doubles."""
+    return _rounded(generated.numbered(tables.points(spark, folder), "z", 64), **{f"V{j}": 6 for j in range(1, 65)})
+
+
+def step_checks(spark, folder):
+    """Which selections, flags and features a step takes over a table, how it shows itself then, and how many rows it gives."""
+    from pyspark.ml.feature import VectorAssembler
+
+    df = tables.parts(spark, folder)
+    dense = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(df)
+    cases = {
+        "one outcome": lambda: steps.step_adasyn("cls", ratio=0.5, **PART).fit(df),
+        "one in a list": lambda: steps.step_nearmiss(["cls"], ratio=1.0, **PART).fit(df),
+        "two outcomes": lambda: steps.step_adasyn(["cls", "p_size"], **PART).fit(df),
+        "no outcome": lambda: steps.step_adasyn([], **PART).fit(df),
+        "unknown outcome": lambda: steps.step_adasyn("nothing", **PART).fit(df),
+        "flag": lambda: steps.step_adasyn("cls", ratio=0.5, audit=True, skip=False, **PART).fit(df),
+        "number for a flag": lambda: steps.step_adasyn("cls", audit=1, **PART).fit(df),
+        "text for a flag": lambda: steps.step_adasyn("cls", skip="no", **PART).fit(df),
+        "flag of the call": lambda: balance.Options(restore_types="yes"),
+        "vector feature": lambda: schema.resolved(dense, "cls", ["v"], "p_partkey"),
+    }
+    rows = []
+    for name, make in cases.items():
+        model = make() if _accepted(make) else None
+        rows.append((name, model is not None, model and repr(model), model and model.training().data.count()))
+    return spark.createDataFrame(rows, "name string, accepted boolean, said string, n long")
+
+
 def knn_cosine(spark, folder):
     x = tables.points(spark, folder)
     return _rounded(knn.knn(x.where("label = 0"), x, 5, metric="cosine", engine="exact", exclude_self=True, decimals=9), dist=6)
@@ -517,6 +553,14 @@ SELECT query_id, rank, neighbor_id, round(d, 6) AS dist FROM k WHERE rank <= {k}
         "knn_tree": (knn_tree, f"{part}, {sql.nearest('k', sql.ALL, sql.ALL, 5)} {listed} k"),
         "knn_cover_tree": (knn_cover_tree, f"{part}, {sql.nearest('k', sql.MAJOR, sql.ALL, 3)} {listed} k"),
         "knn_self_blocks": (knn_self_blocks, f"{part}, {sql.nearest('k', sql.ALL, sql.ALL, 5)} {listed} k"),
+        "knn_repeated": (knn_repeated, f"""WITH v AS (SELECT event_id AS id, hour(ts)::DOUBLE AS h, floor(value / 10) AS f FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY h, f ORDER BY id) AS nth FROM v), d AS (SELECT DISTINCT h, f FROM v),
+k AS (SELECT d.h, d.f, r.id, (d.h - r.h) * (d.h - r.h) + (d.f - r.f) * (d.f - r.f) AS d2 FROM d, r WHERE nth <= 6),
+t AS (SELECT *, row_number() OVER (PARTITION BY h, f ORDER BY d2, id) AS nth FROM k),
+o AS (SELECT v.id AS query_id, t.id AS neighbor_id, d2, row_number() OVER (PARTITION BY v.id ORDER BY d2, t.id) AS rank FROM v JOIN t USING (h, f) WHERE t.nth <= 6 AND v.id <> t.id)
+{listed} o WHERE rank <= 5"""),
+        "vector_columns": (vector_columns, f"SELECT vec_id AS id, label, {', '.join(f'round(embedding[{j}]::DOUBLE, 6) AS V{j}' for j in range(1, 65))} FROM embeddings"),
+        "step_checks": (step_checks, f"{part}, a AS (SELECT unnest(['one outcome', 'one in a list', 'two outcomes', 'no outcome', 'unknown outcome', 'flag', 'number for a flag', 'text for a flag', 'flag of the call', 'vector feature']) AS name) SELECT name, name IN ('one outcome', 'one in a list', 'flag') AS accepted, CASE WHEN name IN ('one outcome', 'flag') THEN 'BalanceStep(adasyn of cls) [trained]' WHEN name = 'one in a list' THEN 'BalanceStep(nearmiss of cls) [trained]' END AS said, CASE WHEN name IN ('one outcome', 'flag') THEN n_min + n_maj + greatest(1, floor(n_min * 0.5))::BIGINT WHEN name = 'one in a list' THEN 2 * n_min END AS n FROM a, n"),
         "knn_cosine_exact": (knn_cosine, angular("label = 0", "", 5, True)),
         "knn_ip_exact": (knn_ip, angular("label = 1", "label = 0", 3, False)),
         "knn_projections": (knn_projections, None),

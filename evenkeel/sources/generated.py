@@ -124,6 +124,17 @@ def rare_class_table(spark: SparkSession, rows: int, features: int = 250, preval
     return scored.select("ID", F.when(F.col("__signal") > F.lit(bar), "Yes").otherwise("No").alias("TARGET_CLASS"), *names)
 
 
+def numbered(df: DataFrame, vector: str, dim: int) -> DataFrame:
+    """df with the array column's numbers as columns V1 to V`dim` in its place; names that are taken abort."""
+    names = [f"V{j + 1}" for j in range(dim)]
+    if taken := {n.lower() for n in names} & {c.lower() for c in df.columns if c != vector}:
+        raise BalanceError(f"there is a column {min(taken)!r} already")
+    out = []
+    for c in df.columns:
+        out += [F.get(vector, F.lit(j)).cast("double").alias(n) for j, n in enumerate(names)] if c == vector else [F.col(f"`{c}`")]
+    return df.select(*out)
+
+
 def matrix_frame(spark: SparkSession, x, y, id_col: str = "id") -> DataFrame:
     """A dense 2-d array and its labels as a table with columns V1 and on, `y` and row numbers."""
     import numpy as np

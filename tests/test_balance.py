@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel import BalanceError
-from evenkeel.operators import balance, checks, graph, knn, roles, scaling, schema, select, steps, synthesis, tree, undersampling
+from evenkeel.operators import balance, checks, graph, knn, repeated, roles, scaling, schema, select, steps, synthesis, tree, undersampling
 from evenkeel.sources import generated
 from evenkeel.streaming import batches
 
@@ -547,3 +547,26 @@ def test_formulas(spark):
     assert balance.weighted(df, "y ~ x1").count() == 40
     with pytest.raises(BalanceError, match="already"):
         balance.adasyn(df, "y ~ x1", features=["x2"])
+
+
+def test_repeated_vectors_equal_brute_force(spark):
+    """Most queries and references share few vectors, one of them over a third of all."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 4, (300, 2)).astype(float)
+    x[::3] = x[0]
+    df = points(spark, x)
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    for exclude in (True, False):
+        e = d + np.where(np.eye(len(x), dtype=bool) & exclude, np.inf, 0)
+        want = {i + 1: (np.argsort(r, kind="stable")[:4] + 1).tolist() for i, r in enumerate(e)}
+        for small in (knn.SMALL, 0):
+            assert {r.query_id: [n.neighbor_id for n in r.near] for r in repeated.lists(df, df, 4, exclude, engine="exact", small=small).collect()} == want
+    plan = repeated.lists(df, df, 4, True, engine="exact", small=0, sizes=(16, 80), dim=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 1
+
+
+def test_numbered_columns(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0])], "id long, z array<double>")
+    assert [tuple(r) for r in generated.numbered(df, "z", 2).orderBy("id").collect()] == [(1, 1.0, 2.0), (2, 3.0, None)]
+    with pytest.raises(BalanceError):
+        generated.numbered(df.withColumn("v1", F.lit(1)), "z", 2)
