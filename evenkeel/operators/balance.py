@@ -252,7 +252,12 @@ def _majority_kept(p: Prepared, ratio: float, k: int, made: DataFrame | None, g:
         # the distance is all that counts, so ids only have to differ; originals come first, as in the result
         tag = lambda n, c: F.concat(F.lit(n), c.cast("string"))
         refs = refs.select(tag("0", F.col("id")).alias("id"), "z").unionByName(made.select(F.concat_ws("|", F.lit("1"), F.col("base_id").cast("string"), F.col("copy").cast("string")).alias("id"), "z"))
-    near = p.lists(queries, refs, min(k, n_min), (n_maj, n_min))
+    k, dim = min(k, n_min), len(p.features)
+    if p.o.metric == "euclidean" and p.o.engine not in ("RcppHNSW", "lists") and n_min * dim > p.o.small:
+        # a search in blocks is for those only that may be kept
+        how = {"sizes": (n_maj, n_min), "dim": dim} | ({} if p.o.chunk_size is None else {"leaf": max(1, p.o.chunk_size // 16)})
+        queries, n_maj = undersampling.pruned(queries, refs, k, m, p.o.score, p.o.decimals, **how)
+    near = p.lists(queries, refs, k, (n_maj, n_min))
     return undersampling.kept(undersampling.scored(near, p.o.score, p.o.metric), m, p.o.decimals)
 
 

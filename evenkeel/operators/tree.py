@@ -88,6 +88,59 @@ class Cells:
         return np.maximum(out, plane)
 
 
+    def above(self, q: np.ndarray) -> np.ndarray:
+        """For each query and cell a distance that no reference of the cell is farther than."""
+        qq, cc = (q * q).sum(axis=1)[:, None], (self.centres * self.centres).sum(axis=1)[None, :]
+        d = qq + cc - 2 * q @ self.centres.T + 16e-16 * (q.shape[1] + 8) * (qq + cc)
+        return np.sqrt(np.maximum(d, 0)) * (1 + 1e-12) + self.radii * (1 + 1e-12)
+
+
+def fitted(refs: DataFrame, n: int, dim: int, kind: str, leaf: int) -> tuple[Cells, np.ndarray, DataFrame]:
+    """The cells of n references, how many each holds, and (id, z, list), the references with their cells."""
+    rk = dict(refs.dtypes)["id"]
+    wanted = max(1, min(-(-n // leaf), CELLS[kind], knn.SMALL // (2 * SAMPLE * dim)))
+    share = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30))
+    sample = refs.where(share < min(1 << 30, -(-(SAMPLE * wanted << 30) // n))).limit(2 * SAMPLE * wanted).toArrow()
+    tree = Cells(kind, knn._side(sample)[1] if len(sample) else np.zeros((1, dim)), wanted)
+    held = refs.sparkSession.sparkContext.broadcast(tree)
+
+    def dealt(batches):
+        for b in batches:
+            z = knn._matrix(b.column(1), dim) if b.num_rows else np.empty((0, dim))
+            at = held.value.place(z)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at.astype(np.int32)), pa.array(held.value.radius(z, at))], ["id", "z", "list", "far"])
+
+    right = shared.checkpointed(refs.select("id", "z").mapInArrow(dealt, f"id {rk}, z array<double>, list int, far double"))
+    counts = np.zeros(len(tree), np.int64)
+    for r in right.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect():  # a row a cell
+        counts[r["list"]], tree.radii[r["list"]] = r.n, r.far
+    return tree, counts, right.drop("far")
+
+
+def bounds(queries: DataFrame, tree: Cells, counts: np.ndarray, k: int, dim: int, squared: bool) -> DataFrame:
+    """(id, z, lower, upper): between what the mean (squared) distance of each query to its k nearest references lies.
+
+    The k nearest of all references are nowhere nearer than the nearest places of cells, filled as far as these hold references.
+    """
+    held = queries.sparkSession.sparkContext.broadcast((tree, counts))
+
+    def mean(to: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        to = np.where(counts > 0, to * to if squared else to, np.inf)
+        order = np.argsort(to, axis=1, kind="stable")
+        before = np.cumsum(counts[order], axis=1) - counts[order]
+        take = np.clip(k - before, 0, counts[order])
+        return np.where(take > 0, np.take_along_axis(to, order, 1) * take, 0).sum(axis=1) / k
+
+    def run(batches):
+        tree, counts = held.value
+        for b in batches:
+            ends = [(mean(tree.below(z), counts), mean(tree.above(z), counts)) for z in _parts(b, dim, len(tree))]
+            lower, upper = (np.concatenate([e[i] for e in ends]) if ends else np.empty(0) for i in range(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lower), pa.array(upper)], ["id", "z", "lower", "upper"])
+
+    return queries.select("id", "z").mapInArrow(run, f"id {dict(queries.dtypes)['id']}, z array<double>, lower double, upper double")
+
+
 def searched(queries: DataFrame, refs: DataFrame, k: int, exclude: bool = False, decimals: int | None = None, sizes: tuple[int, int] | None = None, dim: int | None = None, kind: str = "kd_tree", leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
     """(query_id, near), see `knn.lists`, and (query_id, cells, of): how many cells each query met of how many there are.
 
@@ -104,23 +157,7 @@ def searched(queries: DataFrame, refs: DataFrame, k: int, exclude: bool = False,
     if not n:
         near = queries.limit(0).select(F.col("id").alias("query_id"), F.lit(None).cast(f"array<struct<measure: double, neighbor_id: {rk}>>").alias("near"))
         return near, near.select("query_id", F.lit(0).alias("cells"), F.lit(0).alias("of"))
-    wanted = max(1, min(-(-n // leaf), CELLS[kind], knn.SMALL // (2 * SAMPLE * dim)))
-    share = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30))
-    sample = refs.where(share < min(1 << 30, -(-(SAMPLE * wanted << 30) // n))).limit(2 * SAMPLE * wanted).toArrow()
-    tree = Cells(kind, knn._side(sample)[1] if len(sample) else np.zeros((1, dim)), wanted)
-    held = spark.sparkContext.broadcast(tree)
-
-    def dealt(batches):
-        for b in batches:
-            z = knn._matrix(b.column(1), dim) if b.num_rows else np.empty((0, dim))
-            at = held.value.place(z)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at.astype(np.int32)), pa.array(held.value.radius(z, at))], ["id", "z", "list", "far"])
-
-    right = shared.checkpointed(refs.mapInArrow(dealt, f"id {rk}, z array<double>, list int, far double"))
-    counts = np.zeros(len(tree), np.int64)
-    for r in right.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect():  # a row a cell
-        counts[r["list"]], tree.radii[r["list"]] = r.n, r.far
-    right = right.drop("far")
+    tree, counts, right = fitted(refs, n, dim, kind, leaf)
     known, need = spark.sparkContext.broadcast((tree, counts)), min(n, k + exclude)
 
     def first(batches):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.operators import knn, select
+from evenkeel.operators import knn, select, tree
 from evenkeel.sources import shared
 
 
@@ -28,3 +28,21 @@ def kept(scores: DataFrame, m: int, decimals: int | None = None, few: int = sele
         # scores are read more than once then, and cost a search
         scores = shared.checkpointed(scores)
     return select.smallest(scores, m, "score", "id", few)
+
+
+def pruned(queries: DataFrame, refs: DataFrame, k: int, m: int, score: str = "mean", decimals: int | None = None, *, sizes: tuple[int, int], dim: int, leaf: int = tree.LEAF) -> tuple[DataFrame, int]:
+    """The queries (id, z) that may be among the m with the smallest scores, by bounds of the scores from cells of the references.
+
+    A query's score lies between two bounds that cells' planes and balls give without its neighbours. At least m have an upper
+    bound of at most some bar; those whose lower bound is beyond it needn't be scored. Returns them and how many they are.
+    """
+    n = sizes[0]
+    cells, counts, _ = tree.fitted(refs, sizes[1], dim, "kd_tree", leaf)
+    rows = shared.checkpointed(tree.bounds(queries, cells, counts, k, dim, score != "mean"))
+    # a rank that errs by a ten-thousandth of all rows; what it gives is a bar only if m rows are below it
+    bar, top = rows.agg(F.percentile_approx("upper", min(1.0, m / n + 2e-4), 10_000), F.max("upper")).first()
+    below = rows.agg(F.count_if(F.col("upper") <= F.lit(bar))).first()[0]
+    bar = bar if below >= m else top
+    slack = 0.0 if decimals is None else 10.0 ** (-decimals / 2 if score == "mean" else -decimals)
+    left = rows.where(F.col("lower") <= F.lit(bar * (1 + 1e-9) + slack)).select("id", "z")
+    return left, left.count()

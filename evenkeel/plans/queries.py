@@ -248,6 +248,16 @@ def nearmiss_blocks(spark, folder):
     return balance.nearmiss(tables.parts(spark, folder), "cls", 1.0, 5, **PART, **DEALT).data
 
 
+def nearmiss_pruned(spark, folder):
+    """The 40 common rows that lie nearest to those of size 45 and over, of those that bounds by cells leave."""
+    df = tables.parts(spark, folder).withColumn("cls", F.when(F.col("p_size") >= 45, "rare").otherwise("common"))
+    p = balance.prepared(df, "cls", balance.Options(**PART))
+    sizes = (p.roles.n_maj, p.roles.n_min)
+    left, n = undersampling.pruned(p.vectors("common"), p.vectors("rare"), 5, 40, decimals=9, sizes=sizes, dim=2, leaf=16)
+    kept = undersampling.kept(undersampling.scored(p.lists(left, p.vectors("rare"), 5, (n, sizes[1]))), 40, 9)
+    return kept.select("id", F.round("score", 6).alias("score"))
+
+
 def adanear_blocks(spark, folder):
     return _part_rows(balance.adanear(tables.parts(spark, folder), "cls", 0.3, 0.5, 5, 5, 7, **PART, **DEALT).data)
 
@@ -575,6 +585,7 @@ o AS (SELECT v.id AS query_id, t.id AS neighbor_id, d2, row_number() OVER (PARTI
         "adasyn_events": (adasyn_events, f"{sql.scaled(sql.EVENTS[0])}, {sql.allocation(0.1, 5, True)} SELECT id AS base_id, n FROM a WHERE n > 0"),
         "adasyn_blocks": (adasyn_blocks, _sql_rows(f"{part}, {syn}", "true", True)),
         "nearmiss_blocks": (nearmiss_blocks, _sql_rows(f"{part}, {sql.retained(1, 5, False)}", "rare OR id IN (SELECT id FROM r)", False)),
+        "nearmiss_pruned": (nearmiss_pruned, f"{sql.scaled(sql.OLD)}, {sql.nearest('kn', sql.MAJOR, sql.MINOR, 5, False)}, sc AS (SELECT query_id AS id, round(avg(sqrt(d2)), 9) AS score FROM kn GROUP BY 1) SELECT id, round(score, 6) AS score FROM sc ORDER BY sc.score, id LIMIT 40"),
         "adanear_blocks": (adanear_blocks, _sql_rows(hybrid, "rare OR id IN (SELECT id FROM r)", True)),
         "oversample_uniform_blocks": (oversample_uniform_blocks, _sql_rows(f"{pop}, {sql.synthetic(0.5, 3, 7, False)}", "true", True)),
         "adanear_uniform_blocks": (adanear_uniform_blocks, _sql_rows(f"{pop}, {sql.synthetic(0.3, 3, 7, False)}, {sql.retained(0.5, 7, True, True, True)}", "rare OR id IN (SELECT id FROM r)", True)),

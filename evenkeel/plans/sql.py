@@ -5,6 +5,7 @@ from __future__ import annotations
 from evenkeel.sources import generated as made
 
 PARTS = ("SELECT p_partkey AS id, p_brand = 'Brand#11' AS rare, p_size::DOUBLE AS f1, p_retailprice::DOUBLE AS f2 FROM part", "part")
+OLD = "SELECT p_partkey AS id, p_size >= 45 AS rare, p_size::DOUBLE AS f1, p_retailprice::DOUBLE AS f2 FROM part"
 EVENTS = ("SELECT event_id AS id, event_type = 'purchase' AS rare, value::DOUBLE AS f1, hour(ts)::DOUBLE AS f2 FROM events", "events")
 TOXIC = ("SELECT l.doc_id AS id, l.toxic = 1 AS rare, d.n_chars::DOUBLE AS f1, l.quality::DOUBLE AS f2 FROM labels l JOIN documents d ON l.doc_id = d.doc_id", "labels")
 

@@ -570,3 +570,18 @@ def test_numbered_columns(spark):
     assert [tuple(r) for r in generated.numbered(df, "z", 2).orderBy("id").collect()] == [(1, 1.0, 2.0), (2, 3.0, None)]
     with pytest.raises(BalanceError):
         generated.numbered(df.withColumn("v1", F.lit(1)), "z", 2)
+
+
+@pytest.mark.parametrize("score", ["mean", "mean_sq"])
+def test_bounds_keep_all_that_score_low(spark, monkeypatch, score):
+    """Whatever cells hold, no row among the m smallest is left out, and in clusters most others are."""
+    refs, q = clusters(400, 3, 4), np.concatenate([clusters(300, 3, 4) + 0.3, 60 * RNG.normal(size=(500, 3))])
+    d = np.sort(((q[:, None] - refs[None]) ** 2).sum(-1), axis=1)[:, :5]
+    s = (np.sqrt(d) if score == "mean" else d).mean(axis=1)
+    for m, leaf in ((1, 10), (40, 10), (300, 25), (799, 10)):
+        left, n = undersampling.pruned(points(spark, q), points(spark, refs), 5, m, score, 9, sizes=(800, 400), dim=3, leaf=leaf)
+        ids = {r.id for r in left.select("id").collect()}
+        assert len(ids) == n and {int(i) + 1 for i in np.argsort(s, kind="stable")[:m]} <= ids
+        assert n < 500 or m == 799
+    tie = points(spark, np.ones((30, 2)))
+    assert undersampling.pruned(tie, tie, 3, 7, score, None, sizes=(30, 30), dim=2, leaf=4)[1] == 30
