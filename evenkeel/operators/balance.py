@@ -9,7 +9,7 @@ before ranking, so that results don't depend on the order of floating-point sums
 `ddof` and `constant` (see `scaling.parameters`), `target_out` (another name for the target), `provenance` (adds
 `__base_id` and `__copy`, null in original rows), `audit` or `audit_level`, `max_output_rows`, `max_dense_gb`.
 `workers` (tasks of the searches, if over 1) and `chunk_size` (queries of a product at a time, rows of a block) have no effect on
-results, nor has `backend`, which is checked; `graph_m` and `graph_ef` set how much the approximate engine searches.
+results, nor have `precision` (see `knn`) and `backend`, which is checked; `graph_m` and `graph_ef` set how much the approximate engine searches.
 The target may be a formula, "y ~ a + b" or "y ~ . - c" (see `schema.formula`), in place of a name and features. `segments` adds `__segment` (0: retained majority, 1: minority, 2: synthetic) and `__ord` (the
 score of a majority row; null in others, and where all are kept unscored): ordered by both and the id, rows stand as an
 assembled table has them.
@@ -67,11 +67,13 @@ class Options:
     graph_m: int = 16
     graph_ef: int = 200
     small: int = knn.SMALL
+    precision: str = "double"
 
     def __post_init__(self):
         checks.positive_integer(self.workers, "workers")
         checks.chunk_size(self.chunk_size)
         checks.backend(self.backend)
+        checks.precision(self.precision)
         checks.graph_parameters(self.graph_m, self.graph_ef)
         for name in ("already_scaled", "restore_types", "return_scaled", "original_scale", "provenance", "segments", "check_ids", "audit"):
             checks.flag(getattr(self, name), name)
@@ -110,7 +112,7 @@ class Prepared:
 
     def _how(self, sizes) -> dict:
         o = self.o
-        return {"metric": o.metric, "engine": o.engine, "decimals": o.decimals, "small": o.small, "sizes": sizes, "dim": len(self.features), "graph_m": o.graph_m, "graph_ef": o.graph_ef, "algorithm": o.asked, "chunk_size": o.chunk_size, "workers": o.workers}
+        return {"metric": o.metric, "engine": o.engine, "decimals": o.decimals, "small": o.small, "sizes": sizes, "dim": len(self.features), "graph_m": o.graph_m, "graph_ef": o.graph_ef, "algorithm": o.asked, "chunk_size": o.chunk_size, "workers": o.workers, "precision": o.precision}
 
     def knn(self, queries, refs, k, sizes, **more) -> DataFrame:
         return knn.knn(queries, refs, k, allow_approx=self.o.allow_approx, **self._how(sizes), **more)
@@ -157,7 +159,7 @@ def _generated(p: Prepared, ratio: float, k: int, seed: int) -> tuple[DataFrame,
     minor, k_all, k_own = p.vectors(p.roles.minority), min(k, n - 1), min(k, n_min - 1)
     adaptive = p.o.allocation == "adaptive"
     if p.o.by_brute_force():
-        how = {"dim": len(p.features), "metric": p.o.metric, "decimals": p.o.decimals, "small": p.o.small, "chunk": p.o.chunk_size, "workers": p.o.workers}
+        how = {"dim": len(p.features), "metric": p.o.metric, "decimals": p.o.decimals, "small": p.o.small, "chunk": p.o.chunk_size, "workers": p.o.workers, "single": p.o.precision == "single"}
         around = surroundings.found(minor, p.marked() if adaptive else minor.withColumn("minor", F.lit(True)), k_all if adaptive else 0, k_own, (n_min, n if adaptive else n_min), **how)
     else:
         own = p.lists(minor, minor, k_own, (n_min, n_min), exclude_self=True)

@@ -8,6 +8,7 @@ from evenkeel.errors import BalanceError
 
 INT_MAX = 2**31 - 1
 LEVELS = ("none", "light", "full")
+PRECISIONS = ("double", "single")
 BACKENDS = ("parallel", "RcppParallel")
 
 
@@ -56,6 +57,12 @@ def backend(x: str) -> str:
     return x
 
 
+def precision(x: str) -> str:
+    if x not in PRECISIONS:
+        raise BalanceError(f"precision must be one of {PRECISIONS}, not {x!r}")
+    return x
+
+
 def audit_level(audit: bool, level: str) -> str:
     if level not in LEVELS:
         raise BalanceError(f"audit_level must be one of {LEVELS}, not {level!r}")

@@ -67,28 +67,36 @@ def resolved_algorithm(algorithm: str = "auto", engine: str = "native") -> str:
     return algorithm
 
 
-def tiles(q: np.ndarray, r: np.ndarray, own: np.ndarray | None, metric: str, decimals: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def tiles(q: np.ndarray, r: np.ndarray, own: np.ndarray | None, metric: str, decimals: int | None, single: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first query, queries, measures to all references, bound of their error by query), so many queries at a time.
 
-    own: the place among the references that a query may not match, or -1.
+    own: the place among the references that a query may not match, or -1. single: products in single precision, of half
+    the memory; its errors are in the bound, so that what is ranked by it holds the same rows.
     """
     if not len(r) or not len(q):
         return
     rr = (r * r).sum(1)
-    step = max(1, CELLS // len(r))
+    # beyond this, squares don't fit single precision
+    single = single and max(rr.max(), (q * q).sum(1).max()) < 1e30
+    step = max(1, CELLS // len(r)) * (2 if single else 1)
+    # what is rounded, and what is lost below the smallest numbers
+    unit, least = (2.0**-24, 1e-44 * (q.shape[1] + 8)) if single else (1e-16, 0.0)
+    low = r.astype(np.float32).T if single else r.T
     for lo in range(0, len(q), step):
         part = q[lo : lo + step]
-        g = part @ r.T
+        g = (part.astype(np.float32) if single else part) @ low
         if metric == "euclidean":
             qq = (part * part).sum(1)
-            d = qq[:, None] + rr[None, :] - 2 * g
-            slack = 4e-16 * (q.shape[1] + 8) * (qq + rr.max()) * 4
+            g *= -2
+            g += qq[:, None].astype(g.dtype)
+            g += rr[None, :].astype(g.dtype)
+            d, slack = g, 4 * unit * (q.shape[1] + 8) * (qq + rr.max()) * 4
         else:
-            d = 1 - g
-            slack = np.full(len(part), 4e-16 * (q.shape[1] + 8) * 4)
+            d, slack = 1 - g, np.full(len(part), 4 * unit * (q.shape[1] + 8) * 4)
         if own is not None:
             mine = own[lo : lo + step]
             d[np.flatnonzero(mine >= 0), mine[mine >= 0]] = np.inf
+        slack = slack + least
         yield lo, part, d, slack if decimals is None else slack + 2 * 10.0**-decimals
 
 
@@ -113,22 +121,22 @@ def first_k(qi: np.ndarray, ri: np.ndarray, key: np.ndarray, k: int) -> tuple[np
     return qi[keep], ri[keep], key[keep]
 
 
-def nearest(q: np.ndarray, r: np.ndarray, own: np.ndarray | None, k: int, metric: str, decimals: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def nearest(q: np.ndarray, r: np.ndarray, own: np.ndarray | None, k: int, metric: str, decimals: int | None, single: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query places, reference places, measures) of each query's k nearest, in order of (measure, place).
 
     The measure is the squared distance, or one less the inner product of what are unit vectors then; `decimals` rounds
-    it before ranking. own: see `tiles`.
+    it before ranking. own and single: see `tiles`.
     """
-    for lo, part, d, slack in tiles(q, r, own, metric, decimals):
+    for lo, part, d, slack in tiles(q, r, own, metric, decimals, single):
         qi, ri, key = ranked(part, r, d, slack, k, metric, decimals)
         yield qi + lo, ri, key
 
 
-def mutual(a: np.ndarray, b: np.ndarray, k: int, metric: str, decimals: int | None) -> tuple[tuple, tuple]:
+def mutual(a: np.ndarray, b: np.ndarray, k: int, metric: str, decimals: int | None, single: bool = False) -> tuple[tuple, tuple]:
     """As `nearest` of a among b, and of b among a, from one product."""
     none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
     there, back = [none], [none]
-    for lo, part, d, slack in tiles(a, b, None, metric, decimals):
+    for lo, part, d, slack in tiles(a, b, None, metric, decimals, single):
         qi, ri, key = ranked(part, b, d, slack, k, metric, decimals)
         there.append((qi + lo, ri, key))
         qi, ri, key = ranked(b, part, d.T, np.full(len(b), slack.max()), k, metric, decimals)
@@ -162,20 +170,20 @@ def table(qids: list, rids: list, qi: np.ndarray, ri: np.ndarray, key: np.ndarra
     return pa.table([pa.array([qids[i] for i in qi.tolist()], kinds[0]), pa.array([rids[i] for i in ri.tolist()], kinds[1]), pa.array(key)], names=["query_id", "neighbor_id", "measure"])
 
 
-def _matched(qids, q, rids, r, k, exclude, metric, decimals, kinds):
+def _matched(qids, q, rids, r, k, exclude, metric, decimals, kinds, single=False):
     """How many neighbours each query has, and all of them as (query_id, neighbor_id, measure), in order."""
     own = places(qids, rids) if exclude else None
-    parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), *nearest(q, r, own, k, metric, decimals)]
+    parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), *nearest(q, r, own, k, metric, decimals, single)]
     qi, ri, key = (np.concatenate([p[i] for p in parts]) for i in range(3))
     return np.bincount(qi, minlength=len(qids)), table(qids, rids, qi, ri, key, kinds)
 
 
-def lists(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude: bool, decimals: int | None, sizes: tuple[int, int], dim: int, small: int = SMALL, same: bool = False, chunk: int | None = None, workers: int = 1) -> DataFrame:
+def lists(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude: bool, decimals: int | None, sizes: tuple[int, int], dim: int, small: int = SMALL, same: bool = False, chunk: int | None = None, workers: int = 1, single: bool = False) -> DataFrame:
     """(query_id, near): each query's k nearest as an array of (measure, neighbor_id), nearest first.
 
     With small references this takes no shuffle at all: each query's list is made where the query is. same: both sides
     are one table, so where it is large each two blocks meet once, for both. chunk: queries of a product at a time, and rows of
-    a block; workers: tasks of the search, where it is over 1.
+    a block; workers: tasks of the search, where it is over 1; single: see `tiles`.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -191,7 +199,7 @@ def lists(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude: boo
         def ask(batches):
             for b in (part for b in batches for part in parts(b, chunk)):
                 qids = b.column(0).to_pylist()
-                n, t = _matched(qids, _matrix(b.column(1), dim), *held.value, k, exclude, metric, decimals, kinds)
+                n, t = _matched(qids, _matrix(b.column(1), dim), *held.value, k, exclude, metric, decimals, kinds, single)
                 near = pa.StructArray.from_arrays([t.column(i).combine_chunks() for i in (2, 1)], ["measure", "neighbor_id"])
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), near)], ["query_id", "near"])
@@ -204,7 +212,7 @@ def lists(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude: boo
         def offer(batches):
             best = None
             for b in (part for b in batches for part in parts(b, chunk)):
-                _, t = _matched(*held.value, *_side(b), k, exclude, metric, decimals, kinds)
+                _, t = _matched(*held.value, *_side(b), k, exclude, metric, decimals, kinds, single)
                 best = t if best is None else pa.concat_tables([best, t])
                 if len(best) > 4 * k * len(held.value[0]):
                     best = _best(best, k)
@@ -213,7 +221,7 @@ def lists(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude: boo
 
         met = refs.mapInArrow(offer, shape)
     elif same:
-        met = _met_once(queries, k, metric, exclude, decimals, -(-sizes[0] // (chunk or BLOCK)), shape, kinds, workers)
+        met = _met_once(queries, k, metric, exclude, decimals, -(-sizes[0] // (chunk or BLOCK)), shape, kinds, workers, single)
     else:
         nq, nr = (-(-n // (chunk or BLOCK)) for n in sizes)
         block = lambda n, name: F.pmod(F.xxhash64("id"), F.lit(n)).alias(name)
@@ -226,7 +234,7 @@ def lists(queries: DataFrame, refs: DataFrame, k: int, metric: str, exclude: boo
                 # an empty side has no columns
                 return table([], [], *(np.empty(0, np.int64),) * 2, np.empty(0), kinds)
             pick = lambda t: t.select(["id", "z"])
-            return _matched(*_side(pick(a)), *_side(pick(b)), k, exclude, metric, decimals, kinds)[1]
+            return _matched(*_side(pick(a)), *_side(pick(b)), k, exclude, metric, decimals, kinds, single)[1]
 
         left, right = (d.repartition(workers, "qb", "rb") if workers > 1 else d for d in (left, right))
         met = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, shape)
@@ -240,7 +248,7 @@ def parts(batch: pa.RecordBatch, chunk: int | None) -> Iterator[pa.RecordBatch]:
         yield batch.slice(lo, step)
 
 
-def _met_once(rows: DataFrame, k: int, metric: str, exclude: bool, decimals: int | None, n: int, shape: str, kinds, workers: int) -> DataFrame:
+def _met_once(rows: DataFrame, k: int, metric: str, exclude: bool, decimals: int | None, n: int, shape: str, kinds, workers: int, single: bool) -> DataFrame:
     """Each two of n blocks of a table in one task, which finds the neighbours of either's rows in the other.
 
     A row is shuffled n times; were the sides dealt apart, it would be 2 n times.
@@ -255,9 +263,9 @@ def _met_once(rows: DataFrame, k: int, metric: str, exclude: bool, decimals: int
         if len(sides) == 1:
             # a block with itself, or with one that has no row
             alone = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
-            return _matched(*sides[0], *sides[0], k, exclude, metric, decimals, kinds)[1] if alone else table([], [], *(np.empty(0, np.int64),) * 2, np.empty(0), kinds)
+            return _matched(*sides[0], *sides[0], k, exclude, metric, decimals, kinds, single)[1] if alone else table([], [], *(np.empty(0, np.int64),) * 2, np.empty(0), kinds)
         (a, x), (b, y) = sides
-        there, back = mutual(x, y, k, metric, decimals)
+        there, back = mutual(x, y, k, metric, decimals, single)
         return pa.concat_tables([table(a, b, *there, kinds), table(b, a, *back, kinds)])
 
     pairs = pairs.repartition(workers, "lo", "hi") if workers > 1 else pairs
@@ -275,7 +283,7 @@ def _best(t: pa.Table, k: int) -> pa.Table:
     return t.take(pa.array(keep, pa.int64()))
 
 
-def knn(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, engine: str = "auto", algorithm: str = "auto", decimals: int | None = None, allow_approx: bool = False, small: int = SMALL, sizes: tuple[int, int] | None = None, dim: int | None = None, returns: str = "both", graph_m: int = 16, graph_ef: int = 200, query_is_data: bool = False, chunk_size: int | None = None, workers: int = 1) -> DataFrame:
+def knn(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, engine: str = "auto", algorithm: str = "auto", decimals: int | None = None, allow_approx: bool = False, small: int = SMALL, sizes: tuple[int, int] | None = None, dim: int | None = None, returns: str = "both", graph_m: int = 16, graph_ef: int = 200, query_is_data: bool = False, chunk_size: int | None = None, workers: int = 1, precision: str = "double") -> DataFrame:
     """(query_id, rank, neighbor_id, dist): each query's k nearest references by (distance, id).
 
     queries and refs have a unique `id` and an array `z`. exclude_self leaves out the reference with the query's id;
@@ -283,12 +291,13 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean
     over their norms. `decimals` rounds squared distances (or the measure) before ranking. `sizes` and `dim` save
     the jobs that find them. returns: both, index, dist. graph_m and graph_ef: see `graph` and `approximate`. query_is_data: both
     sides are one table, see `lists`. algorithm "kd_tree" and "cover_tree" search by a tree (see `tree`), and so does
-    engine "FNN" by itself where the references are too many to be sent. chunk_size and workers: see `lists`.
+    engine "FNN" by itself where the references are too many to be sent. chunk_size and workers: see `lists`. precision
+    "single" makes candidates by single-precision products, with the same results.
     """
     engine = resolved_engine(engine, metric, allow_approx)
     if returns not in ("both", "index", "dist"):
         raise BalanceError("returns must be both, index or dist")
-    near = neighbour_lists(queries, refs, k, metric=metric, exclude_self=exclude_self, engine=engine, decimals=decimals, small=small, sizes=sizes, dim=dim, graph_m=graph_m, graph_ef=graph_ef, algorithm=algorithm, query_is_data=query_is_data, chunk_size=chunk_size, workers=workers)
+    near = neighbour_lists(queries, refs, k, metric=metric, exclude_self=exclude_self, engine=engine, decimals=decimals, small=small, sizes=sizes, dim=dim, graph_m=graph_m, graph_ef=graph_ef, algorithm=algorithm, query_is_data=query_is_data, chunk_size=chunk_size, workers=workers, precision=precision)
     out = near.select("query_id", F.posexplode("near").alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), "x.neighbor_id", distance(F.col("x.measure"), metric).alias("dist"))
     return {"both": out, "index": out.drop("dist"), "dist": out.drop("neighbor_id")}[returns]
 
@@ -297,7 +306,7 @@ def distance(measure: Column, metric: str) -> Column:
     return F.sqrt(measure) if metric == "euclidean" else measure
 
 
-def neighbour_lists(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, engine: str = "native", decimals: int | None = None, small: int = SMALL, sizes: tuple[int, int] | None = None, dim: int | None = None, graph_m: int = 16, graph_ef: int = 200, algorithm: str = "auto", query_is_data: bool = False, chunk_size: int | None = None, workers: int = 1) -> DataFrame:
+def neighbour_lists(queries: DataFrame, refs: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, engine: str = "native", decimals: int | None = None, small: int = SMALL, sizes: tuple[int, int] | None = None, dim: int | None = None, graph_m: int = 16, graph_ef: int = 200, algorithm: str = "auto", query_is_data: bool = False, chunk_size: int | None = None, workers: int = 1, precision: str = "double") -> DataFrame:
     """As `knn`, a row for each query: (query_id, near), near an array of (measure, neighbor_id), nearest first."""
     from evenkeel.operators import graph, tree
 
@@ -320,7 +329,7 @@ def neighbour_lists(queries: DataFrame, refs: DataFrame, k: int, *, metric: str
     sizes = sizes or (queries.count(), refs.count())
     if algorithm in tree.KINDS or (resolved in tree.KINDS and metric == "euclidean" and sizes[1] * dim > small):
         return tree.searched(queries, refs, k, exclude_self, decimals, sizes, dim, resolved)[0]
-    return lists(queries, refs, k, metric, exclude_self, decimals, sizes, dim, small, query_is_data, chunk_size, workers)
+    return lists(queries, refs, k, metric, exclude_self, decimals, sizes, dim, small, query_is_data, chunk_size, workers, checks.precision(precision) == "single")
 
 
 def _centroids(x: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.errors import BalanceError
 from evenkeel.functions import vectors
+from evenkeel.operators import checks
 from evenkeel.operators.schema import Facts
 
 
@@ -42,9 +43,9 @@ def _each(df: DataFrame, features: list[str], s: Scaling, form: str) -> DataFram
     return df.selectExpr(*[one(c, vectors.quoted(c)) if c in p else vectors.quoted(c) for c in df.columns])
 
 
-def apply(df: DataFrame, features: list[str], s: Scaling) -> DataFrame:
-    """df with its features standardized in place."""
-    return _each(df, features, s, "(CAST({x} AS double) - {m}) / {s}")
+def apply(df: DataFrame, features: list[str], s: Scaling, precision: str = "double") -> DataFrame:
+    """df with its features standardized in place, as doubles or rounded to single precision."""
+    return _each(df, features, s, f"CAST((CAST({{x}} AS double) - {{m}}) / {{s}} AS {'double' if checks.precision(precision) == 'double' else 'float'})")
 
 
 def revert(df: DataFrame, features: list[str], s: Scaling) -> DataFrame:

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from evenkeel.operators import knn
 
 
-def _both(q: np.ndarray, r: np.ndarray, minor: np.ndarray, own: np.ndarray, k: int, k_own: int, metric: str, decimals: int | None):
+def _both(q: np.ndarray, r: np.ndarray, minor: np.ndarray, own: np.ndarray, k: int, k_own: int, metric: str, decimals: int | None, single: bool):
     """For both lists (query places, reference places, measures)."""
     few, at = np.flatnonzero(minor), np.cumsum(minor) - 1
     found = [[(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))] for _ in range(2)]
-    for lo, part, d, slack in knn.tiles(q, r, own, metric, decimals):
+    for lo, part, d, slack in knn.tiles(q, r, own, metric, decimals, single):
         for which, (refs, cells, most) in enumerate(((r, d, k), (r[few], d[:, few], k_own))):
             if most and cells.shape[1]:
                 qi, ri, key = knn.ranked(part, refs, cells, slack, most, metric, decimals)
@@ -25,11 +25,11 @@ def _both(q: np.ndarray, r: np.ndarray, minor: np.ndarray, own: np.ndarray, k: i
     return [[np.concatenate([p[i] for p in parts]) for i in range(3)] for parts in found]
 
 
-def found(minor: DataFrame, rows: DataFrame, k: int, k_own: int, sizes: tuple[int, int], dim: int, metric: str = "euclidean", decimals: int | None = None, small: int = knn.SMALL, chunk: int | None = None, workers: int = 1) -> DataFrame:
+def found(minor: DataFrame, rows: DataFrame, k: int, k_own: int, sizes: tuple[int, int], dim: int, metric: str = "euclidean", decimals: int | None = None, small: int = knn.SMALL, chunk: int | None = None, workers: int = 1, single: bool = False) -> DataFrame:
     """(id, c, near, from, tos): how many of each minority row's k nearest other rows are of the majority, the k_own nearest
     other minority rows' ids, its own vector and theirs.
 
-    minor: (id, z), a part of rows: (id, z, minor). k or k_own of 0 leaves that list empty. chunk and workers: see `knn.lists`.
+    minor: (id, z), a part of rows: (id, z, minor). k or k_own of 0 leaves that list empty. chunk, workers and single: see `knn.lists`.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -56,7 +56,7 @@ def found(minor: DataFrame, rows: DataFrame, k: int, k_own: int, sizes: tuple[in
             for b in (part for b in batches for part in knn.parts(b, chunk)):
                 own = np.array([place[x] for x in b.column(0).to_pylist()], np.int64)
                 q = knn._matrix(b.column(at), dim) if b.num_rows else np.empty((0, dim))
-                (qi, ri, _), (oi, near, _) = _both(q, z if u is None else u, flags, own, k, k_own, metric, decimals)
+                (qi, ri, _), (oi, near, _) = _both(q, z if u is None else u, flags, own, k, k_own, metric, decimals, single)
                 c = np.bincount(qi[~flags[ri]], minlength=len(q))
                 ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(oi, minlength=len(q)))]).astype(np.int32))
                 tos = pa.ListArray.from_arrays(pa.array(np.arange(0, len(near) * dim + 1, dim, dtype=np.int32)), pa.array(z[near].ravel()))
@@ -73,7 +73,7 @@ def found(minor: DataFrame, rows: DataFrame, k: int, k_own: int, sizes: tuple[in
         rids = [rids[i] for i in order]
         flags = np.asarray(t.column(2).to_numpy(), bool)[order]
         r = knn._matrix(t.column(at), dim)[order]
-        parts = _both(q, r, flags, knn.places(qids, rids), k, k_own, metric, decimals)
+        parts = _both(q, r, flags, knn.places(qids, rids), k, k_own, metric, decimals, single)
         tables = [knn.table(qids, rids, *p, (arrow, arrow)) for p in parts]
         cells = [[t.column("query_id"), pa.array(np.full(len(t), bool(i))), t.column("measure"), t.column("neighbor_id"), pa.array(flags[p[1]])] for i, (t, p) in enumerate(zip(tables, parts, strict=True))]
         return pa.concat_tables([pa.table(c, names=["query_id", "own", "measure", "neighbor_id", "minor"]) for c in cells])

@@ -46,6 +46,12 @@ def zscore_apply(spark, folder):
     return _rounded(scaling.apply(p.df, FEATURES, p.scaling).drop("cls"), p_size=6, p_retailprice=6)
 
 
+def zscore_single(spark, folder):
+    p = _prepared(spark, folder, ddof=0)
+    out = scaling.apply(p.df, FEATURES, p.scaling, "single").drop("cls")
+    return out.select("p_partkey", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in FEATURES])
+
+
 def zscore_roundtrip(spark, folder):
     p = _prepared(spark, folder)
     return _rounded(scaling.revert(scaling.apply(p.df, FEATURES, p.scaling), FEATURES, p.scaling).drop("cls"), p_size=6, p_retailprice=6)
@@ -240,6 +246,16 @@ def adasyn_events(spark, folder):
 DEALT = {"small": 0, "chunk_size": 500, "workers": 3}
 
 
+def knn_single(spark, folder):
+    """Candidates by products in single precision, ranked as doubles are."""
+    p = _prepared(spark, folder, precision="single")
+    return _rounded(p.knn(p.vectors("common"), p.vectors(), 5, (p.roles.n_maj, p.facts.rows), exclude_self=True), dist=6)
+
+
+def adanear_single(spark, folder):
+    return _part_rows(balance.adanear(tables.parts(spark, folder), "cls", 0.3, 0.5, 5, 5, 7, precision="single", **PART).data)
+
+
 def adasyn_blocks(spark, folder):
     return _part_rows(balance.adasyn(tables.parts(spark, folder), "cls", 0.5, 5, 7, **PART, **DEALT).data)
 
@@ -552,6 +568,7 @@ SELECT query_id, rank, neighbor_id, round(d, 6) AS dist FROM k WHERE rank <= {k}
         "zscore_params_sample": (zscore_params(1), params(part)),
         "zscore_params_pop": (zscore_params(0), params(pop)),
         "zscore_apply": (zscore_apply, f"{part} SELECT id AS p_partkey, round(z1, 6) AS p_size, round(z2, 6) AS p_retailprice FROM z"),
+        "zscore_single": (zscore_single, f"{pop} SELECT id AS p_partkey, round(z1::FLOAT::DOUBLE, 4) AS p_size, round(z2::FLOAT::DOUBLE, 4) AS p_retailprice FROM z"),
         "zscore_roundtrip": (zscore_roundtrip, "SELECT p_partkey, p_size::DOUBLE AS p_size, round(p_retailprice, 6) AS p_retailprice FROM part"),
         "zscore_given": (zscore_given, f"{sql.scaled(sql.EVENTS[0])} SELECT id AS event_id, round(z1, 6) AS value, round(z2, 6) AS hour FROM z"),
         "l2_normalize": (l2_normalize, "SELECT p_partkey, round(p_size / sqrt(p_size * p_size + p_retailprice * p_retailprice), 9) AS p_size, round(p_retailprice / sqrt(p_size * p_size + p_retailprice * p_retailprice), 9) AS p_retailprice FROM part"),
@@ -583,6 +600,8 @@ o AS (SELECT v.id AS query_id, t.id AS neighbor_id, d2, row_number() OVER (PARTI
         "restore_types": (restore_types, "SELECT l_orderkey, l_linenumber, least(greatest(round_even(l_extendedprice::DOUBLE / 1000, 0), 10), 40)::INTEGER AS x, round_even(l_quantity::DOUBLE / 2, 0)::BIGINT AS half FROM lineitem"),
         "adasyn_full": (adasyn_full, _sql_rows(f"{part}, {syn}", "true", True)),
         "adasyn_events": (adasyn_events, f"{sql.scaled(sql.EVENTS[0])}, {sql.allocation(0.1, 5, True)} SELECT id AS base_id, n FROM a WHERE n > 0"),
+        "knn_single": (knn_single, f"{part}, {sql.nearest('k', sql.MAJOR, sql.ALL, 5)} {listed} k"),
+        "adanear_single": (adanear_single, _sql_rows(hybrid, "rare OR id IN (SELECT id FROM r)", True)),
         "adasyn_blocks": (adasyn_blocks, _sql_rows(f"{part}, {syn}", "true", True)),
         "nearmiss_blocks": (nearmiss_blocks, _sql_rows(f"{part}, {sql.retained(1, 5, False)}", "rare OR id IN (SELECT id FROM r)", False)),
         "nearmiss_pruned": (nearmiss_pruned, f"{sql.scaled(sql.OLD)}, {sql.nearest('kn', sql.MAJOR, sql.MINOR, 5, False)}, sc AS (SELECT query_id AS id, round(avg(sqrt(d2)), 9) AS score FROM kn GROUP BY 1) SELECT id, round(score, 6) AS score FROM sc ORDER BY sc.score, id LIMIT 40"),

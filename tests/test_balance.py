@@ -585,3 +585,21 @@ def test_bounds_keep_all_that_score_low(spark, monkeypatch, score):
         assert n < 500 or m == 799
     tie = points(spark, np.ones((30, 2)))
     assert undersampling.pruned(tie, tie, 3, 7, score, None, sizes=(30, 30), dim=2, leaf=4)[1] == 30
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_single_precision_loses_nothing(spark, metric):
+    """Far from the origin, where single-precision products tell hardly any of these rows apart."""
+    x = np.round(RNG.normal(size=(80, 6)), 2) + (1000 if metric == "euclidean" else 0)
+    df = points(spark, x)
+    rows = lambda **how: sorted(map(tuple, knn.knn(df, df, 4, metric=metric, engine="exact", exclude_self=True, **how).collect()))
+    for small, same in ((knn.SMALL, False), (0, False), (0, True)):
+        assert rows(small=small, query_is_data=same, precision="single") == rows(small=small, query_is_data=same)
+    d = next(knn.tiles(x, x, None, metric, None, True))
+    assert d[2].dtype == np.float32
+    for scale in (1e-25, 1e25):
+        far = np.round(RNG.normal(size=(40, 3)), 1) * scale
+        one, two = (np.concatenate([np.stack(t[:2]) for t in knn.nearest(far, far, np.arange(40), 3, "euclidean", None, single)], axis=1) for single in (True, False))
+        assert np.array_equal(one, two)
+    with pytest.raises(BalanceError):
+        knn.knn(df, df, 4, precision="half")
