@@ -3,7 +3,7 @@
 Families are groups of languages with like n-gram profiles, found from the learned languages themselves. Families, and
 the languages of one family, are told apart by one-versus-one linear support vector machines over square roots of
 byte n-gram shares. Fitted on at most `SAMPLE` rows of each language (by hashes of ids and texts; documented bound), however many
-languages there are: the driver holds 32 KB a row, some 16 MB a language. Every whole text is scored in one pass without
+languages there are: the driver holds a profile of 32 KB a row, some 16 MB a language, and no text. Every whole text is scored in one pass without
 a shuffle.
 
 Defined results: texts that are null or have no letter are `und` with score 0, and so is every text if there is
@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.llm import kit, svm
 
@@ -34,10 +35,20 @@ def profile(text: bytes) -> np.ndarray:
     return (x / max(np.sqrt(x @ x), 1e-12)).astype(np.float32)
 
 
-def _profiles(batches):
-    for b in batches:
-        keep = [(t, lang) for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t and LETTER.search(t)]
-        yield pa.RecordBatch.from_arrays([pa.array([profile(t.encode()).tobytes() for t, _ in keep], pa.binary()), pa.array([x for _, x in keep], pa.string())], ["x", "lang"])
+def _profiled(df: DataFrame, text: str) -> DataFrame:
+    """The rows of df whose text has a letter, with its profile in its place."""
+    at = df.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            keep = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+            x = pa.array([profile(texts[i].encode()).tobytes() for i in keep], pa.binary())
+            yield b.take(pa.array(keep, pa.int64())).set_column(at, text, x)
+
+    fields = list(df.schema.fields)
+    fields[at] = T.StructField(text, T.BinaryType())
+    return df.mapInArrow(kit.lean(run), T.StructType(fields))
 
 
 def families(centres: dict[str, np.ndarray], n: int) -> list[list[str]]:
@@ -72,10 +83,14 @@ def _versus(x: np.ndarray, y: np.ndarray, classes: list) -> list[tuple]:
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
     """The model, from rows all of which may be learned from."""
     rows = df.where(F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    got = svm.sampled(rows, lang, F.col(doc_id), SAMPLE, F.col(text)).select(F.col(text).alias("t"), F.col(lang).alias("lang")).mapInArrow(kit.lean(_profiles), "x binary, lang string").collect()
+    some = svm.sampled(rows.select(doc_id, text, lang), lang, F.col(doc_id), SAMPLE, F.col(text), lambda d: _profiled(d, text))
+    got = some.select(F.col(text).alias("x"), F.col(lang).alias("lang")).collect()
     if not got:
         return {"families": []}
-    x, y = np.stack([np.frombuffer(r.x, np.float32) for r in got]), np.array([r.lang for r in got])
+    x, y = np.empty((len(got), 1 << BITS), np.float32), np.array([r.lang for r in got])
+    while got:  # what was fetched goes as the matrix is filled
+        last = got.pop()
+        x[len(got)] = np.frombuffer(last.x, np.float32)
     names = sorted(set(y.tolist()))
     groups = families({k: x[y == k].mean(0) for k in names}, max(1, round(len(names) ** 0.5)))
     of = {k: i for i, g in enumerate(groups) for k in g}

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from evenkeel.llm import kit
 
 
+#: Labels whose counts are sent to every task at most.
+LABELS = 65_536
+
+
 def grams(text: bytes, orders, bits: int) -> np.ndarray:
     """Hashed ids below 2 ** bits of a whole text's byte n-grams, A-Z lower-cased, repeats included."""
     a = np.frombuffer(text.lower(), np.uint8).astype(np.uint32)
@@ -73,18 +77,18 @@ def sampled(df: DataFrame, label: str, doc_id: Column, cap: int, contents: Colum
     """At most `cap` rows of each non-null label, however many labels there are; about that many, or all, if fewer.
 
     Rows are drawn by a hash of their id and contents, and equal rows once, so an id with very many rows neither fills a
-    sample nor drops out of it; a label of which most rows are copies gives fewer than `cap`. Labels are counted first;
-    only about `cap` rows of each are ranked in its task. What made(rows) makes of those that are drawn, beside the columns
+    sample nor drops out of it; a label of which most rows are copies gives fewer than `cap`. Labels are counted first, in
+    a table that is sent to every task up to `LABELS` of them; only about `cap` rows of each are ranked in its task. What made(rows) makes of those that are drawn, beside the columns
     that it doesn't know, is ranked and returned in their place, so that whole texts don't meet in a label's task.
     """
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).count().collect()
-    if not counts:
-        return df.limit(0)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, (cap + 4 * cap**0.5) / r[1]))])
+    names = df.columns
+    drawn, place, own, part = [kit.fresh(df, "__drawn"), kit.fresh(df, "__label")], kit.fresh(df, "__place"), kit.fresh(df, "__own"), kit.fresh(df, "__part")
+    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias(own)).agg(F.count(F.lit(1)).alias(part))
+    shares = counts.select(own, F.least(F.lit(1.0), F.lit(cap + 4 * cap**0.5) / F.col(part)).alias(part))
+    shares = F.broadcast(shares) if shares.limit(LABELS + 1).count() <= LABELS else shares
     key = F.xxhash64(doc_id, *([] if contents is None else [contents]), F.lit(11))
     u = (F.pmod(key, F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
-    names, drawn, place = df.columns, [kit.fresh(df, "__drawn"), kit.fresh(df, "__label")], kit.fresh(df, "__place")
-    some = df.withColumns({drawn[0]: key, drawn[1]: F.col(label)}).where(u < F.element_at(share, F.col(label))).dropDuplicates(drawn)
+    some = df.withColumns({drawn[0]: key, drawn[1]: F.col(label)}).join(shares, F.col(label) == F.col(own)).where(u < F.col(part)).drop(own, part).dropDuplicates(drawn)
     some = made(some) if made else some
     rank = F.row_number().over(Window.partitionBy(drawn[1]).orderBy(drawn[0]))
     return some.withColumn(place, rank).where(F.col(place) <= cap).select(*names)

@@ -293,5 +293,29 @@ def test_samples_have_a_hard_bound(spark):
     assert svm.sampled(one.withColumn("t", F.lit("t")), "lang", F.col("doc_id"), 500, F.col("t")).count() <= 1
 
 
+def test_counts_of_many_labels_are_joined(spark, monkeypatch):
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 7 > 0, F.concat(F.lit("l"), F.col("id") % 300)).alias("lang"))
+    rows = lambda: sorted(map(tuple, svm.sampled(df, "lang", F.col("doc_id"), 20).collect()))
+    sent = rows()
+    assert sum(x == "hot" for _, x in sent) == 20 and None not in {x for _, x in sent} and len({x for _, x in sent}) == df.where("lang IS NOT NULL").select("lang").distinct().count()
+    monkeypatch.setattr(svm, "LABELS", 10)
+    assert rows() == sent
+    assert svm.sampled(df.limit(0), "lang", F.col("doc_id"), 20).collect() == []
+
+
+def test_language_learns_from_profiles_of_whole_texts(spark, monkeypatch):
+    """Texts of 200 KB: no text is ranked or fetched, and what tells the languages apart stands at their ends."""
+    conf = spark.sparkContext._jsc.sc().conf()
+    rows = [(i, "x y z " * 35_000 + ("le la les " if i % 2 else "the of and ") * 3000, "fr" if i % 2 else "en") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "3m")
+    try:
+        model = language.fit(df)
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+    assert language.predict(model, [rows[0][1], rows[1][1]])[0] == ["en", "fr"]
+
+
 def test_numbers_are_no_letters():
     assert [bool(language.LETTER.search(t)) for t in ("½", "²", "①", "Ⅷ", "12_", "é", "ß", "中")] == [False] * 5 + [True] * 3
