@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised
 residuals, asymmetric distance tables, and exact reranking.
 
-Centroids and code books are fitted on at most `SAMPLE` vectors (by the ids' hashes; documented bound); every vector is
+A residual is coded as its length, in single precision, and its direction, so that vectors which lie close together, whose
+residuals are short, are told apart as well as others. Centroids and code books are fitted on at most `SAMPLE` vectors (by the ids' hashes; documented bound); every vector is
 indexed. Lists are found in a space with one more dimension, in which the nearest vector is the one with the largest
 inner product. Lists that lie near each other share a cell of about `CHUNK` rows; a larger list, as of a vector with very
 many copies, is dealt over cells of its own. A query goes to the cells that hold a list that it probes, and to no other;
-there the estimates of these lists' rows are made, and the best are ranked again by their vectors. So what is shuffled
+there the estimates of these lists' rows are made, and the `RERANK` best for each one wanted are ranked again by their
+vectors: as many rows of a cell, whatever its size and the table's. So what is shuffled
 are the index, once for each `BLOCK` queries, and each query once for each cell that it probes; no task holds more than a
 cell and a block. Of equal vectors in a cell only the TOP + 1 smallest ids can be in an answer; the others are left out
 before anything is scored.
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 
 from evenkeel.llm import kit
 
-SAMPLE, LISTS, CODES, WIDTH = 16_384, 256, 256, 4
-CHUNK, LEAST, BLOCK = 8192, 512, 16_384
-PROBE, RERANK, TOP = 0.75, 800, 20
+SAMPLE, LISTS, CODES, WIDTH = 16_384, 256, 256, 2
+CHUNK, BLOCK = 8192, 16_384
+PROBE, RERANK, TOP = 0.75, 5, 20
+#: Queries, and rows, whose estimates are made at a time.
+QUERIES, ROWS = 64, 1024
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -47,6 +51,12 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray
     return c
 
 
+def parted(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and directions of residuals; the direction of none is zero."""
+    length = np.sqrt((rest * rest).sum(axis=1))
+    return length.astype(np.float32), (rest / np.where(length > 0, length, 1.0)[:, None]).astype(np.float32)
+
+
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmax(x @ c.T - 0.5 * (c * c).sum(1), axis=1)
 
@@ -58,20 +68,25 @@ class Index:
         self.dim, self.square, self.centroids, self.books = dim, square, centroids, books
 
     def fit(self, sample: np.ndarray) -> Index:
+        # copies of one vector would take up centroids and codes
+        sample = np.unique(sample, axis=0)
         wide = self.widened(sample)
         self.centroids = k_means(wide, max(1, min(LISTS, int(len(sample) ** 0.5) * 2)))
         rest = sample - self.centroids[nearest(wide, self.centroids), : self.dim]
+        # half of a full sample has 32 residuals for each code
+        rest = parted(rest[:: max(1, len(rest) * 2 // SAMPLE)])[1]
         self.books = [k_means(rest[:, s : s + WIDTH], CODES) for s in range(0, self.dim, WIDTH)]
         return self
 
     def widened(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([x, np.sqrt(np.maximum(self.square - (x * x).sum(1), 0.0))])
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists, lengths of the residuals and codes of their directions."""
         lists = nearest(self.widened(x), self.centroids)
-        rest = x - self.centroids[lists, : self.dim]
+        length, rest = parted(x - self.centroids[lists, : self.dim])
         codes = [nearest(rest[:, i * WIDTH : (i + 1) * WIDTH], b) for i, b in enumerate(self.books)]
-        return lists.astype(np.int32), np.column_stack(codes).astype(np.uint8)
+        return lists.astype(np.int32), length, np.column_stack(codes).astype(np.uint8)
 
     def probed(self, q: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
         """For each query and list whether it is probed; `size` has the lists' rows.
@@ -91,27 +106,32 @@ class Index:
             out[short] |= more
         return out
 
-    def search(self, lists: np.ndarray, codes: np.ndarray, q: np.ndarray, probed: np.ndarray, depth: int):
+    def search(self, lists: np.ndarray, length: np.ndarray, codes: np.ndarray, q: np.ndarray, probed: np.ndarray, depth: int):
         """For each query the places of the `depth` rows with the largest estimates in the lists that it probes."""
-        near = q @ self.centroids[:, : self.dim].T
-        tables = [q[:, i * WIDTH : (i + 1) * WIDTH] @ b.T for i, b in enumerate(self.books)]
-        order = np.argsort(lists, kind="stable")
-        present, starts = np.unique(lists[order], return_index=True)
-        ends = np.append(starts[1:], len(order))
-        for lo in range(0, len(q), 128):
-            own = slice(lo, min(lo + 128, len(q)))
-            estimate = np.full((own.stop - lo, len(lists)), -np.inf, np.float32)
-            for c, s, e in zip(present, starts, ends, strict=True):
-                rows, who = order[s:e], np.flatnonzero(probed[own, c])
-                if len(who):
-                    x = np.repeat(near[own][who, c][:, None], len(rows), axis=1)
-                    for i, t in enumerate(tables):
-                        x += t[own][who][:, codes[rows, i]]
-                    estimate[np.ix_(who, rows)] = x
-            n = min(depth, estimate.shape[1])
-            best = np.argpartition(-estimate, n - 1, axis=1)[:, :n]
-            for i in range(own.stop - lo):
-                yield lo + i, best[i][estimate[i, best[i]] > -np.inf]
+        near = (q @ self.centroids[:, : self.dim].T).astype(np.float32)
+        codes = np.ascontiguousarray(codes.T).astype(np.intp)
+        # queries of one list probe much the same lists
+        order = np.argsort(near.argmax(axis=1), kind="stable")
+        for lo in range(0, len(q), QUERIES):
+            own = order[lo : lo + QUERIES]
+            hit = probed[own].T
+            rows = np.flatnonzero(hit.any(axis=1)[lists])
+            # a row of a table has all queries' products with one code
+            tables = [b.astype(np.float32) @ q[own, i * WIDTH : (i + 1) * WIDTH].T.astype(np.float32) for i, b in enumerate(self.books)]
+            estimate = np.empty((len(own), len(rows)), np.float32)
+            for s in range(0, len(rows), ROWS):
+                part = rows[s : s + ROWS]
+                x, one = np.zeros((len(part), len(own)), np.float32), np.empty((len(part), len(own)), np.float32)
+                for i, t in enumerate(tables):
+                    x += np.take(t, codes[i, part], axis=0, out=one, mode="clip")
+                x *= length[part, None]
+                x += near[own].T[lists[part]]
+                x[~hit[lists[part]]] = -np.inf
+                estimate[:, s : s + ROWS] = x.T
+            n = min(depth, len(rows))
+            for i, e in zip(own.tolist(), estimate, strict=True):
+                best = np.argpartition(-e, n - 1)[:n] if n else np.empty(0, np.intp)
+                yield i, rows[best[e[best] > -np.inf]]
 
 
 def cells(centroids: np.ndarray, size: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,9 +180,6 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
     sample = rows.where(likely).orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)), "__id").limit(SAMPLE).select("__v").toArrow()
     sample = sample.column(0).combine_chunks().flatten().to_numpy().reshape(-1, dim)
     fitted = Index(dim, float(square)).fit(sample)
-    # a small table is dealt to some 32 tasks, which look as deep into it together
-    chunk = min(CHUNK, max(LEAST, n // 32))
-    depth = max(RERANK // 2, RERANK * chunk // CHUNK)
     # plain arrays, of a size that the parameters fix
     held = spark.sparkContext.broadcast((dim, fitted.square, fitted.centroids, fitted.books))
 
@@ -170,8 +187,8 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
         index = Index(*held.value)
         for b in batches:
             x = b.column(1).flatten().to_numpy().reshape(-1, dim)
-            lists, codes = index.encode(x) if len(x) else (np.empty(0, np.int32), np.empty((0, 1), np.uint8))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], ["__id", "__list", "__code", "__vector"])
+            lists, length, codes = index.encode(x) if len(x) else (np.empty(0, np.int32), np.empty(0, np.float32), np.empty((0, 1), np.uint8))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists), pa.array(length), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], ["__id", "__list", "__length", "__code", "__vector"])
 
     lists_ = len(fitted.centroids)
 
@@ -190,11 +207,11 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
         first = np.array([own[0] for own in copies.values()])
         x = np.frombuffer(b"".join(copies), np.float64).reshape(-1, dim)
         codes = np.frombuffer(b"".join(left.column("__code").take(pa.array(first)).to_pylist()), np.uint8).reshape(len(first), -1)
-        lists = left.column("__list").to_numpy()[first]
+        lists, length = left.column("__list").to_numpy()[first], left.column("__length").to_numpy()[first]
         q = np.frombuffer(b"".join(right.column("__vector").to_pylist()), np.float64).reshape(-1, dim)
         probed = np.unpackbits(np.frombuffer(b"".join(right.column("__probed").to_pylist()), np.uint8).reshape(len(q), -1), axis=1, count=lists_).astype(bool)
         asks, groups, out = right.column("__id").to_pylist(), list(copies.values()), []
-        for i, found in Index(*held.value).search(lists, codes, q, probed, depth):
+        for i, found in Index(*held.value).search(lists, length, codes, q, probed, RERANK * top):
             exact = (x[found] * q[i]).sum(axis=1)
             took = []
             for k in np.argsort(-exact, kind="stable"):
@@ -205,12 +222,12 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
             out += [(asks[i], v, s) for s, v in took[:top]]
         return pa.table([pa.array([r[c] for r in out], none.schema.field(c).type) for c in range(3)], names=names)
 
-    index = kit.checkpointed(rows.mapInArrow(kit.lean(encode), f"__id {kind}, __list int, __code binary, __vector binary"))
+    index = kit.checkpointed(rows.mapInArrow(kit.lean(encode), f"__id {kind}, __list int, __length float, __code binary, __vector binary"))
     # no more rows than there are lists
     size = np.zeros(len(fitted.centroids), np.int64)
     for r in index.groupBy("__list").agg(F.count(F.lit(1)).alias("n")).collect():
         size[r["__list"]] = r.n
-    begin, parts = cells(fitted.centroids, size, chunk)
+    begin, parts = cells(fitted.centroids, size, CHUNK)
     cell = F.get(F.array(*[F.lit(int(x)) for x in begin]), F.col("__list")) + F.pmod(F.xxhash64("__id", F.lit(1)), F.get(F.array(*[F.lit(int(x)) for x in parts]), F.col("__list"))).cast("int")
     # a query's own rows are no candidates
     own = rows.where(is_query(F.col("__id"))).groupBy("__id").agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("__v"))

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,10 +209,12 @@ def test_scores_of_documents_are_sums_over_all_segmentations(spark, monkeypatch,
         assert abs(got[i] - want) < 1e-9 * abs(want)
 
 
-@pytest.mark.parametrize("chunk, block", [(neighbours.CHUNK, neighbours.BLOCK), (90, 7)])
-def test_neighbours_recall(spark, monkeypatch, chunk, block):
+@pytest.mark.parametrize("chunk, block, rerank", [(neighbours.CHUNK, neighbours.BLOCK, neighbours.RERANK), (neighbours.CHUNK, neighbours.BLOCK, 2), (90, 7, 1)])
+def test_neighbours_recall(spark, monkeypatch, chunk, block, rerank):
+    """The middle one leaves it to the codes which 40 of 500 rows are ranked again."""
     monkeypatch.setattr(neighbours, "CHUNK", chunk)
     monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "RERANK", rerank)
     rows = spark.read.parquet(f"{DATA}/embeddings.parquet").orderBy("vec_id").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
     got = collections.defaultdict(list)
@@ -258,7 +261,7 @@ def test_cells_hold_lists_of_a_size():
 
 def test_queries_go_to_cells_that_they_probe_only(spark, monkeypatch):
     """Clustered vectors and few probes: of 12 cells each query reaches few, and finds its cluster."""
-    monkeypatch.setattr(neighbours, "LEAST", 100)
+    monkeypatch.setattr(neighbours, "CHUNK", 100)
     monkeypatch.setattr(neighbours, "PROBE", 0.05)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 16)) * 10
@@ -276,6 +279,20 @@ def test_queries_go_to_cells_that_they_probe_only(spark, monkeypatch):
     assert len(got) == 60 and hit["n"] >= 0.9 * 20 * 60
 
 
+def test_codes_leave_a_hundredth_to_rank_again(spark):
+    """20,000 vectors without structure, in three cells: 100 rows of a cell are ranked again, 300 of 20,000."""
+    x = np.random.default_rng(8).normal(size=(20_000, 16))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))}))
+    found, hit = collections.defaultdict(set), 0
+    for r in neighbours.search(df, lambda i: i % 400 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    for q, own in found.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(own & set(np.argsort(-s)[:20].tolist()))
+    assert len(found) == 50 and hit >= 0.95 * 20 * 50
+
+
 def test_neighbours_of_small_tables(spark):
     rng = np.random.default_rng(4)
     for n in (3, 8, 15, 21, 22, 30):
