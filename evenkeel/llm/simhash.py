@@ -182,13 +182,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("__id").alias("doc_id"), F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), F.col("__component").alias("component_id"))
 
 
-#: Near copies: independent minima of a text's shingle hashes, put together to keys of three.
-BANDS, PER_BAND, SKETCH = 10, 3, 256
+#: Near copies: independent minima of a text's shingle hashes, put together to keys of three; each minimum is in two keys.
+MINIMA, SKETCH = 30, 128
+TRIPLES = np.concatenate([np.arange(MINIMA).reshape(-1, 3), np.arange(MINIMA).reshape(3, -1).T])
+BANDS = len(TRIPLES)
 #: At a similarity of 0.8 five-word shingles' fingerprints differ in 9.7 bits on average, at a deviation of 2.9.
-NEAR_RADIUS = 18
-#: For sets larger than the sketch the estimate has a deviation of 0.025 at 0.8; pairs four of them below are let through
+NEAR_RADIUS = 24
+#: For sets larger than the sketch the estimate has a deviation of 0.035 at 0.8; pairs four of them below are let through
 #: to the comparison of whole sets.
-SLACK = 0.1
+SLACK = 0.15
 #: Shingles of whole sets that are compared in one block; a larger group is dealt into blocks.
 CUT = 1 << 20
 
@@ -208,7 +210,7 @@ def _named(u: np.ndarray) -> int:
 def _profiles(k: int):
     """id, set of shingles (hash of it), SimHash, band keys and SKETCH smallest hashes of each text's distinct shingles."""
     rng = np.random.default_rng(5)
-    odd = rng.integers(1, 1 << 63, BANDS * PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    odd = rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
         for b in batches:
@@ -224,7 +226,8 @@ def _profiles(k: int):
                     some = np.flatnonzero(np.diff(o))
                     if len(some):
                         minima = np.stack([np.minimum.reduceat(_mixed(h * a), o[some]) for a in odd])
-                        keys[some] = _mixed(_mixed(minima[0::PER_BAND]) + minima[1::PER_BAND] * np.uint64(3) + minima[2::PER_BAND] * np.uint64(5)).T
+                        m1, m2, m3 = (minima[t] for t in TRIPLES.T)
+                        keys[some] = _mixed(_mixed(m1) + m2 * np.uint64(3) + m3 * np.uint64(5)).T
                     for i, u in enumerate(own):
                         sets[i] = _named(u)
                         m = (_mixed(u) >> np.uint64(32)).astype(np.uint32)
@@ -300,8 +303,9 @@ def _confirmed(similarity: float):
 def confirm(sets: DataFrame, loose: DataFrame, rows: DataFrame, k: int, similarity: float, cut: int = CUT) -> DataFrame:
     """Edges (a, b) that connect, within the groups that the loose edges make, all pairs of at least the similarity.
 
-    Whole sets are made again from the texts of one row of each grouped set, and each goes to its group's task once; a
-    group over `cut` shingles is dealt into blocks, and each two blocks make a shard.
+    Whole sets are made again from the texts of one row of each grouped set, found by its id before anything is hashed,
+    and each goes to its group's task once; a group over `cut` shingles is dealt into blocks, and each two blocks make a
+    shard.
     """
     root = kit.checkpointed(graph.components(loose))
     some = root.count()
@@ -311,8 +315,10 @@ def confirm(sets: DataFrame, loose: DataFrame, rows: DataFrame, k: int, similari
     own = F.pmod(F.xxhash64("__set"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("root", F.least(own, j), F.greatest(own, j)))
     member = kit.checkpointed(member.join(blocks, "root").select(F.col("__set").alias("__s"), "__low", F.array_distinct(pairs).alias("met")))
-    texts = rows.mapInArrow(kit.lean(_whole(k)), f"__id {dict(rows.dtypes)['__id']}, __set long, __shingles binary")
-    hint = F.broadcast(member) if some <= 100_000 else member
+    sent = F.broadcast if some <= 100_000 else lambda d: d
+    hint = sent(member)
+    chosen = rows.join(sent(member.select("__low").distinct()), F.col("__id").eqNullSafe(F.col("__low")), "left_semi")
+    texts = chosen.mapInArrow(kit.lean(_whole(k)), f"__id {dict(rows.dtypes)['__id']}, __set long, __shingles binary")
     met = texts.join(hint, (F.col("__set") == F.col("__s")) & F.col("__id").eqNullSafe(F.col("__low"))).select(F.explode("met").alias("k"), "__set", "__shingles")
     return met.repartition("k").sortWithinPartitions("k", "__set").mapInArrow(kit.lean(_confirmed(similarity)), "a long, b long")
 
@@ -365,8 +371,7 @@ def _near(radius: int, similarity: float):
 def link_near(sets: DataFrame, similarity: float, radius: int = NEAR_RADIUS, shard: int = SHARD) -> DataFrame:
     """Edges (a, b) between the distinct shingle sets `__set` that may have the similarity, enough to connect them.
 
-    A pair at similarity s shares one of the band keys with probability 1 - (1 - s^3)^10: 0.999 at 0.8. The members of
-    a key that more than `shard` sets hold are dealt into blocks, and each two blocks make a shard, so that every pair
+    At a similarity of 0.8 a pair shares none of the band keys with a probability of 0.00004. The members of a key that more than `shard` sets hold are dealt into blocks, and each two blocks make a shard, so that every pair
     still meets and no task holds more than two blocks.
     """
     keys = sets.select("__set", F.explode("__bands").alias("k"))
