@@ -1,8 +1,8 @@
 """Quality classifier: n-gram indicators scaled by the classes' log-count ratios, under a linear hinge-loss model.
 
-Fitted on at most `SAMPLE` labelled rows of each label (by hashes of ids and texts; documented bound), so what the driver
-holds doesn't grow with the corpus, nor with the texts: a row's set of n-grams takes 16 KB at the most, all of them 66 MB, as
-do the values that are kept beside the sets of up to 4,096 ids. Only labels of documents at hand are drawn, however many others there are.
+Fitted on at most `SAMPLE` labelled rows of each label (by hashes of ids and texts; documented bound), so what the task that
+fits it holds doesn't grow with the corpus, nor with the texts: a row's set of n-grams takes 16 KB at the most, all of them 66 MB, as
+do the values that are kept beside the sets of up to 4,096 ids. The driver gets the model alone. Only labels of documents at hand are drawn, however many others there are.
 Every whole text is scored in one pass without a shuffle.
 
 Defined results: null and empty texts have no n-gram and get the score of the bias alone; a null id is held out.
@@ -87,14 +87,12 @@ def _indicated(df: DataFrame, text: str) -> DataFrame:
     return df.mapInArrow(kit.lean(run), T.StructType(fields))
 
 
-def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label") -> dict:
-    """The model, from rows with an id, a text and a label of 0 or 1 (all of which may be learned from)."""
-    rows = labelled.where(F.col(doc_id).isNotNull()).select(doc_id, text, label)
-    some = svm.sampled(rows, label, F.col(doc_id), SAMPLE, F.col(text), lambda d: _indicated(d, text))
-    got = some.select(F.col(text).alias("ids"), F.col(label).cast("int").alias("label")).collect()
-    y = np.array([1 if r.label else -1 for r in got])
-    sets = [r.ids for r in got]
-    del got
+#: What the task that fits returns: a constant score, or a model, whose arrays are bytes of single precision.
+MODEL = "constant double, r binary, w binary, bias double, a double, b double"
+
+
+def _learned(sets: list[bytes], y: np.ndarray) -> dict:
+    """The model from packed sets and labels of 1 and -1."""
     if len(set(y.tolist())) < 2:
         return {"constant": float((y > 0).mean()) if len(y) else 0.5}
     up, down = np.ones(SIZE), np.ones(SIZE)
@@ -108,6 +106,32 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
     return {"r": r.astype(np.float32), "w": (r * w[:-1]).astype(np.float32), "bias": float(w[-1]), "a": a, "b": b}
 
 
+def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label") -> dict:
+    """The model, from rows with an id, a text and a label of 0 or 1 (all of which may be learned from).
+
+    One task fits it on the bounded sample; the driver gets the model, a megabyte, and none of the rows.
+    """
+    rows = labelled.where(F.col(doc_id).isNotNull()).select(doc_id, text, label)
+    some = svm.sampled(rows, label, F.col(doc_id), SAMPLE, F.col(text), lambda d: _indicated(d, text))
+
+    def run(batches):
+        sets, y = [], []
+        for b in batches:
+            sets += b.column(0).to_pylist()
+            y += [1 if x else -1 for x in b.column(1).to_pylist()]
+        m = _learned(sets, np.array(y))
+        row = [m[c].tobytes() if c in ("r", "w") and c in m else m.get(c) for c in names]
+        yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))], schema)
+
+    names = [c.split()[0] for c in MODEL.split(", ")]
+    schema = pa.schema([(c, pa.binary() if c in ("r", "w") else pa.float64()) for c in names])
+    got = some.select(F.col(text).alias("ids"), F.col(label).cast("int").alias("label")).coalesce(1).mapInArrow(kit.lean(run), MODEL).collect()
+    if not got or got[0].constant is not None:
+        return {"constant": got[0].constant if got else 0.5}
+    m = got[0].asDict()
+    return {c: np.frombuffer(x, np.float32) if c in ("r", "w") else x for c, x in m.items() if c != "constant"}
+
+
 def scores(model: dict, texts: list[bytes | None]) -> np.ndarray:
     if "constant" in model:
         return np.full(len(texts), model["constant"])

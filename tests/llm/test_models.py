@@ -46,6 +46,23 @@ def test_quality_of_long_texts(spark):
     assert ((quality.scores(model, [t.encode() for t in texts]) >= 0.5) == (np.arange(80) % 2 == 0)).all()
 
 
+def test_the_driver_gets_the_model_alone(spark):
+    """400 texts, whose sets take 6 MB together; the model takes 1 MB."""
+    rng = np.random.default_rng(1)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789      ", np.uint8)
+    texts = [rng.choice(letters, 30_000).tobytes().decode() + (" bad" * 400 if i % 2 else "") for i in range(400)]
+    assert sum(len(quality.packed(np.unique(quality.ngrams(t.encode())))) for t in texts) > 6_000_000
+    df = spark.createDataFrame([(i, t, 1 - i % 2) for i, t in enumerate(texts)], "doc_id long, text string, label int").repartition(8)
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "3m")
+    try:
+        model = quality.fit(df)
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+    assert ((quality.scores(model, [t.encode() for t in texts]) >= 0.5) == (np.arange(400) % 2 == 0)).all()
+
+
 def test_packed_sets_are_whole():
     rng = np.random.default_rng(2)
     ratios = rng.normal(size=quality.SIZE)
