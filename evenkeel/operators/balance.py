@@ -158,7 +158,7 @@ def _generated(p: Prepared, ratio: float, k: int, seed: int) -> tuple[DataFrame,
     n_min, n = p.roles.n_min, p.facts.rows
     minor, k_all, k_own = p.vectors(p.roles.minority), min(k, n - 1), min(k, n_min - 1)
     adaptive = p.o.allocation == "adaptive"
-    if p.o.by_brute_force():
+    if p.o.by_brute_force() and n_min * (n if adaptive else n_min) <= knn.MANY:
         how = {"dim": len(p.features), "metric": p.o.metric, "decimals": p.o.decimals, "small": p.o.small, "chunk": p.o.chunk_size, "workers": p.o.workers, "single": p.o.precision == "single"}
         around = surroundings.found(minor, p.marked() if adaptive else minor.withColumn("minor", F.lit(True)), k_all if adaptive else 0, k_own, (n_min, n if adaptive else n_min), **how)
     else:

@@ -118,12 +118,7 @@ def found(minor: DataFrame, rows: DataFrame, k: int, k_own: int, sizes: tuple[in
 def _best(t: pa.Table, k: int, k_own: int) -> pa.Table:
     """The first of each query and list."""
     t = t.sort_by([("query_id", "ascending"), ("own", "ascending"), ("measure", "ascending"), ("neighbor_id", "ascending")])
-    new = np.ones(len(t), bool)
-    ids, own = t.column("query_id").to_pylist(), t.column("own").to_numpy()
-    new[1:] = [a != b for a, b in zip(ids[1:], ids, strict=False)]
-    new[1:] |= own[1:] != own[:-1]
-    nth = np.arange(len(t)) - np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
-    return t.filter(pa.array(nth < np.where(own, k_own, k)))
+    return t.filter(pa.array(knn.nth(t.column("query_id"), t.column("own")) < np.where(t.column("own").to_numpy(), k_own, k)))
 
 
 def _with_vectors(minor: DataFrame, lists: DataFrame) -> DataFrame:

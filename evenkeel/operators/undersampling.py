@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.operators import knn, select, tree
+from evenkeel.operators import knn, repeated, select, tree
 from evenkeel.sources import shared
 
 
@@ -36,9 +36,17 @@ def pruned(queries: DataFrame, refs: DataFrame, k: int, m: int, score: str = "me
     A query's score lies between two bounds that cells' planes and balls give without its neighbours. At least m have an upper
     bound of at most some bar; those whose lower bound is beyond it needn't be scored. Returns them and how many they are.
     """
-    n = sizes[0]
+    n, queries, asked = sizes[0], queries.select("id", "z"), None
+    if n * sizes[1] > knn.MANY:
+        # as in `repeated`: k references of a vector are enough, and a vector's queries share their bounds
+        refs = shared.checkpointed(repeated.distinct(refs, k).select(F.explode("ids").alias("id"), "z"))
+        sizes, asked = (n, refs.count()), queries
+        queries = queries.groupBy("z").agg(F.min("id").alias("id"))
     cells, counts, _ = tree.fitted(refs, sizes[1], dim, "kd_tree", leaf)
-    rows = shared.checkpointed(tree.bounds(queries, cells, counts, k, dim, score != "mean"))
+    rows = tree.bounds(queries, cells, counts, k, dim, score != "mean")
+    if asked is not None:
+        rows = asked.join(rows.select(F.col("z").alias("v"), "lower", "upper"), F.col("z") == F.col("v")).drop("v")
+    rows = shared.checkpointed(rows)
     # a rank that errs by a ten-thousandth of all rows; what it gives is a bar only if m rows are below it
     bar, top = rows.agg(F.percentile_approx("upper", min(1.0, m / n + 2e-4), 10_000), F.max("upper")).first()
     below = rows.agg(F.count_if(F.col("upper") <= F.lit(bar))).first()[0]

@@ -565,6 +565,52 @@ def test_repeated_vectors_equal_brute_force(spark):
     assert plan.count("WindowGroupLimit") >= 1
 
 
+@pytest.mark.parametrize("algorithm", ["auto", "kd_tree", "cover_tree"])
+def test_many_pairs_are_searched_by_distinct_vectors(spark, monkeypatch, algorithm):
+    rng = np.random.default_rng(3)
+    df = points(spark, rng.integers(0, 5, (240, 2)).astype(float))
+    how = {"exclude_self": True, "engine": "exact", "decimals": 9, "algorithm": algorithm, "leaf": 4}
+    routes = [{"small": knn.SMALL}, {"small": 0, "chunk_size": 20, "workers": 3}, {"small": 0, "chunk_size": 20, "query_is_data": True}]
+    got = lambda more: {r.query_id: [tuple(n) for n in r.near] for r in knn.neighbour_lists(df, df, 4, **how, **more).collect()}
+    want = got(routes[0])
+    monkeypatch.setattr(knn, "MANY", 0)
+    assert all(got(more) == want for more in routes) and len(want) == 240
+    # 25 vectors are searched, and 240 rows meet them by a join
+    assert "Join" in knn.neighbour_lists(df, df, 4, **how)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("call", [balance.adasyn, balance.nearmiss, balance.adanear, balance.adanear_uniform])
+def test_balancing_of_many_pairs(spark, monkeypatch, call):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 6, (300, 2)).tolist()
+    df = spark.createDataFrame([(i, *map(float, v), "min" if i % 6 == 0 else "maj") for i, v in enumerate(x)], "id long, x1 double, x2 double, y string")
+    made = lambda small: sorted(map(str, call(df, "y", seed=3, id_col="id", features=["x1", "x2"], decimals=9, small=small, chunk_size=40, provenance=True).data.collect()))
+    want = made(knn.SMALL)
+    monkeypatch.setattr(knn, "MANY", 0)
+    assert made(knn.SMALL) == made(0) == want
+
+
+@pytest.mark.parametrize("decimals", [None, 2])
+def test_few_distances_in_few_dimensions(monkeypatch, decimals):
+    """The same neighbours as from all distances, ties and own places too, from a tenth of them."""
+    rng = np.random.default_rng(5)
+    q, r = np.round(rng.normal(size=(3000, 2)), 2), np.round(rng.normal(size=(4000, 2)), 2)
+    r[:3000] = q
+    own, made, tiles = np.where(np.arange(3000) % 2, np.arange(3000), -1), [], knn.tiles
+
+    def counted(*args):
+        for t in tiles(*args):
+            made.append(t[2].size)
+            yield t
+
+    monkeypatch.setattr(knn, "tiles", counted)
+    found = lambda: [np.concatenate(p).tolist() for p in zip(*knn.nearest(q, r, own, 5, "euclidean", decimals), strict=True)]
+    few, n = found(), sum(made)
+    monkeypatch.setattr(knn, "LOW", 0)
+    made.clear()
+    assert found() == few and sum(made) == len(q) * len(r) and n < 0.1 * len(q) * len(r)
+
+
 def test_numbered_columns(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0])], "id long, z array<double>")
     assert [tuple(r) for r in generated.numbered(df, "z", 2).orderBy("id").collect()] == [(1, 1.0, 2.0), (2, 3.0, None)]
