@@ -267,6 +267,20 @@ def test_approximate_engines(spark, monkeypatch, engine, m):
     assert knn.knn(refs, refs.limit(0), 5, engine=engine).count() == 0 == knn.knn(refs.limit(0), refs, 5, engine=engine).count()
 
 
+def test_graphs_in_many_shards(spark, monkeypatch):
+    """Points without structure lose no neighbours by being dealt into shards; in groups a query goes to few shards."""
+    monkeypatch.setattr(graph, "SHARD", 60)
+    x = RNG.normal(size=(1200, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, z array<double>").repartition(3)
+    true, got = ({(r.query_id, r.neighbor_id) for r in knn.knn(df, df, 10, engine=e, exclude_self=True).collect()} for e in ("exact", "RcppHNSW"))
+    assert len(got) == len(true) and len(got & true) >= 0.98 * len(true)
+    centres = 20 * RNG.normal(size=(30, 24))
+    groups = centres[RNG.integers(0, 30, 3000)] + RNG.normal(size=(3000, 24))
+    met = graph.reached(groups, centres, groups[::3], 5)
+    own, near = knn._order(groups, centres, 1)[:, 0], np.argsort(((groups[:200, None] - groups[None]) ** 2).sum(2), axis=1)[:, :6]
+    assert met.mean() < 0.1 and np.take_along_axis(met[:200], own[near], 1).all() and graph.reached(groups, centres, groups[:4], 5).all()
+
+
 def test_graphs_find_neighbours_by_few_distances():
     """Groups that no link joins, and points without groups, of which coarse lists with as many rows hold fewer neighbours."""
     rng = np.random.default_rng(7)
