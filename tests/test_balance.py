@@ -593,6 +593,17 @@ def test_many_pairs_are_searched_by_distinct_vectors(spark, monkeypatch, algorit
     assert "Join" in knn.neighbour_lists(df, df, 4, **how)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_very_many_pairs_in_few_dimensions_go_by_a_tree(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df, asked = points(spark, np.round(rng.random((200, 2)), 2)), []
+    got = lambda: {r.query_id: [tuple(n) for n in r.near] for r in knn.neighbour_lists(df, df, 4, exclude_self=True, decimals=9, leaf=8).collect()}
+    want, searched = got(), tree.searched
+    monkeypatch.setattr(tree, "searched", lambda *a, **k: asked.append(a) or searched(*a, **k))
+    monkeypatch.setattr(knn, "MANY", 0)
+    monkeypatch.setattr(knn, "DEALT", 0, raising=False)
+    assert got() == want and len(want) == 200 and asked
+
+
 @pytest.mark.parametrize("call", [balance.adasyn, balance.nearmiss, balance.adanear, balance.adanear_uniform])
 def test_balancing_of_many_pairs(spark, monkeypatch, call):
     rng = np.random.default_rng(4)
