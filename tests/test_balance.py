@@ -1,3 +1,8 @@
+import os
+import pickle
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -604,6 +609,22 @@ def test_very_many_pairs_in_few_dimensions_go_by_a_tree(spark, monkeypatch):
     assert got() == want and len(want) == 200 and asked
 
 
+def test_trees_need_no_installed_copy(spark, monkeypatch, tmp_path):
+    """What a tree search and its bounds send can be read where the package isn't."""
+    df, sent, context = points(spark, np.round(RNG.random((60, 2)), 2)), [], type(spark.sparkContext)
+    broadcast = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, x: sent.append(x) or broadcast(self, x))
+    assert tree.searched(df, df, 3, leaf=8)[0].count() == 60
+    assert undersampling.pruned(df, df, 3, 7, sizes=(60, 60), dim=2, leaf=8)[1] >= 7
+    files = [tmp_path / str(i) for i in range(len(sent))]
+    for f, x in zip(files, sent, strict=True):
+        f.write_bytes(pickle.dumps(x))
+    read = "import pickle, sys\nfor f in sys.argv[1:]:\n    x = pickle.load(open(f, 'rb'))\n    print(len(pickle.loads(x) if isinstance(x, bytes) else x))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", read, *map(str, files)], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert out.returncode == 0 and len(out.stdout.split()) == len(sent) >= 4, out.stderr
+
+
 @pytest.mark.parametrize("call", [balance.adasyn, balance.nearmiss, balance.adanear, balance.adanear_uniform])
 def test_balancing_of_many_pairs(spark, monkeypatch, call):
     rng = np.random.default_rng(4)
