@@ -286,6 +286,34 @@ def test_graphs_in_many_shards(spark, monkeypatch):
     assert met.mean() < 0.1 and np.take_along_axis(met[:200], own[near], 1).all() and graph.reached(groups, centres, groups[:4], 5).all()
 
 
+def test_graphs_and_queries_are_sent_in_blocks(spark, monkeypatch):
+    """Queries that go to every shard are shuffled by bundles of graphs, not by graphs; the neighbours are the same."""
+    monkeypatch.setattr(graph, "SHARD", 60)
+    monkeypatch.setattr(graph, "ASKS", 100)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(3).normal(size=(1200, 24)))], "id long, z array<double>").repartition(3)
+    status, near, wrote = spark.sparkContext._jsc.sc().statusStore(), [], []
+    for tasks in (400, 4):
+        monkeypatch.setattr(graph, "TASKS", tasks, raising=False)
+        before = status.executorSummary("driver").totalShuffleWrite()
+        near.append(sorted(knn.knn(df, df, 10, engine="RcppHNSW", exclude_self=True).collect()))
+        wrote.append(status.executorSummary("driver").totalShuffleWrite() - before)
+    assert near[0] == near[1] and len(near[0]) == 12_000
+    assert wrote[1] < wrote[0] / 3
+
+
+def test_graphs_in_bundles(monkeypatch):
+    """Each graph has a place, no bundle has more than fit in a long, and a query goes once to a bundle, for the graphs it asks."""
+    monkeypatch.setattr(graph, "SHARD", 10)
+    graphs = graph.bundled([(0, 35), (2, 9), (3, 9), *((s, 1) for s in range(4, 200))], 25)
+    assert graphs[:5] == [(0, 0, 0, 0), (0, 1, 0, 1), (0, 2, 1, 0), (2, 0, 1, 1), (3, 0, 2, 0)]
+    assert max(slot for *_, slot in graphs) < 62 and len({g[2:] for g in graphs}) == len(graphs) == 201
+    to = np.zeros((4, 200), bool)
+    to[0, [0, 3]] = to[2, 1] = to[3, 2:4] = True
+    sent = [x.tolist() for x in graph.sent(to, np.array(graphs))]
+    assert sent == [[0, 0, 0, 3, 3], [0, 1, 2, 1, 2], [3, 1, 1, 2, 1]]
+    assert [len(x) for x in graph.sent(to[1:3], np.array(graphs))] == [0, 0, 0]
+
+
 def test_graphs_find_neighbours_by_few_distances():
     """Groups that no link joins, and points without groups, of which coarse lists with as many rows hold fewer neighbours."""
     rng = np.random.default_rng(7)
